@@ -166,10 +166,10 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
     box_gap = []
     for i, x in enumerate(dims):
         lo = F.col(f"__n{i}") * F.lit(side)
-        hi = lo + F.lit(side)
         a = F.col(f"__a_{x}")
-        gap = F.greatest(lo - a, F.lit(0.0), a - hi)
+        gap = F.greatest(lo - a, F.lit(0.0), a - lo - F.lit(side))
         box_gap.append(gap * gap)
+    # only neighbour boxes within eps of the point itself are kept for the exact test
     cp = cp.filter(reduce(lambda u, v: u + v, box_gap) <= F.lit(eps * eps))
     cq = core.select(*[F.col(x).alias(f"__b_{x}") for x in dims],
                      *[F.col(c).alias(f"__n{i}") for i, c in enumerate(ccols)],
@@ -203,7 +203,54 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
     return core_lab.unionByName(noncore_lab)
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+DRIVER_GRAPH_LIMIT = 2_000_000   # edges of the (cell) graph solved in one place when below this
+
+
+def _union_find(n_vertices: int, src, dst):
+    """Vectorised min-label propagation with pointer jumping over integer-coded vertices."""
+    import numpy as np
+    lab = np.arange(n_vertices)
+    while True:
+        m = np.minimum(lab[src], lab[dst])
+        new = lab.copy()
+        np.minimum.at(new, src, m)
+        np.minimum.at(new, dst, m)
+        new = new[new]
+        while True:
+            nn = new[new]
+            if np.array_equal(nn, new):
+                break
+            new = nn
+        if np.array_equal(new, lab):
+            return lab
+        lab = new
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200,
+                         local_limit: int = DRIVER_GRAPH_LIMIT) -> DataFrame:
+    """Connected components of the core-cell graph: ``(v, label)``, label = smallest id.
+
+    The cell graph is far smaller than the points.  When its edge count is below
+    ``local_limit`` (checked), it is solved with a vectorised union-find and the
+    labels come back as a small table; otherwise the distributed propagation below runs.
+    """
+    n_edges = edges.count()
+    if n_edges <= local_limit:
+        import numpy as np
+        spark = vertices.sparkSession
+        vs = np.array(sorted(r[0] for r in vertices.select("v").collect()), dtype=np.int64)
+        if len(vs) == 0:
+            return spark.createDataFrame([], "v long, label long")
+        e = edges.select("__src", "__dst").toPandas()
+        src = np.searchsorted(vs, e["__src"].to_numpy(dtype=np.int64))
+        dst = np.searchsorted(vs, e["__dst"].to_numpy(dtype=np.int64))
+        lab = _union_find(len(vs), src, dst)
+        import pandas as pd
+        return spark.createDataFrame(pd.DataFrame({"v": vs, "label": vs[lab]}))
+    return _propagate_components(vertices, edges, max_rounds)
+
+
+def _propagate_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Min-label propagation with pointer jumping: ``(v, label)``, label = smallest vertex id
     of the component.
 
