@@ -31,29 +31,32 @@ def _abs_lt(c: Column, bound: float) -> Column:
     return true_or_false((c > -bound) & (c < bound))
 
 
+# Every predicate is ``pred(df, r=F.col)``: ``r`` resolves a column name to an expression, so a
+# chain can evaluate a predicate on substituted values (see ``SanityChain.flags``).
+
 def cke_ok(bound: float) -> Pred:
-    return lambda df: _abs_lt(F.col("cke"), bound)
+    return lambda df, r=F.col: _abs_lt(r("cke"), bound)
 
 
 def cki_ok(bound: float) -> Pred:
-    return lambda df: _abs_lt(F.col("cki"), bound)
+    return lambda df, r=F.col: _abs_lt(r("cki"), bound)
 
 
 def ceke_ok(bound: float) -> Pred:
-    return lambda df: _abs_lt(F.col("ceke"), bound)
+    return lambda df, r=F.col: _abs_lt(r("ceke"), bound)
 
 
 def ceki_ok(bound: float) -> Pred:
-    return lambda df: _abs_lt(F.col("ceki"), bound)
+    return lambda df, r=F.col: _abs_lt(r("ceki"), bound)
 
 
 def ck_ok(bound: float) -> Pred:
     """C-06: cke and cki both converged."""
-    return lambda df: cke_ok(bound)(df) & cki_ok(bound)(df)
+    return lambda df, r=F.col: cke_ok(bound)(df, r) & cki_ok(bound)(df, r)
 
 
 def cek_ok(bound: float) -> Pred:
-    return lambda df: ceke_ok(bound)(df) & ceki_ok(bound)(df)
+    return lambda df, r=F.col: ceke_ok(bound)(df, r) & ceki_ok(bound)(df, r)
 
 
 def negative_columns(columns, policy: str = "current") -> list[str]:
@@ -69,7 +72,7 @@ def negative_columns(columns, policy: str = "current") -> list[str]:
 
 def nonnegative_ok(policy: str = "current") -> Pred:
     """C-03: all heat fluxes >= 0 (a missing value fails)."""
-    return lambda df: all_of(true_or_false(F.col(c) >= 0) for c in negative_columns(df.columns, policy))
+    return lambda df, r=F.col: all_of(true_or_false(r(c) >= 0) for c in negative_columns(df.columns, policy))
 
 
 SEPTOT_FAMILIES = {
@@ -92,8 +95,8 @@ def septot_pairs(columns, families: str | dict = "current") -> list[tuple[str, l
 
 def septot_ok(factor: float, families="current") -> Pred:
     """C-07: every existing separate-mode flux |sep| <= factor * |total|."""
-    def pred(df):
-        return all_of(true_or_false(F.abs(F.col(s)) <= F.lit(factor) * F.abs(F.col(t)))
+    def pred(df, r=F.col):
+        return all_of(true_or_false(F.abs(r(s)) <= F.lit(factor) * F.abs(r(t)))
                       for t, seps in septot_pairs(df.columns, families) for s in seps)
     return pred
 
@@ -101,9 +104,9 @@ def septot_ok(factor: float, families="current") -> Pred:
 def ambipolar_ok(bound: float, version: int = 1) -> Pred:
     """C-09: v0 ``1/b < absambi < b``; v1 ``|absambi - 1| < b`` (strict)."""
     if version == 0:
-        return lambda df: true_or_false((F.col("absambi") < bound) & (F.col("absambi") > 1.0 / bound))
+        return lambda df, r=F.col: true_or_false((r("absambi") < bound) & (r("absambi") > 1.0 / bound))
     if version == 1:
-        return lambda df: true_or_false(((F.col("absambi") - 1.0) < bound) & ((F.col("absambi") - 1.0) > -bound))
+        return lambda df, r=F.col: true_or_false(((r("absambi") - 1.0) < bound) & ((r("absambi") - 1.0) > -bound))
     raise ValueError("Unknown ambipolar_filter version passed!")
 
 
@@ -117,8 +120,8 @@ def femto_columns(columns, policy: str = "current") -> list[str]:
 
 def femtoflux_ok(bound: float, policy: str = "current") -> Pred:
     """C-10: no transport flux with ``0 < |v| < bound`` (missing counts as fine)."""
-    def pred(df):
-        bad = any_of(true_or_false((F.abs(F.col(c)) < bound) & (F.col(c) != 0))
+    def pred(df, r=F.col):
+        bad = any_of(true_or_false((F.abs(r(c)) < bound) & (r(c) != 0))
                      for c in femto_columns(df.columns, policy))
         return ~bad
     return pred
@@ -126,8 +129,8 @@ def femtoflux_ok(bound: float, policy: str = "current") -> Pred:
 
 def regime_ok(geq: float, less: float) -> Pred:
     """C-02: ``geq <= efe_GB, efi_GB < less``."""
-    return lambda df: true_or_false((F.col("efe_GB") < less) & (F.col("efi_GB") < less)
-                                    & (F.col("efe_GB") >= geq) & (F.col("efi_GB") >= geq))
+    return lambda df, r=F.col: true_or_false((r("efe_GB") < less) & (r("efi_GB") < less)
+                                             & (r("efe_GB") >= geq) & (r("efi_GB") >= geq))
 
 
 # ---------------------------------------------------------------- wrappers
@@ -224,6 +227,7 @@ class Step:
     pred: Pred | None = None                      # row filter
     transform: Callable[[DataFrame], DataFrame] | None = None   # row-local rewrite
     stored: DataFrame | None = None               # ids to drop instead of the predicate
+    zero_row: bool = False                        # D-04 whole-row zeroing (handled symbolically)
 
 
 @dataclass
@@ -232,8 +236,21 @@ class SanityChain:
     steps: list[Step] = field(default_factory=list)
 
     def apply(self, df: DataFrame, key: str = "dimx") -> DataFrame:
+        """All steps as one cumulative flag and a single filter (one projection + one filter in
+        one codegen stage instead of a filter / project per step)."""
+        if any(s.stored is not None for s in self.steps):
+            return self.apply_stepwise(df, key)
+        flagged, names = self.flags(df, key)
+        if not names:
+            return flagged
+        helper = [c for c in flagged.columns if c.startswith("__alive_")]
+        return flagged.filter(F.col(f"__alive_{names[-1]}")).drop(*helper)
+
+    def apply_stepwise(self, df: DataFrame, key: str = "dimx") -> DataFrame:
         for s in self.steps:
-            if s.transform is not None:
+            if s.zero_row:
+                df = negative_to_zero(df)
+            elif s.transform is not None:
                 df = s.transform(df)
             elif s.stored is not None:
                 df = apply_stored_filter(df, s.stored, key)
@@ -242,10 +259,23 @@ class SanityChain:
         return df
 
     def flags(self, df: DataFrame, key: str = "dimx") -> tuple[DataFrame, list[str]]:
-        """The input with one cumulative ``__alive_<step>`` flag per filter step."""
+        """The input with one cumulative ``__alive_<step>`` flag per filter step.
+
+        Whole-row zeroing (D-04) is kept symbolic: one ``__neg`` flag is computed, and each
+        later predicate is evaluated as ``if __neg then P(heat fluxes = 0) else P(values)``
+        (the first branch constant-folds).  Referencing the zeroed columns inside every
+        predicate instead would inline the flag once per column reference.  The zeroed
+        values themselves are produced once, in the final projection.
+        """
         alive = F.lit(True)
         names = []
+        zero_cols: list[str] = []
         for s in self.steps:
+            if s.zero_row:
+                zero_cols = negative_zero_columns(df.columns)
+                if zero_cols:
+                    df = df.withColumn("__neg", ~all_of(true_or_false(F.col(c) >= 0) for c in zero_cols))
+                continue
             if s.transform is not None:
                 df = s.transform(df)
                 continue
@@ -253,6 +283,10 @@ class SanityChain:
                 hit = s.stored.select(F.col(key), F.lit(True).alias(f"__drop_{s.name}"))
                 df = df.join(hit, key, "left")
                 ok = F.col(f"__drop_{s.name}").isNull()
+            elif zero_cols:
+                zc = set(zero_cols)
+                r0 = lambda c, zc=zc: F.lit(0.0) if c in zc else F.col(c)
+                ok = F.when(F.col("__neg"), s.pred(df, r0)).otherwise(s.pred(df))
             else:
                 ok = s.pred(df)
             alive = alive & ok
@@ -260,6 +294,9 @@ class SanityChain:
             df = df.withColumn(col, alive)
             alive = F.col(col)
             names.append(s.name)
+        if zero_cols:
+            df = df.withColumns({c: F.when(F.col("__neg"), F.lit(0.0)).otherwise(F.col(c)) for c in zero_cols}) \
+                .drop("__neg")
         return df, names
 
 
@@ -278,7 +315,10 @@ def sanity_chain(septot_factor: float, ambi_bound: float, femto_bound: float,
     if "negative" in stored:
         steps.append(Step("negative", stored=stored["negative"]))
     else:
-        steps.append(Step("negative", transform=lambda d: negative_to_zero(d, per_column_zero)))
+        if per_column_zero:
+            steps.append(Step("negative", transform=lambda d: negative_to_zero(d, True)))
+        else:
+            steps.append(Step("negative", zero_row=True))
     steps.append(Step("septot", septot_ok(septot_factor), stored=stored.get("septot")))
     steps.append(Step("ambipolar", ambipolar_ok(ambi_bound, ambipolar_version), stored=stored.get("ambipolar")))
     steps.append(Step("femtoflux", femtoflux_ok(femto_bound), stored=stored.get("femtoflux")))
