@@ -160,9 +160,10 @@ def update_frames(base: DataFrame, other: DataFrame, key: str = "dimx") -> DataF
     """A-09: fill ``base`` with ``other`` on the same columns; conflicting non-null overlaps raise."""
     cols = [c for c in other.columns if c != key]
     j = base.join(other.select(key, *[F.col(c).alias(f"__o_{c}") for c in cols]), key, "full")
+    shared = [c for c in cols if c in base.columns]
     clash = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & F.col(f"__o_{c}").isNotNull()
-                                        & (F.col(c) != F.col(f"__o_{c}")) for c in cols])
-    if j.filter(clash).limit(1).count():
+                                        & (F.col(c) != F.col(f"__o_{c}")) for c in shared], F.lit(False))
+    if shared and j.filter(clash).limit(1).count():
         raise ValueError("update would overwrite existing values")
     return j.select(key, *[F.coalesce(F.col(c), F.col(f"__o_{c}")).alias(c) if c in cols else F.col(c)
                            for c in base.columns if c != key],
