@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import itertools
 import math
+
+import numpy as np
 from dataclasses import dataclass
 from functools import reduce
 
@@ -234,14 +236,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     ``local_limit`` (checked), it is solved with a vectorised union-find and the
     labels come back as a small table; otherwise the distributed propagation below runs.
     """
-    n_edges = edges.count()
-    if n_edges <= local_limit:
+    e = edges.select("__src", "__dst").limit(local_limit + 1).toPandas()
+    if len(e) <= local_limit:
         import numpy as np
         spark = vertices.sparkSession
         vs = np.array(sorted(r[0] for r in vertices.select("v").collect()), dtype=np.int64)
         if len(vs) == 0:
             return spark.createDataFrame([], "v long, label long")
-        e = edges.select("__src", "__dst").toPandas()
         src = np.searchsorted(vs, e["__src"].to_numpy(dtype=np.int64))
         dst = np.searchsorted(vs, e["__dst"].to_numpy(dtype=np.int64))
         lab = _union_find(len(vs), src, dst)
@@ -315,50 +316,88 @@ def local_density(points: DataFrame, dims, radius: float, key: str = "dimx", clu
                                           F.count(F.lit(1)).alias("npts"))
 
 
+def _lloyd_numpy(X: np.ndarray, init: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, np.ndarray]:
+    """Deterministic Lloyd iterations from a given initial assignment; returns (centroids, labels).
+    Empty centroids drop out; ties go to the lowest centroid index."""
+    lab = init.copy()
+    for _ in range(iterations):
+        ids = np.unique(lab)
+        cents = np.stack([X[lab == j].mean(0) for j in ids])
+        d = ((X[:, None, :] - cents[None, :, :]) ** 2).sum(-1)
+        new = ids[np.argmin(d, axis=1)]
+        if np.array_equal(new, lab):
+            break
+        lab = new
+    ids = np.unique(lab)
+    cents = np.stack([X[lab == j].mean(0) for j in ids])
+    return ids, cents
+
+
 def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str = "dimx",
-                    cluster: str = "label", iterations: int = 20, max_centroids: int = 1_000_000) -> DataFrame:
+                    cluster: str = "label", iterations: int = 20, max_centroids: int = 1_000_000,
+                    max_group: int | None = None) -> DataFrame:
     """H-06: per cluster, the point nearest the *first* centroid of a k-means fit.
 
     k = 1: the centroid is the mean (one aggregate) and the nearest point a ``min_by``.
     k > 1: deterministic Lloyd iterations started from a hash partition of the points
-    (centroid 0 = mean of the points with ``pmod(xxhash64(id), k) = 0``); the centroid
-    table is broadcast after a size check.  All steps are aggregates: a hot cluster
-    never lands in one task.
+    (initial centroid j = mean of the points with ``pmod(xxhash64(id), k) = j``); the
+    representative is the point nearest the lowest-index surviving centroid.
+    Clusters of at most ``max_group`` points (the reduce class is bounded by the
+    reduction threshold) run per cluster in ``applyInPandas``; larger ones run as
+    distributed aggregates with the centroid table broadcast after a size check, so a
+    hot cluster never lands in one task.
     """
-    pk = points.join(k_per_cluster.select(cluster, "k"), cluster)
+    pk = points.join(k_per_cluster.select(cluster, "k", "npts"), cluster) if "npts" in k_per_cluster.columns \
+        else points.join(k_per_cluster.select(cluster, "k"), cluster).withColumn("npts", F.lit(None).cast("long"))
     one = pk.filter(F.col("k") == 1)
-    many = pk.filter(F.col("k") > 1)
-    # k = 1
     cen = one.groupBy(cluster).agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
     d1 = one.join(cen, cluster).withColumn("__d", _dist2([F.col(x) for x in dims], [F.col(f"__m_{x}") for x in dims]))
     rep1 = d1.groupBy(cluster).agg(F.min_by(key, F.struct("__d", key)).alias(key))
-    # k > 1
+    many = pk.filter(F.col("k") > 1).withColumn("__j", F.pmod(F.xxhash64(F.col(key)), F.col("k")).cast("int"))
+    out = [rep1]
+    if max_group is not None:
+        small = many.filter(F.col("npts") <= max_group)
+        many = many.filter(~(F.col("npts") <= max_group))
+        key_type = dict(points.dtypes)[key]
+
+        def per_cluster(pdf):
+            import pandas as pd
+            X = pdf[list(dims)].to_numpy(np.float64)
+            ids, cents = _lloyd_numpy(X, pdf["__j"].to_numpy(), int(pdf["k"].iloc[0]), iterations)
+            c0 = cents[np.argmin(ids)]
+            d = ((X - c0) ** 2).sum(1)
+            order = np.lexsort((pdf[key].to_numpy(), d))
+            return pd.DataFrame({cluster: [pdf[cluster].iloc[0]], key: [pdf[key].iloc[order[0]]]})
+
+        out.append(small.select(cluster, key, "k", "__j", *dims).groupBy(cluster).applyInPandas(
+            per_cluster, f"{cluster} {dict(points.dtypes)[cluster] if cluster in points.columns else 'long'}, "
+                         f"{key} {key_type}"))
     n_cent = many.select(cluster, "k").distinct().agg(F.sum("k")).first()[0] or 0
-    if n_cent == 0:
-        return rep1
-    if n_cent > max_centroids:
-        raise ValueError(f"{n_cent} centroids exceed the broadcast bound {max_centroids}")
-    many = cut_lineage(many.withColumn("__j", F.pmod(F.xxhash64(F.col(key)), F.col("k")).cast("int")))
-    for _ in range(iterations):
+    if n_cent:
+        if n_cent > max_centroids:
+            raise ValueError(f"{n_cent} centroids exceed the broadcast bound {max_centroids}")
+        many = cut_lineage(many)
+        for _ in range(iterations):
+            cents = many.groupBy(cluster, "__j").agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
+            cl = [r.asDict() for r in cents.collect()]  # <= max_centroids rows (checked)
+            cent_df = many.sparkSession.createDataFrame(cl, cents.schema)
+            cand = many.select(key, cluster, "__j", *dims).join(
+                F.broadcast(cent_df.withColumnRenamed("__j", "__c")), cluster) \
+                .withColumn("__d", _dist2([F.col(x) for x in dims], [F.col(f"__m_{x}") for x in dims]))
+            best = cand.groupBy(key).agg(F.min_by("__c", F.struct("__d", "__c")).alias("__nj"))
+            nxt = cut_lineage(many.join(best, key).withColumn("__chg", F.col("__nj") != F.col("__j")))
+            many = nxt.drop("__j").withColumnRenamed("__nj", "__j")
+            if nxt.filter("__chg").limit(1).count() == 0:
+                break
+            many = many.drop("__chg")
+        many = many.drop("__chg") if "__chg" in many.columns else many
         cents = many.groupBy(cluster, "__j").agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
-        cl = [r.asDict() for r in cents.collect()]  # <= max_centroids rows (checked)
-        cent_df = many.sparkSession.createDataFrame(cl, cents.schema) if cl else cents
-        cand = many.select(key, cluster, "__j", *dims).join(
-            F.broadcast(cent_df.withColumnRenamed("__j", "__c")), cluster) \
-            .withColumn("__d", _dist2([F.col(x) for x in dims], [F.col(f"__m_{x}") for x in dims]))
-        best = cand.groupBy(key).agg(F.min_by("__c", F.struct("__d", "__c")).alias("__nj"))
-        nxt = many.join(best, key).withColumn("__chg", F.col("__nj") != F.col("__j"))
-        changed = nxt.filter("__chg").limit(1).count()
-        many = cut_lineage(nxt.drop("__j", "__chg").withColumnRenamed("__nj", "__j"))
-        if changed == 0:
-            break
-    cents = many.groupBy(cluster, "__j").agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
-    first = cents.filter(F.col("__j") == 0)
-    # points of the whole cluster are candidates for the point nearest centroid 0
-    d2 = many.join(first.drop("__j"), cluster).withColumn(
-        "__d", _dist2([F.col(x) for x in dims], [F.col(f"__m_{x}") for x in dims]))
-    rep2 = d2.groupBy(cluster).agg(F.min_by(key, F.struct("__d", key)).alias(key))
-    return rep1.unionByName(rep2)
+        first = cents.groupBy(cluster).agg(F.min_by(F.struct(*[f"__m_{x}" for x in dims]), "__j").alias("__f")) \
+            .select(cluster, *[F.col(f"__f.__m_{x}").alias(f"__m_{x}") for x in dims])
+        d2 = many.join(first, cluster).withColumn(
+            "__d", _dist2([F.col(x) for x in dims], [F.col(f"__m_{x}") for x in dims]))
+        out.append(d2.groupBy(cluster).agg(F.min_by(key, F.struct("__d", key)).alias(key)))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 # ----------------------------------------------------------------- H-07
@@ -393,7 +432,8 @@ def _reduce(scaled: DataFrame, classes: DataFrame, s: ThinSettings, radius: floa
         dens = local_density(pts, s.dims, radius, key)
         ks = dens.withColumn("k", k_expression(F.col("density"), F.col("npts"), s.min_reduction, s.tau, s.zeta))
     del num_dim
-    return representatives(pts, s.dims, ks, key)
+    # reduce-class clusters hold at most reduction_threshold + 1 points: a proven group bound
+    return representatives(pts, s.dims, ks, key, max_group=s.reduction_threshold + 1)
 
 
 def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx") -> DataFrame:
@@ -411,10 +451,11 @@ def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx") -> Data
 
     def run(cur, eps, reduce_next=False):
         lab = dbscan(cur, s.dims, eps, s.min_samples, key)
-        n_clusters = lab.filter(F.col("label") != -1).limit(1).count()
-        if n_clusters == 0:
+        # materialise once, then check on the written table (the labels are not recomputed)
+        cls = cut_lineage(classify_clusters(lab, s.min_cluster_size, s.reduction_threshold, reduce_next))
+        if cls.filter(F.col("label") != -1).limit(1).count() == 0:
             return None
-        return cut_lineage(classify_clusters(lab, s.min_cluster_size, s.reduction_threshold, reduce_next))
+        return cls
 
     cls = run(scaled, 1.0)
     if cls is None:
