@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions.numeric import div_or_zero, ieee_div
 
-# fixed values: ratio targets of the gen3 / gen4 networks
+# fixed values: ratio targets of the ratio networks
 DIV_NAMES_BASE = [
     "efeITG_GB_div_efiITG_GB",
     "pfeITG_GB_div_efiITG_GB",

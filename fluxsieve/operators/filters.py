@@ -75,20 +75,34 @@ def nonnegative_ok(policy: str = "current") -> Pred:
     return lambda df, r=F.col: all_of(true_or_false(r(c) >= 0) for c in negative_columns(df.columns, policy))
 
 
+def _families(transps) -> dict[str, list[str]]:
+    """Total -> separate modes for each transport variable: ions ITG / TEM, electrons ETG / ITG / TEM."""
+    out = {}
+    for t in transps:
+        out[f"{t}i_GB"] = ["ITG", "TEM"]
+        out[f"{t}e_GB"] = ["ETG", "ITG", "TEM"]
+    return out
+
+
 SEPTOT_FAMILIES = {
     # fixed values: total flux -> separate modes compared with it
     "current": {"efi_GB": ["ITG", "TEM"], "efe_GB": ["ETG", "ITG", "TEM"]},
+    "gen4": _families(N.HEAT),                                          # C-08: every heat variable
+    "gen2": _families([t for t in N.HEAT + N.PARTICLE if t != "vr" and t != "ver"]),  # heat + particle, no vr
 }
 
 
 def septot_pairs(columns, families: str | dict = "current") -> list[tuple[str, list[str]]]:
     fam = SEPTOT_FAMILIES[families] if isinstance(families, str) else families
     out = []
+    strict = isinstance(families, dict) or families == "current"
     for tot, modes in fam.items():
         head, norm = tot.rsplit("_", 1)
         seps = [f"{head}{m}_{norm}" for m in modes if f"{head}{m}_{norm}" in columns]
         if tot not in columns:
-            raise KeyError(tot)
+            if strict:
+                raise KeyError(tot)
+            continue  # generated families: only totals present in the schema take part
         out.append((tot, seps))
     return out
 

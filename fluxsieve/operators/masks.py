@@ -113,7 +113,7 @@ DIV_BOUNDS_UNBOUNDED = {n: (-INF, INF) for n in [
     "dfeITG_GB_div_efiITG_GB", "dfiITG_GB_div_efiITG_GB", "vceITG_GB_div_efiITG_GB", "vciITG_GB_div_efiITG_GB",
     "vteITG_GB_div_efiITG_GB", "vtiITG_GB_div_efiITG_GB", "dfeTEM_GB_div_efeTEM_GB", "dfiTEM_GB_div_efeTEM_GB",
     "vceTEM_GB_div_efeTEM_GB", "vciTEM_GB_div_efeTEM_GB", "vteTEM_GB_div_efeTEM_GB", "vtiTEM_GB_div_efeTEM_GB"]}
-DIV_BOUNDS_MEGARUN = {
+DIV_BOUNDS_9D = {
     "efeITG_GB_div_efiITG_GB": (0.05, 1.5),
     "pfeITG_GB_div_efiITG_GB": (0.02, 0.6),
     "efiTEM_GB_div_efeTEM_GB": (0.05, 2.0),

@@ -150,3 +150,29 @@ def dataset_difference(a: DataFrame, b: DataFrame, key: str = "dimx", columns=No
                  F.count_if(F.col("__in_b").isNull()).cast("bigint").alias("only_left"),
                  F.count_if(F.col("__in_a").isNull()).cast("bigint").alias("only_right"),
                  F.count_if(both & differ).cast("bigint").alias("differing"))
+
+
+def grid_summary(df: DataFrame, by: list[str], metrics: list[str], key: str = "id") -> DataFrame:
+    """R-11: per hyper-parameter cell, the ids (sorted) and mean / sample std of each metric
+    (``<metric>`` and ``<metric>_std``); rows whose metrics are all missing are dropped first."""
+    from functools import reduce as _reduce
+    anyval = _reduce(lambda a, b: a | b, [F.col(m).isNotNull() for m in metrics])
+    aggs = [F.sort_array(F.collect_list(key)).alias("ids")]
+    for m in metrics:
+        aggs += [F.avg(m).alias(m), F.stddev_samp(m).alias(f"{m}_std")]
+    return df.filter(anyval).groupBy(*by).agg(*aggs)
+
+
+def formatted_summary(df: DataFrame, metrics: list[str], digits: int = 3) -> DataFrame:
+    """R-12: ``mean +- std`` labels with fixed decimals."""
+    return df.select("*", *[F.concat(F.format_number(F.col(m), digits), F.lit(" +- "),
+                                     F.format_number(F.col(f"{m}_std"), digits)).alias(f"{m}_label")
+                            for m in metrics])
+
+
+def compare_with_without(a: DataFrame, b: DataFrame, key: str = "dimx", suffixes=("_with", "_without")) -> DataFrame:
+    """R-15: two score tables side by side on the id, suffixed column names."""
+    ca = [c for c in a.columns if c != key]
+    cb = [c for c in b.columns if c != key]
+    return a.select(key, *[F.col(c).alias(c + suffixes[0]) for c in ca]).join(
+        b.select(key, *[F.col(c).alias(c + suffixes[1]) for c in cb]), key, "full")

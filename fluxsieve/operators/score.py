@@ -273,24 +273,24 @@ def combine_divnet_with_leading(div_target: str, div_col: Column, leading: dict[
 
 
 # fixed values: rotation-rule coefficients and physical constants of the shear conversion
-VICTOR_C = (0.13, 0.09, 0.41, -1.65)
+ROTATION_RULE_C = (0.13, 0.09, 0.41, -1.65)
 GAMMA0_FLOOR = 1e-4
 R_MIN, R_0 = 1.0, 3.0
 M_PROTON = 1.672621777e-27
 Q_E = 1.602176565e-19
 
 
-def victor_factor(gamma0: Column, x: Column, q: Column, smag: Column, gammaE_GB: Column) -> Column:
+def rotation_rule_factor(gamma0: Column, x: Column, q: Column, smag: Column, gammaE_GB: Column) -> Column:
     """I-15: ``max(0, 1 + f * gammaE / max(gamma0, 1e-4))`` with ``f = 0.13 q + 0.09 / eps + 0.41 s - 1.65``,
     ``eps = x / 3``; 0 where gamma0 is at (or below) the floor."""
     eps = x * F.lit(R_MIN / R_0)
-    f = F.lit(VICTOR_C[0]) * q + F.lit(VICTOR_C[1]) / eps + F.lit(VICTOR_C[2]) * smag + F.lit(VICTOR_C[3])
+    f = F.lit(ROTATION_RULE_C[0]) * q + F.lit(ROTATION_RULE_C[1]) / eps + F.lit(ROTATION_RULE_C[2]) * smag + F.lit(ROTATION_RULE_C[3])
     g0 = F.greatest(gamma0, F.lit(GAMMA0_FLOOR))
     fac = F.greatest(F.lit(1.0) + f * gammaE_GB / g0, F.lit(0.0))
     return F.when(g0 == F.lit(GAMMA0_FLOOR), F.lit(0.0)).otherwise(fac)
 
 
-def apply_victor(df: DataFrame, targets: list[str], factor: Column) -> DataFrame:
+def apply_rotation_rule(df: DataFrame, targets: list[str], factor: Column) -> DataFrame:
     """I-15: scale pure fluxes without ETG by the factor; ratios are an error."""
     repl = {}
     for t in targets:
@@ -305,13 +305,13 @@ def _c_ref() -> float:
     return math.sqrt(Q_E * 1e3 / M_PROTON)
 
 
-def gammaE_GB_to_QLK(g: Column, Te: Column, Ai0: Column) -> Column:
+def gammaE_GB_to_sim(g: Column, Te: Column, Ai0: Column) -> Column:
     """I-16: gyro-Bohm shear to the simulator's normalisation."""
     c_sou = F.sqrt((F.lit(Q_E) * Te * F.lit(1e3)) / (Ai0 * F.lit(M_PROTON)))
     return -g * (F.lit(R_0) * c_sou) / F.lit(R_MIN * _c_ref())
 
 
-def gammaE_QLK_to_GB(g: Column, Te: Column, Ai0: Column) -> Column:
+def gammaE_sim_to_GB(g: Column, Te: Column, Ai0: Column) -> Column:
     c_sou = F.sqrt((F.lit(Q_E) * Te * F.lit(1e3)) / (Ai0 * F.lit(M_PROTON)))
     return -g * F.lit(R_MIN * _c_ref()) / (F.lit(R_0) * c_sou)
 

@@ -132,3 +132,16 @@ def slice_fraction(df: DataFrame, slice_cols: list[str], fraction: float, seed=4
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in slice_cols]))
     u = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(float(16 ** 8))
     return df.filter(u < F.lit(fraction))
+
+
+def prep_training_set(inp: DataFrame, targets: DataFrame, target_cols: list[str], above: float = 0.999,
+                      below: float = 0.001, dtype: str = "float", key: str = "dimx", by_rank: bool = True) -> DataFrame:
+    """G-13: drop leftover dims, trim outliers on the targets, drop missing values, inner-join
+    features to targets and cast for training."""
+    from .derive import convert_nustar
+    inp = convert_nustar(inp.drop(*[c for c in ("nions",) if c in inp.columns]))
+    t = targets.select(key, *target_cols)
+    t = outlier_trim_rank(t, target_cols, above, below, key) if by_rank else \
+        outlier_trim_quantile(t, target_cols, above, below)
+    t = t.dropna("any")
+    return cast_float(join_features_targets(inp.dropna("any"), t, key), dtype, skip=(key,))

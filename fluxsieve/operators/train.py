@@ -228,3 +228,18 @@ def model_record(net: Network, settings: dict | None = None) -> str:
     if settings:
         d["_parsed_settings"] = settings
     return json.dumps(d)
+
+
+def grid_search(df: DataFrame, features, targets, grid: list[dict], **fit_kw) -> DataFrame:
+    """J-10 re-aimed: one data-parallel fit per grid cell (each a sequence of Spark jobs over
+    the cached training set); returns one row per cell with its settings and final loss."""
+    spark = df.sparkSession
+    rows = []
+    for i, cell in enumerate(grid):
+        kw = dict(fit_kw)
+        kw.update(cell)
+        net, log = fit(df, features, targets, **kw)
+        last = log.orderBy(F.col("epoch").desc()).first()
+        rows.append((i, json.dumps(cell, sort_keys=True), float(net.metadata.get("best_loss", float("nan"))),
+                     int(net.metadata.get("best_epoch", -1)), float(last["l2_norm"]) if last else None))
+    return spark.createDataFrame(rows, "cell int, settings string, best_loss double, best_epoch int, l2_norm double")

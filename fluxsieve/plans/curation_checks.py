@@ -55,17 +55,17 @@ CK_SQL = f"{sql_abs_lt('cke', '50e0')} AND {sql_abs_lt('cki', '50e0')}"
 REGIME_SQL = sql_tf("efe_GB < 100e0/3e0 AND efi_GB < 100e0/3e0 AND efe_GB >= 0e0 AND efi_GB >= 0e0")
 
 
-def megarun_chain():
+def chain_9d():
     return filters.sanity_chain(1.5, 1.5, 1e-4, cke_bound=50.0, cki_bound=50.0, ambipolar_version=0)
 
 
 def curated(spark, sf):
     """M-02 core on the bridge: E-01, C-15, C-02, D-01, D-03."""
     d = derive.divsum(bridge(spark, sf), BASE)
-    d = megarun_chain().apply(d)
+    d = chain_9d().apply(d)
     d = filters.regime_filter(d, 0.0, LESS)
     d = masks.stability_mask(d)
-    return masks.div_bounds_mask(d, masks.DIV_BOUNDS_MEGARUN)
+    return masks.div_bounds_mask(d, masks.DIV_BOUNDS_9D)
 
 
 def _gate_sql(c):
@@ -86,7 +86,7 @@ CURATED_SQL_CTES = ",\n".join([
     f"s AS (SELECT * FROM z WHERE {SEPTOT_SQL} AND {AMBI0_SQL} AND {FEMTO_SQL} AND {REGIME_SQL})",
     "m AS (SELECT dimx, ITG, TEM, ETG, " + ", ".join(f"{_gate_sql(c)} AS {c}" for c in GATES) + " FROM s)",
     "k AS (SELECT dimx, ITG, TEM, ETG, efi_GB, efe_GB, " + ", ".join(
-        f"{_div_sql(n, *masks.DIV_BOUNDS_MEGARUN[n])} AS {n}" for n in BASE) + " FROM m)",
+        f"{_div_sql(n, *masks.DIV_BOUNDS_9D[n])} AS {n}" for n in BASE) + " FROM m)",
 ])
 
 
@@ -192,10 +192,10 @@ def stability_masked(spark, sf):
 
 
 @register("div_bounds_masked", with_bridge(
-    "SELECT dimx, " + ", ".join(f"{_div_sql(n, *masks.DIV_BOUNDS_MEGARUN[n])} AS {n}" for n in BASE) + " FROM d",
+    "SELECT dimx, " + ", ".join(f"{_div_sql(n, *masks.DIV_BOUNDS_9D[n])} AS {n}" for n in BASE) + " FROM d",
     DIVSUM_CTE))
 def div_bounds_masked(spark, sf):
-    return masks.div_bounds_mask(derive.divsum(bridge(spark, sf), BASE), masks.DIV_BOUNDS_MEGARUN).select("dimx", *BASE)
+    return masks.div_bounds_mask(derive.divsum(bridge(spark, sf), BASE), masks.DIV_BOUNDS_9D).select("dimx", *BASE)
 
 
 @register("finite_masked", with_bridge(
@@ -264,7 +264,7 @@ def drop_nulls(spark, sf):
     f"WHERE {SEPTOT_SQL} AND {AMBI0_SQL} AND {FEMTO_SQL}",
     DIVSUM_CTE + f",\nc1 AS (SELECT * FROM d WHERE {CK_SQL}),\n" + sql_zero_cte("c1")))
 def sanity_chain(spark, sf):
-    d = megarun_chain().apply(derive.divsum(bridge(spark, sf), BASE))
+    d = chain_9d().apply(derive.divsum(bridge(spark, sf), BASE))
     return d.select("dimx", "efi_GB", "efe_GB", "efeITG_GB_div_efiITG_GB")
 
 
@@ -289,7 +289,7 @@ def sanity_chain_gen2(spark, sf):
     " AND " + FEMTO_SQL + "))",
     DIVSUM_CTE + f",\nc1 AS (SELECT * FROM d WHERE {CK_SQL}),\n" + sql_zero_cte("c1")))
 def yield_report(spark, sf):
-    return report.yield_report(derive.divsum(bridge(spark, sf), BASE), megarun_chain())
+    return report.yield_report(derive.divsum(bridge(spark, sf), BASE), chain_9d())
 
 
 @register("stability_breakdown", with_bridge(
@@ -378,7 +378,7 @@ def plain_histogram(spark, sf):
 def dataset_difference(spark, sf):
     """R-14: the bridge against its sanity-filtered copy."""
     b = bridge(spark, sf)
-    s = megarun_chain().apply(derive.divsum(b, BASE))
+    s = chain_9d().apply(derive.divsum(b, BASE))
     return report.dataset_difference(b.select("dimx", "efi_GB", "efe_GB"), s.select("dimx", "efi_GB", "efe_GB"))
 
 

@@ -39,7 +39,7 @@ class JobPreset:
 
 
 # fixed values: presets of the reference's jobs
-MEGARUN = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0, 50.0, 0), (0.0, 100.0 / 3.0), masks.DIV_BOUNDS_MEGARUN)
+PRESET_9D = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0, 50.0, 0), (0.0, 100.0 / 3.0), masks.DIV_BOUNDS_9D)
 EDGE8 = JobPreset(SanityPreset(1.5, 1.5, 1e-4), None, {})
 GEN2 = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0, 50.0, 0), (0.0, 60.0), {})
 
@@ -52,7 +52,7 @@ class CurationResult:
     sets: DataFrame              # sane points with ``is_test`` and masked targets
 
 
-def curate(points: DataFrame, *, preset: JobPreset = MEGARUN, key: str = "dimx", seed=42,
+def curate(points: DataFrame, *, preset: JobPreset = PRESET_9D, key: str = "dimx", seed=42,
            materialize: bool = True) -> CurationResult:
     """M-02 / M-05 core: ratio targets, sanity chain, regime, split, stability and ratio masks."""
     d = derive.divsum(points, list(preset.divnames), skip_missing=True)
@@ -88,3 +88,13 @@ def grid_to_store(modes: DataFrame, ions: DataFrame, points: DataFrame, scan_dim
     if path:
         merged.write.mode("overwrite").parquet(path)
     return merged
+
+
+def edge_job(points: DataFrame, *, slice_features, sliced_dim: str = "At", preset: JobPreset = EDGE8,
+             modes=("ITG", "TEM", "ETG"), patience: int = 6, key: str = "dimx", seed=42) -> CurationResult:
+    """M-03 / M-04: drop unit copies and rotation fluxes, the slice breakdown mask (D-05) for
+    every mode in one window pass, then the curation of :func:`curate`."""
+    from ..operators import grid, slices
+    d = grid.remove_rotation(grid.drop_si(points))
+    d = slices.breakdown_mask(d, list(slice_features), sliced_dim, modes=modes, patience=patience, key=key)
+    return curate(d, preset=preset, key=key, seed=seed)

@@ -19,12 +19,12 @@ SETS_CTE = ("t AS (SELECT s.*, row_number() OVER (ORDER BY " + MD5 + ", dimx) <=
 
 @register("job_curation_sets", with_bridge(
     "SELECT dimx, is_test, " + ", ".join(f"{_gate_sql(c)} AS {c}" for c in ["efiITG_GB", "efeTEM_GB"]) + ", "
-    + _div_sql("efeITG_GB_div_efiITG_GB", *masks.DIV_BOUNDS_MEGARUN["efeITG_GB_div_efiITG_GB"])
+    + _div_sql("efeITG_GB_div_efiITG_GB", *masks.DIV_BOUNDS_9D["efeITG_GB_div_efiITG_GB"])
     .replace("efeITG_GB_div_efiITG_GB", "(" + _gate_sql("efeITG_GB_div_efiITG_GB") + ")")
     + " AS efeITG_GB_div_efiITG_GB FROM t", CURATED_SQL_CTES + ",\n" + SETS_CTE))
 def job_curation_sets(spark, sf):
-    """M-02 with the megarun preset: sane set (materialised once), exact 10% test split, masks."""
-    res = jobs.curate(bridge(spark, sf), preset=jobs.MEGARUN)
+    """M-02 with the 9-D preset: sane set (materialised once), exact 10% test split, masks."""
+    res = jobs.curate(bridge(spark, sf), preset=jobs.PRESET_9D)
     return res.sets.select("dimx", "is_test", "efiITG_GB", "efeTEM_GB", "efeITG_GB_div_efiITG_GB")
 
 
@@ -32,7 +32,7 @@ def job_curation_sets(spark, sf):
 def job_yield_report(spark, sf):
     """M-02 yield: R-01 including the regime step (rows-only; the step counts are pinned by
     the ``yield_report`` check)."""
-    return jobs.curate(bridge(spark, sf), preset=jobs.MEGARUN, materialize=False).report
+    return jobs.curate(bridge(spark, sf), preset=jobs.PRESET_9D, materialize=False).report
 
 
 @register("stream_curated_rows", with_bridge(
@@ -50,3 +50,11 @@ def stream_curated_rows(spark, sf):
 
 
 __all__ = ["GATES", "F"]
+
+
+@register("job_edge_sets")
+def job_edge_sets(spark, sf):
+    """M-03 / M-04: slice breakdown for all modes, then the curation with the edge preset
+    (rows-only; the steps are value-checked by breakdown_mask and sanity_chain)."""
+    b = bridge(spark, sf).drop("c")
+    return jobs.edge_job(b, slice_features=["scan_id"], sliced_dim="Ati").sets

@@ -107,34 +107,34 @@ def score_divnet_leading(spark, sf):
     return s.select("dimx", _r(col).alias(name))
 
 
-def _victor_sql():
+def _rotation_rule_sql():
     g0 = f"greatest({SQL_GAM['gam_leq_GB']}, 1e-4)"
     f = "(0.13 * q + 0.09 / (x * (1e0 / 3e0)) + 0.41 * smag + -1.65)"
     fac = f"(CASE WHEN {g0} = 1e-4 THEN 0e0 ELSE greatest(1e0 + {f} * gammaE_GB / {g0}, 0e0) END)"
     return fac
 
 
-@register("score_victor", with_bridge(
-    f"SELECT dimx, round({SQL_A['efiITG_GB']} * {_victor_sql()}, 6) AS efiITG_GB FROM "
+@register("score_rotation_rule", with_bridge(
+    f"SELECT dimx, round({SQL_A['efiITG_GB']} * {_rotation_rule_sql()}, 6) AS efiITG_GB FROM "
     "(SELECT *, An / 4e0 AS smag, Machtor * 2e0 - 1e-1 AS gammaE_GB FROM bridge) WHERE x > 0"))
-def score_victor(spark, sf):
+def score_rotation_rule(spark, sf):
     """I-15: rotation rule applied to a flux network with a growth-rate network."""
     b = bridge(spark, sf).filter("x > 0").withColumns(
         {"smag": F.col("An") / 4.0, "gammaE_GB": F.col("Machtor") * 2.0 - 0.1})
     s = S.score(b, {"flux": NET_A, "gam": NET_GAM}, keep=("dimx", "x", "q", "smag", "gammaE_GB"))
-    fac = S.victor_factor(F.col("gam__gam_leq_GB"), F.col("x"), F.col("q"), F.col("smag"), F.col("gammaE_GB"))
+    fac = S.rotation_rule_factor(F.col("gam__gam_leq_GB"), F.col("x"), F.col("q"), F.col("smag"), F.col("gammaE_GB"))
     s = s.withColumnRenamed("flux__efiITG_GB", "efiITG_GB")
-    return S.apply_victor(s, ["efiITG_GB"], fac).select("dimx", _r(F.col("efiITG_GB")).alias("efiITG_GB"))
+    return S.apply_rotation_rule(s, ["efiITG_GB"], fac).select("dimx", _r(F.col("efiITG_GB")).alias("efiITG_GB"))
 
 
 @register("shear_conversion", with_bridge(
     "SELECT dimx, round(-g * (3e0 * sqrt((1.602176565e-19 * Te * 1e3) / (2e0 * 1.672621777e-27))) / "
-    "(1e0 * sqrt(1.602176565e-19 * 1e3 / 1.672621777e-27)), 9) AS gammaE_QLK FROM "
+    "(1e0 * sqrt(1.602176565e-19 * 1e3 / 1.672621777e-27)), 9) AS gammaE_sim FROM "
     "(SELECT dimx, Machtor * 2e0 - 1e-1 AS g, 1e0 + q AS Te FROM bridge)"))
 def shear_conversion(spark, sf):
     """I-16: shear in gyro-Bohm units to the simulator's units (deuterium, Te from q)."""
     b = bridge(spark, sf).select("dimx", (F.col("Machtor") * 2.0 - 0.1).alias("g"), (1.0 + F.col("q")).alias("Te"))
-    return b.select("dimx", _r(S.gammaE_GB_to_QLK(F.col("g"), F.col("Te"), F.lit(2.0)), 9).alias("gammaE_QLK"))
+    return b.select("dimx", _r(S.gammaE_GB_to_sim(F.col("g"), F.col("Te"), F.lit(2.0)), 9).alias("gammaE_sim"))
 
 
 NET_LESS = S.make_network(["Ati", "Ate", "Ati0", "Zeff", "normni1"], ["efiITG_GB"], hidden=(2,), seed=6)
@@ -259,3 +259,16 @@ def band_join(left, lcol, right, rcol, atol, rtol, width=None):
         .withColumn("__bk", F.explode(F.array(F.col("__bk0") - 1, F.col("__bk0"), F.col("__bk0") + 1))).drop("__bk0")
     cond = F.abs(F.col(lcol) - F.col(rcol)) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col(rcol))
     return lb.join(rb, "__bk").filter(cond).drop("__bk")
+
+
+@register("compare_with_without_rule", with_bridge(
+    f"SELECT dimx, round({SQL_A['efiITG_GB']} * {_rotation_rule_sql()}, 6) AS efiITG_GB_with, "
+    f"round({SQL_A['efiITG_GB']}, 6) AS efiITG_GB_without FROM "
+    "(SELECT *, An / 4e0 AS smag, Machtor * 2e0 - 1e-1 AS gammaE_GB FROM bridge) WHERE x > 0"))
+def compare_with_without_rule(spark, sf):
+    """R-15: scores with and without the rotation rule side by side on the id."""
+    from ..operators import report
+    with_rule = score_rotation_rule(spark, sf)
+    b = bridge(spark, sf).filter("x > 0")
+    without = S.score(b, {"a": NET_A}).select("dimx", _r(F.col("efiITG_GB")).alias("efiITG_GB"))
+    return report.compare_with_without(with_rule, without)

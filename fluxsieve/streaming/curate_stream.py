@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import derive, filters, masks
-from ..plans.jobs import MEGARUN, JobPreset
+from ..plans.jobs import PRESET_9D, JobPreset
 
 
-def curate_rows(points: DataFrame, preset: JobPreset = MEGARUN) -> DataFrame:
+def curate_rows(points: DataFrame, preset: JobPreset = PRESET_9D) -> DataFrame:
     """The row-local part of the curation (works on batch and streaming DataFrames)."""
     d = derive.divsum(points, list(preset.divnames), skip_missing=True)
     s = preset.sanity
@@ -28,7 +28,7 @@ def curate_rows(points: DataFrame, preset: JobPreset = MEGARUN) -> DataFrame:
 
 
 def start(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, schema,
-          preset: JobPreset = MEGARUN, available_now: bool = False, max_files_per_trigger: int = 64):
+          preset: JobPreset = PRESET_9D, available_now: bool = False, max_files_per_trigger: int = 64):
     """Curate point files arriving in ``source_dir`` into ``sink_dir`` (Parquet, append)."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
            .parquet(source_dir))

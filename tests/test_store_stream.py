@@ -26,7 +26,7 @@ def test_store_modes_and_errors(spark, sf_small):
     assert set(u.columns) == {"dimx", "efeTEM_GB", "efiITG_GB"}
     with pytest.raises(ValueError):
         ST.update_frames(data.select("dimx", "efeTEM_GB"), data.select("dimx", (F.col("efeTEM_GB") + 1).alias("efeTEM_GB")))
-    assert ST.dataset_name(5, 9, "megarun1", 10, "test", True) == "unstable_test_gen5_9D_megarun1_filter10"
+    assert ST.dataset_name(5, 9, "scan1", 10, "test", True) == "unstable_test_gen5_9D_scan1_filter10"
 
 
 def test_stream_equals_batch(spark, sf_small):
