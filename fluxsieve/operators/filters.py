@@ -257,8 +257,14 @@ class SanityChain:
         flagged, names = self.flags(df, key)
         if not names:
             return flagged
-        helper = [c for c in flagged.columns if c.startswith("__alive_")]
-        return flagged.filter(F.col(f"__alive_{names[-1]}")).drop(*helper)
+        helper = [c for c in flagged.columns if c.startswith("__alive_")] + ["__barrier"]
+        # The flags are computed once per row in one projection.  Without a barrier the
+        # optimizer pushes the final filter below that projection by substituting every
+        # flag and derived column into one huge predicate (evaluated next to the scan, in
+        # as many tasks as the scan has splits).  A non-deterministic column keeps the
+        # filter above the projection (the condition uses the column, so it is not pruned away).
+        return flagged.withColumn("__barrier", F.rand(0)) \
+            .filter((F.col("__barrier") >= 0) & F.col(f"__alive_{names[-1]}")).drop(*helper)
 
     def apply_stepwise(self, df: DataFrame, key: str = "dimx") -> DataFrame:
         for s in self.steps:

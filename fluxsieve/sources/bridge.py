@@ -53,6 +53,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A large table arrives as many files / row groups and is left alone (no shuffle);
+    a single unsplittable file (one row group) would otherwise run every row-wise
+    operator in one task.  Decided at plan time from the scan's split count.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def bridge_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flux point table over ``lineitem`` (DataFrame form of ``BRIDGE_SQL``).
 
@@ -61,6 +74,8 @@ def bridge_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = read_table(spark, sf_dir, "lineitem")
     c = F.round(F.col("l_extendedprice") * 1e2, 0).cast("bigint")
+    li = ensure_parallel(li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                   "l_extendedprice", "l_discount", "l_tax", "l_returnflag"))
     b = li.select(
         ((((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000
           + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("bigint")).alias("dimx"),
