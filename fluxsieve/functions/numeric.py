@@ -74,3 +74,24 @@ def any_of(preds) -> Column:
 def true_or_false(c: Column) -> Column:
     """Collapse SQL three-valued logic to pandas' two: NULL counts as False."""
     return F.coalesce(c, F.lit(False))
+
+
+def exact_sum(c: Column, decimals: int) -> Column:
+    """Sum in DECIMAL: exact, so the result does not depend on partitioning or task order
+    (for data with at most ``decimals`` decimal digits)."""
+    return F.sum(c.cast(f"decimal(38,{decimals})"))
+
+
+def exact_mean(c: Column, decimals: int) -> Column:
+    """Order-independent mean: exact decimal sum / count."""
+    return exact_sum(c, decimals).cast("double") / F.count(c)
+
+
+def exact_std(c: Column, decimals: int, ddof: int = 1) -> Column:
+    """Standard deviation from exact decimal sums of x and x^2 (order-independent)."""
+    x = c.cast(f"decimal(18,{decimals})")
+    s1 = F.sum(x).cast("double")
+    s2 = F.sum(x * x).cast("double")
+    n = F.count(c)
+    var = (s2 - s1 * s1 / n) / (n - F.lit(ddof))
+    return F.sqrt(F.greatest(var, F.lit(0.0)))

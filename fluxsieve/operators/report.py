@@ -41,21 +41,30 @@ def stability_breakdown(df: DataFrame, flags=("ITG", "TEM", "ETG")) -> DataFrame
                          F.round(F.col("n") * 100.0 / total, 6).alias("pct"))
 
 
-def mean_median(df: DataFrame, columns) -> DataFrame:
-    """R-03: mean and median per column, nulls ignored (exact median)."""
+def mean_median(df: DataFrame, columns, decimals: int | None = None) -> DataFrame:
+    """R-03: mean and median per column, nulls ignored (exact median).  ``decimals``: the data
+    has at most that many decimals, so the mean is taken from an exact decimal sum."""
+    from ..functions.numeric import exact_mean
     aggs = []
     for c in columns:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.median(c).alias(f"{c}__median")]
+        mean = F.avg(c) if decimals is None else exact_mean(F.col(c), decimals)
+        aggs += [mean.alias(f"{c}__mean"), F.median(c).alias(f"{c}__median")]
     one = df.agg(*aggs)
     return _stack(one, [(c, [F.round(F.col(f"{c}__mean"), 6), F.round(F.col(f"{c}__median"), 6)])
                         for c in columns], ["name", "mean", "median"])
 
 
-def standardization_table(df: DataFrame, columns) -> DataFrame:
-    """R-04: mean and sample std (ddof 1) per column, one row per column."""
+def standardization_table(df: DataFrame, columns, decimals: int | None = None) -> DataFrame:
+    """R-04: mean and sample std (ddof 1) per column, one row per column (``decimals``: exact
+    decimal sums, independent of partitioning)."""
+    from ..functions.numeric import exact_mean, exact_std
     aggs = []
     for c in columns:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std")]
+        if decimals is None:
+            aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std")]
+        else:
+            aggs += [exact_mean(F.col(c), decimals).alias(f"{c}__mean"),
+                     exact_std(F.col(c), decimals).alias(f"{c}__std")]
     one = df.agg(*aggs)
     return _stack(one, [(c, [F.round(F.col(f"{c}__mean"), 6), F.round(F.col(f"{c}__std"), 6)])
                         for c in columns], ["name", "mean", "std"])
@@ -152,14 +161,17 @@ def dataset_difference(a: DataFrame, b: DataFrame, key: str = "dimx", columns=No
                  F.count_if(both & differ).cast("bigint").alias("differing"))
 
 
-def grid_summary(df: DataFrame, by: list[str], metrics: list[str], key: str = "id") -> DataFrame:
+def grid_summary(df: DataFrame, by: list[str], metrics: list[str], key: str = "id",
+                 decimals: int | None = None) -> DataFrame:
     """R-11: per hyper-parameter cell, the ids (sorted) and mean / sample std of each metric
     (``<metric>`` and ``<metric>_std``); rows whose metrics are all missing are dropped first."""
     from functools import reduce as _reduce
     anyval = _reduce(lambda a, b: a | b, [F.col(m).isNotNull() for m in metrics])
     aggs = [F.sort_array(F.collect_list(key)).alias("ids")]
+    from ..functions.numeric import exact_mean
     for m in metrics:
-        aggs += [F.avg(m).alias(m), F.stddev_samp(m).alias(f"{m}_std")]
+        mean = F.avg(m) if decimals is None else exact_mean(F.col(m), decimals)
+        aggs += [mean.alias(m), F.stddev_samp(m).alias(f"{m}_std")]
     return df.filter(anyval).groupBy(*by).agg(*aggs)
 
 

@@ -39,10 +39,13 @@ from ..session import cut_lineage
 
 # ----------------------------------------------------------------- H-01, H-05, H-09
 
-def rescale(df: DataFrame, dims, unit_variance: bool = False) -> DataFrame:
+def rescale(df: DataFrame, dims, unit_variance: bool = False, decimals: int | None = None) -> DataFrame:
     """H-01: centre each dim on its mean (the reference's effective behaviour);
-    ``unit_variance=True`` also divides by the population std."""
-    aggs = [F.avg(d).alias(f"m_{d}") for d in dims] + [F.stddev_pop(d).alias(f"s_{d}") for d in dims]
+    ``unit_variance=True`` also divides by the population std; ``decimals``: means from
+    exact decimal sums (order-independent)."""
+    from ..functions.numeric import exact_mean
+    mean = (lambda d: F.avg(d)) if decimals is None else (lambda d: exact_mean(F.col(d), decimals))
+    aggs = [mean(d).alias(f"m_{d}") for d in dims] + [F.stddev_pop(d).alias(f"s_{d}") for d in dims]
     st = df.agg(*aggs).first()
     cols = []
     for d in dims:

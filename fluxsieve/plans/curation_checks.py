@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..functions.numeric import exact_mean
 from ..operators import derive, filters, masks, report
 from .checks import bridge, register, sql_ieee_div, sql_tf, with_bridge
 
@@ -95,14 +96,15 @@ CURATED_SQL_CTES = ",\n".join([
     "round(count(*) * 100e0 / sum(count(*)) OVER (), 6) AS pct, "
     "CAST(count(efeITG_GB_div_efiITG_GB) AS BIGINT) AS n_efeITG_div, "
     "CAST(count(pfeTEM_GB_div_efeTEM_GB) AS BIGINT) AS n_pfeTEM_div, "
-    "round(avg(efi_GB), 6) AS avg_efi FROM k GROUP BY ITG, TEM, ETG", CURATED_SQL_CTES))
+    "round(CAST(sum(CAST(efi_GB AS DECIMAL(38,2))) AS DOUBLE) / count(efi_GB), 6) AS avg_efi FROM k GROUP BY ITG, TEM, ETG", CURATED_SQL_CTES))
 def curated_breakdown(spark, sf):
     """Flagship: curated set -> R-02 breakdown with masked-target counts."""
     from pyspark.sql import Window
     c = curated(spark, sf)
     g = c.groupBy("ITG", "TEM", "ETG").agg(
         F.count(F.lit(1)).alias("n"), F.count("efeITG_GB_div_efiITG_GB").alias("n_efeITG_div"),
-        F.count("pfeTEM_GB_div_efeTEM_GB").alias("n_pfeTEM_div"), F.avg("efi_GB").alias("avg_efi"))
+        F.count("pfeTEM_GB_div_efeTEM_GB").alias("n_pfeTEM_div"),
+        exact_mean(F.col("efi_GB"), 2).alias("avg_efi"))  # exact: order-independent
     return g.select("ITG", "TEM", "ETG", F.col("n").cast("bigint").alias("n"),
                     F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6).alias("pct"),
                     F.col("n_efeITG_div").cast("bigint").alias("n_efeITG_div"),
@@ -310,19 +312,25 @@ def _long_sql(cols, exprs, names, src):
 
 
 @register("mean_median", with_bridge(_long_sql(
-    STAT_COLS, ["round(avg({c}), 6)", "round(quantile_cont({c}, 0.5), 6)"], ["mean", "median"], "m"),
+    STAT_COLS, ["round(CAST(sum(CAST({c} AS DECIMAL(38,2))) AS DOUBLE) / count({c}), 6)",
+                "round(quantile_cont({c}, 0.5), 6)"], ["mean", "median"], "m"),
     "m AS (SELECT " + ", ".join(f"{_gate_sql(c)} AS {c}" for c in STAT_COLS) + " FROM bridge WHERE NOT ITG)"))
 def mean_median(spark, sf):
     """R-03 on a subset with missing values (stable points nulled by the ITG mask)."""
     b = masks.stability_mask(bridge(spark, sf)).filter(~F.col("ITG"))
-    return report.mean_median(b, STAT_COLS)
+    return report.mean_median(b, STAT_COLS, decimals=2)
 
 
 @register("standardization", with_bridge(_long_sql(
-    ["Ati", "Ate", "An", "q", "x", "efi_GB", "efe_GB"], ["round(avg({c}), 6)", "round(stddev_samp({c}), 6)"],
+    ["Ati", "Ate", "An", "q", "x", "efi_GB", "efe_GB"],
+    ["round(CAST(sum(CAST({c} AS DECIMAL(38,2))) AS DOUBLE) / count({c}), 6)",
+     "round(sqrt(greatest((CAST(sum(CAST({c} AS DECIMAL(18,2)) * CAST({c} AS DECIMAL(18,2))) AS DOUBLE) - "
+     "CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) * CAST(sum(CAST({c} AS DECIMAL(18,2))) AS DOUBLE) / count({c})) "
+     "/ (count({c}) - 1), 0e0)), 6)"],
     ["mean", "std"], "bridge")))
 def standardization(spark, sf):
-    return report.standardization_table(bridge(spark, sf), ["Ati", "Ate", "An", "q", "x", "efi_GB", "efe_GB"])
+    return report.standardization_table(bridge(spark, sf), ["Ati", "Ate", "An", "q", "x", "efi_GB", "efe_GB"],
+                                        decimals=2)
 
 
 @register("special_values", with_bridge(_long_sql(

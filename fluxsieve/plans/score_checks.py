@@ -217,22 +217,24 @@ def scan_grid(spark, sf):
 
 
 @register("dedupe_mean", with_bridge(
-    "SELECT Ate, An, round(avg(efiITG_GB), 6) AS efiITG_GB FROM bridge GROUP BY Ate, An"))
+    "SELECT Ate, An, round(CAST(sum(CAST(efiITG_GB AS DECIMAL(38,2))) AS DOUBLE) / count(efiITG_GB), 6) AS efiITG_GB FROM bridge GROUP BY Ate, An"))
 def dedupe_mean(spark, sf):
     """I-18: equal keys reduced to their mean."""
-    return bridge(spark, sf).groupBy("Ate", "An").agg(_r(F.avg("efiITG_GB")).alias("efiITG_GB"))
+    from ..functions.numeric import exact_mean
+    return bridge(spark, sf).groupBy("Ate", "An").agg(_r(exact_mean(F.col("efiITG_GB"), 2)).alias("efiITG_GB"))
 
 
 def _pivot_sql():
     cols = ", ".join(f"round(max(CASE WHEN An = {float(v)!r} THEN m END), 6) AS \"{float(v)!r}\"" for v in range(0, 9))
-    return with_bridge(f"SELECT Ate, {cols} FROM (SELECT Ate, An, avg(efiITG_GB) AS m FROM bridge GROUP BY Ate, An) "
+    return with_bridge(f"SELECT Ate, {cols} FROM (SELECT Ate, An, CAST(sum(CAST(efiITG_GB AS DECIMAL(38,2))) AS DOUBLE) / count(efiITG_GB) AS m FROM bridge GROUP BY Ate, An) "
                        "GROUP BY Ate")
 
 
 @register("pivot_table", _pivot_sql())
 def pivot_table(spark, sf):
     """I-20: Ate x An table of the mean flux."""
-    b = bridge(spark, sf).groupBy("Ate", "An").agg(F.avg("efiITG_GB").alias("m"))
+    from ..functions.numeric import exact_mean
+    b = bridge(spark, sf).groupBy("Ate", "An").agg(exact_mean(F.col("efiITG_GB"), 2).alias("m"))
     p = b.groupBy("Ate").pivot("An", [float(v) for v in range(0, 9)]).agg(F.first("m"))
     return p.select("Ate", *[_r(F.col(f"`{c}`")).alias(c) for c in p.columns if c != "Ate"])
 

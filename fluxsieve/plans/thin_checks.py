@@ -14,11 +14,12 @@ SETTINGS = dict(initial_eps=1.0, reduction_threshold=50, min_eps=0.3, min_reduct
 
 
 @register("rescale_centred", with_bridge(
-    "SELECT dimx, round(Ate - avg(Ate) OVER (), 9) AS Ate, round(Ati - avg(Ati) OVER (), 9) AS Ati, "
-    "round(efeITG_GB - avg(efeITG_GB) OVER (), 9) AS efeITG_GB FROM bridge"))
+    "SELECT dimx, round(Ate - (SELECT CAST(sum(CAST(Ate AS DECIMAL(38,2))) AS DOUBLE) / count(Ate) FROM bridge), 9) AS Ate, "
+    "round(Ati - (SELECT CAST(sum(CAST(Ati AS DECIMAL(38,2))) AS DOUBLE) / count(Ati) FROM bridge), 9) AS Ati, "
+    "round(efeITG_GB - (SELECT CAST(sum(CAST(efeITG_GB AS DECIMAL(38,2))) AS DOUBLE) / count(efeITG_GB) FROM bridge), 9) AS efeITG_GB FROM bridge"))
 def rescale_centred(spark, sf):
     """H-01: mean-centred features (one aggregate, then a projection)."""
-    r = thin.rescale(bridge(spark, sf).select("dimx", *THIN_DIMS), THIN_DIMS)
+    r = thin.rescale(bridge(spark, sf).select("dimx", *THIN_DIMS), THIN_DIMS, decimals=2)
     return r.select("dimx", *[F.round(F.col(d), 9).alias(d) for d in THIN_DIMS])
 
 
