@@ -141,9 +141,10 @@ def plain_histogram(df: DataFrame, column: str, lo: float, hi: float, bins: int)
 
 
 def sorted_axis_values(df: DataFrame, column: str) -> DataFrame:
-    """R-13: distinct values of a string column in numeric order (with their rank)."""
+    """R-13: distinct values of a string column in numeric order (a distributed range sort,
+    no single-partition window)."""
     d = df.select(F.col(column).cast("string").alias("value")).distinct()
-    return d.select("value", F.dense_rank().over(Window.orderBy(F.col("value").cast("double"))).alias("pos"))
+    return d.select("value", F.col("value").cast("double").alias("numeric")).orderBy("numeric", "value")
 
 
 def dataset_difference(a: DataFrame, b: DataFrame, key: str = "dimx", columns=None) -> DataFrame:
