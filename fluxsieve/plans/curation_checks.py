@@ -409,3 +409,10 @@ def name_family_stats(spark, sf):
     j = long.join(F.broadcast(cat), "name")
     return j.groupBy("name", "mode_scale", "is_leading", "is_pure_heat").agg(
         F.count("value").cast("bigint").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@register("axis_values", with_bridge(
+    "SELECT DISTINCT CAST(Ati AS VARCHAR) AS value, CAST(CAST(Ati AS VARCHAR) AS DOUBLE) AS numeric FROM bridge"))
+def axis_values(spark, sf):
+    """R-13: distinct axis values as strings in numeric order."""
+    return report.sorted_axis_values(bridge(spark, sf), "Ati")
