@@ -21,7 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX_HEX = 4            # 65536 hash buckets
 LOCAL_RANK_LIMIT = 2_000_000
 EDGES = 64
 
@@ -40,35 +39,51 @@ def _cumulative(counts: list[tuple[int, int]]):
 
 
 def hash_rank_segments(df: DataFrame, seed, cuts: list[int], key: str = "dimx",
-                       out: str = "segment") -> DataFrame:
+                       out: str = "segment", n: int | None = None) -> DataFrame:
     """Segment index per row for ascending rank cut points ``cuts`` in md5 order.
 
     Rank r (0-based) falls in segment ``#(cuts <= r)``; e.g. ``cuts=[k]`` gives the
-    first k rows segment 0 and the rest 1.  Exact counts, two passes, no sort of
-    the whole data: only the rows of the (at most ``len(cuts)``) buckets that hold
-    a cut are ranked, by a window partitioned by bucket.
+    first k rows segment 0 and the rest 1.  Exact counts, no sort of the whole data:
+    rows are bucketed by a hash prefix sized so a bucket holds about a million rows,
+    bucket starts are a running sum over the (bounded) bucket-count table, and only
+    the rows of the buckets that hold a cut are ranked, by a window partitioned by bucket.
     """
-    spark = df.sparkSession
+    import math
+    n = df.count() if n is None else n
+    hexd = min(8, max(2, math.ceil(math.log(max(n, 1) / 1e6, 16)) if n > 1e6 else 2))
     tagged = df.withColumn("__h", hash_key(seed, key)) \
-        .withColumn("__b", F.conv(F.substring("__h", 1, PREFIX_HEX), 16, 10).cast("int"))
-    counts = [(r["__b"], r["n"]) for r in tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("n")).collect()]
-    cum, _total = _cumulative(counts)
-    cut_buckets = sorted({b for k in cuts for b, before, n in cum if before <= k < before + n})
-    # one row per bucket (<= 16**PREFIX_HEX rows): bounded by construction, safe to broadcast
-    starts = spark.createDataFrame([(b, before) for b, before, _n in cum] or [(0, 0)],
-                                   "__b int, __start long")
-    j = tagged.join(F.broadcast(starts), "__b", "left")
+        .withColumn("__b", F.conv(F.substring("__h", 1, hexd), 16, 10).cast("long"))
+    counts = tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
+    # running start per bucket: a window over the bucket table only (<= 16**hexd rows)
+    starts = counts.select("__b", "__cnt", (F.sum("__cnt").over(Window.orderBy("__b")) - F.col("__cnt"))
+                           .alias("__start"))
+    starts = cut_table(starts)
+    cut_rows = starts.filter(reduce_or([(F.col("__start") <= k) & (F.lit(k) < F.col("__start") + F.col("__cnt"))
+                                        for k in cuts])).select("__b").collect()
+    cut_buckets = sorted(r["__b"] for r in cut_rows)   # at most len(cuts) rows
+    j = tagged.join(F.broadcast(starts.select("__b", "__start")) if hexd <= 5 else starts.select("__b", "__start"),
+                    "__b", "left")
     is_cut = F.col("__b").isin(cut_buckets) if cut_buckets else F.lit(False)
     local = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1
-    cut_rows = j.filter(is_cut).withColumn("__rank", F.col("__start") + local)
+    cut_part = j.filter(is_cut).withColumn("__rank", F.col("__start") + local)
     rest = j.filter(~is_cut).withColumn("__rank", F.col("__start"))
-    both = cut_rows.unionByName(rest)
+    both = cut_part.unionByName(rest)
     seg = F.lit(0)
     for k in cuts:
         seg = seg + F.when(F.col("__rank") >= F.lit(k), 1).otherwise(0)
     return both.withColumn(out, seg).drop("__h", "__b", "__rank", "__start")
 
 
+def reduce_or(preds):
+    from functools import reduce as _r
+    return _r(lambda a, b: a | b, preds) if preds else F.lit(False)
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    from ..session import cut_lineage
+    return cut_lineage(df)
+
+
 def first_k_flag(df: DataFrame, order_cols: list[str], k: int, key: str = "dimx",
                  out: str = "__first_k", local_limit: int = LOCAL_RANK_LIMIT) -> DataFrame:
     """Flag the first ``k`` rows in lexicographic order of ``order_cols`` (ascending,

@@ -60,7 +60,7 @@ def test_flag(df: DataFrame, frac: float = 0.1, seed=42, key: str = "dimx", n: i
     """G-05: exactly ``floor(frac * n)`` rows flagged ``is_test``, chosen by md5 order."""
     n = df.count() if n is None else n
     k = int(math.floor(frac * n))
-    return hash_rank_segments(df, seed, [k], key, "__seg").withColumn(
+    return hash_rank_segments(df, seed, [k], key, "__seg", n=n).withColumn(
         "is_test", F.col("__seg") == 0).drop("__seg")
 
 
@@ -70,7 +70,7 @@ def train_val_test(df: DataFrame, validation_fraction: float, test_fraction: flo
     n = df.count()
     k_test = int(math.floor(test_fraction * n))
     k_val = int(math.floor(validation_fraction * n))
-    seg = hash_rank_segments(df, seed, [k_test, k_test + k_val], key, "__seg")
+    seg = hash_rank_segments(df, seed, [k_test, k_test + k_val], key, "__seg", n=n)
     return seg.withColumn("set", F.element_at(F.array(F.lit("test"), F.lit("validation"), F.lit("train")),
                                               F.col("__seg") + 1)).drop("__seg")
 
