@@ -106,9 +106,16 @@ def cast_float(df: DataFrame, dtype: str = "float", skip=("dimx",)) -> DataFrame
 def outlier_trim_rank(df: DataFrame, targets: list[str], above: float = 0.999, below: float = 0.001,
                       key: str = "dimx") -> DataFrame:
     """C-20: sort by all targets lexicographically; keep ranks in ``[floor(n*below), floor(n*above))``."""
+    from pyspark.sql import Window
+    from .rank import LOCAL_RANK_LIMIT
     n = df.count()
     hi = int(math.floor(n * above))
     lo = int(math.floor(n * below))
+    if n <= LOCAL_RANK_LIMIT:
+        # small enough for one ordered pass (bounded): both cuts from the same row numbers
+        order = [F.col(c).asc_nulls_last() for c in list(targets) + ([key] if key not in targets else [])]
+        r = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
+        return df.withColumn("__r", r).filter((F.col("__r") >= lo) & (F.col("__r") < hi)).drop("__r")
     a = first_k_flag(df, targets, hi, key, "__in_hi")
     b = first_k_flag(a, targets, lo, key, "__in_lo")
     return b.filter(F.col("__in_hi") & ~F.col("__in_lo")).drop("__in_hi", "__in_lo")
