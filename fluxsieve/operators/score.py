@@ -358,3 +358,13 @@ def residual_rms(scored_long: DataFrame, truth_long: DataFrame, key: str = "dimx
     j = scored_long.join(truth_long, [key, "target"])
     d = F.col("pred") - F.col("value")
     return j.groupBy("net", "target").agg(F.sqrt(F.avg(d * d)).alias("rms"), F.count(F.lit(1)).alias("n"))
+
+
+def residual_rms_wide(scored: DataFrame, pairs: list[tuple[str, str, str]]) -> DataFrame:
+    """R-09 on a scored table that still carries the truth columns: ``pairs`` of
+    (net, target, prediction column); one explode + one grouped aggregate, no join."""
+    long = scored.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("net"), F.lit(t).alias("target"), (F.col(p) - F.col(t)).alias("d"))
+        for n, t, p in pairs])).alias("r")).select("r.*")
+    return long.groupBy("net", "target").agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"),
+                                             F.count("d").alias("n"))

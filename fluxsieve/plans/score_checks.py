@@ -164,17 +164,12 @@ def _rms_sql():
 @register("residual_rms", with_bridge(_rms_sql(), "s AS (SELECT * FROM bridge WHERE efe_GB >= 0e0 AND efi_GB >= 0e0 "
                                                    "AND efe_GB < 1e2 AND efi_GB < 1e2)"))
 def residual_rms(spark, sf):
-    """R-09: regime rows, every network scored in one pass, RMS per (network, target)."""
+    """R-09: regime rows, every network scored in one pass, RMS per (network, target)
+    (truth columns ride along with the scores: no join back)."""
     b = bridge(spark, sf).filter("efe_GB >= 0 AND efi_GB >= 0 AND efe_GB < 100 AND efi_GB < 100")
-    s = S.score(b, {"a": NET_A, "b": NET_B, "c": NET_C}, keep=("dimx",))
-    pred_cols = [c for c in s.columns if "__" in c]
-    long = s.select("dimx", F.explode(F.array(*[F.struct(F.lit(c.split("__")[0]).alias("net"),
-                                                        F.lit(c.split("__")[1]).alias("target"),
-                                                        F.col(c).alias("pred")) for c in pred_cols])).alias("p")) \
-        .select("dimx", "p.*")
-    truth = b.select("dimx", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("value"))
-                                                for t in ("efiITG_GB", "efeITG_GB")])).alias("t")).select("dimx", "t.*")
-    r = S.residual_rms(long, truth)
+    s = S.score(b, {"a": NET_A, "b": NET_B, "c": NET_C}, keep=("dimx", "efiITG_GB", "efeITG_GB"))
+    pairs = [(c.split("__")[0], c.split("__")[1], c) for c in s.columns if "__" in c]
+    r = S.residual_rms_wide(s, pairs)
     return r.select("net", "target", _r(F.col("rms")).alias("rms"), F.col("n").cast("bigint").alias("n"))
 
 
