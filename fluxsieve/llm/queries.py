@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, substring, suffix
+from . import bpe, chat, lm_score, mixing, ordinal, quality_rules, simhash, substring, suffix, voronoi
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -33,17 +33,75 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """Labels as grades: 0 toxic, 1 of low quality, 2 good."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1)
+                         .when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).alias("grade"))
+
+
+@register("op1_voronoi_top_k")
+def op1_voronoi_top_k(spark, sf_dir):
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op2_lm_difference")
+def op2_lm_difference(spark, sf_dir):
+    good = graded(table(spark, sf_dir, "labels")).filter("grade = 2")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
+
+
+@register("op3_ordinal_quality")
+def op3_ordinal_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fit(docs, graded(table(spark, sf_dir, "labels")), n_grades=3)
+    return ordinal.score(docs, model, tail_grade=2)
+
+
+@register("op4_simhash_covering")
+def op4_simhash_covering(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+
+
+@register("op5_adaptive_rules", quality_rules.RULES_SQL)
+def op5_adaptive_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @register("op6_bpe_chunk_reuse")
 def op6_bpe_chunk_reuse(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+@register("op7_curriculum_mix", mixing.MIX_SQL)
+def op7_curriculum_mix(spark, sf_dir):
+    plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    first = F.get("positions", F.lit(0))
+    return plan.repartitionByRange(first, "h").sortWithinPartitions(first, "h").select(
+        F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+        first.alias("first_position"))
+
+
 @register("op8_substring_dedup")
 def op8_substring_dedup(spark, sf_dir):
     out = substring.remove_repeated(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@register("op9_chat_format", chat.CHAT_SQL)
+def op9_chat_format(spark, sf_dir):
+    cols = ["conv_id", "turn", "role", "text"]
+    text = F.lit("\\### Assistant: </turn> ok")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    out = chat.format_conversations(table(spark, sf_dir, "conversations").select(*cols).unionByName(probe))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.loss_text(F.col("segments"))
+    back = out.select("conv_id", "valid", "formatted", turns.alias("turns"), loss.alias("loss"))
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
 @register("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf_dir):
     out = suffix.remove_repeated(table(spark, sf_dir, "documents"), length=200)

@@ -315,8 +315,13 @@ def _solve_shard(got, shard, length):
 # ------------------------------------------------------------------ the operator
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200,
-                    carry=(), batch_bytes: int = C.BATCH_BYTES, crowd: int = CROWD) -> DataFrame:
-    """Carried columns (default the id) with ``n_bytes, n_removed, n_spans, kept`` (binary)."""
+                    carry=(), batch_bytes: int = C.BATCH_BYTES, crowd: int = CROWD,
+                    whole_characters: bool = False) -> DataFrame:
+    """Carried columns (default the id) with ``n_bytes, n_removed, n_spans, kept`` (binary).
+
+    With ``whole_characters`` a UTF-8 character of which a byte goes goes as a whole, so that
+    ``kept`` is text again.
+    """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM} bytes")
     ship_package(docs.sparkSession)
@@ -355,6 +360,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         np.add.at(delta, lo, 1)
         np.add.at(delta, hi, -1)
         gone = np.cumsum(delta[:-1]) > 0
+        if whole_characters and gone.any():
+            char = np.cumsum((t.flat & 0xC0) != 0x80)
+            gone = (np.bincount(char, gone) > 0)[char]
         removed, n_spans, kept = [], [], []
         for i, x in enumerate(texts):
             g = gone[t.starts[i]:t.starts[i + 1]]
