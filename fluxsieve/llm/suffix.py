@@ -4,7 +4,7 @@ Every byte covered by a ``length``-byte string that also starts anywhere else, i
 document or another one, is removed; matches never cross documents, overlaps count and all
 strings are judged on the input.
 
-1. **Anchors.**  In every ``length``-byte window the position with the least 32-byte hash is an
+1. **Anchors.**  In every ``length``-byte window the position with the least 64-byte hash is an
    anchor, so equal windows share an anchor at the same place.  An anchor's *context* holds all
    windows around it.  Batches send distinct (anchor hash, context hash) pairs; buckets answer
    which contexts occur twice as a whole (all of it is repeated) and which share their anchor
@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame
 from ..session import ship_package
 from . import common as C
 
-GRAM = 32
+GRAM = 64
+#: Bytes of text in a batch: a batch works on some ten 64-bit columns over its bytes.
+BATCH_BYTES = 2 << 20
 #: Contexts of one anchor from which its windows are split by core, and into so many parts.
 CROWD, PARTS = 256, 8
 
@@ -44,7 +46,7 @@ _BASE = 0xD1342543DE82EF95
 # ------------------------------------------------------------------ anchors
 
 def _gram_hashes(flat: np.ndarray) -> np.ndarray:
-    """Nonzero hash of the 32 bytes from each position (by doubling)."""
+    """Nonzero hash of the ``GRAM`` bytes from each position (by doubling)."""
     h, b, span = _TABLE[flat], _BASE, 1
     while span < GRAM:
         m = max(0, len(h) - span)
@@ -95,7 +97,7 @@ class _Text:
         self.context = self.span_hash(self.lo, self.hi, self.pos - self.lo)
 
     def span_hash(self, lo, hi, seed) -> np.ndarray:
-        """Hash of the bytes of each span (at least 32 long) and of ``seed``, from its 32-byte hashes."""
+        """Hash of the bytes of each span (at least ``GRAM`` long) and of ``seed``, from its gram hashes."""
         acc = C.mix(seed.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D) + (hi - lo).astype(np.uint64))
         steps = int((hi - lo).max() // GRAM + 1) if len(lo) else 0
         for k in range(steps):
@@ -174,7 +176,7 @@ def _pieces(t: _Text, flags, length, shards):
     order, first = t.classes()
     pick = order[first]
     plain = pick[(flags & (SEND | SPLIT)) == SEND]
-    shard, lo, hi = [(t.hash[plain] % np.uint64(shards)).astype(np.int64)], [t.lo[plain]], [t.hi[plain]]
+    shard, lo, hi = [(C.mix(t.hash[plain]) % np.uint64(shards)).astype(np.int64)], [t.lo[plain]], [t.hi[plain]]
     key, a, b, piece = _split(t, pick, flags, length)
     _, one = np.unique(piece, return_index=True)            # of equal pieces one goes; see _equal_parts
     shard.append((key % np.uint64(shards)).astype(np.int64)[one])
@@ -213,76 +215,112 @@ def _send_pieces(t: _Text, flags, length, shards, src):
     return out
 
 
-def sort_suffixes(text: bytes, ends: np.ndarray, depth: int) -> np.ndarray:
+def _types(x: np.ndarray, ends: np.ndarray):
+    """``(small, last)``: suffix smaller than its successor (type B); last position of its piece."""
+    n = len(x)
+    last = np.arange(1, n + 1) == ends                    # the empty suffix follows: smaller than any
+    step = np.append(x[1:], np.uint8(0)).astype(np.int16) - x
+    step[last] = -1
+    at = np.where(step != 0, np.arange(n), n)
+    at = np.minimum.accumulate(at[::-1])[::-1]            # next place where the byte changes
+    return step[at] > 0, last
+
+
+def _sort_directly(text: bytes, at: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in order of their first ``depth`` bytes: by two 8-byte words, then tie by tie."""
+    if len(at) < 2:
+        return at
+    raw = np.frombuffer(text + bytes(16), np.uint8)
+    word = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    keys = [word[at].copy(), word[at + 8].copy()]
+    for i in np.flatnonzero(ends[at] - at < 16).tolist():  # nothing of the next piece
+        own = text[at[i]:ends[at[i]]].ljust(16, b"\0")
+        keys[0][i], keys[1][i] = np.frombuffer(own[:8], np.uint8), np.frombuffer(own[8:], np.uint8)
+    k1, k2 = (k.view(">u8").ravel().astype(np.uint64) for k in keys)
+    order = np.lexsort((k2, k1))
+    at, k1, k2 = at[order], k1[order], k2[order]
+    first = C.run_starts(k1, k2)
+    size = np.diff(np.append(first, len(at)))
+    tied = np.flatnonzero(size > 1)
+    stop = np.minimum(at + depth, ends[at]).tolist()
+    for lo, hi in zip(first[tied].tolist(), (first + size)[tied].tolist()):
+        own = at[lo:hi].tolist()
+        cut = [text[i:j] for i, j in zip(own, stop[lo:hi])]
+        at[lo:hi] = [own[k] for k in sorted(range(len(own)), key=cut.__getitem__)]
+    return at
+
+
+def sort_suffixes(text: bytes, ends: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Positions of ``text`` in the order of the suffixes' first ``depth`` bytes.
 
     ``ends[i]`` is where position i's piece ends; a suffix stops there, and a shorter one
     comes before those it is a prefix of.  Two stages: type B suffixes (smaller than their
-    successor) are sorted directly, bucket by bucket of first bytes; type A suffixes are
-    placed by scanning the buckets in order, each placed suffix putting its predecessor, if
-    that is type A, at the front part of the predecessor's bucket.
+    successor) are sorted directly; type A suffixes are placed by scanning the buckets of first
+    bytes in order, each placed suffix putting its predecessor, if that is type A, into the front
+    part of the predecessor's bucket.  With ``wanted`` only those positions, and the successors
+    that type A ones among them are induced from, are sorted.
     """
     n = len(text)
-    x = np.frombuffer(text, np.uint8).astype(np.int64)
-    last = np.arange(n) + 1 == ends                       # the empty suffix follows: smaller than any
-    nxt = np.append(x[1:], -1)
-    step = np.where(last, -1, nxt - x)
-    at = np.where(step != 0, np.arange(n), n)
-    at = np.minimum.accumulate(at[::-1])[::-1]            # next place where the byte changes
-    small = step[at] > 0                                  # type B
-    by_byte = np.argsort(x, kind="stable")
-    limits = np.searchsorted(x[by_byte], np.arange(257))
+    x = np.frombuffer(text, np.uint8)
+    small, last = _types(x, ends)
+    keep = np.ones(n, bool)
+    if wanted is not None:
+        # a position is needed if wanted, or if the type A suffix before it in its piece is needed
+        chain = np.cumsum(small | last)                   # number of the A...AB stretch, counted at its end
+        stretch = np.concatenate([[0], chain[:-1]]) if n else chain
+        begin = np.where(wanted, np.arange(n), n)
+        least = np.full(int(stretch[-1]) + 1 if n else 0, n)
+        np.minimum.at(least, stretch[wanted], begin[wanted])
+        keep = np.arange(n) >= least[stretch] if n else keep
+    direct = _sort_directly(text, np.flatnonzero(small & keep), ends, depth)
+    edge = np.searchsorted(x[direct], np.arange(257)) if len(direct) else np.zeros(257, np.int64)
+    ended = np.flatnonzero(last & keep)                   # their successor is the empty suffix, the least of all
+    ended = ended[np.argsort(x[ended], kind="stable")]
+    ended_at = np.searchsorted(x[ended], np.arange(257))
+    induced = ~small & ~last & keep                       # what a placed successor places
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
+    out = []
 
-    def hand_on(placed: np.ndarray, here: int):
-        """Predecessors of placed suffixes that are type A and start with a larger byte, in order."""
+    def place(placed: np.ndarray, c: int) -> np.ndarray:
+        """Append to the order; hand predecessors on to later buckets; return those of this bucket."""
+        out.append(placed)
         p = placed[placed > 0] - 1
-        p = p[~small[p] & ~last[p] & (x[p] > here)]
+        p = p[induced[p]]
+        here = p[x[p] == c]
+        p = p[x[p] > c]
         if len(p):
-            o = np.argsort(x[p], kind="stable")
-            p = p[o]
+            p = p[np.argsort(x[p], kind="stable")]
             cut = np.append(C.run_starts(x[p]), len(p)).tolist()
             for a, b in zip(cut[:-1], cut[1:]):
                 waiting[int(x[p[a]])].append(p[a:b])
+        return here
 
-    ended = np.flatnonzero(last)                          # their successor is the empty suffix, the least of all
-    o = np.argsort(x[ended], kind="stable")
-    ended = ended[o]
-    out = []
     for c in range(256):
-        own = by_byte[limits[c]:limits[c + 1]]
-        if not len(own):
-            continue
-        lo, hi = np.searchsorted(x[ended], [c, c + 1])
-        front = np.concatenate([ended[lo:hi], *waiting[c]])
+        front = np.concatenate([ended[ended_at[c]:ended_at[c + 1]], *waiting[c]])
         while len(front):                                 # runs of one byte: each round induces the next
-            out.append(front)
-            hand_on(front, c)
-            p = front[front > 0] - 1
-            front = p[~small[p] & ~last[p] & (x[p] == c)]
-        direct = own[small[own]].tolist()
-        if direct:
-            e = ends
-            direct.sort(key=lambda i: text[i:min(i + depth, int(e[i]))])
-            placed = np.array(direct, np.int64)
-            out.append(placed)
-            hand_on(placed, c)
+            front = place(front, c)
+        if edge[c + 1] > edge[c]:
+            place(direct[edge[c]:edge[c + 1]], c)
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def repeated_positions(text: bytes, ends: np.ndarray, length: int) -> np.ndarray:
     """Positions whose next ``length`` bytes also start elsewhere in ``text``: neighbours in suffix
     order with a common prefix of at least that."""
-    order = sort_suffixes(text, ends, length)
-    order = order[ends[order] - order >= length]
+    full = ends - np.arange(len(text)) >= length
+    order = sort_suffixes(text, ends, length, full)
+    order = order[full[order]]
     a, b = order[:-1], order[1:]
     raw = np.frombuffer(text + bytes(8), np.uint8)
     word = np.lib.stride_tricks.sliding_window_view(raw, 8)
     alive = np.arange(len(a))
-    full, rest = divmod(length, 8)
-    for off in [*range(0, full * 8, 8), *([length - 8] if rest else [])]:
-        i, j = a[alive] + off, b[alive] + off
-        alive = alive[(word[i] == word[j]).all(axis=1)]
+    whole, rest = divmod(length, 8)
+    for off in [*range(0, whole * 8, 8), *([length - 8] if rest else [])]:
+        same = np.empty(len(alive), bool)
+        for s in range(0, len(alive), 1 << 18):           # bounded working memory
+            t = alive[s:s + (1 << 18)]
+            same[s:s + (1 << 18)] = word[a[t] + off].copy().view(np.uint64).ravel() == word[b[t] + off].copy().view(np.uint64).ravel()
+        alive = alive[same]
         if not len(alive):
             break
     flag = np.zeros(len(text), bool)
@@ -315,7 +353,7 @@ def _solve_shard(got, shard, length):
 # ------------------------------------------------------------------ the operator
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200,
-                    carry=(), batch_bytes: int = C.BATCH_BYTES, crowd: int = CROWD,
+                    carry=(), batch_bytes: int = BATCH_BYTES, crowd: int = CROWD,
                     whole_characters: bool = False) -> DataFrame:
     """Carried columns (default the id) with ``n_bytes, n_removed, n_spans, kept`` (binary).
 
