@@ -1,28 +1,23 @@
-"""Exact global ranks without a one-partition window or a full sort.
-
-``Window.orderBy(...)`` with no partition pulls every row into one task.  Instead:
-
-1. bucket the rows by a monotone function of the sort key and count per bucket
-   (a partial aggregate: map-side combine, one tiny shuffle);
-2. on the driver, walk the (bounded) bucket counts to find the bucket that holds
-   each cut rank;
-3. rows of earlier buckets are decided; only the rows of the cut buckets need a
-   local rank, which is a window partitioned by bucket.
-
-For hash keys (uniform by construction) a fixed prefix bucketing suffices.  For
-arbitrary sort keys the bucket edges come from ``percentile_approx`` and the
-cut bucket is refined again until it is small; a hot value (one value holding a
-large share of rows) moves the refinement to the next sort column, and the
-unique row id is always the last tie-break, so a bucket can always be split.
+"""Exact global ranks without a one-partition window.
+
+``Window.orderBy(...)`` with no partition pulls every row into one task.  Instead the rows go
+through one range exchange on the sort keys, always ending in the unique id, so that a hot value
+is spread over many partitions like any other range.  Each partition is sorted and numbered where
+it lies; the exchanged rows are written once (range limits come from a sample, so partition numbers
+are only stable within what was written), and partition sizes, one row per partition, give each
+partition's first rank.  The same path serves every size.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LOCAL_RANK_LIMIT = 2_000_000
-EDGES = 64
+from ..session import cut_lineage
+
+_PLACE_BITS = 33        # monotonically_increasing_id: partition number above, row number below (fixed by Spark)
 
 
 def hash_key(seed, key: str = "dimx") -> Column:
@@ -30,112 +25,35 @@ def hash_key(seed, key: str = "dimx") -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
 
 
-def _cumulative(counts: list[tuple[int, int]]):
-    acc, out = 0, []
-    for b, n in sorted(counts):
-        out.append((b, acc, n))
-        acc += n
-    return out, acc
-
+def global_rank(df: DataFrame, order_cols: list[str], key: str = "dimx", out: str = "rank") -> DataFrame:
+    """``df`` with the 0-based rank of each row by ``order_cols`` (ascending, missing last), then ``key``."""
+    order = [F.col(c).asc_nulls_last() for c in [*order_cols, *([key] if key not in order_cols else [])]]
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", _PLACE_BITS)
+    sizes = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__start"))
+    return placed.withColumn("__p", part).join(F.broadcast(starts), "__p") \
+        .withColumn(out, F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))) \
+        .drop("__p", "__m", "__start")
 
-def hash_rank_segments(df: DataFrame, seed, cuts: list[int], key: str = "dimx",
-                       out: str = "segment", n: int | None = None) -> DataFrame:
-    """Segment index per row for ascending rank cut points ``cuts`` in md5 order.
 
-    Rank r (0-based) falls in segment ``#(cuts <= r)``; e.g. ``cuts=[k]`` gives the
-    first k rows segment 0 and the rest 1.  Exact counts, no sort of the whole data:
-    rows are bucketed by a hash prefix sized so a bucket holds about a million rows,
-    bucket starts are a running sum over the (bounded) bucket-count table, and only
-    the rows of the buckets that hold a cut are ranked, by a window partitioned by bucket.
-    """
-    import math
-    n = df.count() if n is None else n
-    hexd = min(8, max(2, math.ceil(math.log(max(n, 1) / 1e6, 16)) if n > 1e6 else 2))
-    tagged = df.withColumn("__h", hash_key(seed, key)) \
-        .withColumn("__b", F.conv(F.substring("__h", 1, hexd), 16, 10).cast("long"))
-    counts = tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("__cnt"))
-    # running start per bucket: a window over the bucket table only (<= 16**hexd rows)
-    starts = counts.select("__b", "__cnt", (F.sum("__cnt").over(Window.orderBy("__b")) - F.col("__cnt"))
-                           .alias("__start"))
-    starts = cut_table(starts)
-    cut_rows = starts.filter(reduce_or([(F.col("__start") <= k) & (F.lit(k) < F.col("__start") + F.col("__cnt"))
-                                        for k in cuts])).select("__b").collect()
-    cut_buckets = sorted(r["__b"] for r in cut_rows)   # at most len(cuts) rows
-    j = tagged.join(F.broadcast(starts.select("__b", "__start")) if hexd <= 5 else starts.select("__b", "__start"),
-                    "__b", "left")
-    is_cut = F.col("__b").isin(cut_buckets) if cut_buckets else F.lit(False)
-    local = F.row_number().over(Window.partitionBy("__b").orderBy("__h", key)) - 1
-    cut_part = j.filter(is_cut).withColumn("__rank", F.col("__start") + local)
-    rest = j.filter(~is_cut).withColumn("__rank", F.col("__start"))
-    both = cut_part.unionByName(rest)
+def hash_rank_segments(df: DataFrame, seed, cuts: list[int], key: str = "dimx", out: str = "segment") -> DataFrame:
+    """Segment index per row for ascending rank cut points ``cuts`` in md5 order: ``#(cuts <= rank)``."""
+    ranked = global_rank(df.withColumn("__h", hash_key(seed, key)), ["__h"], key, "__rank")
     seg = F.lit(0)
     for k in cuts:
         seg = seg + F.when(F.col("__rank") >= F.lit(k), 1).otherwise(0)
-    return both.withColumn(out, seg).drop("__h", "__b", "__rank", "__start")
-
-
-def reduce_or(preds):
-    from functools import reduce as _r
-    return _r(lambda a, b: a | b, preds) if preds else F.lit(False)
-
-
-def cut_table(df: DataFrame) -> DataFrame:
-    from ..session import cut_lineage
-    return cut_lineage(df)
-
-
-def first_k_flag(df: DataFrame, order_cols: list[str], k: int, key: str = "dimx",
-                 out: str = "__first_k", local_limit: int = LOCAL_RANK_LIMIT) -> DataFrame:
-    """Flag the first ``k`` rows in lexicographic order of ``order_cols`` (ascending,
-    missing values last, then ``key``) exactly, by bucket refinement."""
-    cols = list(order_cols) + ([key] if key not in order_cols else [])
-    decided = F.lit(False)
-    region = F.lit(True)
-    remaining = k
-    ci = 0
-    base = df
-    for _ in range(64):
-        if remaining <= 0:
-            break
-        n_region = base.filter(region).count()
-        if n_region <= remaining:
-            decided = decided | region
-            remaining = 0
-            break
-        if n_region <= local_limit or ci >= len(cols):
-            w = Window.partitionBy(F.lit(0)).orderBy(*[F.col(c).asc_nulls_last() for c in cols])
-            sub = base.filter(region).select(key, F.row_number().over(w).alias("__rn")) \
-                .filter(F.col("__rn") <= remaining).select(key, F.lit(True).alias("__pick"))
-            res = base.join(sub, key, "left")
-            return res.withColumn(out, decided | F.coalesce(F.col("__pick"), F.lit(False))).drop("__pick")
-        c = cols[ci]
-        v = F.col(c)
-        row = base.filter(region & v.isNotNull()).agg(
-            F.percentile_approx(v, [i / EDGES for i in range(1, EDGES)], 10000).alias("q"),
-            F.min(v).alias("mn"), F.max(v).alias("mx"), F.count(F.lit(1)).alias("nn")).first()
-        n_null = n_region - row["nn"]
-        if row["nn"] == 0 or row["mn"] == row["mx"]:
-            # all values equal (or all missing) in the region: split on the next column;
-            # missing values sort after the tied value
-            if row["nn"] and n_null:
-                if remaining >= row["nn"]:
-                    decided = decided | (region & v.isNotNull())
-                    remaining -= row["nn"]
-                    region = region & v.isNull()
-                else:
-                    region = region & v.isNotNull()
-            ci += 1
-            continue
-        edges = sorted(set(x for x in row["q"] if x is not None))
-        bucket = F.when(v.isNull(), F.lit(len(edges) + 1)).otherwise(
-            F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < v)))
-        counts = [(r["b"], r["n"]) for r in base.filter(region).groupBy(bucket.alias("b"))
-                  .agg(F.count(F.lit(1)).alias("n")).collect()]
-        cum, _ = _cumulative(counts)
-        for b, before, n in cum:
-            if before <= remaining - 1 < before + n:
-                decided = decided | (region & (bucket < F.lit(b)))
-                remaining -= before
-                region = region & (bucket == F.lit(b))
-                break
-    return base.withColumn(out, decided)
+    return ranked.withColumn(out, seg).drop("__h", "__rank")
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: list[float], key: str = "dimx") -> list[float | None]:
+    """Linearly interpolated quantiles of the present values of a column, from the values at their two ranks."""
+    ranked = global_rank(df.filter(F.col(column).isNotNull()).select(column, key), [column], key, "__rank")
+    n = ranked.count()
+    if not n:
+        return [None] * len(probs)
+    at = [p * (n - 1) for p in probs]
+    want = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
+    got = dict(ranked.filter(F.col("__rank").isin(want)).select("__rank", F.col(column).cast("double")).collect())
+    return [got[math.floor(a)] + (got[math.ceil(a)] - got[math.floor(a)]) * (a - math.floor(a)) for a in at]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import all_of, isclose
-from .rank import first_k_flag, hash_key, hash_rank_segments
+from .rank import exact_quantiles, global_rank, hash_key, hash_rank_segments
 
 
 def constant_slice(df: DataFrame, values: dict[str, float], atol: float = 1e-5, rtol: float = 1e-3,
@@ -60,7 +60,7 @@ def test_flag(df: DataFrame, frac: float = 0.1, seed=42, key: str = "dimx", n: i
     """G-05: exactly ``floor(frac * n)`` rows flagged ``is_test``, chosen by md5 order."""
     n = df.count() if n is None else n
     k = int(math.floor(frac * n))
-    return hash_rank_segments(df, seed, [k], key, "__seg", n=n).withColumn(
+    return hash_rank_segments(df, seed, [k], key, "__seg").withColumn(
         "is_test", F.col("__seg") == 0).drop("__seg")
 
 
@@ -70,7 +70,7 @@ def train_val_test(df: DataFrame, validation_fraction: float, test_fraction: flo
     n = df.count()
     k_test = int(math.floor(test_fraction * n))
     k_val = int(math.floor(validation_fraction * n))
-    seg = hash_rank_segments(df, seed, [k_test, k_test + k_val], key, "__seg", n=n)
+    seg = hash_rank_segments(df, seed, [k_test, k_test + k_val], key, "__seg")
     return seg.withColumn("set", F.element_at(F.array(F.lit("test"), F.lit("validation"), F.lit("train")),
                                               F.col("__seg") + 1)).drop("__seg")
 
@@ -106,32 +106,31 @@ def cast_float(df: DataFrame, dtype: str = "float", skip=("dimx",)) -> DataFrame
 def outlier_trim_rank(df: DataFrame, targets: list[str], above: float = 0.999, below: float = 0.001,
                       key: str = "dimx") -> DataFrame:
     """C-20: sort by all targets lexicographically; keep ranks in ``[floor(n*below), floor(n*above))``."""
-    from pyspark.sql import Window
-    from .rank import LOCAL_RANK_LIMIT
-    n = df.count()
+    ranked = global_rank(df, list(targets), key, "__rank")
+    n = ranked.count()
     hi = int(math.floor(n * above))
     lo = int(math.floor(n * below))
-    if n <= LOCAL_RANK_LIMIT:
-        # small enough for one ordered pass (bounded): both cuts from the same row numbers
-        order = [F.col(c).asc_nulls_last() for c in list(targets) + ([key] if key not in targets else [])]
-        r = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1
-        return df.withColumn("__r", r).filter((F.col("__r") >= lo) & (F.col("__r") < hi)).drop("__r")
-    a = first_k_flag(df, targets, hi, key, "__in_hi")
-    b = first_k_flag(a, targets, lo, key, "__in_lo")
-    return b.filter(F.col("__in_hi") & ~F.col("__in_lo")).drop("__in_hi", "__in_lo")
+    return ranked.filter((F.col("__rank") >= lo) & (F.col("__rank") < hi)).drop("__rank")
 
 
 def outlier_trim_quantile(df: DataFrame, columns: list[str], above: float = 0.999, below: float = 0.001,
-                          exact: bool = True) -> DataFrame:
-    """C-21: per column null values >= q(above), then values <= q(below) of what is left; then drop nulls."""
-    pct = F.percentile if exact else F.percentile_approx
-    q_hi = df.agg(*[pct(F.col(c), F.lit(above)).alias(c) for c in columns]).first()
-    masked = df.select(*[F.when(F.col(c) < q_hi[c], F.col(c)).alias(c) if c in columns else F.col(c)
-                         for c in df.columns])
-    q_lo = masked.agg(*[pct(F.col(c), F.lit(below)).alias(c) for c in columns]).first()
-    masked = masked.select(*[F.when(F.col(c) > q_lo[c], F.col(c)).alias(c) if c in columns else F.col(c)
-                             for c in masked.columns])
-    return masked.dropna("any", subset=list(columns))
+                          exact: bool = True, key: str = "dimx") -> DataFrame:
+    """C-21: per column null values >= q(above), then values <= q(below) of what is left; then drop nulls.
+
+    Exact quantiles are the values at their ranks; otherwise they come from a mergeable sketch.
+    """
+    def quantile(d, c, p):
+        return exact_quantiles(d, c, [p], key)[0] if exact else d.agg(F.percentile_approx(c, p)).first()[0]
+
+    masked = df
+    for c in columns:
+        q = quantile(df, c, above)
+        masked = masked.withColumn(c, F.when(F.col(c) < F.lit(q), F.col(c)))
+    trimmed = masked
+    for c in columns:
+        q = quantile(masked, c, below)
+        trimmed = trimmed.withColumn(c, F.when(F.col(c) > F.lit(q), F.col(c)))
+    return trimmed.dropna("any", subset=list(columns))
 
 
 def slice_fraction(df: DataFrame, slice_cols: list[str], fraction: float, seed=42) -> DataFrame:

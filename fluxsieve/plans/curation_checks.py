@@ -314,11 +314,10 @@ def _long_sql(cols, exprs, names, src):
 @register("mean_median", with_bridge(_long_sql(
     STAT_COLS, ["round(CAST(sum(CAST({c} AS DECIMAL(38,2))) AS DOUBLE) / count({c}), 6)",
                 "round(quantile_cont({c}, 0.5), 6)"], ["mean", "median"], "m"),
-    "m AS (SELECT " + ", ".join(f"{_gate_sql(c)} AS {c}" for c in STAT_COLS) + " FROM bridge WHERE NOT ITG)"))
+    "m AS (SELECT " + ", ".join(f"{_gate_sql(c)} AS {c}" for c in STAT_COLS) + " FROM bridge)"))
 def mean_median(spark, sf):
-    """R-03 on a subset with missing values (stable points nulled by the ITG mask)."""
-    b = masks.stability_mask(bridge(spark, sf)).filter(~F.col("ITG"))
-    return report.mean_median(b, STAT_COLS, decimals=2)
+    """R-03 with missing values (points stable in a mode nulled by its mask)."""
+    return report.mean_median(masks.stability_mask(bridge(spark, sf)), STAT_COLS, decimals=2)
 
 
 @register("standardization", with_bridge(_long_sql(

@@ -90,17 +90,35 @@ def test_breakdown_mask_against_loop(spark):
     assert removed > 0
 
 
-def test_first_k_refinement_matches_sort(spark):
+@pytest.mark.parametrize("hot", [-5.0, 0.0, 5.0])
+def test_global_rank_matches_sort(spark, hot):
+    """One value holds most rows, at the minimum, in the middle or at the maximum; some are missing."""
     rng = np.random.RandomState(1)
-    n = 3000
-    a = rng.choice([0.0, 1.0, 2.0, None], size=n, p=[0.4, 0.3, 0.2, 0.1])
-    b = rng.normal(size=n)
-    pdf = pd.DataFrame({"dimx": np.arange(n), "a": a, "b": b})
-    df = spark.createDataFrame(pdf)
-    for k in (0, 1, 777, 1500, 2999):
-        got = {r.dimx for r in rank.first_k_flag(df, ["a", "b"], k, local_limit=50).filter("__first_k").collect()}
-        exp = set(pdf.sort_values(["a", "b", "dimx"], na_position="last").dimx[:k])
-        assert got == exp, k
+    n = 4000
+    a = np.where(rng.rand(n) < 0.7, hot, rng.randint(-4, 5, n).astype(float))
+    rows = [(int(i), None if rng.rand() < 0.1 else float(x), float(y)) for i, x, y in zip(rng.permutation(n), a, rng.randint(0, 3, n))]
+    df = spark.createDataFrame(rows, "dimx long, a double, b double")
+    exp = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0.0, r[2], r[0]))
+    ranked = rank.global_rank(df, ["a", "b"])
+    assert {r.dimx: r["rank"] for r in ranked.collect()} == {r[0]: i for i, r in enumerate(exp)}
+    for lo, hi in ((0, 1), (1, n - 1), (0, n), (n // 2, n // 2)):
+        got = split.outlier_trim_rank(df, ["a", "b"], above=hi / n, below=lo / n)
+        assert sorted(r.dimx for r in got.collect()) == sorted(r[0] for r in exp[lo:hi])
+    present = sorted(r[1] for r in rows if r[1] is not None)
+    for p in (0.0, 0.1, 0.5, 0.999, 1.0):
+        assert rank.exact_quantiles(df, "a", [p])[0] == pytest.approx(float(np.quantile(present, p)))
+
+
+def test_hot_maximum_small_case(spark):
+    df = spark.range(1000).select(F.col("id").alias("dimx"), F.when(F.col("id") < 5, -1.0).otherwise(0.0).alias("a"))
+    assert rank.global_rank(df, ["a"]).filter("rank < 100").count() == 100
+
+
+def test_rank_plan_has_no_single_task(spark, sf_small):
+    df = spark.range(100000).withColumnRenamed("id", "dimx")
+    plan = rank.global_rank(df, ["dimx"])._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert "SinglePartition" not in line or "__p" in plan[plan.index(line):plan.index(line) + 600]
 
 
 def test_split_exact_counts(spark):
