@@ -153,7 +153,7 @@ def _sql() -> str:
     return rf"""
 WITH base AS (SELECT doc_id, coalesce(lang, '~') AS lang, coalesce(source, '~') AS source, coalesce(text, '') AS text FROM documents),
 split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-                 list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base),
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base),
 tokens AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM split),
 wins AS (SELECT doc_id, i, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(w, 3) OVER o AS w3, lead(w, 4) OVER o AS w4
          FROM tokens WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
