@@ -300,10 +300,9 @@ def _encoded(docs, path, id_col, text_col, carry, batch_bytes, fields, show, kin
         names = [f.split()[0] for f in fields.split(", ")]
         return C.result(table, n_tokens=pa.array(counts, pa.int64()), **{names[0]: pa.array(one, kind), names[1]: pa.array(two, kind)})
 
-    doc_type = left.schema["doc"].dataType.simpleString()
     flags = left.groupBy("batch").applyInArrow(ask, C.MSG).groupBy("dest").applyInArrow(choose, C.MSG)
     sent = left.groupBy("batch").cogroup(flags.groupBy("dest")).applyInArrow(publish, C.MSG)
     ids = sent.groupBy("dest").applyInArrow(deliver, C.MSG)
     out = left.groupBy("batch").cogroup(flags.unionAll(ids).groupBy("dest")).applyInArrow(
-        assemble, f"doc {doc_type}, n_tokens bigint, {fields}")
+        assemble, C.out_schema(left, f"n_tokens bigint, {fields}"))
     return C.with_carried(out, carry, id_col)

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH_BYTES = 4 << 20
 MIN_GROUPS = 32
@@ -187,6 +188,11 @@ def result(table: pa.Table, **columns) -> pa.Table:
     return pa.table(arrays, names=names)
 
 
+def out_schema(carrier: DataFrame, rest: str) -> T.StructType:
+    """The carried ``doc`` as it is (nested columns keep whether they may be null) beside further columns."""
+    return T.StructType([carrier.schema["doc"], *T._parse_datatype_string(rest).fields])
+
+
 def with_carried(df: DataFrame, carry, id_col: str) -> DataFrame:
     """Open the ``doc`` struct again in front of the result columns."""
     return df.select(*[F.col("doc").getField(c).alias(c) for c in (carry or [id_col])],

@@ -178,7 +178,8 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
         x = _Words(table)
         every, aimed, known = known_words(answers)
         heads, words, pair = x.pairs(known)
-        all_n, target_n, vocabulary, all_known, target_known = C.unpack(C.inbox(answers, 3)[0][2], np.int64)[0].tolist()
+        sums = [C.unpack(m, np.int64)[0].tolist() for _, _, m in C.inbox(answers, 3)]     # none: there are no words at all
+        all_n, target_n, vocabulary, all_known, target_known = sums[0] if sums else [0] * 5
         parts = [[_wide(c) for c in C.unpack(m, *[None] * 6)] for _, _, m in C.inbox(answers, 2)]
         cols = [np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]).astype(float)[pair] for i in range(6)]
         loss = np.zeros(len(pair))
@@ -199,5 +200,5 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
         .select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("dest"), "src", "kind", "data")
     pairs = left.groupBy("batch").cogroup(told.groupBy("dest")).applyInArrow(ask_pairs, C.MSG)
     answers = told.unionAll(totals).unionAll(pairs.groupBy("dest").applyInArrow(count_pairs, C.MSG))
-    out = left.groupBy("batch").cogroup(answers.groupBy("dest")).applyInArrow(per_token, f"doc {doc_type}, n_tokens bigint, score double")
+    out = left.groupBy("batch").cogroup(answers.groupBy("dest")).applyInArrow(per_token, C.out_schema(left, "n_tokens bigint, score double"))
     return C.with_carried(out, carry, id_col)

@@ -6,8 +6,8 @@ gives each document its expected grade and the probability of at least the wante
 which documents are selected.
 
 Features (presence, hashed to ``2^bits`` weights): the lower-cased words without ASCII
-punctuation, and a few bucketed shape words (symbols per word, share of different words, share
-of repeated lines, mean word length).
+punctuation, their first four bytes (word stems), and a few bucketed shape words (symbols and
+exclamation marks per word, capitals, share of different words, share of repeated lines, mean word length).
 
 The fit uses at most ``fit_rows`` rated documents, chosen by hash of the id; that bound is a
 parameter and the only sample.  Scoring reads every document whole, in one pass without a
@@ -33,7 +33,10 @@ from . import common as C
 
 #: ASCII punctuation becomes space before words are taken.
 _PUNCT = bytes(32 if not (chr(b).isalnum() or b > 127) else b for b in range(256))
-_SYMBOLS = b"#*$%&|<>"
+_SYMBOLS, _CAPITALS = b"#*$%&|<>!", bytes(range(65, 91))
+STEM = 4
+#: Features per shape word, so that hundreds of words do not outweigh it.
+SHAPE = 16
 
 
 @dataclasses.dataclass
@@ -59,58 +62,104 @@ def shape_words(raw: bytes, n_words: int, n_distinct: int) -> list[bytes]:
     symbols = len(raw) - len(raw.translate(None, _SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip()]
     level = lambda name, x: b"\0%s%d" % (name, int(x))
-    return [level(b"sym", min(8, 8 * symbols / n)), level(b"dis", 10 * n_distinct / n),
+    capitals = len(raw) - len(raw.translate(None, _CAPITALS))
+    own = [level(b"sym", min(8, 8 * symbols / n)), level(b"cap", 10 * capitals / max(len(raw), 1)), level(b"dis", 10 * n_distinct / n),
             level(b"dup", 10 * (1 - len(set(lines)) / max(len(lines), 1))), level(b"len", min(24, 2 * len(raw) / n)),
             b"\0bias"]
+    return [x + b"#%d" % k for x in own for k in range(SHAPE)]
 
 
 def words_of(raw: bytes) -> list[bytes]:
     return raw.lower().translate(_PUNCT).split()
 
 
-def features(raw: bytes, bits: int) -> np.ndarray:
-    """Distinct feature numbers of a text, in order."""
+def names_of(raw: bytes) -> list[bytes]:
+    """The features of a text by name, each once."""
     w = words_of(raw)
     seen = set(w)
+    stems = {b"^" + x[:STEM] for x in seen if len(x) > STEM}
+    return [*sorted(seen), *sorted(stems), *shape_words(raw, len(w), len(seen))]
+
+
+def features(raw: bytes, bits: int) -> np.ndarray:
+    """Distinct feature numbers of a text, in order."""
     top = (1 << bits) - 1
-    names = [*seen, *shape_words(raw, len(w), len(seen))]
+    names = names_of(raw)
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 11) & top for x in names), np.int32, len(names)))
 
 
+def _descend(value_and_slope, x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with step halving, for a smooth convex function."""
+    f, g = value_and_slope(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        d, alphas = -g, []
+        for s, y, r in reversed(past):
+            alphas.append(r * (s @ d))
+            d = d - alphas[-1] * y
+        if past:
+            s, y, _ = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        else:
+            d = d / max(1.0, float(np.abs(g).sum()))
+        for (s, y, r), al in zip(past, reversed(alphas)):
+            d = d + (al - r * (y @ d)) * s
+        slope, t = float(g @ d), 1.0
+        while t > 1e-8:
+            new_f, new_g = value_and_slope(x + t * d)
+            if new_f <= f + 1e-4 * t * slope:
+                break
+            t /= 2
+        else:
+            break
+        s, y = t * d, new_g - g
+        if s @ y > 1e-12:
+            past = [*past, (s, y, 1.0 / (s @ y))][-memory:]
+        done = abs(f - new_f) <= 1e-7 * max(1.0, abs(f))
+        x, f, g = x + s, new_f, new_g
+        if done:
+            break
+    return x
+
+
 def fit_arrays(rows: np.ndarray, starts: np.ndarray, grades: np.ndarray, n_grades: int, bits: int,
-               steps: int = 150, rate: float = 0.3, l2: float = 1e-4) -> OrdinalModel:
-    """Full-batch Adagrad on the mean negative log-likelihood (``rows``: feature numbers, document after document)."""
-    size = 1 << bits
+               steps: int = 200, l2: float = 3e-4, least_df: int = 10) -> OrdinalModel:
+    """Least mean negative log-likelihood with a quadratic penalty (``rows``: feature numbers, document after document).
+
+    Features of fewer than ``least_df`` rated documents keep weight zero.
+    """
+    size, n = 1 << bits, len(grades)
+    doc = np.repeat(np.arange(n), np.diff(np.append(starts, len(rows))))
+    often = np.bincount(rows, minlength=size) >= least_df
+    doc, rows = doc[often[rows]], rows[often[rows]]
     used, col = np.unique(rows, return_inverse=True)
-    doc = np.repeat(np.arange(len(grades)), np.diff(np.append(starts, len(rows))))
-    n = len(grades)
+    k = len(used)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
-    first, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
-    w, seen_w, seen_t = np.zeros(len(used)), np.full(len(used), 1e-8), np.full(n_grades - 1, 1e-8)
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for _ in range(steps):
-        theta = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-        m = np.add.reduceat(w[col], starts) if len(rows) else np.zeros(n)
+    up, down = grades < n_grades - 1, grades > 0
+
+    def thresholds(x):
+        return x[k] + np.concatenate([[0], np.cumsum(np.exp(x[k + 1:]))])   # the gaps are exponentials: always in order
+
+    def loss(x):
+        w, theta = x[:k], thresholds(x)
+        m = np.bincount(doc, w[col], n)
         edges = np.concatenate([[-np.inf], theta, [np.inf]])
         hi, lo = sig(edges[grades + 1] - m), sig(edges[grades] - m)
+        hi[~up], lo[~down] = 1.0, 0.0
         p = np.maximum(hi - lo, 1e-12)
-        g_m = (1 - hi - lo) / n                                  # of the negative log-likelihood
         g_theta = np.zeros(n_grades - 1)
-        up, down = grades < n_grades - 1, grades > 0
         np.add.at(g_theta, grades[up], (-hi * (1 - hi) / p)[up] / n)
         np.add.at(g_theta, grades[down] - 1, (lo * (1 - lo) / p)[down] / n)
-        g_w = np.bincount(col, g_m[doc], len(used)) + l2 * w
-        g_t = np.concatenate([[g_theta.sum()], np.cumsum(g_theta[::-1])[::-1][1:] * np.exp(gaps)])
-        seen_w += g_w * g_w
-        seen_t += g_t * g_t
-        w -= rate * g_w / np.sqrt(seen_w)
-        t = rate * g_t / np.sqrt(seen_t)
-        first -= t[0]
-        gaps = gaps - t[1:]
+        g_w = np.bincount(col, ((1 - hi - lo) / n)[doc], k) + l2 * w
+        g_t = np.concatenate([[g_theta.sum()], np.cumsum(g_theta[::-1])[::-1][1:] * np.exp(x[k + 1:])])
+        return -np.log(p).mean() + l2 / 2 * float(w @ w), np.concatenate([g_w, g_t])
+
+    x = _descend(loss, np.concatenate([np.zeros(k), start[:1], np.log(np.maximum(np.diff(start), 1e-2))]), steps)
     weights = np.zeros(size, np.float32)
-    weights[used] = w
-    return OrdinalModel(weights, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
+    weights[used] = x[:k]
+    return OrdinalModel(weights, thresholds(x))
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
@@ -158,10 +207,8 @@ class _Weights(dict):
 
 
 def margin(raw: bytes, cache: _Weights) -> float:
-    """The sum over the text's features (words that share a number count once each)."""
-    w = words_of(raw)
-    seen = set(w)
-    return sum(map(cache.__getitem__, sorted(seen))) + sum(map(cache.__getitem__, shape_words(raw, len(w), len(seen))))
+    """The sum of the weights of the text's features."""
+    return sum(map(cache.__getitem__, names_of(raw)))
 
 
 def score(docs: DataFrame, model: OrdinalModel | None, tail_grade: int, least_tail: float = 0.5, id_col: str = "doc_id",
@@ -187,6 +234,5 @@ def score(docs: DataFrame, model: OrdinalModel | None, tail_grade: int, least_ta
                 [b.column("doc"), pa.array(above.sum(axis=1), pa.float64()), pa.array(tail, pa.float64()),
                  pa.array(tail >= least_tail, pa.bool_())], names=["doc", "expected_grade", "tail_probability", "selected"])
 
-    out = src.mapInArrow(run, f"doc {src.schema['doc'].dataType.simpleString()}, expected_grade double, "
-                              "tail_probability double, selected boolean")
+    out = src.mapInArrow(run, C.out_schema(src, "expected_grade double, tail_probability double, selected boolean"))
     return out.select(*[F.col("doc").getField(c).alias(c) for c in cols], "expected_grade", "tail_probability", "selected")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
+from . import common as C
 from .components import connected_components
 
 BITS = 64
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc", "id", "fp"])
 
-    return src.mapInArrow(run, f"doc {src.schema['doc'].dataType.simpleString()}, id bigint, fp bigint")
+    return src.mapInArrow(run, C.out_schema(src, "id bigint, fp bigint"))
 
 
 def covering_masks(radius: int) -> list[int]:

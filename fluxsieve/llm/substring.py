@@ -160,13 +160,12 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return C.result(table, n_words=pa.array(counts, pa.int64()), n_removed=pa.array(removed, pa.int64()),
                         kept_text=pa.array(kept, pa.binary()))
 
-    doc_type = left.schema["doc"].dataType.simpleString()
     asked = left.groupBy("batch").applyInArrow(send_anchors, C.MSG)
     flags = asked.groupBy("dest").applyInArrow(flag_shared, C.MSG)
     sent = left.groupBy("batch").cogroup(flags.groupBy("dest")).applyInArrow(send_windows, C.MSG)
     least = sent.groupBy("dest").applyInArrow(find_smaller, C.MSG)
     out = left.groupBy("batch").cogroup(flags.unionAll(least).groupBy("dest")).applyInArrow(
-        remove, f"doc {doc_type}, n_words bigint, n_removed bigint, kept_text binary")
+        remove, C.out_schema(left, "n_words bigint, n_removed bigint, kept_text binary"))
     return C.with_carried(out, carry, id_col)
 
 

@@ -411,10 +411,9 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return C.result(table, n_bytes=pa.array(t.sizes, pa.int64()), n_removed=pa.array(removed, pa.int64()),
                         n_spans=pa.array(n_spans, pa.int64()), kept=pa.array(kept, pa.binary()))
 
-    doc_type = left.schema["doc"].dataType.simpleString()
     flags = left.groupBy("batch").applyInArrow(ask, C.MSG).groupBy("dest").applyInArrow(judge, C.MSG)
     pieces = left.groupBy("batch").cogroup(flags.groupBy("dest")).applyInArrow(send, C.MSG)
     spans = pieces.groupBy("dest").applyInArrow(solve, C.MSG)
     out = left.groupBy("batch").cogroup(flags.unionAll(spans).groupBy("dest")).applyInArrow(
-        cut, f"doc {doc_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+        cut, C.out_schema(left, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"))
     return C.with_carried(out, carry, id_col)
