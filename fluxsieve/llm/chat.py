@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: State after a turn that no move allows.
+DEAD = ""
+
+
 @dataclasses.dataclass(frozen=True)
 class Template:
     """Turn markers, roles under the loss, and the machine: state -> {role: next state}."""
@@ -65,12 +69,12 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
     convs = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def step(acc: Column, t: Column) -> Column:
-        state = F.lit(None).cast("string")
+        state = F.lit(DEAD)
         for here, role, there in template.moves:
             state = F.when((acc["state"] == here) & (t["role"] == role), F.lit(there)).otherwise(state)
-        return F.struct(state.alias("state"), (acc["seen"] + F.when(acc["state"].isNotNull(), 1).otherwise(0)).alias("seen"))
+        return F.struct(state.alias("state"), (acc["seen"] + F.when(acc["state"] != DEAD, 1).otherwise(0)).alias("seen"))
 
-    begin = F.struct(F.lit(template.start).cast("string").alias("state"), F.lit(0).alias("seen"))
+    begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("seen"))
     end = F.aggregate("turns", begin, step)
 
     def parts(t: Column) -> Column:
@@ -83,7 +87,7 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
     done = F.col("end.state").isin(*template.final)
     return out.select(
         F.col("conv").alias(conv_col), F.coalesce(done, F.lit(False)).alias("valid"),
-        F.when(F.col("end.state").isNull(), F.col("end.seen")).when(~done, F.col("end.seen") + 1).alias("first_bad_turn"),
+        F.when(F.col("end.state") == DEAD, F.col("end.seen")).when(~done, F.col("end.seen") + 1).alias("first_bad_turn"),
         "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"))
 
 
