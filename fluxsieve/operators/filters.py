@@ -26,37 +26,50 @@ Pred = Callable[[DataFrame], Column]
 
 # ---------------------------------------------------------------- predicates
 
-def _abs_lt(c: Column, bound: float) -> Column:
-    # written as a range so Parquet can push it down; NULL -> False
-    return true_or_false((c > -bound) & (c < bound))
+# Every predicate is ``pred(df, r=F.col)``: ``r`` resolves a column name to an expression, so a
+# chain can evaluate a predicate on substituted values (see ``SanityChain.flags``).  Its value is
+# True or False, never missing, so it can be negated.  A range predicate also carries ``plain``,
+# the same test as bare comparisons that a scan can take over (a missing value drops the row
+# either way), and the columns it reads.
 
+def _ranges(*bounds: tuple[str, str, float]) -> Pred:
+    """Conjunction of ``column op value`` comparisons (op one of ``< > <= >=``)."""
+    ops = {"<": lambda c, v: c < v, ">": lambda c, v: c > v, "<=": lambda c, v: c <= v, ">=": lambda c, v: c >= v}
+
+    def test(df, r=F.col):
+        return true_or_false(all_of(ops[op](r(c), v) for c, op, v in bounds))
+    test.plain = [ops[op](F.col(c), F.lit(float(v))) for c, op, v in bounds]
+    test.reads = {c for c, _, _ in bounds}
+    return test
+
+
+def _abs_lt(column: str, bound: float) -> Pred:
+    return _ranges((column, ">", -bound), (column, "<", bound))
 
-# Every predicate is ``pred(df, r=F.col)``: ``r`` resolves a column name to an expression, so a
-# chain can evaluate a predicate on substituted values (see ``SanityChain.flags``).
 
 def cke_ok(bound: float) -> Pred:
-    return lambda df, r=F.col: _abs_lt(r("cke"), bound)
+    return _abs_lt("cke", bound)
 
 
 def cki_ok(bound: float) -> Pred:
-    return lambda df, r=F.col: _abs_lt(r("cki"), bound)
+    return _abs_lt("cki", bound)
 
 
 def ceke_ok(bound: float) -> Pred:
-    return lambda df, r=F.col: _abs_lt(r("ceke"), bound)
+    return _abs_lt("ceke", bound)
 
 
 def ceki_ok(bound: float) -> Pred:
-    return lambda df, r=F.col: _abs_lt(r("ceki"), bound)
+    return _abs_lt("ceki", bound)
 
 
 def ck_ok(bound: float) -> Pred:
     """C-06: cke and cki both converged."""
-    return lambda df, r=F.col: cke_ok(bound)(df, r) & cki_ok(bound)(df, r)
+    return _ranges(*[(c, op, v) for c in ("cke", "cki") for op, v in ((">", -bound), ("<", bound))])
 
 
 def cek_ok(bound: float) -> Pred:
-    return lambda df, r=F.col: ceke_ok(bound)(df, r) & ceki_ok(bound)(df, r)
+    return _ranges(*[(c, op, v) for c in ("ceke", "ceki") for op, v in ((">", -bound), ("<", bound))])
 
 
 def negative_columns(columns, policy: str = "current") -> list[str]:
@@ -88,7 +101,8 @@ SEPTOT_FAMILIES = {
     # fixed values: total flux -> separate modes compared with it
     "current": {"efi_GB": ["ITG", "TEM"], "efe_GB": ["ETG", "ITG", "TEM"]},
     "gen4": _families(N.HEAT),                                          # C-08: every heat variable
-    "gen2": _families([t for t in N.HEAT + N.PARTICLE if t != "vr" and t != "ver"]),  # heat + particle, no vr
+    # heat: the energy flux alone; particle variables (no pinch of rotation): ions and electrons ITG / TEM only
+    "gen2": _families(["ef"]) | {f"{t}{s}_GB": ["ITG", "TEM"] for t in N.PARTICLE if t not in ("vr", "ver") for s in "ie"},
 }
 
 
@@ -118,10 +132,10 @@ def septot_ok(factor: float, families="current") -> Pred:
 def ambipolar_ok(bound: float, version: int = 1) -> Pred:
     """C-09: v0 ``1/b < absambi < b``; v1 ``|absambi - 1| < b`` (strict)."""
     if version == 0:
-        return lambda df, r=F.col: true_or_false((r("absambi") < bound) & (r("absambi") > 1.0 / bound))
+        return _ranges(("absambi", "<", bound), ("absambi", ">", 1.0 / bound))
     if version == 1:
-        return lambda df, r=F.col: true_or_false(((r("absambi") - 1.0) < bound) & ((r("absambi") - 1.0) > -bound))
-    raise ValueError("Unknown ambipolar_filter version passed!")
+        return _ranges(("absambi", "<", 1.0 + bound), ("absambi", ">", 1.0 - bound))
+    raise ValueError(f"ambipolarity rule {version!r} is not one of 0, 1")
 
 
 def femto_columns(columns, policy: str = "current") -> list[str]:
@@ -143,14 +157,13 @@ def femtoflux_ok(bound: float, policy: str = "current") -> Pred:
 
 def regime_ok(geq: float, less: float) -> Pred:
     """C-02: ``geq <= efe_GB, efi_GB < less``."""
-    return lambda df, r=F.col: true_or_false((r("efe_GB") < less) & (r("efi_GB") < less)
-                                             & (r("efe_GB") >= geq) & (r("efi_GB") >= geq))
+    return _ranges(*[(c, op, v) for c in ("efe_GB", "efi_GB") for op, v in (("<", less), (">=", geq))])
 
 
 # ---------------------------------------------------------------- wrappers
 
 def apply(df: DataFrame, pred: Pred) -> DataFrame:
-    return df.filter(pred(df))
+    return df.filter(all_of(pred.plain) if hasattr(pred, "plain") else pred(df))
 
 
 def regime_filter(df: DataFrame, geq: float, less: float) -> DataFrame:
@@ -222,10 +235,10 @@ def create_stored_filter(df: DataFrame, pred: Pred, path: str, key: str = "dimx"
 
 def load_stored_filter(spark, path: str):
     """C-13: the stored ids, or None when absent."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # AnalysisException: path does not exist
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return None
+    return spark.read.parquet(path)      # any other failure is raised: a filter must not be silently off
 
 
 def apply_stored_filter(df: DataFrame, removed: DataFrame, key: str = "dimx") -> DataFrame:
@@ -250,21 +263,26 @@ class SanityChain:
     steps: list[Step] = field(default_factory=list)
 
     def apply(self, df: DataFrame, key: str = "dimx") -> DataFrame:
-        """All steps as one cumulative flag and a single filter (one projection + one filter in
-        one codegen stage instead of a filter / project per step)."""
+        """All steps as one plan: the pushed range tests, then one cumulative flag and a single filter."""
         if any(s.stored is not None for s in self.steps):
             return self.apply_stepwise(df, key)
-        flagged, names = self.flags(df, key)
+        # range tests on columns that no step rewrites go first, as bare comparisons the scan can take over
+        rewritten = set(negative_zero_columns(df.columns)) if any(s.zero_row for s in self.steps) else set()
+        early, rest, moving = [], [], any(s.transform is not None for s in self.steps)
+        for s in self.steps:
+            plain = not moving and s.pred is not None and hasattr(s.pred, "plain") and not s.pred.reads & rewritten
+            (early if plain else rest).append(s)
+        if early:
+            df = df.filter(all_of(c for s in early for c in s.pred.plain))
+        flagged, names = SanityChain(rest).flags(df, key)
         if not names:
             return flagged
-        helper = [c for c in flagged.columns if c.startswith("__alive_")] + ["__barrier"]
-        # The flags are computed once per row in one projection.  Without a barrier the
-        # optimizer pushes the final filter below that projection by substituting every
-        # flag and derived column into one huge predicate (evaluated next to the scan, in
-        # as many tasks as the scan has splits).  A non-deterministic column keeps the
-        # filter above the projection (the condition uses the column, so it is not pruned away).
-        return flagged.withColumn("__barrier", F.rand(0)) \
-            .filter((F.col("__barrier") >= 0) & F.col(f"__alive_{names[-1]}")).drop(*helper)
+        # The flags are computed once per row in one projection.  The optimizer would push the last
+        # filter below it, substituting every flag into one predicate too large to compile; it keeps a
+        # filter on a column above the projection that reads the task's partition number.
+        helper = [c for c in flagged.columns if c.startswith("__alive_")] + ["__part"]
+        return flagged.withColumn("__part", F.spark_partition_id()) \
+            .filter((F.col("__part") >= 0) & F.col(f"__alive_{names[-1]}")).drop(*helper)
 
     def apply_stepwise(self, df: DataFrame, key: str = "dimx") -> DataFrame:
         for s in self.steps:
@@ -355,7 +373,7 @@ def sanity_chain_gen2(ck_bound: float, septot_factor: float, ambi_bound: float,
     return SanityChain([
         Step("negative", nonnegative_ok("gen2")),
         Step("ck", ck_ok(ck_bound)),
-        Step("septot", septot_ok(septot_factor)),
+        Step("septot", septot_ok(septot_factor, "gen2")),
         Step("ambipolar", ambipolar_ok(ambi_bound, 0)),
         Step("femtoflux", femtoflux_ok(femto_bound, "gen2")),
     ])

@@ -40,7 +40,7 @@ def growth_rates(modes: DataFrame, scan_dims, k: str = "kthetarhos", gam: str =
 
 def stability_flags(modes: DataFrame, scan_dims, k: str = "kthetarhos", gam: str = "gam_GB", ome: str = "ome_GB",
                     bound: float = 2.0, skip_first_above: bool = False) -> DataFrame:
-    """B-09 + B-11 (and B-12, which reduces to the same rule) in one grouped pass:
+    """B-09 + B-11 in one grouped pass:
     ``TEM = gam_leq != 0 AND any(ome > 0)``, ``ITG = gam_leq != 0 AND any(ome < 0)`` over
     ``k <= bound`` and all solutions."""
     above = modes.filter(F.col(k) > bound).agg(F.min(k).alias("m")).first()["m"]
@@ -62,6 +62,20 @@ def stability_flags(modes: DataFrame, scan_dims, k: str = "kthetarhos", gam: str
     return out.drop("__pos", "__neg")
 
 
+def stability_flags_gen2(modes: DataFrame, scan_dims, k: str = "kthetarhos", gam: str = "gam_GB", ome: str = "ome_GB",
+                         bound: float = 2.0) -> DataFrame:
+    """B-12: as B-11, but growth and direction must meet at one wavenumber: ``TEM`` if at some
+    ``k <= bound`` the largest growth rate is not 0 and some solution has ``ome > 0`` (``ITG``: ``< 0``)."""
+    per_k = modes.groupBy(*scan_dims, k).agg(
+        F.max(gam).alias("__gam"), F.bool_or(F.col(ome) > 0).alias("__pos"), F.bool_or(F.col(ome) < 0).alias("__neg"))
+    low = F.col(k) <= bound
+    live = F.coalesce(low & (F.col("__gam") != 0), F.lit(False))
+    return per_k.groupBy(*scan_dims).agg(
+        F.max(F.when(low, F.col("__gam"))).alias("gam_leq_GB"), F.max(F.when(F.col(k) > bound, F.col("__gam"))).alias("gam_great_GB"),
+        F.coalesce(F.bool_or(live & F.col("__pos")), F.lit(False)).alias("TEM"),
+        F.coalesce(F.bool_or(live & F.col("__neg")), F.lit(False)).alias("ITG"))
+
+
 def ion_densities(Z0: Column, Z1: Column, Zeff: Column) -> tuple[Column, Column]:
     """B-14: two-ion normalised densities from Zeff."""
     n1 = (Zeff - Z0) / (Z1 * Z1 - Z1 * Z0)

@@ -198,7 +198,7 @@ def _act_col(a: str, c: Column) -> Column:
     if a == "tanh":
         return F.tanh(c)
     if a == "relu":
-        return F.greatest(c, F.lit(0.0))
+        return F.when(c.isNull(), c).otherwise(F.greatest(c, F.lit(0.0)))     # greatest() would skip a missing value
     return c
 
 
@@ -215,7 +215,7 @@ def network_columns(net: Network) -> dict[str, Column]:
 def network_sql(net: Network) -> dict[str, str]:
     """The network rendered as SQL text (oracle side)."""
     def act(a, s):
-        return f"tanh({s})" if a == "tanh" else (f"greatest({s}, 0e0)" if a == "relu" else s)
+        return f"tanh({s})" if a == "tanh" else (f"(CASE WHEN {s} IS NOT NULL THEN greatest({s}, 0e0) END)" if a == "relu" else s)
     h = [f"({f} * {net.prescale_factor[f]!r} + {net.prescale_bias[f]!r})" for f in net.feature_names]
     for w, b, a in zip(net.weights, net.biases, net.activations):
         h = [act(a, "(" + " + ".join(f"{h[i]} * {float(w[i, j])!r}" for i in range(len(h))) + f" + {float(b[j])!r})")

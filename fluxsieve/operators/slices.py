@@ -127,6 +127,8 @@ def relative_to_reference(df: DataFrame, group_cols, order_cols, level_col: str,
     For each row the reference is the first row at or after it (in ``order_cols``,
     which should end with a unique id) having ``level_col == ref_value`` in its group.
     """
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols).rowsBetween(0, Window.unboundedFollowing)
-    ref = F.first(F.when(F.col(level_col) == ref_value, F.col(value)), ignorenulls=True).over(w)
+    # read backwards, the first at or after a row is the last seen so far: one running value per group
+    w = Window.partitionBy(*group_cols).orderBy(*[F.col(c).desc_nulls_last() for c in order_cols]) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ref = F.last(F.when(F.col(level_col) == ref_value, F.col(value)), ignorenulls=True).over(w)
     return df.withColumn(out, F.try_divide(F.col(value), ref))

@@ -50,10 +50,14 @@ def weights_job(df: DataFrame, slices: dict[str, list[str]], key: str = "dimx",
                 ratio: float = BASE_TOP_RATIO) -> DataFrame:
     """H-12: ``<mode>weights`` per point for each mode, special input from F-19 of the mode's
     leading flux; ``slices[mode]`` are the features that define a slice for that mode."""
-    cols = [F.col(key)]
+    cols, out = [F.col(key)], df
     for mode, slice_cols in slices.items():
         flux = LEADING[mode]
         special = N.determine_special_input(flux)[0]
-        thr = slice_threshold(special, flux).over(Window.partitionBy(*slice_cols))
-        cols.append(instance_weight(F.col(special), thr, width, ratio).alias(f"{mode}weights"))
-    return df.select(*cols)
+        # one row per slice, aggregated before the shuffle; a slice key may be missing
+        thr = df.groupBy(*slice_cols).agg(slice_threshold(special, flux).alias(f"__t_{mode}")) \
+            .select(*[F.col(c).alias(f"__{mode}_{c}") for c in slice_cols], f"__t_{mode}")
+        on = [F.col(c).eqNullSafe(F.col(f"__{mode}_{c}")) for c in slice_cols]
+        out = out.join(thr, on, "left").drop(*[f"__{mode}_{c}" for c in slice_cols])
+        cols.append(instance_weight(F.col(special), F.col(f"__t_{mode}"), width, ratio).alias(f"{mode}weights"))
+    return out.select(*cols)

@@ -41,7 +41,7 @@ class JobPreset:
 # fixed values: presets of the reference's jobs
 PRESET_9D = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0, 50.0, 0), (0.0, 100.0 / 3.0), masks.DIV_BOUNDS_9D)
 EDGE8 = JobPreset(SanityPreset(1.5, 1.5, 1e-4), None, {})
-GEN2 = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0, 50.0, 0), (0.0, 60.0), {})
+GEN2 = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0, 50.0, 0), (0.0, 100.0), {})
 
 
 @dataclass

@@ -62,8 +62,7 @@ def scale_roundtrip(spark, sf):
     f"(SELECT ({SQL_A['efiITG_GB']}) - efiITG_GB AS d, efiITG_GB FROM bridge)"))
 def goodness_metrics(spark, sf):
     """J-04: MSE, mean absolute error, MSE on unstable points and RMS of a scored network."""
-    s = S.score(bridge(spark, sf), {"a": NET_A}, keep=("dimx",))
-    j = s.join(bridge(spark, sf).select("dimx", F.col("efiITG_GB").alias("truth")), "dimx")
+    j = S.score(bridge(spark, sf).withColumn("truth", F.col("efiITG_GB")), {"a": NET_A}, keep=("dimx", "truth"))
     mse, mabse = T.goodness(F.col("efiITG_GB"), F.col("truth"))
     mse_u, _ = T.goodness(F.col("efiITG_GB"), F.col("truth"), only_unstable=True)
     g = j.agg(mse.alias("mse"), mabse.alias("mabse"), mse_u.alias("mse_unstable"))
@@ -77,8 +76,8 @@ def goodness_metrics(spark, sf):
     f"(SELECT ({SQL_A['efiITG_GB']}) AS p, efiITG_GB FROM bridge)"))
 def stable_positive_cost(spark, sf):
     """J-05: block and barrier penalties for positive predictions on stable points."""
-    s = S.score(bridge(spark, sf), {"a": NET_A}, keep=("dimx",))
-    j = s.withColumnRenamed("efiITG_GB", "p").join(bridge(spark, sf).select("dimx", "efiITG_GB"), "dimx")
+    j = S.score(bridge(spark, sf).withColumn("truth", F.col("efiITG_GB")), {"a": NET_A}, keep=("dimx", "truth")) \
+        .withColumnsRenamed({"efiITG_GB": "p", "truth": "efiITG_GB"})
     return j.agg(F.round(T.stable_positive(F.col("p"), F.col("efiITG_GB"), 5.0, 0.1, "block"), 6).alias("block"),
                  F.round(T.stable_positive(F.col("p"), F.col("efiITG_GB"), 0.1, 0.1, "barrier"), 6).alias("barrier"))
 
@@ -93,8 +92,8 @@ def weighted_loss(spark, sf):
     from ..operators import weights as W
     b = bridge(spark, sf)
     w = W.weights_job(b, {"ITG": ["scan_id"]})
-    s = S.score(b, {"a": NET_A}, keep=("dimx",)).withColumnRenamed("efiITG_GB", "p")
-    j = s.join(b.select("dimx", "efiITG_GB"), "dimx").join(w, "dimx")
+    s = S.score(b.withColumn("truth", F.col("efiITG_GB")), {"a": NET_A}, keep=("dimx", "truth"))
+    j = s.withColumnsRenamed({"efiITG_GB": "p", "truth": "efiITG_GB"}).join(w, "dimx")
     g = j.agg(*T.goodness(F.col("p"), F.col("efiITG_GB"), weight=F.col("ITGweights").cast("double")))
     return g.select(F.round("mse", 6).alias("mse"), F.round("mabse", 6).alias("mabse"))
 

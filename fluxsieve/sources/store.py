@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import os
 import re
+import re
 from functools import reduce
+from urllib.parse import unquote
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,7 +75,9 @@ def column_map(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
     out = _group(path, prefix, "output")
     if not _exists(spark, out):
         return []
-    return sorted(r["name"] for r in spark.read.parquet(out).select("name").distinct().collect())
+    # partition folders from the file index; no row is read
+    found = {m[1] for f in spark.read.parquet(out).inputFiles() if (m := re.search(r"/name=([^/]+)/", f))}
+    return sorted(unquote(c) for c in found)
 
 
 def filter_column_map(stored: list[str], columns) -> list[str]:
@@ -139,19 +143,15 @@ def assemble(per_col: dict[str, DataFrame], cols, mode: str, how: str, inp: Data
     if mode == "assign":
         return reduce(lambda a, b: a.join(b, key, "left"), [per_col[c] for c in cols])
     if mode == "update":
-        first = per_col[cols[0]]
-        out = first
-        for c in cols[1:]:
-            out = out.join(per_col[c], key, "full")
-        return out
+        return reduce(lambda a, b: update_frames(a, b, key), [per_col[c] for c in cols])
     if mode == "bare":
         if inp is None:
             raise ValueError("mode 'bare' needs the input ids (load_input=True)")
         ids = inp.select(key)
         first = per_col[cols[0]]
-        extra = first.join(ids, key, "left_anti").limit(1).count()
-        if extra:
-            raise ValueError(f"first column {cols[0]} has ids that are not in the input")
+        one_sided = first.select(key).exceptAll(ids).unionAll(ids.exceptAll(first.select(key)))
+        if not one_sided.isEmpty():
+            raise ValueError(f"the ids of {cols[0]} and of the input differ")
         return reduce(lambda a, b: a.join(b, key, "left"), [per_col[c] for c in cols], ids)
     raise ValueError(f"unknown mode {mode!r}")
 
@@ -176,7 +176,7 @@ def put_column(df: DataFrame, name: str, col_df: DataFrame, key: str = "dimx") -
 
 
 # fixed value: the dataset naming grammar
-DATASET_NAME = r"^(unstable_)?(?:(\w+?)_)?gen(\d+)_(\d+)D_(\w+?)_filter(\d+)"
+DATASET_NAME = r"^(unstable_)?(?:(sane|test|training)_)?gen(\d+)_(\d+)D_(.*)_filter(\d+)(?:\.\w+)?$"
 
 
 def parse_dataset_name(col):
