@@ -155,12 +155,12 @@ def grid_equality_slice(spark, sf):
 
 
 @register("grid_constants", with_bridge(
-    " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS VARCHAR) AS value FROM bridge WHERE q = 1e0 "
-                       f"HAVING min({c}) = max({c})" for c in ["Ati", "q", "x", "Machtor"])))
+    " UNION ALL ".join(f"SELECT '{c}' AS name, CAST(min({c}) AS VARCHAR) AS value FROM (SELECT *, 1e0 + 0 * q AS Zeff, "
+                       f"floor(x) AS whole FROM bridge) HAVING min({c}) = max({c})" for c in ["Ati", "q", "x", "Zeff", "whole"])))
 def grid_constants(spark, sf):
-    """B-06: constant columns of a sub-grid moved to a constants table."""
-    sub = bridge(spark, sf).filter("q = 1").select("dimx", "Ati", "q", "x", "Machtor")
-    _rest, consts = grid.metadatize(sub, ["Ati", "q", "x", "Machtor"])
+    """B-06: the columns that never vary moved to a constants table."""
+    whole = bridge(spark, sf).select("dimx", "Ati", "q", "x", (1.0 + 0 * F.col("q")).alias("Zeff"), F.floor("x").cast("double").alias("whole"))
+    _rest, consts = grid.metadatize(whole, ["Ati", "q", "x", "Zeff", "whole"])
     return consts
 
 
