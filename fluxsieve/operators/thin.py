@@ -15,8 +15,8 @@ questions from cell counts alone:
 * clusters are connected components of the graph of core sub-cells (all core
   points of a sub-cell are mutually reachable), with edges from box geometry or,
   for partially overlapping pairs, from core points in the boundary band only;
-* components come from iterated min-label propagation, lineage cut by reliable
-  checkpoints every round.
+* components come from contraction of the cell graph in Spark, each round written
+  to the shared checkpoint folder.
 
 Border points take the smallest label among the clusters of their core
 neighbours (deterministic; the reference's choice is visit-order dependent).
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .components import connected_components
 
 
 # ----------------------------------------------------------------- H-01, H-05, H-09
@@ -95,6 +96,11 @@ def _cell_cols(dims, side):
     return [F.floor(F.col(d) / F.lit(side)).cast("long").alias(f"__c{i}") for i, d in enumerate(dims)]
 
 
+def _cell_name(cols) -> Column:
+    """The cell's coordinates as one value (no two cells share it)."""
+    return F.concat_ws(",", *[F.col(c).cast("string") for c in cols])
+
+
 def _shifted(prefix: str, offs_col: str, n: int):
     return [(F.col(f"__c{i}") + F.col(offs_col)[i]).alias(f"{prefix}{i}") for i in range(n)]
 
@@ -132,9 +138,12 @@ def _with_offsets(df: DataFrame, cols, offs) -> DataFrame:
 
 # ----------------------------------------------------------------- H-02
 
-def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "dimx",
-           max_rounds: int = 200) -> DataFrame:
-    """H-02: ``key, label`` for every point (``-1`` = noise), Euclidean distance on ``dims``,
+#: Label of points in no cluster; a cluster's label is the name of its least core cell.
+NOISE = "noise"
+
+
+def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "dimx") -> DataFrame:
+    """H-02: ``key, label`` for every point (``NOISE`` = in no cluster), Euclidean distance on ``dims``,
     ``dist <= eps`` is a neighbour, a point counts itself."""
     spark = df.sparkSession
     d = len(dims)
@@ -174,7 +183,7 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
     core = core_flag.filter("core")
 
     # --- core sub-cell graph
-    cell_id = F.xxhash64(*[F.col(c) for c in ccols])
+    cell_id = _cell_name(ccols)
     core_cells = core.select(*ccols).distinct().withColumn("__id", cell_id)
     cc_full = _with_offsets(core_cells, ["__id", *ccols], fo).select(F.col("__id").alias("__src"),
                                                                     *_shifted("__n", "o", d))
@@ -182,7 +191,7 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
     e_full = cc_full.join(tgt, [f"__n{i}" for i in range(d)]).select("__src", "__dst")
     # partial pairs: core points within eps of the neighbour box only (boundary band)
     cp = _with_offsets(core, [key, *dims, *ccols], po).select(
-        F.xxhash64(*[F.col(c) for c in ccols]).alias("__src"), *[F.col(x).alias(f"__a_{x}") for x in dims],
+        _cell_name(ccols).alias("__src"), *[F.col(x).alias(f"__a_{x}") for x in dims],
         *_shifted("__n", "o", d))
     box_gap = []
     for i, x in enumerate(dims):
@@ -196,13 +205,13 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
                      *[F.col(c).alias(f"__m{i}") for i, c in enumerate(ccols)])
     # existence only: a semi join stops at the first core point within eps of each probe,
     # instead of producing every close pair between two neighbouring cells
-    cp = cp.withColumn("__dst", F.xxhash64(*[F.col(f"__n{i}") for i in range(d)]))
+    cp = cp.withColumn("__dst", _cell_name([f"__n{i}" for i in range(d)]))
     cond = reduce(lambda u, v: u & v, [F.col(f"__n{i}") == F.col(f"__m{i}") for i in range(d)]) & (
         _dist2([F.col(f"__a_{x}") for x in dims], [F.col(f"__b_{x}") for x in dims]) <= F.lit(eps * eps))
     e_part = cp.join(cq, cond, "left_semi").select("__src", "__dst").distinct()
     edges = cut_lineage(e_full.unionByName(e_part).filter(F.col("__src") != F.col("__dst")))
 
-    labels = connected_components(core_cells.select(F.col("__id").alias("v")), edges, max_rounds)
+    labels = component_labels(core_cells.select(F.col("__id").alias("v")), edges)
     core_lab = core.withColumn("__id", cell_id).join(labels.withColumnRenamed("v", "__id"), "__id") \
         .select(key, F.col("label"))
 
@@ -223,82 +232,19 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
         .filter(_dist2([F.col(f"__a_{x}") for x in dims], [F.col(f"__b_{x}") for x in dims]) <= F.lit(eps * eps)) \
         .select(key, "label")
     border = nb_f.unionByName(nb_p).groupBy(key).agg(F.min("label").alias("label"))
-    noncore_lab = nonc.select(key).join(border, key, "left").select(key, F.coalesce("label", F.lit(-1)).alias("label"))
+    noncore_lab = nonc.select(key).join(border, key, "left").select(key, F.coalesce("label", F.lit(NOISE)).alias("label"))
     return core_lab.unionByName(noncore_lab)
 
 
-DRIVER_GRAPH_LIMIT = 2_000_000   # edges of the (cell) graph solved in one place when below this
-
-
-def _union_find(n_vertices: int, src, dst):
-    """Vectorised min-label propagation with pointer jumping over integer-coded vertices."""
-    import numpy as np
-    lab = np.arange(n_vertices)
-    while True:
-        m = np.minimum(lab[src], lab[dst])
-        new = lab.copy()
-        np.minimum.at(new, src, m)
-        np.minimum.at(new, dst, m)
-        new = new[new]
-        while True:
-            nn = new[new]
-            if np.array_equal(nn, new):
-                break
-            new = nn
-        if np.array_equal(new, lab):
-            return lab
-        lab = new
-
+def component_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Connected components of the core-cell graph: ``(v, label)``, label = smallest vertex of the component.
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200,
-                         local_limit: int = DRIVER_GRAPH_LIMIT) -> DataFrame:
-    """Connected components of the core-cell graph: ``(v, label)``, label = smallest id.
-
-    The cell graph is far smaller than the points.  When its edge count is below
-    ``local_limit`` (checked), it is solved with a vectorised union-find and the
-    labels come back as a small table; otherwise the distributed propagation below runs.
-    """
-    e = edges.select("__src", "__dst").limit(local_limit + 1).toPandas()
-    if len(e) <= local_limit:
-        import numpy as np
-        spark = vertices.sparkSession
-        vs = np.array(sorted(r[0] for r in vertices.select("v").collect()), dtype=np.int64)
-        if len(vs) == 0:
-            return spark.createDataFrame([], "v long, label long")
-        src = np.searchsorted(vs, e["__src"].to_numpy(dtype=np.int64))
-        dst = np.searchsorted(vs, e["__dst"].to_numpy(dtype=np.int64))
-        lab = _union_find(len(vs), src, dst)
-        import pandas as pd
-        return spark.createDataFrame(pd.DataFrame({"v": vs, "label": vs[lab]}))
-    return _propagate_components(vertices, edges, max_rounds)
-
-
-def _propagate_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Min-label propagation with pointer jumping: ``(v, label)``, label = smallest vertex id
-    of the component.
-
-    A round is one join + aggregate on the edge list and one pointer jump; its result
-    is written to the checkpoint folder (lineage cut, cheap recovery) together with a
-    changed flag, so convergence is checked on the small written table.
+    Always solved in Spark, until no link is left (``components.connected_components``).
     """
-    und = edges.select(F.col("__src").alias("a"), F.col("__dst").alias("b")).unionByName(
-        edges.select(F.col("__dst").alias("a"), F.col("__src").alias("b")))
-    lab = vertices.select("v", F.col("v").alias("label"))
-    for _ in range(max_rounds):
-        prop = und.join(lab.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")) \
-            .agg(F.min("label").alias("cand"))
-        new = lab.join(prop, "v", "left").select(
-            "v", F.least("label", F.coalesce("cand", "label")).alias("label"),
-            F.coalesce(F.col("cand") < F.col("label"), F.lit(False)).alias("chg"))
-        jumped = new.alias("n").join(new.select(F.col("v").alias("lv"), F.col("label").alias("ll")),
-                                     F.col("n.label") == F.col("lv"), "left").select(
-            "v", F.least("label", F.coalesce("ll", "label")).alias("label"),
-            (F.col("chg") | F.coalesce(F.col("ll") < F.col("label"), F.lit(False))).alias("chg"))
-        lab = cut_lineage(jumped)
-        if lab.filter("chg").limit(1).count() == 0:
-            return lab.drop("chg")
-        lab = lab.drop("chg")
-    return lab
+    roots = connected_components(edges.select(F.col("__src").alias("a"), F.col("__dst").alias("b")))
+    rooted = cut_lineage(vertices.join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
+                         .select("v", F.coalesce("root", "v").alias("root")))
+    return rooted.join(rooted.groupBy("root").agg(F.min("v").alias("label")), "root").select("v", "label")
 
 
 # ----------------------------------------------------------------- H-03
@@ -310,7 +256,7 @@ def classify_clusters(labels: DataFrame, min_cluster_size: int, reduction_thresh
     j = labels.join(sizes, "label")
     big = F.col("size") > min_cluster_size
     over = F.col("size") > reduction_threshold + 1
-    cls = (F.when(F.col("label") == -1, "toss")
+    cls = (F.when(F.col("label") == NOISE, "toss")
            .when(big & over, "reduce" if reduce_next else "next")
            .when(big, "reduce").otherwise("keep"))
     return j.withColumn("cls", cls)
@@ -338,11 +284,11 @@ def local_density(points: DataFrame, dims, radius: float, key: str = "dimx", clu
                                           F.count(F.lit(1)).alias("npts"))
 
 
-def _lloyd_numpy(X: np.ndarray, init: np.ndarray, k: int, iterations: int) -> tuple[np.ndarray, np.ndarray]:
-    """Deterministic Lloyd iterations from a given initial assignment; returns (centroids, labels).
-    Empty centroids drop out; ties go to the lowest centroid index."""
+def _lloyd_numpy(X: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Deterministic Lloyd iterations from a given initial assignment until no point moves;
+    returns (centroid numbers, centroids).  Empty centroids drop out; ties go to the lowest number."""
     lab = init.copy()
-    for _ in range(iterations):
+    while True:
         ids = np.unique(lab)
         cents = np.stack([X[lab == j].mean(0) for j in ids])
         d = ((X[:, None, :] - cents[None, :, :]) ** 2).sum(-1)
@@ -356,8 +302,7 @@ def _lloyd_numpy(X: np.ndarray, init: np.ndarray, k: int, iterations: int) -> tu
 
 
 def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str = "dimx",
-                    cluster: str = "label", iterations: int = 20, max_centroids: int = 1_000_000,
-                    max_group: int | None = None) -> DataFrame:
+                    cluster: str = "label", max_group: int | None = None) -> DataFrame:
     """H-06: per cluster, the point nearest the *first* centroid of a k-means fit.
 
     k = 1: the centroid is the mean (one aggregate) and the nearest point a ``min_by``.
@@ -366,8 +311,7 @@ def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str
     representative is the point nearest the lowest-index surviving centroid.
     Clusters of at most ``max_group`` points (the reduce class is bounded by the
     reduction threshold) run per cluster in ``applyInPandas``; larger ones run as
-    distributed aggregates with the centroid table broadcast after a size check, so a
-    hot cluster never lands in one task.
+    distributed aggregates, so a hot cluster never lands in one task.
     """
     pk = points.join(k_per_cluster.select(cluster, "k", "npts"), cluster) if "npts" in k_per_cluster.columns \
         else points.join(k_per_cluster.select(cluster, "k"), cluster).withColumn("npts", F.lit(None).cast("long"))
@@ -385,7 +329,7 @@ def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str
         def per_cluster(pdf):
             import pandas as pd
             X = pdf[list(dims)].to_numpy(np.float64)
-            ids, cents = _lloyd_numpy(X, pdf["__j"].to_numpy(), int(pdf["k"].iloc[0]), iterations)
+            ids, cents = _lloyd_numpy(X, pdf["__j"].to_numpy())
             c0 = cents[np.argmin(ids)]
             d = ((X - c0) ** 2).sum(1)
             order = np.lexsort((pdf[key].to_numpy(), d))
@@ -394,25 +338,17 @@ def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str
         out.append(small.select(cluster, key, "k", "__j", *dims).groupBy(cluster).applyInPandas(
             per_cluster, f"{cluster} {dict(points.dtypes)[cluster] if cluster in points.columns else 'long'}, "
                          f"{key} {key_type}"))
-    n_cent = many.select(cluster, "k").distinct().agg(F.sum("k")).first()[0] or 0
-    if n_cent:
-        if n_cent > max_centroids:
-            raise ValueError(f"{n_cent} centroids exceed the broadcast bound {max_centroids}")
-        many = cut_lineage(many)
-        for _ in range(iterations):
-            cents = many.groupBy(cluster, "__j").agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
-            cl = [r.asDict() for r in cents.collect()]  # <= max_centroids rows (checked)
-            cent_df = many.sparkSession.createDataFrame(cl, cents.schema)
-            cand = many.select(key, cluster, "__j", *dims).join(
-                F.broadcast(cent_df.withColumnRenamed("__j", "__c")), cluster) \
+    many = cut_lineage(many)
+    if not many.isEmpty():
+        while True:                                        # until no point moves
+            cents = many.groupBy(cluster, F.col("__j").alias("__c")).agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
+            cand = many.select(key, cluster, "__j", *dims).join(cents, cluster) \
                 .withColumn("__d", _dist2([F.col(x) for x in dims], [F.col(f"__m_{x}") for x in dims]))
             best = cand.groupBy(key).agg(F.min_by("__c", F.struct("__d", "__c")).alias("__nj"))
-            nxt = cut_lineage(many.join(best, key).withColumn("__chg", F.col("__nj") != F.col("__j")))
+            nxt = cut_lineage(many.drop("__chg").join(best, key).withColumn("__chg", F.col("__nj") != F.col("__j")))
             many = nxt.drop("__j").withColumnRenamed("__nj", "__j")
-            if nxt.filter("__chg").limit(1).count() == 0:
+            if nxt.filter("__chg").isEmpty():
                 break
-            many = many.drop("__chg")
-        many = many.drop("__chg") if "__chg" in many.columns else many
         cents = many.groupBy(cluster, "__j").agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
         first = cents.groupBy(cluster).agg(F.min_by(F.struct(*[f"__m_{x}" for x in dims]), "__j").alias("__f")) \
             .select(cluster, *[F.col(f"__f.__m_{x}").alias(f"__m_{x}") for x in dims])
@@ -439,7 +375,6 @@ class ThinSettings:
     unit_variance: bool = False
     final_pass_keeps_rest: bool = False
     eps_step: float = 0.05
-    max_iter: int = 10000
 
 
 def _reduce(scaled: DataFrame, classes: DataFrame, s: ThinSettings, radius: float, key: str) -> DataFrame:
@@ -475,7 +410,7 @@ def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx") -> Data
         lab = dbscan(cur, s.dims, eps, s.min_samples, key)
         # materialise once, then check on the written table (the labels are not recomputed)
         cls = cut_lineage(classify_clusters(lab, s.min_cluster_size, s.reduction_threshold, reduce_next))
-        if cls.filter(F.col("label") != -1).limit(1).count() == 0:
+        if cls.filter(F.col("label") != NOISE).limit(1).count() == 0:
             return None
         return cls
 
@@ -486,7 +421,7 @@ def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx") -> Data
     kept.append(_reduce(scaled, cls, s, s.initial_eps, key).select(key))
     cur = cut_lineage(scaled.join(cls.filter(F.col("cls") == "next").select(key), key))
     eps = s.initial_eps
-    for _ in range(s.max_iter):
+    while True:                                            # eps falls each pass, so this ends at min_eps
         cls = run(cur, eps)
         if cls is None:
             break

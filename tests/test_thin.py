@@ -37,7 +37,7 @@ def as_partition(ids, labels):
     groups = {}
     for i, l in zip(ids, labels):
         groups.setdefault(l, set()).add(i)
-    noise = groups.pop(-1, set())
+    noise = groups.pop(-1, set()) | groups.pop(thin.NOISE, set())
     return noise, sorted(sorted(g) for g in groups.values())
 
 
