@@ -31,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import cut_lineage, ship_package
 from . import common as C
-from .components import connected_components
 
 BITS = 64
 

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxsieve.llm import chat, components, mixing, ordinal, quality_rules, queries, simhash, voronoi
+from fluxsieve.llm import chat, mixing, ordinal, quality_rules, queries, simhash, voronoi
+from fluxsieve.operators import components
 from tests.oracle import compare, duck
 
 from . import brute
