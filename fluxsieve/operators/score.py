@@ -252,6 +252,41 @@ def committee_product(x: Column, ex: Column, y: Column, ey: Column) -> tuple[Col
 _RECIPE = re.compile(r"^\s*nn(\d+)\s*([*/+-])\s*nn(\d+)\s*$")
 
 
+def committee_product_set(x: list[tuple[Column, Column]], y: list[tuple[Column, Column]], bounds_x=(None, None),
+                          bounds_y=(None, None)) -> list[tuple[Column, Column]]:
+    """I-10 for committees of several targets, as (value, error) pairs: values are clipped to their committee's
+    bounds first; the narrower committee is padded with zeros to the width of the wider one."""
+    def padded(pairs, bounds, n):
+        own = [(clip(v, *bounds), e) for v, e in pairs]
+        return own + [(F.lit(0.0), F.lit(0.0))] * (n - len(own))
+    n = max(len(x), len(y))
+    return [committee_product(a, ea, b, eb) for (a, ea), (b, eb) in zip(padded(x, bounds_x, n), padded(y, bounds_y, n))]
+
+
+def self_combine(outputs: dict[str, Column], combo, indices: list[list[str | None]]) -> list[Column]:
+    """I-07: new targets from the outputs of one network: ``combo`` of the named outputs, or the first of them
+    as it is where a ``None`` stands among the names."""
+    unknown = {n for names in indices for n in names if n is not None} - set(outputs)
+    if unknown:
+        raise KeyError(f"not among the network's targets: {sorted(unknown)}")
+    return [outputs[names[0]] if None in names else combo(*[outputs[n] for n in names]) for names in indices]
+
+
+def layered(outputs: dict[str, Column], gamma0: Column, x: Column, q: Column, smag: Column, gammaE_GB: Column,
+            leading: dict[str, str] | None = None) -> dict[str, Column]:
+    """I-14: the layers of a stacked set of flux networks with a growth-rate network: each flux is 0 where its
+    mode's leading flux is not positive (inferred), then pure fluxes without ETG are scaled by the rotation rule."""
+    leading = leading or {"ITG": "efiITG_GB", "TEM": "efeTEM_GB", "ETG": "efeETG_GB"}
+    factor = rotation_rule_factor(gamma0, x, q, smag, gammaE_GB)
+    out = {}
+    for name, c in outputs.items():
+        mode = N.parse(name).parts[0].mode
+        lead = outputs.get(leading.get(mode, ""))
+        c = c if lead is None else F.when(c.isNotNull() & (lead <= 0), F.lit(0.0)).otherwise(c)
+        out[name] = c * factor if N.is_pure_flux(name) and mode != "ETG" else c
+    return out
+
+
 def combine(recipe: str, members: list[Column]) -> Column | list[Column]:
     """I-06 / L-08: whitelisted recipes ``nnA <op> nnB`` and ``np.hstack(args)`` (no eval)."""
     if recipe.replace(" ", "") in ("np.hstack(args)", "stack"):
@@ -282,11 +317,12 @@ Q_E = 1.602176565e-19
 
 def rotation_rule_factor(gamma0: Column, x: Column, q: Column, smag: Column, gammaE_GB: Column) -> Column:
     """I-15: ``max(0, 1 + f * gammaE / max(gamma0, 1e-4))`` with ``f = 0.13 q + 0.09 / eps + 0.41 s - 1.65``,
-    ``eps = x / 3``; 0 where gamma0 is at (or below) the floor."""
+    ``eps = x / 3``; 0 where gamma0 is at (or below) the floor.  On the axis (``x = 0``) the inverse aspect ratio
+    has no value, so neither has the factor: missing there, unless the floor rule gives 0."""
     eps = x * F.lit(R_MIN / R_0)
-    f = F.lit(ROTATION_RULE_C[0]) * q + F.lit(ROTATION_RULE_C[1]) / eps + F.lit(ROTATION_RULE_C[2]) * smag + F.lit(ROTATION_RULE_C[3])
+    f = F.lit(ROTATION_RULE_C[0]) * q + F.try_divide(F.lit(ROTATION_RULE_C[1]), eps) + F.lit(ROTATION_RULE_C[2]) * smag + F.lit(ROTATION_RULE_C[3])
     g0 = F.greatest(gamma0, F.lit(GAMMA0_FLOOR))
-    fac = F.greatest(F.lit(1.0) + f * gammaE_GB / g0, F.lit(0.0))
+    fac = F.when(f.isNotNull(), F.greatest(F.lit(1.0) + f * gammaE_GB / g0, F.lit(0.0)))
     return F.when(g0 == F.lit(GAMMA0_FLOOR), F.lit(0.0)).otherwise(fac)
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grid
+from ..operators.slices import axis_positions
 from ..sources.bridge import read_table
 from .checks import bridge, register, with_bridge
 
@@ -115,13 +116,9 @@ def grid_axis_index(spark, sf):
     return grid.axis_index(b, ["Ate", "An", "x"]).select("id", "dimx")
 
 
-K_AXIS = [0.5 * i for i in range(1, 8)]
-
-
 @register("grid_unfold", _grid(
     "SELECT m.point, k.kthetarhos, max(m.gam_GB) AS gam_GB, max(m.ome_GB) AS ome_GB FROM "
-    "(SELECT DISTINCT point FROM modes) p CROSS JOIN (SELECT unnest([" + ", ".join(repr(v) for v in K_AXIS) +
-    "]) AS kthetarhos) k LEFT JOIN modes m ON m.point = p.point AND m.kthetarhos = k.kthetarhos "
+    "(SELECT DISTINCT point FROM modes) p CROSS JOIN (SELECT DISTINCT kthetarhos FROM modes) k LEFT JOIN modes m ON m.point = p.point AND m.kthetarhos = k.kthetarhos "
     "GROUP BY p.point, k.kthetarhos, m.point", MODES_SQL).replace(
     "SELECT m.point,", "SELECT p.point,"))
 def grid_unfold(spark, sf):
@@ -129,10 +126,11 @@ def grid_unfold(spark, sf):
     m = modes(spark, sf).groupBy("point", "kthetarhos").agg(F.max("gam_GB").alias("g"), F.max("ome_GB").alias("o"))
     arr = m.groupBy("point").agg(F.map_from_entries(F.collect_list(F.struct("kthetarhos", F.struct("g", "o"))))
                                  .alias("mp"))
-    axis = F.array(*[F.lit(v) for v in K_AXIS])
+    levels = [r[0] for r in axis_positions(m, "kthetarhos")[0].orderBy("__pos").collect()]     # a grid axis
+    axis = F.array(*[F.lit(v) for v in levels])
     wide = arr.select("point", F.transform(axis, lambda k: F.element_at(F.col("mp"), k)["g"]).alias("gam_GB"),
                       F.transform(axis, lambda k: F.element_at(F.col("mp"), k)["o"]).alias("ome_GB"))
-    return grid.unfold_arrays(wide, ["point"], "kthetarhos", K_AXIS, ["gam_GB", "ome_GB"])
+    return grid.unfold_arrays(wide, ["point"], "kthetarhos", levels, ["gam_GB", "ome_GB"])
 
 
 @register("grid_nearest", with_bridge(

@@ -40,6 +40,9 @@ class JobPreset:
 
 # fixed values: presets of the reference's jobs
 PRESET_9D = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0, 50.0, 0), (0.0, 100.0 / 3.0), masks.DIV_BOUNDS_9D)
+ROTATION = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0, 50.0, 1), (0.0, 100.0), masks.DIV_BOUNDS_9D)
+EDGE6 = JobPreset(SanityPreset(50.0, 1.5, 1e-4, 50.0, 50.0, 0), None, masks.DIV_BOUNDS_9D)
+EDGE7 = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0), None, {})
 EDGE8 = JobPreset(SanityPreset(1.5, 1.5, 1e-4), None, {})
 GEN2 = JobPreset(SanityPreset(1.5, 1.5, 1e-4, 50.0, 50.0, 0), (0.0, 100.0), {})
 
@@ -90,11 +93,80 @@ def grid_to_store(modes: DataFrame, ions: DataFrame, points: DataFrame, scan_dim
     return merged
 
 
-def edge_job(points: DataFrame, *, slice_features, sliced_dim: str = "At", preset: JobPreset = EDGE8,
-             modes=("ITG", "TEM", "ETG"), patience: int = 6, key: str = "dimx", seed=42) -> CurationResult:
-    """M-03 / M-04: drop unit copies and rotation fluxes, the slice breakdown mask (D-05) for
-    every mode in one window pass, then the curation of :func:`curate`."""
-    from ..operators import grid, slices
-    d = grid.remove_rotation(grid.drop_si(points))
+def _sane(points: DataFrame, preset: JobPreset) -> DataFrame:
+    """The preset's sanity chain and regime, materialised (it feeds several outputs)."""
+    q = preset.sanity
+    chain = filters.sanity_chain(q.septot_factor, q.ambi_bound, q.femto_bound, cke_bound=q.cke_bound, cki_bound=q.cki_bound,
+                                 ambipolar_version=q.ambipolar_version)
+    if preset.regime is not None:
+        chain.steps.append(filters.Step("regime", filters.regime_ok(*preset.regime)))
+    return cut_lineage(chain.apply(points))
+
+
+def _simulator_points(points: DataFrame) -> DataFrame:
+    from ..operators import grid
+    return grid.remove_rotation(grid.drop_si(points))
+
+
+def rotation_job(points: DataFrame, *, features, preset: JobPreset = ROTATION, key: str = "dimx", seed=42) -> DataFrame:
+    """M-01: sanity and regime, targets relative to the point without rotation (E-04), split, D-01, D-03."""
+    sets = split.test_flag(derive.rotdiv(_sane(points, preset), list(features)), preset.test_fraction, seed=seed, key=key)
+    return masks.div_bounds_mask(masks.stability_mask(sets), preset.div_bounds)
+
+
+def edge6_job(points: DataFrame, *, slice_features, sliced_dim: str = "At", preset: JobPreset = EDGE6,
+              modes=("ITG", "TEM", "ETG"), patience: int = 6, key: str = "dimx", seed=42) -> DataFrame:
+    """M-03: unit copies and rotation fluxes dropped, slice breakdown (D-05), sanity, split, D-01, then E-01 and D-03."""
+    from ..operators import slices
+    d = slices.breakdown_mask(_simulator_points(points), list(slice_features), sliced_dim, modes=modes, patience=patience, key=key)
+    sets = masks.stability_mask(split.test_flag(_sane(d, preset), preset.test_fraction, seed=seed, key=key))
+    return masks.div_bounds_mask(derive.divsum(sets, list(preset.divnames), skip_missing=True), preset.div_bounds)
+
+
+def edge7_job(points: DataFrame, *, slice_features, sliced_dim: str = "At", preset: JobPreset = EDGE7,
+              modes=("ITG", "TEM", "ETG"), patience: int = 6, key: str = "dimx", seed=42) -> DataFrame:
+    """M-04: E-01 before the sanity chain, slice breakdown after it, then split and D-01."""
+    from ..operators import slices
+    d = _sane(derive.divsum(_simulator_points(points), list(preset.divnames), skip_missing=True), preset)
     d = slices.breakdown_mask(d, list(slice_features), sliced_dim, modes=modes, patience=patience, key=key)
-    return curate(d, preset=preset, key=key, seed=seed)
+    return masks.stability_mask(split.test_flag(d, preset.test_fraction, seed=seed, key=key))
+
+
+def edge8_job(points: DataFrame, *, preset: JobPreset = EDGE8, key: str = "dimx", seed=42) -> DataFrame:
+    """M-05: repeated rows dropped, E-01, incomplete rows dropped (C-16), sanity, split, D-01."""
+    prepared = cut_lineage(derive.divsum(points.dropDuplicates(), list(preset.divnames), skip_missing=True))   # the saved copy
+    d = filters.drop_nulls(prepared)
+    return masks.stability_mask(split.test_flag(_sane(d, preset), preset.test_fraction, seed=seed, key=key))
+
+
+def gen2_job(points: DataFrame, *, preset: JobPreset = GEN2, key: str = "dimx", seed=42) -> DataFrame:
+    """M-06: the gen2 chain (row filters only), regime, split, masks from growth rates (D-02)."""
+    q = preset.sanity
+    chain = filters.sanity_chain_gen2(q.cke_bound, q.septot_factor, q.ambi_bound, q.femto_bound)
+    chain.steps.append(filters.Step("regime", filters.regime_ok(*preset.regime)))
+    return masks.growth_stability_mask(split.test_flag(cut_lineage(chain.apply(points)), preset.test_fraction, seed=seed, key=key))
+
+
+def split_dims(inp: DataFrame, data: DataFrame, levels: list[dict[str, float]], path: str, key: str = "dimx") -> list[str]:
+    """G-04: the nested sub-dimension sets (all but the largest) as stores ``<path>/<n features>D``, with the
+    outputs of their points and the sliced values as constants."""
+    from ..sources import store
+    out = []
+    for ids, features, consts in split.nested_split(inp, levels, key):
+        folder = f"{path}/{len(features.columns) - 1}D"
+        store.save_dataset(store.Dataset(features, data.join(ids, key, "left_semi"), consts), folder)
+        out.append(folder)
+    return out
+
+
+def prepare_grid(modes: DataFrame, ions: DataFrame, points: DataFrame, scan_dims, *, gen2: bool = False, ion: int = 0):
+    """B-28 / B-29: flags (B-10, B-11; gen2 B-12), ambipolarity (B-15; gen2 B-16), merged (B-01), particle fluxes and
+    pinches where their parts are there (B-18, B-19), rotation fluxes and unit copies dropped, growth rates apart (B-22),
+    one ion (B-05), constant columns apart (B-06).  Returns (points, growth rates, constants)."""
+    from ..operators import grid
+    flags = (grid.stability_flags_gen2 if gen2 else grid.stability_flags)(modes, scan_dims)
+    merged = grid.merge_groups(flags, grid.ambipolarity(ions, points, scan_dims, absolute=gen2), scan_dims, dedupe=False)
+    merged = grid.merge_groups(merged, grid.pick_ion(ions, ion), scan_dims, dedupe=False)
+    full = _simulator_points(grid.sum_pinches(grid.fill_particle_fluxes(merged, always=gen2)))
+    rest, consts = grid.metadatize(full, [c for c in full.columns if c not in set(scan_dims)])
+    return rest, modes.select(*scan_dims, *[c for c in ("kthetarhos", "numsols", "gam_GB", "ome_GB") if c in modes.columns]), consts

@@ -278,3 +278,45 @@ def formatted_summary(spark, sf):
     """R-12: mean and spread as labels."""
     g = bridge(spark, sf).groupBy("q").agg(F.avg("efi_GB").alias("efi_GB"), F.stddev_samp("efi_GB").alias("efi_GB_std"))
     return report.formatted_summary(g, ["efi_GB"], digits=2).select("q", "efi_GB_label")
+
+
+_AB = {"efeITG_GB": "(q * Ati)", "efiITG_GB": "(Ati - 2e1)", "efeTEM_GB": "(An - 4e0)", "pfeTEM_GB": "(x * 3e0)", "efeETG_GB": "(Ate - 5e0)"}
+
+
+def _outputs(df):
+    return {"efeITG_GB": F.col("q") * F.col("Ati"), "efiITG_GB": F.col("Ati") - 20.0, "efeTEM_GB": F.col("An") - 4.0,
+            "pfeTEM_GB": F.col("x") * 3.0, "efeETG_GB": F.col("Ate") - 5.0}
+
+
+@register("score_self_combo", with_bridge(f"SELECT dimx, {_AB['efeITG_GB']} * {_AB['efiITG_GB']} AS a, {_AB['efeTEM_GB']} AS b FROM bridge"))
+def score_self_combo(spark, sf):
+    """I-07: products of one network's outputs, and one passed through."""
+    b = bridge(spark, sf)
+    a, c = S.self_combine(_outputs(b), lambda x, y: x * y, [["efeITG_GB", "efiITG_GB"], ["efeTEM_GB", None]])
+    return b.select("dimx", a.alias("a"), c.alias("b"))
+
+
+@register("score_committee_product_padded", with_bridge(
+    "SELECT dimx, round(greatest(least(Ati, 3e1), 5e0) * An, 9) AS v0, round(sqrt(power(greatest(least(Ati, 3e1), 5e0) * x, 2) + power(q * An, 2)), 9) AS e0, "
+    "greatest(least(Ate, 3e1), 5e0) * 0e0 AS v1, 0e0 * An AS e1 FROM bridge"))
+def score_committee_product_padded(spark, sf):
+    """I-10: two targets times one, clipped on one side, padded with zeros on the other."""
+    b = bridge(spark, sf)
+    (v0, e0), (v1, e1) = S.committee_product_set([(F.col("Ati"), F.col("q")), (F.col("Ate"), F.col("q"))], [(F.col("An"), F.col("x"))],
+                                                 bounds_x=(5.0, 30.0))
+    return b.select("dimx", F.round(v0, 9).alias("v0"), F.round(e0, 9).alias("e0"), v1.alias("v1"), e1.alias("e1"))
+
+
+_FAC = ("(CASE WHEN g0 = 1e-4 THEN 0e0 WHEN x <> 0 THEN greatest(1e0 + (0.13 * q + 0.09 / (x * (1e0 / 3e0)) + 0.41 * (An / 4e0) + -1.65) "
+        "* (Machtor * 2e0 - 1e-1) / g0, 0e0) END)")
+_LEAD = {"efeITG_GB": "efiITG_GB", "efiITG_GB": "efiITG_GB", "efeTEM_GB": "efeTEM_GB", "pfeTEM_GB": "efeTEM_GB", "efeETG_GB": "efeETG_GB"}
+
+
+@register("score_layered", with_bridge(
+    "SELECT dimx, " + ", ".join(f"round((CASE WHEN {_AB[lead]} <= 0 THEN 0e0 ELSE {_AB[n]} END)" + ("" if "ETG" in n else f" * {_FAC}") + f", 9) AS {n}"
+                               for n, lead in _LEAD.items()) + " FROM (SELECT *, greatest(Ate / 1e1, 1e-4) AS g0 FROM bridge)"))
+def score_layered(spark, sf):
+    """I-14: stacked fluxes, leading-flux clipping, rotation rule."""
+    b = bridge(spark, sf)
+    out = S.layered(_outputs(b), F.col("Ate") / 10.0, F.col("x"), F.col("q"), F.col("An") / 4.0, F.col("Machtor") * 2.0 - 0.1)
+    return b.select("dimx", *[F.round(c, 9).alias(n) for n, c in out.items()])

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import score as S
+from ..operators import join, score as S
 from .checks import bridge, register, with_bridge
 
 FEATS = ["Ati", "Ate", "An", "q", "x"]
@@ -110,16 +110,16 @@ def score_divnet_leading(spark, sf):
 def _rotation_rule_sql():
     g0 = f"greatest({SQL_GAM['gam_leq_GB']}, 1e-4)"
     f = "(0.13 * q + 0.09 / (x * (1e0 / 3e0)) + 0.41 * smag + -1.65)"
-    fac = f"(CASE WHEN {g0} = 1e-4 THEN 0e0 ELSE greatest(1e0 + {f} * gammaE_GB / {g0}, 0e0) END)"
+    fac = f"(CASE WHEN {g0} = 1e-4 THEN 0e0 WHEN x <> 0 THEN greatest(1e0 + {f} * gammaE_GB / {g0}, 0e0) END)"
     return fac
 
 
 @register("score_rotation_rule", with_bridge(
     f"SELECT dimx, round({SQL_A['efiITG_GB']} * {_rotation_rule_sql()}, 6) AS efiITG_GB FROM "
-    "(SELECT *, An / 4e0 AS smag, Machtor * 2e0 - 1e-1 AS gammaE_GB FROM bridge) WHERE x > 0"))
+    "(SELECT *, An / 4e0 AS smag, Machtor * 2e0 - 1e-1 AS gammaE_GB FROM bridge)"))
 def score_rotation_rule(spark, sf):
     """I-15: rotation rule applied to a flux network with a growth-rate network."""
-    b = bridge(spark, sf).filter("x > 0").withColumns(
+    b = bridge(spark, sf).withColumns(
         {"smag": F.col("An") / 4.0, "gammaE_GB": F.col("Machtor") * 2.0 - 0.1})
     s = S.score(b, {"flux": NET_A, "gam": NET_GAM}, keep=("dimx", "x", "q", "smag", "gammaE_GB"))
     fac = S.rotation_rule_factor(F.col("gam__gam_leq_GB"), F.col("x"), F.col("q"), F.col("smag"), F.col("gammaE_GB"))
@@ -230,7 +230,7 @@ def pivot_table(spark, sf):
     """I-20: Ate x An table of the mean flux."""
     from ..functions.numeric import exact_mean
     b = bridge(spark, sf).groupBy("Ate", "An").agg(exact_mean(F.col("efiITG_GB"), 2).alias("m"))
-    p = b.groupBy("Ate").pivot("An", [float(v) for v in range(0, 9)]).agg(F.first("m"))
+    p = b.groupBy("Ate").pivot("An").agg(F.first("m"))                 # the levels are those of the data
     return p.select("Ate", *[_r(F.col(f"`{c}`")).alias(c) for c in p.columns if c != "Ate"])
 
 
@@ -241,31 +241,17 @@ def match_nearness(spark, sf):
     """I-21 / C-22: band join of scan values to grid values by closeness (bucket equi-join + exact test)."""
     b = bridge(spark, sf).select("dimx", "Ati")
     g = b.select((F.col("Ati") * 1.0004).alias("v")).distinct()
-    return band_join(b, "Ati", g, "v", atol=1e-8, rtol=1e-3).select("dimx", F.col("v").alias("grid_value"))
-
-
-def band_join(left, lcol, right, rcol, atol, rtol, width=None):
-    """Join rows whose values are close (``|l - r| <= atol + rtol |r|``): both sides are
-    bucketed by ``floor(value / width)`` and joined on equal or neighbouring buckets
-    (an equi-join; the right side is replicated to 3 buckets), then tested exactly."""
-    if width is None:
-        mx = right.agg(F.max(F.abs(F.col(rcol)))).first()[0] or 1.0
-        width = 2.0 * (atol + rtol * mx) + 1e-12
-    lb = left.withColumn("__bk", F.floor(F.col(lcol) / width).cast("long"))
-    rb = right.withColumn("__bk0", F.floor(F.col(rcol) / width).cast("long")) \
-        .withColumn("__bk", F.explode(F.array(F.col("__bk0") - 1, F.col("__bk0"), F.col("__bk0") + 1))).drop("__bk0")
-    cond = F.abs(F.col(lcol) - F.col(rcol)) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col(rcol))
-    return lb.join(rb, "__bk").filter(cond).drop("__bk")
+    return join.band_join(b, "Ati", g, "v", atol=1e-8, rtol=1e-3).select("dimx", F.col("v").alias("grid_value"))
 
 
 @register("compare_with_without_rule", with_bridge(
     f"SELECT dimx, round({SQL_A['efiITG_GB']} * {_rotation_rule_sql()}, 6) AS efiITG_GB_with, "
     f"round({SQL_A['efiITG_GB']}, 6) AS efiITG_GB_without FROM "
-    "(SELECT *, An / 4e0 AS smag, Machtor * 2e0 - 1e-1 AS gammaE_GB FROM bridge) WHERE x > 0"))
+    "(SELECT *, An / 4e0 AS smag, Machtor * 2e0 - 1e-1 AS gammaE_GB FROM bridge)"))
 def compare_with_without_rule(spark, sf):
     """R-15: scores with and without the rotation rule side by side on the id."""
-    from ..operators import report
-    with_rule = score_rotation_rule(spark, sf)
-    b = bridge(spark, sf).filter("x > 0")
-    without = S.score(b, {"a": NET_A}).select("dimx", _r(F.col("efiITG_GB")).alias("efiITG_GB"))
-    return report.compare_with_without(with_rule, without)
+    b = bridge(spark, sf).withColumns({"smag": F.col("An") / 4.0, "gammaE_GB": F.col("Machtor") * 2.0 - 0.1})
+    s = S.score(b, {"flux": NET_A, "gam": NET_GAM}, keep=("dimx", "x", "q", "smag", "gammaE_GB"))   # scored once, both columns from it
+    fac = S.rotation_rule_factor(F.col("gam__gam_leq_GB"), F.col("x"), F.col("q"), F.col("smag"), F.col("gammaE_GB"))
+    flux = F.col("flux__efiITG_GB")
+    return s.select("dimx", _r(flux * fac).alias("efiITG_GB_with"), _r(flux).alias("efiITG_GB_without"))
