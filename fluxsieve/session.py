@@ -41,12 +41,16 @@ def local_session(cpus: int | str = "*", app: str = "fluxsieve", shuffle_partiti
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS / object store) folder there; it is used as
-    it is.  Only when it is unset (local tests) a fresh scratch folder is set.
+    A cluster names a shared (HDFS / object store) folder there; it is used as it is.  Only a
+    ``local[...]`` session, whose tasks run in the driver's own process, may leave it unset (as tests
+    do) and gets a scratch folder; on a cluster an unset folder is an error, since executors would
+    each write to their own disk.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="fluxsieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not sc.getCheckpointDir():
@@ -54,21 +58,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+_CUTS: dict[str, list[str]] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 
     This cuts the lineage (iterative jobs keep a small plan, and a lost executor
     only costs re-reading files, not recomputing the history) and gives the
     optimizer real file sizes.  Never ``localCheckpoint``: executor-local blocks die
-    with the executor.
+    with the executor.  :func:`drop_cut_tables` deletes the tables when a job has ended.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
+def drop_cut_tables(spark: SparkSession) -> int:
+    """Delete the tables that this application's :func:`cut_lineage` calls wrote; for the end of a job, when
+    no DataFrame that reads them is used any more.  Returns how many there were."""
+    paths = _CUTS.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -96,3 +96,41 @@ def test_grid_summary_and_labels(spark):
     df = spark.createDataFrame([(1, 8, 0.5), (2, 8, 0.7), (3, 16, None)], "id long, nodes int, rms double")
     g = report.formatted_summary(report.grid_summary(df, ["nodes"], ["rms"]), ["rms"]).collect()
     assert len(g) == 1 and list(g[0].ids) == [1, 2] and g[0].rms_label == "0.600 +- 0.141"
+
+
+def test_cut_tables_are_dropped(spark):
+    from fluxsieve.session import cut_lineage, drop_cut_tables
+    drop_cut_tables(spark)
+    df = cut_lineage(spark.range(10))
+    folder = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert df.count() == 10 and os.path.isdir(folder)
+    assert drop_cut_tables(spark) == 1 and not os.path.exists(folder)
+
+
+def test_ranges_reach_the_scan(spark, tmp_path):
+    """cke, cki, absambi and the regime are pushed to a stored table's scan, alone and inside the chain."""
+    from fluxsieve.operators import filters
+    cols = ["cke", "cki", "absambi", "efe_GB", "efi_GB"]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    spark.range(100).select(F.col("id").alias("dimx"), *[F.col("id").cast("double").alias(c) for c in cols]).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+
+    def pushed(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return " ".join(line for line in plan.splitlines() if "PushedFilters" in line)
+    for pred, names in ((filters.cke_ok(50.0), ["cke"]), (filters.ck_ok(50.0), ["cke", "cki"]), (filters.ambipolar_ok(1.5, 0), ["absambi"]),
+                        (filters.ambipolar_ok(1.5, 1), ["absambi"]), (filters.regime_ok(0.0, 30.0), ["efe_GB", "efi_GB"])):
+        text = pushed(filters.apply(t, pred))
+        assert all(f"LessThan({n}," in text for n in names), text
+    chain = filters.sanity_chain(1.5, 1.5, 1e-4, cke_bound=50.0, cki_bound=50.0, ambipolar_version=0)
+    text = pushed(chain.apply(t))
+    assert all(f"LessThan({n}," in text for n in ("cke", "cki", "absambi")), text
+
+
+def test_missing_stored_filter_is_none(spark, tmp_path):
+    from fluxsieve.operators import filters
+    assert filters.load_stored_filter(spark, f"{tmp_path}/none") is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        filters.load_stored_filter(spark, f"{tmp_path}/broken").collect()
