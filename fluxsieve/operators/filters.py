@@ -38,7 +38,7 @@ def _ranges(*bounds: tuple[str, str, float]) -> Pred:
 
     def test(df, r=F.col):
         return true_or_false(all_of(ops[op](r(c), v) for c, op, v in bounds))
-    test.plain = [ops[op](F.col(c), F.lit(float(v))) for c, op, v in bounds]
+    test.plain = lambda: [ops[op](F.col(c), F.lit(float(v))) for c, op, v in bounds]
     test.reads = {c for c, _, _ in bounds}
     return test
 
@@ -163,7 +163,7 @@ def regime_ok(geq: float, less: float) -> Pred:
 # ---------------------------------------------------------------- wrappers
 
 def apply(df: DataFrame, pred: Pred) -> DataFrame:
-    return df.filter(all_of(pred.plain) if hasattr(pred, "plain") else pred(df))
+    return df.filter(all_of(pred.plain()) if hasattr(pred, "plain") else pred(df))
 
 
 def regime_filter(df: DataFrame, geq: float, less: float) -> DataFrame:
@@ -273,7 +273,7 @@ class SanityChain:
             plain = not moving and s.pred is not None and hasattr(s.pred, "plain") and not s.pred.reads & rewritten
             (early if plain else rest).append(s)
         if early:
-            df = df.filter(all_of(c for s in early for c in s.pred.plain))
+            df = df.filter(all_of(c for s in early for c in s.pred.plain()))
         flagged, names = SanityChain(rest).flags(df, key)
         if not names:
             return flagged

@@ -26,3 +26,14 @@ def test_every_sql_query_registered():
 def test_oracle_fast(spark, sf_small, con_small, name):
     ok, msg = compare(E.queries()[name](spark, sf_small), con_small, E.oracle_sql()[name])
     assert ok, msg
+
+
+def test_queries_listed_without_a_session():
+    """The names can be read in a process that has no Spark session."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"],
+                         cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr[-500:]
