@@ -181,3 +181,11 @@ def leading_flag(target_col: str = "target") -> Column:
 __all__ = ["similar_topology", "similar_networkpar", "pure_partners", "divsum_candidates", "compose_from_ratio",
            "leaves", "recursive_attribute", "best_per_target_set", "unprocessed", "no_elements_in_list",
            "any_element_in_list", "distinct_targets", "N"]
+
+
+def register_documents(documents: DataFrame) -> DataFrame:
+    """L-01: network documents (``store.network_documents``) as registry rows; a document's file is its id."""
+    return documents.select(
+        F.col("file").alias("source"), "feature_names", "target_names", "hidden_activation", "output_activation",
+        F.size("hidden_activation").alias("n_hidden"),
+        (F.size(F.map_keys("prescale_factor")) == F.size("feature_names") + F.size("target_names")).alias("complete"))

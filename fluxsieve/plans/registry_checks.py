@@ -212,3 +212,28 @@ def grid_summary(spark, sf):
     g = report.grid_summary(reg, ["nodes", "cost_l2_scale"], ["rms"], decimals=4)
     return g.select("nodes", "cost_l2_scale", "ids", F.round("rms", 6).alias("rms"),
                     F.round("rms_std", 6).alias("rms_std"))
+
+
+@register("registry_from_folder", "WITH g AS (SELECT p_size, min(p_partkey) AS k FROM part GROUP BY p_size) "
+          "SELECT 'net-' || p_size AS network, ['Ati', 'q'] AS feature_names, [CASE WHEN k % 2 = 0 THEN 'efiITG_GB' ELSE 'efeTEM_GB' END] AS target_names, "
+          "CASE WHEN p_size % 5 = 0 THEN ['relu', 'relu'] ELSE ['tanh'] END AS hidden_activation, 'none' AS output_activation, "
+          "CASE WHEN p_size % 5 = 0 THEN 2 ELSE 1 END AS n_hidden, k % 3 <> 0 AS complete FROM g")
+def registry_from_folder(spark, sf):
+    """A-20 / L-01: a folder of network documents (one for each part size) read and registered."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.store import network_documents
+    g = read_table(spark, sf, "part").groupBy("p_size").agg(F.min("p_partkey").alias("k"))
+    target = F.when(F.col("k") % 2 == 0, "efiITG_GB").otherwise("efeTEM_GB")
+    scales = F.map_concat(F.create_map(F.lit("Ati"), F.lit(0.1), F.lit("q"), F.lit(0.1)),
+                          F.when(F.col("k") % 3 != 0, F.create_map(target, F.lit(0.2))).otherwise(F.create_map().cast("map<string,double>")))
+    doc = F.struct(_arr(["Ati", "q"]).alias("feature_names"), F.array(target).alias("target_names"),
+                   F.when(F.col("p_size") % 5 == 0, _arr(["relu", "relu"])).otherwise(_arr(["tanh"])).alias("hidden_activation"),
+                   F.lit("none").alias("output_activation"), scales.alias("prescale_factor"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/networks-{uuid.uuid4().hex}"
+    g.select(F.concat(F.lit("net-"), F.col("p_size").cast("string")).alias("network"), doc.alias("d")) \
+        .select("network", "d.*").write.partitionBy("network").json(path)
+    out = R.register_documents(network_documents(spark, path))
+    return out.select(F.regexp_extract("source", "network=([^/]+)/", 1).alias("network"), "feature_names", "target_names",
+                      "hidden_activation", "output_activation", "n_hidden", "complete")

@@ -15,6 +15,7 @@ long form is pivoted back only when the wide table is absent.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import re
@@ -203,20 +204,31 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def read_network_folder(path: str):
-    """A-20: every ``*.json`` in a folder is a one-target network keyed by target; a
-    multi-target file or an empty folder is an error.  (Model files are small driver
-    objects; their weights are broadcast by the scoring job.)"""
+#: The parts of a network document that describe it (its weights are read only to score).
+NETWORK_SCHEMA = ("feature_names array<string>, target_names array<string>, hidden_activation array<string>, "
+                  "output_activation string, prescale_factor map<string, double>, prescale_bias map<string, double>, "
+                  "_metadata map<string, string>")
+
+
+def network_documents(spark: SparkSession, path: str) -> DataFrame:
+    """A-20: the ``*.json`` documents below a folder, one row each: ``file``, ``text`` and the described parts
+    (missing where a document is no JSON object).  Spark lists and reads the files, so any store it can read will do."""
+    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    parsed = docs.select(F.input_file_name().alias("file"), F.col("value").alias("text"), F.from_json("value", NETWORK_SCHEMA).alias("d"))
+    return parsed.select("file", "text", "d.*")
+
+
+def read_network_folder(spark: SparkSession, path: str):
+    """A-20: networks keyed by target, for scoring; every document must predict one target, and an empty
+    folder is an error.  The networks come to the driver as objects, since a scoring job broadcasts them."""
     from ..operators.score import Network
-    files = sorted(f for f in os.listdir(path) if f.endswith(".json"))
-    if not files:
+    docs = network_documents(spark, path)
+    bad = docs.filter(F.size("target_names") != 1).select("file").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0][0]}: a network of one target is expected")
+    nets = {r["target_names"][0]: Network.from_dict(json.loads(r["text"])) for r in docs.select("target_names", "text").collect()}
+    if not nets:
         raise FileNotFoundError(f"no networks in {path}")
-    nets = {}
-    for f in files:
-        n = Network.from_json(os.path.join(path, f))
-        if len(n.target_names) != 1:
-            raise ValueError(f"{f} predicts {len(n.target_names)} targets; one expected")
-        nets[n.target_names[0]] = n
     return nets
 
 

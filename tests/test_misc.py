@@ -33,12 +33,12 @@ def test_file_readers(spark, tmp_path):
     d = tmp_path / "nets"
     d.mkdir()
     (d / "efi.json").write_text(json.dumps(net.to_dict()))
-    nets = ST.read_network_folder(str(d))
+    nets = ST.read_network_folder(spark, str(d))
     assert list(nets) == ["efiITG_GB"] and np.allclose(nets["efiITG_GB"].weights[0], net.weights[0])
     multi = score.make_network(["a"], ["x_GB", "y_GB"], seed=1)
     (d / "multi.json").write_text(json.dumps(multi.to_dict()))
     with pytest.raises(ValueError):
-        ST.read_network_folder(str(d))
+        ST.read_network_folder(spark, str(d))
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "settings.json").write_text(json.dumps({"dims": ["Ate", "Ati"], "initial_eps": 1.0}))
     st = ST.read_settings(spark, str(tmp_path / "s"))
