@@ -1,40 +1,33 @@
 """Density thinning (2.H): rescale, DBSCAN, cluster classes, k-means representatives and
 the two-step thinning loop, as Spark jobs.
 
-DBSCAN without all-pairs in dense regions
------------------------------------------
-Points are binned into *sub-cells* of side ``eps / sqrt(d)``: any two points of a
-sub-cell are within ``eps`` of each other.  Box geometry then decides most
-questions from cell counts alone:
-
-* a sub-cell with ``>= min_samples`` points is wholly core (no pair test);
-* neighbour sub-cells whose whole box lies within ``eps`` contribute their count;
-* only points of *sparse* sub-cells (``< min_samples`` points, so a bounded number)
-  are tested point-to-point against *partially* overlapping neighbour sub-cells,
-  which is linear in the data;
-* clusters are connected components of the graph of core sub-cells (all core
-  points of a sub-cell are mutually reachable), with edges from box geometry or,
-  for partially overlapping pairs, from core points in the boundary band only;
-* components come from contraction of the cell graph in Spark, each round written
-  to the shared checkpoint folder.
-
-Border points take the smallest label among the clusters of their core
-neighbours (deterministic; the reference's choice is visit-order dependent).
+DBSCAN in tiles
+---------------
+Space is cut into cubic *tiles* several ``eps`` wide.  A point goes to its own tile and to the tiles
+within ``2 eps`` of it, so a tile sees every neighbour of every point within ``eps`` of its box: it
+settles exactly which of those are core, and which core points among them hang together.  A core
+point near a border is seen by several tiles; where it is seen twice, the two tiles' local clusters
+are one.  These links, far fewer than the points, are solved in Spark (``components``).  The points
+are shuffled once, no pair leaves its task, and pairs are tested in blocks of bounded size.
+
+The tile width is the largest at which no tile holds more than ``TILE_POINTS`` points, down to
+``4 eps``; it changes the cost, never the result.  Border points take the smallest label among the
+clusters of their core neighbours (deterministic; a visit-order rule is not).
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from .components import connected_components
 
 
@@ -73,178 +66,154 @@ def max_resolvable_density(reduction_threshold: float, min_eps: float, num_dim:
     return reduction_threshold / (min_eps ** num_dim)
 
 
-# ----------------------------------------------------------------- geometry helpers
+# ----------------------------------------------------------------- tiles
 
-def _offsets(d: int, reach: int):
-    return [o for o in itertools.product(range(-reach, reach + 1), repeat=d)]
-
-
-def _classify_offsets(d: int, side: float, eps: float):
-    """Split neighbour offsets into fully-inside and partially-overlapping boxes."""
-    reach = int(math.ceil(eps / side)) + 1
-    full, part = [], []
-    for o in _offsets(d, reach):
-        dmin = side * math.sqrt(sum(max(0, abs(x) - 1) ** 2 for x in o))
-        dmax = side * math.sqrt(sum((abs(x) + 1) ** 2 for x in o))
-        if dmin > eps:
-            continue
-        (full if dmax <= eps else part).append(o)
-    return full, part
-
-
-def _cell_cols(dims, side):
-    return [F.floor(F.col(d) / F.lit(side)).cast("long").alias(f"__c{i}") for i, d in enumerate(dims)]
-
-
-def _cell_name(cols) -> Column:
-    """The cell's coordinates as one value (no two cells share it)."""
-    return F.concat_ws(",", *[F.col(c).cast("string") for c in cols])
-
-
-def _shifted(prefix: str, offs_col: str, n: int):
-    return [(F.col(f"__c{i}") + F.col(offs_col)[i]).alias(f"{prefix}{i}") for i in range(n)]
+#: Points a tile should hold at most, widths tried (in ``eps``), and rows of one block of distances.
+TILE_POINTS, WIDTHS, BLOCK = 20_000, (32, 16, 8, 4), 512
 
 
 def _dist2(a_cols, b_cols) -> Column:
     return reduce(lambda x, y: x + y, [(a - b) * (a - b) for a, b in zip(a_cols, b_cols)])
 
 
-def _box_gap_ok(dims, side: float, eps: float, point_prefix: str = "__a_", cell_prefix: str = "__n") -> Column:
-    """Squared distance from a point to the box of a (shifted) cell is within eps^2: applied
-    right after the offsets are exploded, before any shuffle, it keeps only the
-    neighbour cells that can hold a point within eps (about a sixth of them in 3-D)."""
-    terms = []
-    for i, x in enumerate(dims):
-        lo = F.col(f"{cell_prefix}{i}") * F.lit(side)
-        a = F.col(f"{point_prefix}{x}")
-        g = F.greatest(lo - a, F.lit(0.0), a - lo - F.lit(side))
-        terms.append(g * g)
-    return reduce(lambda u, v: u + v, terms) <= F.lit(eps * eps)
-
-
-def _offsets_col(offs) -> Column:
-    """A literal array of neighbour offsets (its size depends on the dimension only)."""
-    if not offs:
-        return F.array().cast("array<array<bigint>>")
-    # one SQL literal parsed once (building it element by element costs seconds of planning)
-    body = ", ".join("array(" + ", ".join(str(int(x)) for x in o) + ")" for o in offs)
-    return F.expr(f"CAST(array({body}) AS array<array<bigint>>)")
+def tile_width(points: DataFrame, dims, eps: float) -> float:
+    """The largest width (a multiple of ``eps``) whose fullest tile holds at most ``TILE_POINTS`` points."""
+    least = WIDTHS[-1]
+    cells = points.groupBy(*[F.floor(F.col(x) / F.lit(least * eps)).alias(f"c{i}") for i, x in enumerate(dims)]).agg(F.count("*").alias("n"))
+    cells = cut_lineage(cells)
+    for w in WIDTHS[:-1]:
+        coarse = cells.groupBy(*[F.floor(F.col(f"c{i}") / F.lit(w // least)) for i in range(len(dims))]).agg(F.sum("n").alias("n"))
+        if (coarse.agg(F.max("n")).first()[0] or 0) <= TILE_POINTS:
+            return w * eps
+    return least * eps
+
+
+def tiled(points: DataFrame, dims, width: float, halo: float, keep) -> DataFrame:
+    """Each point once for its own tile and each tile within ``halo`` (below ``width``): columns ``keep``, the dims,
+    ``tile`` (coordinates)."""
+    def combine(tiles: Column, own: Column) -> Column:
+        return F.flatten(F.transform(tiles, lambda t: F.transform(own, lambda v: F.concat(t, F.array(v)))))
+
+    tiles = F.array(F.array().cast("array<bigint>"))
+    for x in dims:
+        c = F.floor(F.col(x) / F.lit(width)).cast("long")
+        low = F.when(F.col(x) - c * F.lit(width) <= halo, c - 1)
+        high = F.when((c + 1) * F.lit(width) - F.col(x) <= halo, c + 1)
+        tiles = combine(tiles, F.filter(F.array(c, low, high), lambda v: v.isNotNull()))
+    plain = points.select(*keep, *[F.col(x).cast("double").alias(x) for x in dims])
+    return plain.select("*", F.explode(tiles).alias("tile"))
+
+
+def _close_pairs(X: np.ndarray, radius: float):
+    """``(block rows, candidates, close)``: blocks of points in order of the first dim against all within reach of
+    them along it; ``close`` is the matrix of pairs within ``radius``."""
+    order = np.argsort(X[:, 0], kind="stable")
+    first = X[order, 0]
+    for at in range(0, len(order), BLOCK):
+        rows = order[at:at + BLOCK]
+        lo = np.searchsorted(first, X[rows[0], 0] - radius * (1 + 1e-9), "left")
+        hi = np.searchsorted(first, X[rows[-1], 0] + radius * (1 + 1e-9), "right")
+        cand = order[lo:hi]
+        d2 = np.zeros((len(rows), len(cand)))
+        for k in range(X.shape[1]):
+            d2 += (X[rows, k][:, None] - X[cand, k][None, :]) ** 2
+        yield rows, cand, d2 <= radius * radius
+
+
+def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least member of each vertex's component (pointer jumping)."""
+    lab = np.arange(n)
+    while True:
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, lab[a], low)
+        np.minimum.at(new, lab[b], low)
+        while True:
+            nxt = new[new]
+            if (nxt == new).all():
+                break
+            new = nxt
+        if (new == lab).all():
+            return lab
+        lab = new
 
 
-def _with_offsets(df: DataFrame, cols, offs) -> DataFrame:
-    """Each row once per neighbour offset (``explode`` of a fixed literal array; no join)."""
-    return df.select(*cols, F.explode(_offsets_col(offs)).alias("o"))
+def _tile_clusters(X: np.ndarray, near: np.ndarray, eps: float, min_samples: int):
+    """Core flags (right for points near the tile), local cluster of each near core point (-1 otherwise), and
+    (non-core point, local cluster) pairs of near points beside a core point."""
+    n = len(X)
+    core = np.zeros(n, bool)
+    for rows, _, close in _close_pairs(X, eps):
+        core[rows] = close.sum(axis=1) >= min_samples
+    live = np.flatnonzero(core & near)
+    # all core points of a cell of side eps / sqrt(d) are within eps of each other: vertices are cells
+    cells = np.floor(X[live] / (eps / math.sqrt(X.shape[1]) * (1 - 1e-9))).astype(np.int64)
+    _, cell = np.unique(cells, axis=0, return_inverse=True) if len(live) else (None, np.zeros(0, np.int64))
+    cell = cell.ravel()
+    n_cells = int(cell.max()) + 1 if len(cell) else 0
+    links = [np.zeros((0, 2), np.int64)]
+    for rows, cand, close in _close_pairs(X[live], eps):
+        i, j = np.nonzero(close)
+        code = np.unique(cell[rows[i]] * n_cells + cell[cand[j]])
+        links.append(np.column_stack([code // max(n_cells, 1), code % max(n_cells, 1)]))
+    links = np.concatenate(links)
+    local = np.full(n, -1, np.int64)
+    local[live] = _components(n_cells, links[:, 0], links[:, 1])[cell]
+    rim = [np.zeros((0, 2), np.int64)]
+    for rows, cand, close in _close_pairs(X, eps):
+        mine = ~core[rows] & near[rows]
+        i, j = np.nonzero(close[mine] & (local[cand] >= 0)[None, :])
+        rim.append(np.unique(np.column_stack([rows[mine][i], local[cand[j]]]), axis=0))
+    return core, local, np.concatenate(rim)
 
 
 # ----------------------------------------------------------------- H-02
 
-#: Label of points in no cluster; a cluster's label is the name of its least core cell.
+#: Label of points in no cluster; a cluster's label names the least of its tiles' local clusters.
 NOISE = "noise"
 
+#: What a tile says of a point: its own core point, a neighbouring tile's core point, its own border point.
+OWN_CORE, OTHER_CORE, BORDER = 0, 1, 2
+
 
-def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "dimx") -> DataFrame:
+def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "dimx", width: float | None = None) -> DataFrame:
     """H-02: ``key, label`` for every point (``NOISE`` = in no cluster), Euclidean distance on ``dims``,
-    ``dist <= eps`` is a neighbour, a point counts itself."""
-    spark = df.sparkSession
-    d = len(dims)
-    side = eps / math.sqrt(d) * (1.0 - 1e-9)   # margin: a whole sub-cell stays within eps
-    full, part = _classify_offsets(d, side, eps)
-    ccols = [f"__c{i}" for i in range(d)]
-    pts = df.select(F.col(key), *[F.col(x).cast("double").alias(x) for x in dims], *_cell_cols(dims, side))
-    cells = pts.groupBy(*ccols).agg(F.count(F.lit(1)).alias("__n"))
-
-    # --- core points: dense cells are core; sparse-cell points need neighbour counts
-    dense = cells.filter(F.col("__n") >= min_samples).select(*ccols, F.lit(True).alias("__dense"))
-    p2 = pts.join(cells, ccols).join(dense, ccols, "left")
-    sparse = p2.filter(F.col("__dense").isNull()).drop("__dense")
-    fo = [o for o in full if any(o)]
-    po = part
-    # full-inside neighbour cells: add their counts (counts table keyed by cell)
-    nb_full = _with_offsets(sparse, [key, *ccols, "__n"], fo).select(key, "__n", *_shifted("__n", "o", d))
-    ncells = cells.select(*[F.col(c).alias(f"__n{i}") for i, c in enumerate(ccols)], F.col("__n").alias("__m"))
-    full_cnt = nb_full.join(ncells, [f"__n{i}" for i in range(d)]).groupBy(key).agg(F.sum("__m").alias("__full"))
-    # partial neighbour cells: exact test against their points (sparse points only)
-    nb_part = _with_offsets(sparse, [key, *dims, *ccols], po).select(
-        F.col(key).alias("__p"), *[F.col(x).alias(f"__a_{x}") for x in dims], *_shifted("__n", "o", d)) \
-        .filter(_box_gap_ok(dims, side, eps))
-    others = pts.select(*[F.col(x).alias(f"__b_{x}") for x in dims],
-                        *[F.col(c).alias(f"__n{i}") for i, c in enumerate(ccols)])
-    close = _dist2([F.col(f"__a_{x}") for x in dims], [F.col(f"__b_{x}") for x in dims]) <= F.lit(eps * eps)
-    part_cnt = nb_part.join(others, [f"__n{i}" for i in range(d)]).filter(close) \
-        .groupBy(F.col("__p").alias(key)).agg(F.count(F.lit(1)).alias("__part"))
-    sparse_core = sparse.select(key, "__n").join(full_cnt, key, "left").join(part_cnt, key, "left").select(
-        key, (F.col("__n") + F.coalesce("__full", F.lit(0)) + F.coalesce("__part", F.lit(0)) >= min_samples)
-        .alias("__core"))
-    # note: the partial offsets include the own cell only when it is not full-inside (never: side = eps/sqrt(d))
-    core_flag = p2.select(key, *dims, *ccols, F.col("__dense").isNotNull().alias("__dc")) \
-        .join(sparse_core, key, "left") \
-        .select(key, *dims, *ccols, (F.col("__dc") | F.coalesce("__core", F.lit(False))).alias("core"))
-    core_flag = cut_lineage(core_flag)
-    core = core_flag.filter("core")
-
-    # --- core sub-cell graph
-    cell_id = _cell_name(ccols)
-    core_cells = core.select(*ccols).distinct().withColumn("__id", cell_id)
-    cc_full = _with_offsets(core_cells, ["__id", *ccols], fo).select(F.col("__id").alias("__src"),
-                                                                    *_shifted("__n", "o", d))
-    tgt = core_cells.select(F.col("__id").alias("__dst"), *[F.col(c).alias(f"__n{i}") for i, c in enumerate(ccols)])
-    e_full = cc_full.join(tgt, [f"__n{i}" for i in range(d)]).select("__src", "__dst")
-    # partial pairs: core points within eps of the neighbour box only (boundary band)
-    cp = _with_offsets(core, [key, *dims, *ccols], po).select(
-        _cell_name(ccols).alias("__src"), *[F.col(x).alias(f"__a_{x}") for x in dims],
-        *_shifted("__n", "o", d))
-    box_gap = []
-    for i, x in enumerate(dims):
-        lo = F.col(f"__n{i}") * F.lit(side)
-        a = F.col(f"__a_{x}")
-        gap = F.greatest(lo - a, F.lit(0.0), a - lo - F.lit(side))
-        box_gap.append(gap * gap)
-    # only neighbour boxes within eps of the point itself are kept for the exact test
-    cp = cp.filter(reduce(lambda u, v: u + v, box_gap) <= F.lit(eps * eps))
-    cq = core.select(*[F.col(x).alias(f"__b_{x}") for x in dims],
-                     *[F.col(c).alias(f"__m{i}") for i, c in enumerate(ccols)])
-    # existence only: a semi join stops at the first core point within eps of each probe,
-    # instead of producing every close pair between two neighbouring cells
-    cp = cp.withColumn("__dst", _cell_name([f"__n{i}" for i in range(d)]))
-    cond = reduce(lambda u, v: u & v, [F.col(f"__n{i}") == F.col(f"__m{i}") for i in range(d)]) & (
-        _dist2([F.col(f"__a_{x}") for x in dims], [F.col(f"__b_{x}") for x in dims]) <= F.lit(eps * eps))
-    e_part = cp.join(cq, cond, "left_semi").select("__src", "__dst").distinct()
-    edges = cut_lineage(e_full.unionByName(e_part).filter(F.col("__src") != F.col("__dst")))
-
-    labels = component_labels(core_cells.select(F.col("__id").alias("v")), edges)
-    core_lab = core.withColumn("__id", cell_id).join(labels.withColumnRenamed("v", "__id"), "__id") \
-        .select(key, F.col("label"))
-
-    # --- border points (non-core, in sparse cells): smallest label among core neighbours
-    nonc = core_flag.filter(~F.col("core"))
-    core_cell_lab = core.select(*ccols).distinct().withColumn("__id", cell_id) \
-        .join(labels.withColumnRenamed("v", "__id"), "__id")
-    nb_f = _with_offsets(nonc, [key, *ccols], full).select(key, *_shifted("__n", "o", d)) \
-        .join(core_cell_lab.select(*[F.col(c).alias(f"__n{i}") for i, c in enumerate(ccols)], "label"),
-              [f"__n{i}" for i in range(d)]).select(key, "label")
-    nb_p = _with_offsets(nonc, [key, *dims, *ccols], po).select(
-        F.col(key), *[F.col(x).alias(f"__a_{x}") for x in dims], *_shifted("__n", "o", d)) \
-        .filter(_box_gap_ok(dims, side, eps)) \
-        .join(core.withColumn("__id", cell_id).join(labels.withColumnRenamed("v", "__id"), "__id")
-              .select(*[F.col(x).alias(f"__b_{x}") for x in dims],
-                      *[F.col(c).alias(f"__n{i}") for i, c in enumerate(ccols)], "label"),
-              [f"__n{i}" for i in range(d)]) \
-        .filter(_dist2([F.col(f"__a_{x}") for x in dims], [F.col(f"__b_{x}") for x in dims]) <= F.lit(eps * eps)) \
-        .select(key, "label")
-    border = nb_f.unionByName(nb_p).groupBy(key).agg(F.min("label").alias("label"))
-    noncore_lab = nonc.select(key).join(border, key, "left").select(key, F.coalesce("label", F.lit(NOISE)).alias("label"))
-    return core_lab.unionByName(noncore_lab)
-
-
-def component_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connected components of the core-cell graph: ``(v, label)``, label = smallest vertex of the component.
-
-    Always solved in Spark, until no link is left (``components.connected_components``).
-    """
-    roots = connected_components(edges.select(F.col("__src").alias("a"), F.col("__dst").alias("b")))
-    rooted = cut_lineage(vertices.join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
-                         .select("v", F.coalesce("root", "v").alias("root")))
-    return rooted.join(rooted.groupBy("root").agg(F.min("v").alias("label")), "root").select("v", "label")
+    ``dist <= eps`` is a neighbour, a point counts itself.  ``width``: tile width, at least ``3 eps``."""
+    ship_package(df.sparkSession)
+    points = df.select(F.col(key), *[F.col(x).cast("double").alias(x) for x in dims])
+    width = width or tile_width(points, dims, eps)
+    key_type = points.schema[key].dataType.simpleString()
+
+    def solve(group, table):
+        tile = np.array(group[0].as_py(), np.float64)
+        X = np.column_stack([table.column(x).to_numpy() for x in dims])
+        low, high = tile * width, (tile + 1) * width
+        own = (np.floor(X / width) == tile).all(axis=1)
+        margin = eps * (1 + 1e-9)
+        near = own | ((X >= low - margin) & (X <= high + margin)).all(axis=1)
+        core, local, rim = _tile_clusters(X, near, eps, min_samples)
+        a = np.flatnonzero(local >= 0)
+        rim = rim[own[rim[:, 0]]]
+        at = np.concatenate([a, rim[:, 0]])
+        name = ",".join(str(int(t)) for t in tile) + "|"
+        comp = [name + str(c) for c in np.concatenate([local[a], rim[:, 1]]).tolist()]
+        role = np.concatenate([np.where(own[a], OWN_CORE, OTHER_CORE), np.full(len(rim), BORDER)])
+        return pa.table([table.column(key).take(pa.array(at, pa.int64())), pa.array(comp, pa.string()), pa.array(role, pa.int32())],
+                        names=[key, "comp", "role"])
+
+    seen = cut_lineage(tiled(points, dims, width, 2 * eps * (1 + 1e-6), [key]).groupBy("tile")
+                       .applyInArrow(solve, f"{key} {key_type}, comp string, role int"))
+    mine = seen.filter(F.col("role") == OWN_CORE).select(key, F.col("comp").alias("a"))
+    other = seen.filter(F.col("role") == OTHER_CORE).select(key, F.col("comp").alias("b"))
+    roots = connected_components(mine.join(other, key).select("a", "b").distinct())
+    comps = seen.select("comp").distinct().join(roots.withColumnRenamed("node", "comp"), "comp", "left") \
+        .select("comp", F.coalesce("root", "comp").alias("root"))
+    names = comps.groupBy("root").agg(F.min("comp").alias("label"))
+    label_of = comps.join(names, "root").select("comp", "label")
+    found = seen.filter(F.col("role") != OTHER_CORE).join(label_of, "comp").groupBy(key).agg(F.min("label").alias("label"))
+    return points.select(key).join(found, key, "left").select(key, F.coalesce("label", F.lit(NOISE)).alias("label"))
 
 
 # ----------------------------------------------------------------- H-03
@@ -264,24 +233,29 @@ def classify_clusters(labels: DataFrame, min_cluster_size: int, reduction_thresh
 
 # ----------------------------------------------------------------- H-04, H-06
 
-def local_density(points: DataFrame, dims, radius: float, key: str = "dimx", cluster: str = "label") -> DataFrame:
-    """H-04: per cluster, max over points of (neighbours within ``radius``, excluding self)
-    / radius^d; pairs are only formed inside a cluster between neighbouring grid cells."""
-    d = len(dims)
-    side = radius
-    cells = _cell_cols(dims, side)
-    p = points.select(key, cluster, *dims, *cells)
-    a = _with_offsets(p, [key, cluster, *dims, *[f"__c{i}" for i in range(d)]], _offsets(d, 1)).select(
-        key, cluster, *[F.col(x).alias(f"__a_{x}") for x in dims], *_shifted("__n", "o", d))
-    b = p.select(F.col(key).alias("__q"), cluster, *[F.col(x).alias(f"__b_{x}") for x in dims],
-                 *[F.col(f"__c{i}").alias(f"__n{i}") for i in range(d)])
-    pairs = a.join(b, [cluster] + [f"__n{i}" for i in range(d)]).filter(
-        (F.col(key) != F.col("__q"))
-        & (_dist2([F.col(f"__a_{x}") for x in dims], [F.col(f"__b_{x}") for x in dims]) <= F.lit(radius * radius)))
-    cnt = pairs.groupBy(key, cluster).agg(F.count(F.lit(1)).alias("nb"))
-    per_point = p.select(key, cluster).join(cnt, [key, cluster], "left").fillna(0, ["nb"])
-    return per_point.groupBy(cluster).agg((F.max("nb") / F.lit(radius ** d)).alias("density"),
-                                          F.count(F.lit(1)).alias("npts"))
+def local_density(points: DataFrame, dims, radius: float, key: str = "dimx", cluster: str = "label",
+                  width: float | None = None) -> DataFrame:
+    """H-04: per cluster, max over points of (neighbours of the cluster within ``radius``, excluding self)
+    / radius^d, and its points; neighbours are counted inside tiles with a halo of ``radius``."""
+    ship_package(points.sparkSession)
+    width = width or tile_width(points, dims, radius)
+    label_type = points.schema[cluster].dataType.simpleString()
+
+    def solve(group, table):
+        tile = np.array(group[0].as_py(), np.float64)
+        X = np.column_stack([table.column(x).to_numpy() for x in dims])
+        names = table.column(cluster).to_pylist()
+        code = np.unique(np.array([str(c) for c in names]), return_inverse=True)[1]
+        own = (np.floor(X / width) == tile).all(axis=1)
+        count = np.zeros(len(X), np.int64)
+        for rows, cand, close in _close_pairs(X, radius):
+            count[rows] = (close & (code[rows][:, None] == code[cand][None, :])).sum(axis=1) - 1
+        at = np.flatnonzero(own)
+        return pa.table([table.column(cluster).take(pa.array(at, pa.int64())), pa.array(count[at], pa.int64())], names=[cluster, "nb"])
+
+    counted = tiled(points, dims, width, radius * (1 + 1e-6), [cluster]).groupBy("tile") \
+        .applyInArrow(solve, f"{cluster} {label_type}, nb bigint")
+    return counted.groupBy(cluster).agg((F.max("nb") / F.lit(radius ** len(dims))).alias("density"), F.count(F.lit(1)).alias("npts"))
 
 
 def _lloyd_numpy(X: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

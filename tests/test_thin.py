@@ -41,14 +41,14 @@ def as_partition(ids, labels):
     return noise, sorted(sorted(g) for g in groups.values())
 
 
-@pytest.mark.parametrize("seed,eps,ms", [(0, 0.5, 2), (1, 0.8, 3), (2, 0.3, 1)])
-def test_dbscan_matches_brute_force(spark, seed, eps, ms):
+@pytest.mark.parametrize("seed,eps,ms,tiles", [(0, 0.5, 2, None), (0, 0.5, 2, 3.0), (1, 0.8, 3, 3.0), (2, 0.3, 1, 4.0)])
+def test_dbscan_matches_brute_force(spark, seed, eps, ms, tiles):
     rng = np.random.RandomState(seed)
     centers = rng.uniform(0, 10, (4, 3))
     X = np.vstack([c + rng.normal(0, 0.4, (60, 3)) for c in centers] + [rng.uniform(0, 10, (40, 3))])
     ids = np.arange(len(X)) * 7 + 3
     pdf = pd.DataFrame({"dimx": ids, "a": X[:, 0], "b": X[:, 1], "c": X[:, 2]})
-    lab = thin.dbscan(spark.createDataFrame(pdf), ["a", "b", "c"], eps, ms).toPandas()
+    lab = thin.dbscan(spark.createDataFrame(pdf), ["a", "b", "c"], eps, ms, width=tiles and tiles * eps).toPandas()
     got = dict(zip(lab.dimx, lab.label))
     ref, core = brute_dbscan(X, eps, ms)
     noise_s, groups_s = as_partition(ids, [got[i] for i in ids])
@@ -85,3 +85,15 @@ def test_two_step_thinning_subset(spark):
     assert 0 < len(out) < len(pdf)
     assert set(out.dimx) <= set(pdf.dimx)
     assert list(out.columns) == list(pdf.columns)
+
+
+def test_local_density_matches_brute_force(spark):
+    rng = np.random.RandomState(5)
+    X = rng.uniform(0, 4, (400, 2))
+    label = np.where(rng.rand(400) < 0.5, "a", "b")
+    pdf = pd.DataFrame({"dimx": np.arange(400), "u": X[:, 0], "v": X[:, 1], "label": label})
+    got = {r.label: (r.density, r.npts) for r in thin.local_density(spark.createDataFrame(pdf), ["u", "v"], 0.4, width=1.2).collect()}
+    for g in "ab":
+        P = X[label == g]
+        nb = (((P[:, None] - P[None]) ** 2).sum(-1) <= 0.16).sum(1) - 1
+        assert got[g] == (pytest.approx(nb.max() / 0.4 ** 2), len(P))
