@@ -203,17 +203,16 @@ def _choose(got, bucket):
 def _publish(x: _Chunked, flags, c: Codec, n, src):
     """Ids of the chunks this batch encodes for all, and requests for every shared chunk it holds."""
     out = []
-    cut = C.cuts(x.a, n)
-    for bucket in np.flatnonzero(np.diff(cut)).tolist():
-        s = np.arange(cut[bucket], cut[bucket + 1])
+    for bucket, i, j in C.by_bucket(x.a, n):
+        s = np.arange(i, j)
         want = s[flags[s] != OWN]
         if not len(want):
             continue
         mine = s[flags[s] == PUBLISH]
         ids = [c.encode(x.parts[x.order[k]]) for k in mine.tolist()]
         sizes = np.array([len(i) for i in ids], np.int64)
-        out.append((bucket, src, 2, C.pack(x.a[want], x.b[want], x.a[mine], x.b[mine], sizes,
-                                           np.concatenate(ids) if ids else np.zeros(0, np.uint32))))
+        out.append((bucket, src, 2, C.pack(x.a[want], x.b[want], x.a[mine], x.b[mine], C.small(sizes),
+                                           C.small(np.concatenate(ids) if ids else np.zeros(0, np.uint32)))))
     return out
 
 
@@ -227,8 +226,8 @@ def _deliver(got, bucket):
     out = []
     for src, wa, wb, *_ in got:
         own = [ids_of[k] for k in zip(wa.tolist(), wb.tolist())]
-        out.append((src, bucket, 2, C.pack(np.array([len(i) for i in own], np.int64),
-                                           np.concatenate(own) if own else np.zeros(0, np.uint32))))
+        out.append((src, bucket, 2, C.pack(C.small(np.array([len(i) for i in own], np.int64)),
+                                           C.small(np.concatenate(own) if own else np.zeros(0, np.uint32)))))
     return out
 
 
@@ -267,8 +266,8 @@ def _encoded(docs, path, id_col, text_col, carry, batch_bytes, fields, show, kin
         return C.messages(_publish(_Chunked(texts, c), C.replies(answers, 1, np.uint8), c, n, key[0].as_py()))
 
     def deliver(key, table):
-        kinds = (np.uint64, np.uint64, np.uint64, np.uint64, np.int64, np.uint32)
-        return C.messages(_deliver([(s, *C.unpack(m, *kinds)) for _, s, m in C.inbox(table)], key[0].as_py()))
+        got = [(s, *C.unpack(m, np.uint64, np.uint64, np.uint64, np.uint64, None, None)) for _, s, m in C.inbox(table)]
+        return C.messages(_deliver([(*g[:5], C.wide(g[5]), C.wide(g[6])) for g in got], key[0].as_py()))
 
     def assemble(key, docs_t, answers):
         table, _, texts = C.rows_in_order(docs_t)
@@ -276,9 +275,9 @@ def _encoded(docs, path, id_col, text_col, carry, batch_bytes, fields, show, kin
         x = _Chunked(texts, c)
         flags = C.replies(answers, 1, np.uint8)
         ids: list = [None] * len(x.parts)
-        got = [C.unpack(m, np.int64, np.uint32) for _, _, m in C.inbox(answers, 2)]
-        sizes = np.concatenate([np.zeros(0, np.int64), *[g[0] for g in got]])
-        flat = np.concatenate([np.zeros(0, np.uint32), *[g[1] for g in got]])
+        got = [C.unpack(m, None, None) for _, _, m in C.inbox(answers, 2)]
+        sizes = np.concatenate([np.zeros(0, np.int64), *[C.wide(g[0]) for g in got]])
+        flat = np.concatenate([np.zeros(0, np.uint32), *[C.wide(g[1]).astype(np.uint32) for g in got]])
         at = np.concatenate([[0], np.cumsum(sizes)])
         for k, which in enumerate(x.order[flags != OWN].tolist()):
             ids[which] = flat[at[k]:at[k + 1]]

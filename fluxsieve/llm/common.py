@@ -84,6 +84,28 @@ def unpack(cell: bytes, *dtypes) -> list:
     return out
 
 
+def small(x: np.ndarray) -> bytes:
+    """Unsigned integers in few bytes: the narrowest type that holds all (a leading byte says which), or,
+    where that is shorter, one byte each (leading byte 0) with those from 255 on listed behind."""
+    big = x >= 255
+    n_big = int(big.sum())
+    size = 1 if not n_big or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4 if x.max() < 1 << 32 else 8
+    if n_big and 16 + len(x) + 8 * n_big < size * len(x):
+        return bytes([0]) + struct.pack("<QQ", len(x), n_big) + np.where(big, 255, x).astype(np.uint8).tobytes() \
+            + x[big].astype("<u8").tobytes()
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def wide(x: bytes) -> np.ndarray:
+    """Inverse of :func:`small`, as 64-bit integers."""
+    if x[0]:
+        return np.frombuffer(x, f"<u{x[0]}", (len(x) - 1) // x[0], 1).astype(np.int64)
+    n, n_big = struct.unpack_from("<QQ", x, 1)
+    out = np.frombuffer(x, np.uint8, n, 17).astype(np.int64)
+    out[out == 255] = np.frombuffer(x, "<u8", n_big, 17 + n).astype(np.int64)
+    return out
+
+
 def messages(rows) -> pa.Table:
     """``[(dest, src, kind, data)]`` as an Arrow table."""
     cols = list(zip(*rows)) if rows else [[], [], [], []]
@@ -97,17 +119,17 @@ def inbox(table: pa.Table, kind: int | None = None) -> list[tuple[int, int, byte
     return sorted(((d, s, x) for d, s, k, x in got if kind is None or k == kind), key=lambda m: (m[0], m[1]))
 
 
-def cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Slice limits of sorted 64-bit hashes by bucket (equal ranges of the hash space)."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, edges, "left"), [len(sorted_hashes)]]).astype(np.int64)
+def by_bucket(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """``(bucket, first, end)`` of the sorted 64-bit hashes: buckets are equal ranges of the hash space
+    (fewer than 2^32), and only those that own some of the hashes are named."""
+    b = ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    first = run_starts(b)
+    return list(zip(b[first].astype(np.int64).tolist(), first.tolist(), np.append(first[1:], len(b)).tolist()))
 
 
 def ask(sorted_hashes: np.ndarray, buckets: int, src: int, kind: int, *columns) -> list:
     """One message per bucket that owns some of the (sorted) hashes, with the matching slices."""
-    at = cuts(sorted_hashes, buckets)
-    return [(b, src, kind, pack(sorted_hashes[at[b]:at[b + 1]], *[c[at[b]:at[b + 1]] for c in columns]))
-            for b in np.flatnonzero(np.diff(at)).tolist()]
+    return [(b, src, kind, pack(sorted_hashes[i:j], *[c[i:j] for c in columns])) for b, i, j in by_bucket(sorted_hashes, buckets)]
 
 
 def replies(table: pa.Table, kind: int, dtype) -> np.ndarray:
