@@ -60,6 +60,7 @@ def divsum(df: DataFrame, divnames=None, skip_missing: bool = False) -> DataFram
     return add_columns(df, new)
 
 
+# fixed value: how the legacy job splits a flux name
 _LEGACY = re.compile(r"(.)(|ITG|ETG|TEM)(_GB|SI|cm)")
 
 

@@ -178,11 +178,6 @@ def leading_flag(target_col: str = "target") -> Column:
     return catalog_columns(F.col(target_col))["is_leading"]
 
 
-__all__ = ["similar_topology", "similar_networkpar", "pure_partners", "divsum_candidates", "compose_from_ratio",
-           "leaves", "recursive_attribute", "best_per_target_set", "unprocessed", "no_elements_in_list",
-           "any_element_in_list", "distinct_targets", "N"]
-
-
 def register_documents(documents: DataFrame) -> DataFrame:
     """L-01: network documents (``store.network_documents``) as registry rows; a document's file is its id."""
     return documents.select(

@@ -9,7 +9,6 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..sources.bridge import BRIDGE_SQL, bridge_view
 
@@ -46,5 +45,3 @@ def sql_tf(expr: str) -> str:
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge_view(spark, sf_dir)
 
-
-F_ = F  # re-export for query modules
