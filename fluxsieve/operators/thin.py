@@ -62,10 +62,18 @@ def k_expression(density, npts, rfmin, tau, zeta=1.0):
 
 
 def max_resolvable_density(reduction_threshold: float, min_eps: float, num_dim: int) -> float:
-    """H-09."""
+    """H-09: the density at which clusters of the threshold's size still part at the least eps."""
     return reduction_threshold / (min_eps ** num_dim)
 
 
+def density_against_limit(df: DataFrame, dims, reduction_threshold: float, min_eps: float) -> DataFrame:
+    """H-09 on data: the limit, the occupied cubes of side ``min_eps``, those denser than the limit, the densest."""
+    limit = max_resolvable_density(reduction_threshold, min_eps, len(dims))
+    cubes = df.groupBy(*[F.floor(F.col(x) / F.lit(min_eps)).alias(x) for x in dims]).agg((F.count("*") / F.lit(min_eps ** len(dims))).alias("density"))
+    return cubes.agg(F.lit(limit).alias("limit"), F.count("*").alias("cubes"), F.count_if(F.col("density") > limit).alias("denser"),
+                     F.max("density").alias("densest"))
+
+
 # ----------------------------------------------------------------- tiles
 
 #: Points a tile should hold at most, widths tried (in ``eps``), and rows of one block of distances.

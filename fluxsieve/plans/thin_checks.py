@@ -51,11 +51,13 @@ def two_step_thinning(spark, sf):
 
 
 @register("max_resolvable_density", with_bridge(
-    "SELECT 50e0 / power(3e-1, 3) AS density, CAST(count(*) AS BIGINT) AS n FROM bridge"))
+    "SELECT round(50e0 / power(3e-1, 3), 6) AS \"limit\", count(*) AS cubes, count_if(n > 50) AS denser, round(max(n) / power(3e-1, 3), 6) AS densest "
+    "FROM (SELECT count(*) AS n FROM bridge GROUP BY floor(Ate / 3e-1), floor(Ati / 3e-1), floor(efeITG_GB / 3e-1))"))
 def max_resolvable_density(spark, sf):
-    """H-09 reported next to the data size."""
-    return bridge(spark, sf).agg(F.lit(thin.max_resolvable_density(50, 0.3, 3)).alias("density"),
-                                 F.count(F.lit(1)).cast("bigint").alias("n"))
+    """H-09: how the data's densest cubes compare with the density that the settings can resolve."""
+    out = thin.density_against_limit(bridge(spark, sf), THIN_DIMS, SETTINGS["reduction_threshold"], SETTINGS["min_eps"])
+    return out.select(F.round("limit", 6).alias("limit"), F.col("cubes").cast("bigint").alias("cubes"), F.col("denser").cast("bigint").alias("denser"),
+                      F.round("densest", 6).alias("densest"))
 
 
 WSQL = ("CAST(coalesce(9e0 * exp(-(({x} - least(greatest({t}, -2e0), 16e0)) * ({x} - least(greatest({t}, -2e0), "
