@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from . import common as C
 
-UNKNOWN, START = np.uint64(0), np.uint64(1)
+#: Vocabulary numbers of unknown words and of the mark before a text; words are numbered from 2.
+UNKNOWN, START = 0, 1
 
 
 class _Words:
@@ -46,7 +47,6 @@ class _Words:
         self.table = table.take(pa.array(rows, pa.int64()))
         self.target = np.array([ids[i] is not None and ids[i] in marked for i in rows], bool)
         self.h, self.counts = C.word_hashes([texts[i] or b"" for i in rows], C.WordHash())
-        self.h |= np.uint64(2)                                   # clear of UNKNOWN and START
         self.starts, self.owner = C.layout(self.counts)
         self.words, self.which = np.unique(self.h, return_inverse=True)
         self.aimed = self.target[self.owner] if len(self.owner) else np.zeros(0, bool)
@@ -55,68 +55,66 @@ class _Words:
         n = len(self.words)
         return np.bincount(self.which, minlength=n).astype(np.int64), np.bincount(self.which[self.aimed], minlength=n).astype(np.int64)
 
-    def pairs(self, known):
-        """Distinct (first word, word) of the batch in order, and each token's pair."""
-        w = np.where(known, self.words, UNKNOWN)[self.which]
+    def pairs(self, number):
+        """The batch's distinct word pairs by first word: first words (in bucket order), how many pairs each
+        has, the second words, and each token's pair.  ``number``: vocabulary number of each distinct word."""
+        w = number[self.which]
         before = np.empty_like(w)
         if len(w):
             before[1:] = w[:-1]
             before[self.starts[:-1][self.counts > 0]] = START
-        key = C.mix(before)                                      # buckets are ranges of hashes
+        key = C.mix(before.astype(np.uint64))                    # buckets are ranges of hashes
         order = np.lexsort((w, key))
         first = C.run_starts(key[order], w[order])
         run = np.zeros(len(w), np.int64)
         run[first[1:]] = 1
         pair = np.empty(len(w), np.int64)
         pair[order] = np.cumsum(run)
-        return key[order][first], w[order][first], pair
+        keys = key[order][first]
+        head = C.run_starts(keys)
+        return keys[head], before[order][first][head], np.diff(np.append(head, len(first))), w[order][first], pair
 
 
-def _count_words(got, bucket, least):
-    """Both counts of every word a batch asked for (0 for words outside the vocabulary), and, addressed to
-    nobody (-1), this bucket's share of the totals: tokens, target tokens, vocabulary, known tokens of both."""
+def _count_words(got, bucket, buckets, least):
+    """Vocabulary number (0 outside the vocabulary) and both counts of every word a batch asked for, and, addressed
+    to nobody (-1), this bucket's share of the totals: tokens, target tokens, vocabulary, known tokens of both."""
     h, n, t = (np.concatenate([g[i] for g in got]) for i in (1, 2, 3))
     words, which = np.unique(h, return_inverse=True)
     order = np.argsort(which, kind="stable")
     first = C.run_starts(which[order])
     all_n, all_t = np.add.reduceat(n[order], first), np.add.reduceat(t[order], first)
     known = all_t >= least
+    number = np.where(known, 2 + bucket + buckets * (np.cumsum(known) - 1), UNKNOWN)    # no other bucket gives it
     at = np.cumsum([0, *[len(g[1]) for g in got]])
     out = []
     for i, g in enumerate(got):
         w = which[at[i]:at[i + 1]]
-        out.append((g[0], bucket, 1, C.pack(_small(np.where(known, all_n, 0)[w]), _small(np.where(known, all_t, 0)[w]))))
+        out.append((g[0], bucket, 1, C.pack(*[C.small(np.where(known, x, 0)[w]) for x in (number, all_n, all_t)])))
     sums = [all_n.sum(), all_t.sum(), known.sum(), all_n[known].sum(), all_t[known].sum()]
     return [*out, (-1, bucket, 3, C.pack(np.array(sums, np.int64)))]
 
 
 def _count_pairs(got, bucket):
-    """For each pair a batch asked for: its counts, its first word's counts and continuations, in both models."""
-    key, w, n, t = (np.concatenate([g[i] for g in got]) for i in (1, 2, 3, 4))
-    order = np.lexsort((w, key))
-    first = C.run_starts(key[order], w[order])
-    size = np.diff(np.append(first, len(key)))
-    c = [np.add.reduceat(x[order], first) for x in (n, t)]
-    heads = C.run_starts(key[order][first])
-    spread = np.diff(np.append(heads, len(first)))
-    cols = []
-    for x in c:
-        cols += [x, np.repeat(np.add.reduceat(x, heads), spread), np.repeat(np.add.reduceat((x > 0).astype(np.int64), heads), spread)]
-    out = np.empty((6, len(key)), np.int64)
-    for i, x in enumerate(cols):
-        out[i, order] = np.repeat(x, size)
-    at = np.cumsum([0, *[len(g[1]) for g in got]])
-    return [(g[0], bucket, 2, C.pack(*[_small(out[i, at[j]:at[j + 1]]) for i in range(6)])) for j, g in enumerate(got)]
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Counts in the narrowest type that holds them (a leading byte says which)."""
-    size = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4 if x.max() < 1 << 32 else 8
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
-
-
-def _wide(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[0]}", (len(x) - 1) // x[0], 1).astype(np.int64)
+    """Per batch, in its order: both counts of each pair; both counts and numbers of continuations of each first word."""
+    head, size, w, n, t = (np.concatenate([g[i] for g in got]) for i in range(1, 6))
+    per_pair = np.repeat(head, size)
+    order = np.lexsort((w, per_pair))
+    first = C.run_starts(per_pair[order], w[order])
+    many = np.diff(np.append(first, len(w)))
+    heads = per_pair[order][first]
+    begin = C.run_starts(heads)
+    at_head = np.searchsorted(heads[begin], head)
+    pair_cols, head_cols = [], []
+    for x in (n, t):
+        c = np.add.reduceat(x[order], first)
+        back = np.empty(len(w), np.int64)
+        back[order] = np.repeat(c, many)
+        pair_cols.append(back)
+        head_cols += [np.add.reduceat(c, begin)[at_head], np.add.reduceat((c > 0).astype(np.int64), begin)[at_head]]
+    p_at = np.cumsum([0, *[len(g[3]) for g in got]])
+    h_at = np.cumsum([0, *[len(g[1]) for g in got]])
+    return [(g[0], bucket, 2, C.pack(*[C.small(x[p_at[j]:p_at[j + 1]]) for x in pair_cols],
+                                     *[C.small(x[h_at[j]:h_at[j + 1]]) for x in head_cols])) for j, g in enumerate(got)]
 
 
 def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_count: int = 10,
@@ -134,41 +132,31 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     def ask_words(key, table):
         x = _Words(table)
         every, aimed = x.unigrams()
-        at, out = C.cuts(x.words, n), []
-        for b in np.flatnonzero(np.diff(at)).tolist():
-            s = slice(at[b], at[b + 1])
-            out.append((b, key[0].as_py(), 1, C.pack(x.words[s], _small(every[s]), _small(aimed[s]))))
-        return C.messages(out)
+        return C.messages([(b, key[0].as_py(), 1, C.pack(x.words[i:j], C.small(every[i:j]), C.small(aimed[i:j])))
+                           for b, i, j in C.by_bucket(x.words, n)])
 
     def count_words(key, table):
         got = [C.unpack(m, np.uint64, None, None) for _, _, m in C.inbox(table)]
         srcs = [s for _, s, _ in C.inbox(table)]
-        return C.messages(_count_words([(s, h, _wide(a), _wide(b)) for s, (h, a, b) in zip(srcs, got)], key[0].as_py(), least_count))
+        return C.messages(_count_words([(s, h, C.wide(a), C.wide(b)) for s, (h, a, b) in zip(srcs, got)], key[0].as_py(), n, least_count))
 
     def known_words(answers):
-        got = [C.unpack(m, None, None) for _, _, m in C.inbox(answers, 1)]
-        every, aimed = (np.concatenate([np.zeros(0, np.int64), *[_wide(g[i]) for g in got]]) for i in (0, 1))
-        return every, aimed, every > 0
+        got = [C.unpack(m, None, None, None) for _, _, m in C.inbox(answers, 1)]
+        return [np.concatenate([np.zeros(0, np.int64), *[C.wide(g[i]) for g in got]]) for i in range(3)]
 
     def ask_pairs(key, table, answers):
         x = _Words(table)
-        _, _, known = known_words(answers)
-        heads, words, pair = x.pairs(known)
-        every = np.bincount(pair, minlength=len(heads)).astype(np.int64)
-        aimed = np.bincount(pair[x.aimed], minlength=len(heads)).astype(np.int64)
-        at = C.cuts(heads, n)
-        out = []
-        for b in np.flatnonzero(np.diff(at)).tolist():
-            s = slice(at[b], at[b + 1])
-            out.append((b, key[0].as_py(), 2, C.pack(heads[s], words[s], _small(every[s]), _small(aimed[s]))))
+        keys, heads, sizes, words, pair = x.pairs(known_words(answers)[0])
+        every = np.bincount(pair, minlength=len(words)).astype(np.int64)
+        aimed = np.bincount(pair[x.aimed], minlength=len(words)).astype(np.int64)
+        first, out = np.concatenate([[0], np.cumsum(sizes)]), []
+        for b, i, j in C.by_bucket(keys, n):
+            h, p = slice(i, j), slice(first[i], first[j])
+            out.append((b, key[0].as_py(), 2, C.pack(*map(C.small, (heads[h], sizes[h], words[p], every[p], aimed[p])))))
         return C.messages(out)
 
     def count_pairs(key, table):
-        got = []
-        for _, s, m in C.inbox(table):
-            heads, words, every, aimed = C.unpack(m, np.uint64, np.uint64, None, None)
-            got.append((s, heads, words, _wide(every), _wide(aimed)))
-        return C.messages(_count_pairs(got, key[0].as_py()))
+        return C.messages(_count_pairs([(s, *map(C.wide, C.unpack(m, *[None] * 5))) for _, s, m in C.inbox(table)], key[0].as_py()))
 
     def add_up(key, table):
         sums = np.sum([C.unpack(m, np.int64)[0] for _, _, m in C.inbox(table)], axis=0)
@@ -176,19 +164,20 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
 
     def per_token(key, table, answers):
         x = _Words(table)
-        every, aimed, known = known_words(answers)
-        heads, words, pair = x.pairs(known)
+        number, every, aimed = known_words(answers)
+        _, _, sizes, _, pair = x.pairs(number)
         sums = [C.unpack(m, np.int64)[0].tolist() for _, _, m in C.inbox(answers, 3)]     # none: there are no words at all
         all_n, target_n, vocabulary, all_known, target_known = sums[0] if sums else [0] * 5
-        parts = [[_wide(c) for c in C.unpack(m, *[None] * 6)] for _, _, m in C.inbox(answers, 2)]
-        cols = [np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]).astype(float)[pair] for i in range(6)]
+        parts = [[C.wide(c) for c in C.unpack(m, *[None] * 6)] for _, _, m in C.inbox(answers, 2)]
+        cols = [np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]).astype(float) for i in range(6)]
+        head = np.repeat(np.arange(len(sizes)), sizes)[pair]              # each token's first word
         loss = np.zeros(len(pair))
-        for sign, (c, head, kinds), own, total, unknown in (
-                (1, cols[:3], every, all_n, all_n - all_known), (-1, cols[3:], aimed, target_n, target_n - target_known)):
-            one = np.where(known, own, unknown)[x.which]
-            p = (one + 1.0) / (total + vocabulary + 1.0)
-            whole = head + kinds
-            p = np.where(whole > 0, (c + kinds * p) / np.where(whole > 0, whole, 1.0), p)
+        for sign, c, (whole, kinds), own, total, unknown in (
+                (1, cols[0], cols[2:4], every, all_n, all_n - all_known), (-1, cols[1], cols[4:6], aimed, target_n, target_n - target_known)):
+            one = (np.where(number > 0, own, unknown)[x.which] + 1.0) / (total + vocabulary + 1.0)
+            k = kinds[head]
+            mass = whole[head] + k
+            p = np.where(mass > 0, (c[pair] + k * one) / np.where(mass > 0, mass, 1.0), one)
             loss += sign * np.log(p)
         sums = np.concatenate([[0.0], np.cumsum(loss)])
         mean = [None if not k else float((sums[b] - sums[a]) / k) for k, a, b in zip(x.counts.tolist(), x.starts[:-1], x.starts[1:])]
@@ -202,3 +191,24 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
     answers = told.unionAll(totals).unionAll(pairs.groupBy("dest").applyInArrow(count_pairs, C.MSG))
     out = left.groupBy("batch").cogroup(answers.groupBy("dest")).applyInArrow(per_token, C.out_schema(left, "n_tokens bigint, score double"))
     return C.with_carried(out, carry, id_col)
+
+
+#: The ``op2`` query in DuckDB SQL (scores to six decimals).
+LM_SQL = r"""
+WITH target AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, doc_id IN (SELECT doc_id FROM target) AS aimed FROM documents),
+raw AS (SELECT doc_id, aimed, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+vocabulary AS (SELECT word FROM raw WHERE aimed GROUP BY word HAVING count(*) >= 10),
+toks AS (SELECT raw.doc_id, aimed, i, coalesce(v.word, '') AS w FROM raw LEFT JOIN vocabulary v ON v.word = raw.word),
+seq AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' ') AS h FROM toks),
+sums AS (SELECT count(*) AS n, count(*) FILTER (aimed) AS nt, (SELECT count(*) FROM vocabulary) AS v FROM toks),
+uni AS (SELECT w, count(*) AS c, count(*) FILTER (aimed) AS ct FROM toks GROUP BY w),
+bi AS (SELECT h, w, count(*) AS c, count(*) FILTER (aimed) AS ct FROM seq GROUP BY h, w),
+heads AS (SELECT h, sum(c) AS c, sum(ct) AS ct, count(*) AS k, count(*) FILTER (ct > 0) AS kt FROM bi GROUP BY h),
+loss AS (SELECT bi.h, bi.w, ln((bi.c + heads.k * ((uni.c + 1.0::double) / (n + v + 1))) / (heads.c + heads.k))
+                - ln(CASE WHEN heads.ct > 0 THEN (bi.ct + heads.kt * ((uni.ct + 1.0::double) / (nt + v + 1))) / (heads.ct + heads.kt)
+                     ELSE (uni.ct + 1.0::double) / (nt + v + 1) END) AS x
+         FROM bi JOIN heads ON heads.h = bi.h JOIN uni ON uni.w = bi.w CROSS JOIN sums),
+scores AS (SELECT seq.doc_id, avg(loss.x) AS score FROM seq JOIN loss ON loss.h = seq.h AND loss.w = seq.w GROUP BY seq.doc_id)
+SELECT d.doc_id, len(d.w)::bigint AS n_tokens, round(scores.score, 6) AS score FROM d LEFT JOIN scores ON scores.doc_id = d.doc_id
+"""
