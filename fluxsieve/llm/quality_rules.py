@@ -9,7 +9,7 @@ use the merged sketch of their language, or of everything.
 
 Measures of a document and the fences they face:
 
-* symbols per word and share of repeated lines: above ``q75 + 3 * (q75 - q25) + slack``;
+* symbols per word and repeated lines per ten words: above ``q75 + 3 * (q75 - q25) + slack``;
 * mean word length: above ``q75 + 6 * (q75 - q25) + slack`` or below ``q25 - 6 * (q75 - q25) - slack``.
 
 The slack is the least difference that counts at all, so that a group where nearly all documents

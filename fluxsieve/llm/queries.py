@@ -39,15 +39,15 @@ def graded(labels: DataFrame) -> DataFrame:
                          .when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).alias("grade"))
 
 
-@register("op1_voronoi_top_k")
+@register("op1_voronoi_top_k", voronoi.TOP_K_SQL)
 def op1_voronoi_top_k(spark, sf_dir):
     return voronoi.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-@register("op2_lm_difference")
+@register("op2_lm_difference", lm_score.LM_SQL)
 def op2_lm_difference(spark, sf_dir):
     good = graded(table(spark, sf_dir, "labels")).filter("grade = 2")
-    return lm_score.score(table(spark, sf_dir, "documents"), good)
+    return lm_score.score(table(spark, sf_dir, "documents"), good).withColumn("score", F.round("score", 6))
 
 
 @register("op3_ordinal_quality")
@@ -81,7 +81,7 @@ def op7_curriculum_mix(spark, sf_dir):
         first.alias("first_position"))
 
 
-@register("op8_substring_dedup")
+@register("op8_substring_dedup", substring.SUBSTRING_SQL)
 def op8_substring_dedup(spark, sf_dir):
     out = substring.remove_repeated(table(spark, sf_dir, "documents"), window=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

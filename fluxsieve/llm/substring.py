@@ -196,3 +196,17 @@ def _extend(texts, answers, window):
 
 def digest(kept: bytes) -> str:
     return hashlib.sha256(kept).hexdigest()
+
+
+#: The ``op8`` query in DuckDB SQL.
+SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, w[i:i + 12] AS win FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d)),
+hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM wins) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+marked AS (SELECT t.doc_id, t.i, t.word, coalesce(max(h.i) OVER (PARTITION BY t.doc_id ORDER BY t.i), -99) > t.i - 13 AS gone
+           FROM words t LEFT JOIN hits h ON h.doc_id = t.doc_id AND h.i = t.i),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::bigint AS n_words, coalesce(kept.n, 0)::bigint AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

@@ -211,3 +211,14 @@ def _bounds(centre, nearest, asking, k, groups):
         needs[g] = np.minimum(needs[g], per_cell[c])
         share[g] += asking[c][1]
     return needs, np.where(group_of < len(used), group_of, 0), share
+
+
+#: The ``op1`` query in DuckDB SQL.
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS z FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.z, c.z), lambda p: coalesce(p[1] * p[2], 0))), 0)::bigint AS score
+           FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, r::int AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""

@@ -161,7 +161,7 @@ def test_components_long_chain(spark):
 
 # ------------------------------------------------------------------ 5, 7, 9
 
-@pytest.mark.parametrize("name", ["op5_adaptive_rules", "op7_curriculum_mix", "op9_chat_format"])
+@pytest.mark.parametrize("name", ["op1_voronoi_top_k", "op2_lm_difference", "op5_adaptive_rules", "op7_curriculum_mix", "op8_substring_dedup", "op9_chat_format"])
 def test_sql(spark, name):
     fn, sql = queries.QUERIES[name]
     ok, message = compare(fn(spark, "/root/testdata/sf0.001"), duck("/root/testdata/sf0.001"), sql)
