@@ -43,6 +43,30 @@ def dbscan_labels(spark, sf):
     return thin.classify_clusters(lab, SETTINGS["min_cluster_size"], SETTINGS["reduction_threshold"])
 
 
+@register("dbscan_noise", with_bridge(
+    "SELECT p.dimx, n.dimx IS NULL AS noise FROM p LEFT JOIN (SELECT DISTINCT a.dimx FROM near a JOIN p b ON a.i = b.Ate AND a.j = b.Ati "
+    "AND a.k = floor(b.z) AND a.dimx <> b.dimx WHERE (a.Ate - b.Ate) * (a.Ate - b.Ate) + (a.Ati - b.Ati) * (a.Ati - b.Ati) "
+    "+ (a.z - b.z) * (a.z - b.z) <= 25e-2) n ON n.dimx = p.dimx",
+    "p AS (SELECT dimx, Ate, Ati, efeITG_GB AS z FROM bridge),\n"
+    "near AS (SELECT p.*, Ate AS i, Ati AS j, floor(z) + o AS k FROM p, (VALUES (-1), (0), (1)) t(o))"))
+def dbscan_noise(spark, sf):
+    """H-02: points without another one within half a unit (with two samples to a cluster, just these are noise)."""
+    b = bridge(spark, sf).select("dimx", *THIN_DIMS)
+    return thin.dbscan(b, THIN_DIMS, 0.5, 2).select("dimx", (F.col("label") == thin.NOISE).alias("noise"))
+
+
+@register("dbscan_cluster_sizes", with_bridge(
+    "SELECT size, count(*) AS clusters FROM (SELECT Ate, Ati, run, count(*) AS size FROM (SELECT *, sum(gap) OVER (PARTITION BY Ate, Ati ORDER BY z, dimx) AS run "
+    "FROM (SELECT *, CASE WHEN (z - lag(z) OVER (PARTITION BY Ate, Ati ORDER BY z, dimx)) * (z - lag(z) OVER (PARTITION BY Ate, Ati ORDER BY z, dimx)) <= 25e-2 "
+    "THEN 0 ELSE 1 END AS gap FROM p)) GROUP BY ALL) WHERE size > 1 GROUP BY size", "p AS (SELECT dimx, Ate, Ati, efeITG_GB AS z FROM bridge)"))
+def dbscan_cluster_sizes(spark, sf):
+    """H-02 / H-03: how many clusters there are of each size.  Ate and Ati are whole numbers, so at half a unit a
+    cluster is a run of close efeITG_GB values of one (Ate, Ati), which SQL can find too."""
+    b = bridge(spark, sf).select("dimx", *THIN_DIMS)
+    sizes = thin.dbscan(b, THIN_DIMS, 0.5, 2).filter(F.col("label") != thin.NOISE).groupBy("label").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("clusters"))
+
+
 @register("two_step_thinning")
 def two_step_thinning(spark, sf):
     """H-07 / H-08: the thinning job with the reference's shipped settings (rows-only)."""

@@ -97,3 +97,55 @@ def test_local_density_matches_brute_force(spark):
         P = X[label == g]
         nb = (((P[:, None] - P[None]) ** 2).sum(-1) <= 0.16).sum(1) - 1
         assert got[g] == (pytest.approx(nb.max() / 0.4 ** 2), len(P))
+
+
+def brute_two_step(ids, X, s):
+    """The thinning loop on plain arrays, with one representative per reduced cluster (min_reduction above all sizes)."""
+    X = X - X.mean(0)
+
+    def run(at, eps, reduce_next=False):
+        label, _ = brute_dbscan(X[at], eps, s.min_samples)
+        if (label < 0).all():
+            return None
+        out = {"toss": list(at[label < 0]), "next": [], "reduce": [], "keep": []}
+        for c in np.unique(label[label >= 0]):
+            members = at[label == c]
+            if len(members) <= s.min_cluster_size:
+                out["keep"] += list(members)
+            elif len(members) > s.reduction_threshold + 1 and not reduce_next:
+                out["next"] += list(members)
+            else:
+                out["reduce"].append(members)
+        return out
+
+    def nearest(members):
+        d = ((X[members] - X[members].mean(0)) ** 2).sum(1)
+        return members[np.lexsort((ids[members], d))[0]]
+
+    first = run(np.arange(len(X)), 1.0)
+    kept = first["keep"] + [nearest(m) for m in first["reduce"]]
+    at, eps = np.array(sorted(first["next"]), int), s.initial_eps
+    while True:
+        step = run(at, eps) if len(at) else None
+        if step is None:
+            break
+        kept += step["toss"] + step["keep"] + [nearest(m) for m in step["reduce"]]
+        at = np.array(sorted(step["next"]), int)
+        if eps < s.min_eps or not len(at):
+            break
+        eps -= s.eps_step
+    if len(at):
+        last = run(at, eps, True)
+        kept += [nearest(m) for m in last["reduce"]] if last else []
+    return {int(ids[k]) for k in kept}
+
+
+def test_two_step_thinning_keeps_the_same_ids(spark):
+    rng = np.random.RandomState(8)
+    X = np.vstack([rng.normal(0, 0.25, (120, 2)), rng.normal(4, 0.6, (60, 2)), rng.uniform(-6, 9, (40, 2)), rng.normal(-4, 0.05, (12, 2))])
+    ids = rng.permutation(len(X)) * 3 + 1
+    s = thin.ThinSettings(dims=["u", "v"], initial_eps=0.6, reduction_threshold=25, min_eps=0.5, min_reduction=1000, min_samples=2,
+                          min_cluster_size=4)
+    pdf = pd.DataFrame({"dimx": ids, "u": X[:, 0], "v": X[:, 1]})
+    got = {r.dimx for r in thin.two_step_thinning(spark.createDataFrame(pdf), s).collect()}
+    assert got == brute_two_step(ids, X, s)
