@@ -359,18 +359,15 @@ class ThinSettings:
     eps_step: float = 0.05
 
 
-def _reduce(scaled: DataFrame, classes: DataFrame, s: ThinSettings, radius: float, key: str) -> DataFrame:
-    """k-means representative per reduce-class cluster."""
-    red = classes.filter(F.col("cls") == "reduce").select(key, "label")
-    pts = scaled.join(red, key)
-    num_dim = s.num_dim or len(s.dims)
+def _reduce(classes: DataFrame, s: ThinSettings, radius: float, key: str) -> DataFrame:
+    """k-means representative per reduce-class cluster (``classes``: key, label, cls and the dims)."""
+    pts = classes.filter(F.col("cls") == "reduce").select(key, "label", *s.dims)
     if s.zeta == 0.0:
-        ks = red.groupBy("label").agg(F.count(F.lit(1)).alias("npts"))
+        ks = pts.groupBy("label").agg(F.count(F.lit(1)).alias("npts"))
         ks = ks.withColumn("k", k_expression(F.lit(0.0), F.col("npts"), s.min_reduction, s.tau, 0.0))
     else:
         dens = local_density(pts, s.dims, radius, key)
         ks = dens.withColumn("k", k_expression(F.col("density"), F.col("npts"), s.min_reduction, s.tau, s.zeta))
-    del num_dim
     # reduce-class clusters hold at most reduction_threshold + 1 points: a proven group bound
     return representatives(pts, s.dims, ks, key, max_group=s.reduction_threshold + 1)
 
@@ -386,37 +383,40 @@ def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx") -> Data
     """
     base = df.select(key, *s.dims).dropna()
     scaled = cut_lineage(rescale(base, s.dims, s.unit_variance))
+    # a width that suits all points suits every later, smaller set, as long as it is several eps
+    width = tile_width(scaled, s.dims, 1.0)
     kept = []
 
     def run(cur, eps, reduce_next=False):
-        lab = dbscan(cur, s.dims, eps, s.min_samples, key)
-        # materialise once, then check on the written table (the labels are not recomputed)
-        cls = cut_lineage(classify_clusters(lab, s.min_cluster_size, s.reduction_threshold, reduce_next))
-        if cls.filter(F.col("label") != NOISE).limit(1).count() == 0:
-            return None
-        return cls
+        lab = dbscan(cur, s.dims, eps, s.min_samples, key, width=max(width, WIDTHS[-1] * eps))
+        # written once with the coordinates: representatives and the next pass read this table
+        cls = cut_lineage(classify_clusters(lab, s.min_cluster_size, s.reduction_threshold, reduce_next).join(cur, key))
+        return None if cls.filter(F.col("label") != NOISE).isEmpty() else cls
+
+    def following(cls):
+        return cls.filter(F.col("cls") == "next").select(key, *s.dims)
 
     cls = run(scaled, 1.0)
     if cls is None:
         return df.limit(0)
     kept.append(cls.filter(F.col("cls") == "keep").select(key))
-    kept.append(_reduce(scaled, cls, s, s.initial_eps, key).select(key))
-    cur = cut_lineage(scaled.join(cls.filter(F.col("cls") == "next").select(key), key))
+    kept.append(_reduce(cls, s, s.initial_eps, key).select(key))
+    cur = following(cls)
     eps = s.initial_eps
     while True:                                            # eps falls each pass, so this ends at min_eps
         cls = run(cur, eps)
         if cls is None:
             break
         kept.append(cls.filter(F.col("cls").isin("toss", "keep")).select(key))
-        kept.append(_reduce(cur, cls, s, eps, key).select(key))
-        cur = cut_lineage(cur.join(cls.filter(F.col("cls") == "next").select(key), key))
-        if eps < s.min_eps or cur.limit(1).count() == 0:
+        kept.append(_reduce(cls, s, eps, key).select(key))
+        cur = following(cls)
+        if eps < s.min_eps or cur.isEmpty():
             break
         eps = eps - s.eps_step
-    if cur.limit(1).count() > 0:
+    if not cur.isEmpty():
         cls = run(cur, eps, reduce_next=True)
         if cls is not None:
-            kept.append(_reduce(cur, cls, s, eps, key).select(key))
+            kept.append(_reduce(cls, s, eps, key).select(key))
             if s.final_pass_keeps_rest:
                 kept.append(cls.filter(F.col("cls").isin("toss", "keep")).select(key))
         elif s.final_pass_keeps_rest:
