@@ -160,18 +160,27 @@ def dataset_difference(a: DataFrame, b: DataFrame, key: str = "dimx", columns=No
                  F.count_if(both & differ).cast("bigint").alias("differing"))
 
 
-def grid_summary(df: DataFrame, by: list[str], metrics: list[str], key: str = "id",
-                 decimals: int | None = None) -> DataFrame:
-    """R-11: per hyper-parameter cell, the ids (sorted) and mean / sample std of each metric
-    (``<metric>`` and ``<metric>_std``); rows whose metrics are all missing are dropped first."""
-    from functools import reduce as _reduce
-    anyval = _reduce(lambda a, b: a | b, [F.col(m).isNotNull() for m in metrics])
-    aggs = [F.sort_array(F.collect_list(key)).alias("ids")]
+def grid_summary(df: DataFrame, by: list[str], metrics: list[str], decimals: int | None = None) -> DataFrame:
+    """R-11: per hyper-parameter cell, the number of members and mean / sample std of each metric (``<metric>``
+    and ``<metric>_std``); rows whose metrics are all missing are dropped first."""
     from ..functions.numeric import exact_mean
+    aggs = [F.count(F.lit(1)).alias("n")]
     for m in metrics:
         mean = F.avg(m) if decimals is None else exact_mean(F.col(m), decimals)
         aggs += [mean.alias(m), F.stddev_samp(m).alias(f"{m}_std")]
-    return df.filter(anyval).groupBy(*by).agg(*aggs)
+    return _measured(df, metrics).groupBy(*by).agg(*aggs)
+
+
+def _measured(df: DataFrame, metrics: list[str]) -> DataFrame:
+    from functools import reduce as _reduce
+    return df.filter(_reduce(lambda a, b: a | b, [F.col(m).isNotNull() for m in metrics]))
+
+
+def grid_members(df: DataFrame, by: list[str], metrics: list[str], key: str = "id", decimals: int | None = None) -> DataFrame:
+    """R-11 with the members as rows: each id beside its cell's summary (a cell may hold any number of them)."""
+    cells = grid_summary(df, by, metrics, decimals)
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return _measured(df, metrics).select(F.col(key), *[F.col(c).alias(f"__{c}") for c in by]).join(cells, on).drop(*[f"__{c}" for c in by])
 
 
 def formatted_summary(df: DataFrame, metrics: list[str], digits: int = 3) -> DataFrame:

@@ -203,15 +203,15 @@ def registry_scan_query(spark, sf):
 
 
 @register("grid_summary", _sql(
-    "SELECT hidden_neurons[1] AS nodes, cost_l2_scale, list_sort(list(id)) AS ids, round(CAST(sum(CAST(rms AS DECIMAL(38,4))) AS DOUBLE) / count(rms), 6) AS rms, "
-    "round(stddev_samp(rms), 6) AS rms_std FROM reg WHERE rms IS NOT NULL GROUP BY hidden_neurons[1], cost_l2_scale"))
+    "SELECT r.id, g.* FROM reg r JOIN (SELECT hidden_neurons[1] AS nodes, cost_l2_scale, count(*) AS n, round(CAST(sum(CAST(rms AS DECIMAL(38,4))) AS DOUBLE) "
+    "/ count(rms), 6) AS rms, round(stddev_samp(rms), 6) AS rms_std FROM reg WHERE rms IS NOT NULL GROUP BY hidden_neurons[1], cost_l2_scale) g "
+    "ON g.nodes = r.hidden_neurons[1] AND g.cost_l2_scale = r.cost_l2_scale WHERE r.rms IS NOT NULL"))
 def grid_summary(spark, sf):
-    """R-11: per (nodes, l2) cell of the registry, the network ids and mean / std of the rms."""
+    """R-11: the networks of each (nodes, l2) cell of the registry with mean / std of the cell's rms."""
     from ..operators import report
     reg = registry_table(spark, sf).withColumn("nodes", F.col("hidden_neurons")[0])
-    g = report.grid_summary(reg, ["nodes", "cost_l2_scale"], ["rms"], decimals=4)
-    return g.select("nodes", "cost_l2_scale", "ids", F.round("rms", 6).alias("rms"),
-                    F.round("rms_std", 6).alias("rms_std"))
+    g = report.grid_members(reg, ["nodes", "cost_l2_scale"], ["rms"], decimals=4)
+    return g.select("id", "nodes", "cost_l2_scale", "n", F.round("rms", 6).alias("rms"), F.round("rms_std", 6).alias("rms_std"))
 
 
 @register("registry_from_folder", "WITH g AS (SELECT p_size, min(p_partkey) AS k FROM part GROUP BY p_size) "

@@ -95,7 +95,9 @@ def test_fit_reduces_loss(spark, sf_small):
 def test_grid_summary_and_labels(spark):
     df = spark.createDataFrame([(1, 8, 0.5), (2, 8, 0.7), (3, 16, None)], "id long, nodes int, rms double")
     g = report.formatted_summary(report.grid_summary(df, ["nodes"], ["rms"]), ["rms"]).collect()
-    assert len(g) == 1 and list(g[0].ids) == [1, 2] and g[0].rms_label == "0.600 +- 0.141"
+    assert len(g) == 1 and g[0].n == 2 and g[0].rms_label == "0.600 +- 0.141"
+    members = report.grid_members(df, ["nodes"], ["rms"]).collect()
+    assert sorted((r.id, r.nodes, r.n) for r in members) == [(1, 8, 2), (2, 8, 2)]
 
 
 def test_cut_tables_are_dropped(spark):
