@@ -90,7 +90,7 @@ class _Text:
         best = _sliding(np.maximum, np.concatenate([pad, least, pad]), w)   # over the windows holding a position
         self.pos = np.flatnonzero(best[:len(h)] == h)
         self.h = h
-        self.hash = h[self.pos]
+        self.hash = C.mix(h[self.pos])                      # anchors have the least hashes: spread them over the buckets again
         self.owner = np.searchsorted(self.starts, self.pos, "right") - 1
         self.lo = np.maximum(self.pos - (length - GRAM), self.starts[self.owner])
         self.hi = np.minimum(self.pos + length, self.starts[self.owner + 1])
