@@ -23,8 +23,8 @@ no needed candidate is lost; scores themselves are whole numbers.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part;
 components whose whole number does not fit 64 bits count as such too.  A shorter vector counts
-as padded with zeros.  Null ids take no part.  Repeated ids are separate candidates, and none of
-them is a candidate of a query with the same id.
+as padded with zeros.  Null ids take no part.  Rows that repeat an id are separate candidates (none of
+them for a query with that id) but ask once, with the least of their vectors.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     v_blocks = max(1, -(-rows // block))
     per_group = F.array(*[F.lit(n) for n in q_blocks])
     home_group = F.element_at(F.array(*[F.lit(int(g)) for g in group_of]), (F.col("home") + 1).cast("int"))
-    asks = placed.filter("asks").select("id", "v", home_group.alias("g")) \
+    asks = placed.filter("asks").groupBy("id").agg(F.min(F.struct("v", home_group.alias("g"))).alias("q")).select("id", "q.v", "q.g") \
         .withColumn("qb", F.pmod(F.xxhash64("id"), F.element_at(per_group, F.col("g") + 1)).cast("int")) \
         .withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
     bound = F.array(*[F.array(*[F.lit(float(needs[g, c])) for c in range(len(centre))]) for g in range(n_groups)])

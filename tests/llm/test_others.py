@@ -37,6 +37,7 @@ def test_top_k(spark):
     rows += [(1000 + i, [1.0] * 12, 0) for i in range(200)]                      # one very common vector
     rows += [(2000, None, 0), (2001, [1.0, None], 0), (2002, [float("nan")] * 12, 0), (2003, [float("inf")] * 12, 0),
              (2004, [], 0), (2005, [1.0, -2.0], 0), (None, [1.0] * 12, 0)]
+    rows += [rows[5], rows[5], rows[7]]                                          # repeated rows: a query's and another's
     check_top_k(spark, rows, 5)
     check_top_k(spark, rows, 5, pivots=3, groups=2, block=64)
 
