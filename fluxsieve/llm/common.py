@@ -85,19 +85,25 @@ def unpack(cell: bytes, *dtypes) -> list:
 
 
 def small(x: np.ndarray) -> bytes:
-    """Unsigned integers in few bytes: the narrowest type that holds all (a leading byte says which), or,
-    where that is shorter, one byte each (leading byte 0) with those from 255 on listed behind."""
+    """Unsigned integers in few bytes: the narrowest type that holds all (a leading byte says which; four bytes as
+    lower and upper halves, of which the shuffle's compression folds the upper), or, where that is shorter, one
+    byte each (leading byte 0) with those from 255 on listed behind."""
     big = x >= 255
     n_big = int(big.sum())
     size = 1 if not n_big or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4 if x.max() < 1 << 32 else 8
     if n_big and 16 + len(x) + 8 * n_big < size * len(x):
         return bytes([0]) + struct.pack("<QQ", len(x), n_big) + np.where(big, 255, x).astype(np.uint8).tobytes() \
             + x[big].astype("<u8").tobytes()
+    if size == 4:
+        return bytes([size]) + (x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype("<u2").tobytes()
     return bytes([size]) + x.astype(f"<u{size}").tobytes()
 
 
 def wide(x: bytes) -> np.ndarray:
     """Inverse of :func:`small`, as 64-bit integers."""
+    if x[0] == 4:
+        half = np.frombuffer(x, "<u2", (len(x) - 1) // 2, 1).astype(np.int64).reshape(2, -1)
+        return half[0] | half[1] << 16
     if x[0]:
         return np.frombuffer(x, f"<u{x[0]}", (len(x) - 1) // x[0], 1).astype(np.int64)
     n, n_big = struct.unpack_from("<QQ", x, 1)
@@ -119,12 +125,20 @@ def inbox(table: pa.Table, kind: int | None = None) -> list[tuple[int, int, byte
     return sorted(((d, s, x) for d, s, k, x in got if kind is None or k == kind), key=lambda m: (m[0], m[1]))
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each 64-bit hash: equal ranges of the hash space (fewer than 2^32), so they rise with the hash."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(sorted_buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(bucket, first, end)`` for the buckets that occur."""
+    first = run_starts(sorted_buckets)
+    return list(zip(sorted_buckets[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_buckets)).tolist()))
+
+
 def by_bucket(sorted_hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """``(bucket, first, end)`` of the sorted 64-bit hashes: buckets are equal ranges of the hash space
-    (fewer than 2^32), and only those that own some of the hashes are named."""
-    b = ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    first = run_starts(b)
-    return list(zip(b[first].astype(np.int64).tolist(), first.tolist(), np.append(first[1:], len(b)).tolist()))
+    """``(bucket, first, end)`` of the sorted hashes, for the buckets that own some."""
+    return runs(bucket_of(sorted_hashes, buckets))
 
 
 def ask(sorted_hashes: np.ndarray, buckets: int, src: int, kind: int, *columns) -> list:

@@ -6,14 +6,15 @@ the document: the lower the score, the more the text resembles the target.
 
 * Vocabulary: words that occur at least ``least_count`` times in the target documents; all others
   are one unknown word.
-* ``p(w | h) = (c(h, w) + T(h) p(w)) / (c(h) + T(h))`` (Witten-Bell: T(h) different words follow h)
-  with ``p(w) = (c(w) + 1) / (N + V)``; a document's first word follows a start mark.
+* ``p(w | h) = weight * c(h, w) / c(h) + (1 - weight) * p(w)`` (interpolation; ``p(w)`` alone after an h
+  that the model has not seen) with ``p(w) = (c(w) + 1) / (N + V + 1)``; a document's first word follows
+  a start mark.
 
 Counts are exact and over the whole corpus.  They are gathered in two message rounds (see
 ``common``): batches send their distinct words with counts, word buckets answer which are in the
-vocabulary and how often; then batches send their distinct word pairs by first word, and the
-bucket of that word, which sees all that follow it, answers both models' counts.  A frequent
-word costs one entry per batch.  Vocabulary and models stay spread over the buckets.
+vocabulary and how often they occur and are followed; then batches send their distinct word pairs, and
+the bucket of a *pair* answers its counts in both models.  A frequent word costs one entry per batch,
+and since pairs are bucketed by both words, no word's pairs, not even the unknown word's, meet in one task.
 
 Defined results: a text without words scores null; a null id is never a target; without target
 documents all words are unknown and both models are fitted all the same; ids repeated in the
@@ -52,73 +53,69 @@ class _Words:
         self.aimed = self.target[self.owner] if len(self.owner) else np.zeros(0, bool)
 
     def unigrams(self):
-        n = len(self.words)
-        return np.bincount(self.which, minlength=n).astype(np.int64), np.bincount(self.which[self.aimed], minlength=n).astype(np.int64)
-
-    def pairs(self, number):
-        """The batch's distinct word pairs by first word: first words (in bucket order), how many pairs each
-        has, the second words, and each token's pair.  ``number``: vocabulary number of each distinct word."""
+        """Per distinct word: occurrences and those that end a text, in all documents and in target documents."""
+        last = np.zeros(len(self.which), bool)
+        last[self.starts[1:][self.counts > 0] - 1] = True
+        count = lambda rows: np.bincount(self.which[rows], minlength=len(self.words)).astype(np.int64)
+        return count(slice(None)), count(self.aimed), count(last), count(last & self.aimed)
+
+    def pairs(self, number, buckets):
+        """The batch's distinct word pairs ordered by bucket, first and second word, and each token's first word and
+        pair.  ``number``: vocabulary number of each distinct word."""
         w = number[self.which]
         before = np.empty_like(w)
         if len(w):
             before[1:] = w[:-1]
             before[self.starts[:-1][self.counts > 0]] = START
-        key = C.mix(before.astype(np.uint64))                    # buckets are ranges of hashes
-        order = np.lexsort((w, key))
-        first = C.run_starts(key[order], w[order])
+        key = C.mix(C.mix(before.astype(np.uint64)) + w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        bucket = C.bucket_of(key, buckets)
+        order = np.lexsort((w, before, bucket))
+        first = C.run_starts(bucket[order], before[order], w[order])
         run = np.zeros(len(w), np.int64)
         run[first[1:]] = 1
         pair = np.empty(len(w), np.int64)
         pair[order] = np.cumsum(run)
-        keys = key[order][first]
-        head = C.run_starts(keys)
-        return keys[head], before[order][first][head], np.diff(np.append(head, len(first))), w[order][first], pair
+        pick = order[first]
+        return bucket[pick], before[pick], w[pick], before, pair
+
+
+def _grouped(columns, got):
+    """Rows of all senders as equal-row groups: ``(group of each row, sums(column))``."""
+    rows = [np.concatenate([g[i] for g in got]) for i in columns]
+    order = np.lexsort(rows[::-1])
+    first = C.run_starts(*[r[order] for r in rows])
+    group = np.empty(len(rows[0]), np.int64)
+    group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    return group, lambda i: np.add.reduceat(np.concatenate([g[i] for g in got])[order], first)
 
 
 def _count_words(got, bucket, buckets, least):
-    """Vocabulary number (0 outside the vocabulary) and both counts of every word a batch asked for, and, addressed
-    to nobody (-1), this bucket's share of the totals: tokens, target tokens, vocabulary, known tokens of both."""
-    h, n, t = (np.concatenate([g[i] for g in got]) for i in (1, 2, 3))
-    words, which = np.unique(h, return_inverse=True)
-    order = np.argsort(which, kind="stable")
-    first = C.run_starts(which[order])
-    all_n, all_t = np.add.reduceat(n[order], first), np.add.reduceat(t[order], first)
-    known = all_t >= least
+    """Vocabulary number (0 outside the vocabulary) and the four counts of every word a batch asked for, and, addressed
+    to nobody (-1), this bucket's share of the totals: vocabulary, then each count over all words and over known ones."""
+    group, sums = _grouped([1], got)
+    counts = [sums(i) for i in (2, 3, 4, 5)]
+    known = counts[1] >= least
     number = np.where(known, 2 + bucket + buckets * (np.cumsum(known) - 1), UNKNOWN)    # no other bucket gives it
     at = np.cumsum([0, *[len(g[1]) for g in got]])
     out = []
     for i, g in enumerate(got):
-        w = which[at[i]:at[i + 1]]
-        out.append((g[0], bucket, 1, C.pack(*[C.small(np.where(known, x, 0)[w]) for x in (number, all_n, all_t)])))
-    sums = [all_n.sum(), all_t.sum(), known.sum(), all_n[known].sum(), all_t[known].sum()]
-    return [*out, (-1, bucket, 3, C.pack(np.array(sums, np.int64)))]
+        w = group[at[i]:at[i + 1]]
+        out.append((g[0], bucket, 1, C.pack(*[C.small(np.where(known, x, 0)[w]) for x in (number, *counts)])))
+    totals = [known.sum(), *[x.sum() for x in counts], *[x[known].sum() for x in counts]]
+    return [*out, (-1, bucket, 3, C.pack(np.array(totals, np.int64)))]
 
 
 def _count_pairs(got, bucket):
-    """Per batch, in its order: both counts of each pair; both counts and numbers of continuations of each first word."""
-    head, size, w, n, t = (np.concatenate([g[i] for g in got]) for i in range(1, 6))
-    per_pair = np.repeat(head, size)
-    order = np.lexsort((w, per_pair))
-    first = C.run_starts(per_pair[order], w[order])
-    many = np.diff(np.append(first, len(w)))
-    heads = per_pair[order][first]
-    begin = C.run_starts(heads)
-    at_head = np.searchsorted(heads[begin], head)
-    pair_cols, head_cols = [], []
-    for x in (n, t):
-        c = np.add.reduceat(x[order], first)
-        back = np.empty(len(w), np.int64)
-        back[order] = np.repeat(c, many)
-        pair_cols.append(back)
-        head_cols += [np.add.reduceat(c, begin)[at_head], np.add.reduceat((c > 0).astype(np.int64), begin)[at_head]]
-    p_at = np.cumsum([0, *[len(g[3]) for g in got]])
-    h_at = np.cumsum([0, *[len(g[1]) for g in got]])
-    return [(g[0], bucket, 2, C.pack(*[C.small(x[p_at[j]:p_at[j + 1]]) for x in pair_cols],
-                                     *[C.small(x[h_at[j]:h_at[j + 1]]) for x in head_cols])) for j, g in enumerate(got)]
+    """Both counts of each pair a batch asked for, in its order."""
+    group, sums = _grouped([1, 2], got)
+    every, aimed = sums(3), sums(4)
+    at = np.cumsum([0, *[len(g[1]) for g in got]])
+    return [(g[0], bucket, 2, C.pack(C.small(every[group[at[i]:at[i + 1]]]), C.small(aimed[group[at[i]:at[i + 1]]])))
+            for i, g in enumerate(got)]
 
 
 def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_count: int = 10,
-          carry=(), batch_bytes: int = C.BATCH_BYTES) -> DataFrame:
+          weight: float = 0.7, carry=(), batch_bytes: int = C.BATCH_BYTES) -> DataFrame:
     """Carried columns (default the id) with ``n_tokens`` and ``score``; ``targets`` has the ids of target documents."""
     ship_package(docs.sparkSession)
     n = C.group_count(docs, text_col, batch_bytes)
@@ -131,32 +128,31 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
 
     def ask_words(key, table):
         x = _Words(table)
-        every, aimed = x.unigrams()
-        return C.messages([(b, key[0].as_py(), 1, C.pack(x.words[i:j], C.small(every[i:j]), C.small(aimed[i:j])))
+        counts = x.unigrams()
+        return C.messages([(b, key[0].as_py(), 1, C.pack(x.words[i:j], *[C.small(c[i:j]) for c in counts]))
                            for b, i, j in C.by_bucket(x.words, n)])
 
     def count_words(key, table):
-        got = [C.unpack(m, np.uint64, None, None) for _, _, m in C.inbox(table)]
-        srcs = [s for _, s, _ in C.inbox(table)]
-        return C.messages(_count_words([(s, h, C.wide(a), C.wide(b)) for s, (h, a, b) in zip(srcs, got)], key[0].as_py(), n, least_count))
+        got = [(s, C.unpack(m, np.uint64, *[None] * 4)) for _, s, m in C.inbox(table)]
+        return C.messages(_count_words([(s, h, *map(C.wide, c)) for s, (h, *c) in got], key[0].as_py(), n, least_count))
 
     def known_words(answers):
-        got = [C.unpack(m, None, None, None) for _, _, m in C.inbox(answers, 1)]
-        return [np.concatenate([np.zeros(0, np.int64), *[C.wide(g[i]) for g in got]]) for i in range(3)]
+        got = [C.unpack(m, *[None] * 5) for _, _, m in C.inbox(answers, 1)]
+        return [np.concatenate([np.zeros(0, np.int64), *[C.wide(g[i]) for g in got]]) for i in range(5)]
 
     def ask_pairs(key, table, answers):
         x = _Words(table)
-        keys, heads, sizes, words, pair = x.pairs(known_words(answers)[0])
+        bucket, heads, words, _, pair = x.pairs(known_words(answers)[0], n)
         every = np.bincount(pair, minlength=len(words)).astype(np.int64)
         aimed = np.bincount(pair[x.aimed], minlength=len(words)).astype(np.int64)
-        first, out = np.concatenate([[0], np.cumsum(sizes)]), []
-        for b, i, j in C.by_bucket(keys, n):
-            h, p = slice(i, j), slice(first[i], first[j])
-            out.append((b, key[0].as_py(), 2, C.pack(*map(C.small, (heads[h], sizes[h], words[p], every[p], aimed[p])))))
-        return C.messages(out)
+        # first words rise within a message: their steps are small
+        return C.messages([(b, key[0].as_py(), 2, C.pack(C.small(np.diff(heads[i:j], prepend=0)),
+                                                         *[C.small(c[i:j]) for c in (words, every, aimed)]))
+                           for b, i, j in C.runs(bucket)])
 
     def count_pairs(key, table):
-        return C.messages(_count_pairs([(s, *map(C.wide, C.unpack(m, *[None] * 5))) for _, s, m in C.inbox(table)], key[0].as_py()))
+        got = [(s, *map(C.wide, C.unpack(m, *[None] * 4))) for _, s, m in C.inbox(table)]
+        return C.messages(_count_pairs([(s, np.cumsum(steps), *rest) for s, steps, *rest in got], key[0].as_py()))
 
     def add_up(key, table):
         sums = np.sum([C.unpack(m, np.int64)[0] for _, _, m in C.inbox(table)], axis=0)
@@ -164,20 +160,24 @@ def score(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col:
 
     def per_token(key, table, answers):
         x = _Words(table)
-        number, every, aimed = known_words(answers)
-        _, _, sizes, _, pair = x.pairs(number)
-        sums = [C.unpack(m, np.int64)[0].tolist() for _, _, m in C.inbox(answers, 3)]     # none: there are no words at all
-        all_n, target_n, vocabulary, all_known, target_known = sums[0] if sums else [0] * 5
-        parts = [[C.wide(c) for c in C.unpack(m, *[None] * 6)] for _, _, m in C.inbox(answers, 2)]
-        cols = [np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]).astype(float) for i in range(6)]
-        head = np.repeat(np.arange(len(sizes)), sizes)[pair]              # each token's first word
+        number, *counts = known_words(answers)
+        _, _, _, before, pair = x.pairs(number, n)
+        got = [C.unpack(m, np.int64)[0] for _, _, m in C.inbox(answers, 3)]      # none: there are no words at all
+        vocabulary, total, known = (int(got[0][0]), got[0][1:5], got[0][5:9]) if got else (0, np.zeros(4), np.zeros(4))
+        rest = total - known
+        parts = [[C.wide(c) for c in C.unpack(m, None, None)] for _, _, m in C.inbox(answers, 2)]
         loss = np.zeros(len(pair))
-        for sign, c, (whole, kinds), own, total, unknown in (
-                (1, cols[0], cols[2:4], every, all_n, all_n - all_known), (-1, cols[1], cols[4:6], aimed, target_n, target_n - target_known)):
-            one = (np.where(number > 0, own, unknown)[x.which] + 1.0) / (total + vocabulary + 1.0)
-            k = kinds[head]
-            mass = whole[head] + k
-            p = np.where(mass > 0, (c[pair] + k * one) / np.where(mass > 0, mass, 1.0), one)
+        for sign, k in ((1, 0), (-1, 1)):                                        # background, target
+            own, ends = np.where(number > 0, counts[k], rest[k]), np.where(number > 0, counts[k + 2], rest[k + 2])
+            one = (own[x.which] + 1.0) / (total[k] + vocabulary + 1.0)
+            # how often the first word is followed: it occurs and does not end the text; the start mark opens each text
+            followed = np.empty(len(pair))
+            if len(pair):
+                followed[1:] = (own - ends)[x.which[:-1]]
+                followed[before == START] = total[k + 2]
+            c = np.concatenate([np.zeros(0, np.int64), *[p[k] for p in parts]])[pair]
+            seen = followed > 0
+            p = np.where(seen, weight * c / np.where(seen, followed, 1.0) + (1 - weight) * one, one)
             loss += sign * np.log(p)
         sums = np.concatenate([[0.0], np.cumsum(loss)])
         mean = [None if not k else float((sums[b] - sums[a]) / k) for k, a, b in zip(x.counts.tolist(), x.starts[:-1], x.starts[1:])]
@@ -204,11 +204,11 @@ seq AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), ' ') AS
 sums AS (SELECT count(*) AS n, count(*) FILTER (aimed) AS nt, (SELECT count(*) FROM vocabulary) AS v FROM toks),
 uni AS (SELECT w, count(*) AS c, count(*) FILTER (aimed) AS ct FROM toks GROUP BY w),
 bi AS (SELECT h, w, count(*) AS c, count(*) FILTER (aimed) AS ct FROM seq GROUP BY h, w),
-heads AS (SELECT h, sum(c) AS c, sum(ct) AS ct, count(*) AS k, count(*) FILTER (ct > 0) AS kt FROM bi GROUP BY h),
-loss AS (SELECT bi.h, bi.w, ln((bi.c + heads.k * ((uni.c + 1.0::double) / (n + v + 1))) / (heads.c + heads.k))
-                - ln(CASE WHEN heads.ct > 0 THEN (bi.ct + heads.kt * ((uni.ct + 1.0::double) / (nt + v + 1))) / (heads.ct + heads.kt)
-                     ELSE (uni.ct + 1.0::double) / (nt + v + 1) END) AS x
-         FROM bi JOIN heads ON heads.h = bi.h JOIN uni ON uni.w = bi.w CROSS JOIN sums),
+heads AS (SELECT h, sum(c) AS c, sum(ct) AS ct FROM bi GROUP BY h),
+ones AS (SELECT w, (c + 1.0::double) / (n + v + 1) AS p, (ct + 1.0::double) / (nt + v + 1) AS pt FROM uni CROSS JOIN sums),
+loss AS (SELECT bi.h, bi.w, ln(0.7::double * bi.c / heads.c + 0.3::double * ones.p)
+                - ln(CASE WHEN heads.ct > 0 THEN 0.7::double * bi.ct / heads.ct + 0.3::double * ones.pt ELSE ones.pt END) AS x
+         FROM bi JOIN heads ON heads.h = bi.h JOIN ones ON ones.w = bi.w),
 scores AS (SELECT seq.doc_id, avg(loss.x) AS score FROM seq JOIN loss ON loss.h = seq.h AND loss.w = seq.w GROUP BY seq.doc_id)
 SELECT d.doc_id, len(d.w)::bigint AS n_tokens, round(scores.score, 6) AS score FROM d LEFT JOIN scores ON scores.doc_id = d.doc_id
 """

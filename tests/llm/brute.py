@@ -28,7 +28,7 @@ def top_k(rows, k, every):
 
 
 def lm_scores(rows, targets, least):
-    """rows: [(id, text)] -> [(n, score)]: bigrams, Witten-Bell with add-one unigrams."""
+    """rows: [(id, text)] -> [(n, score)]: bigrams interpolated (0.7) with add-one unigrams."""
     toks = [words(t) for _, t in rows]
     aimed = [i is not None and i in targets for i, _ in rows]
     first = Counter(w for t, a in zip(toks, aimed) if a for w in t)
@@ -36,20 +36,18 @@ def lm_scores(rows, targets, least):
     seqs = [[w if w in known else None for w in t] for t in toks]
 
     def model(use):
-        uni, bi, head, kinds = Counter(), Counter(), Counter(), Counter()
+        uni, bi, head = Counter(), Counter(), Counter()
         for s, u in zip(seqs, use):
             if u:
                 uni.update(s)
                 bi.update(zip(["<s>", *s[:-1]] if s else [], s))
         for (h, _), n in bi.items():
             head[h] += n
-            kinds[h] += 1
         total = sum(uni.values())
 
         def p(h, w):
             one = (uni[w] + 1) / (total + len(known) + 1)
-            whole = head[h] + kinds[h]
-            return (bi[h, w] + kinds[h] * one) / whole if whole else one
+            return 0.7 * bi[h, w] / head[h] + 0.3 * one if head[h] else one
         return p
     target, every = model(aimed), model([True] * len(rows))
     out = []
