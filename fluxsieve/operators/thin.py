@@ -113,14 +113,17 @@ def tiled(points: DataFrame, dims, width: float, halo: float, keep) -> DataFrame
 
 
 def _close_pairs(X: np.ndarray, radius: float):
-    """``(block rows, candidates, close)``: blocks of points in order of the first dim against all within reach of
-    them along it; ``close`` is the matrix of pairs within ``radius``."""
-    order = np.argsort(X[:, 0], kind="stable")
-    first = X[order, 0]
+    """``(block rows, candidates, close)``: blocks of points in order of the dim they spread most in against all
+    within reach of them along it; ``close`` is the matrix of pairs within ``radius``."""
+    if not len(X):
+        return
+    axis = int(np.argmax(X.max(axis=0) - X.min(axis=0)))
+    order = np.argsort(X[:, axis], kind="stable")
+    first = X[order, axis]
     for at in range(0, len(order), BLOCK):
         rows = order[at:at + BLOCK]
-        lo = np.searchsorted(first, X[rows[0], 0] - radius * (1 + 1e-9), "left")
-        hi = np.searchsorted(first, X[rows[-1], 0] + radius * (1 + 1e-9), "right")
+        lo = np.searchsorted(first, first[at] - radius * (1 + 1e-9), "left")
+        hi = np.searchsorted(first, X[rows[-1], axis] + radius * (1 + 1e-9), "right")
         cand = order[lo:hi]
         d2 = np.zeros((len(rows), len(cand)))
         for k in range(X.shape[1]):
@@ -213,14 +216,17 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
 
     seen = cut_lineage(tiled(points, dims, width, 2 * eps * (1 + 1e-6), [key]).groupBy("tile")
                        .applyInArrow(solve, f"{key} {key_type}, comp string, role int"))
-    mine = seen.filter(F.col("role") == OWN_CORE).select(key, F.col("comp").alias("a"))
     other = seen.filter(F.col("role") == OTHER_CORE).select(key, F.col("comp").alias("b"))
-    roots = connected_components(mine.join(other, key).select("a", "b").distinct())
-    comps = seen.select("comp").distinct().join(roots.withColumnRenamed("node", "comp"), "comp", "left") \
-        .select("comp", F.coalesce("root", "comp").alias("root"))
-    names = comps.groupBy("root").agg(F.min("comp").alias("label"))
-    label_of = comps.join(names, "root").select("comp", "label")
-    found = seen.filter(F.col("role") != OTHER_CORE).join(label_of, "comp").groupBy(key).agg(F.min("label").alias("label"))
+    named = seen.filter(F.col("role") != OTHER_CORE).select(key, "comp")
+    if other.isEmpty():                                    # no core point near any border: local clusters are final
+        found = named.groupBy(key).agg(F.min("comp").alias("label"))
+    else:
+        mine = seen.filter(F.col("role") == OWN_CORE).select(key, F.col("comp").alias("a"))
+        roots = connected_components(mine.join(other, key).select("a", "b").distinct())
+        comps = seen.select("comp").distinct().join(roots.withColumnRenamed("node", "comp"), "comp", "left") \
+            .select("comp", F.coalesce("root", "comp").alias("root"))
+        label_of = comps.join(comps.groupBy("root").agg(F.min("comp").alias("label")), "root").select("comp", "label")
+        found = named.join(label_of, "comp").groupBy(key).agg(F.min("label").alias("label"))
     return points.select(key).join(found, key, "left").select(key, F.coalesce("label", F.lit(NOISE)).alias("label"))
 
 
@@ -284,7 +290,7 @@ def _lloyd_numpy(X: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str = "dimx",
-                    cluster: str = "label", max_group: int | None = None) -> DataFrame:
+                    cluster: str = "label", max_group: int | None = None, larger: bool = True) -> DataFrame:
     """H-06: per cluster, the point nearest the *first* centroid of a k-means fit.
 
     k = 1: the centroid is the mean (one aggregate) and the nearest point a ``min_by``.
@@ -293,7 +299,7 @@ def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str
     representative is the point nearest the lowest-index surviving centroid.
     Clusters of at most ``max_group`` points (the reduce class is bounded by the
     reduction threshold) run per cluster in ``applyInPandas``; larger ones run as
-    distributed aggregates, so a hot cluster never lands in one task.
+    distributed aggregates, so a hot cluster never lands in one task (``larger=False``: there are none).
     """
     pk = points.join(k_per_cluster.select(cluster, "k", "npts"), cluster) if "npts" in k_per_cluster.columns \
         else points.join(k_per_cluster.select(cluster, "k"), cluster).withColumn("npts", F.lit(None).cast("long"))
@@ -320,6 +326,8 @@ def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str
         out.append(small.select(cluster, key, "k", "__j", *dims).groupBy(cluster).applyInPandas(
             per_cluster, f"{cluster} {dict(points.dtypes)[cluster] if cluster in points.columns else 'long'}, "
                          f"{key} {key_type}"))
+    if not larger:
+        return reduce(lambda a, b: a.unionByName(b), out)
     many = cut_lineage(many)
     if not many.isEmpty():
         while True:                                        # until no point moves
@@ -359,7 +367,7 @@ class ThinSettings:
     eps_step: float = 0.05
 
 
-def _reduce(classes: DataFrame, s: ThinSettings, radius: float, key: str) -> DataFrame:
+def _reduce(classes: DataFrame, s: ThinSettings, radius: float, key: str, larger: bool = False) -> DataFrame:
     """k-means representative per reduce-class cluster (``classes``: key, label, cls and the dims)."""
     pts = classes.filter(F.col("cls") == "reduce").select(key, "label", *s.dims)
     if s.zeta == 0.0:
@@ -368,8 +376,8 @@ def _reduce(classes: DataFrame, s: ThinSettings, radius: float, key: str) -> Dat
     else:
         dens = local_density(pts, s.dims, radius, key)
         ks = dens.withColumn("k", k_expression(F.col("density"), F.col("npts"), s.min_reduction, s.tau, s.zeta))
-    # reduce-class clusters hold at most reduction_threshold + 1 points: a proven group bound
-    return representatives(pts, s.dims, ks, key, max_group=s.reduction_threshold + 1)
+    # reduce-class clusters hold at most reduction_threshold + 1 points, a proven group bound, but for the last pass
+    return representatives(pts, s.dims, ks, key, max_group=s.reduction_threshold + 1, larger=larger)
 
 
 def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx") -> DataFrame:
@@ -416,7 +424,7 @@ def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx") -> Data
     if not cur.isEmpty():
         cls = run(cur, eps, reduce_next=True)
         if cls is not None:
-            kept.append(_reduce(cls, s, eps, key).select(key))
+            kept.append(_reduce(cls, s, eps, key, larger=True).select(key))
             if s.final_pass_keeps_rest:
                 kept.append(cls.filter(F.col("cls").isin("toss", "keep")).select(key))
         elif s.final_pass_keeps_rest:
