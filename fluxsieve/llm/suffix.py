@@ -13,12 +13,16 @@ strings are judged on the input.
    of the anchor.  A shard sorts the suffixes of its text in two stages: suffixes smaller than
    their successor are sorted directly, the others are induced by scanning the buckets of first
    bytes in order.  Neighbours in that order whose common prefix reaches ``length`` are
-   repeated.  An anchor with very many different contexts (many near copies of one passage) is
-   spread over shards by the bytes around it: windows are split by where the anchor lies in
-   them, and each part goes where the core that all its windows share hashes to.
-3. The batch merges both kinds of spans and cuts them out.
+   repeated.
+3. **Single windows.**  An anchor with very many different contexts (a passage that goes on
+   differently in each of its documents) sends no bytes: each distinct window around it is counted
+   at the bucket of its own 128-bit hash, so windows inside the passage are one entry per batch and
+   those over its edges are spread by their own bytes.  A batch that holds ``MANY`` contexts of an
+   anchor itself says so in one entry, in place of listing them.
+4. The batch merges all three kinds of spans and cuts them out.
 
-No pairs are formed, and a passage with any number of copies is one entry per batch.
+No pairs are formed.  A passage with any number of copies is one entry per batch at most, an anchor
+fewer than ``MANY``, and a shard gets the bytes of fewer than ``CROWD`` contexts of one anchor.
 
 Defined results: null and empty texts have no bytes and no spans; documents are rows, so
 repeated rows are copies of each other whatever their ids; null ids are allowed.
@@ -36,8 +40,8 @@ from . import common as C
 GRAM = 64
 #: Bytes of text in a batch: a batch works on some ten 64-bit columns over its bytes.
 BATCH_BYTES = 2 << 20
-#: Contexts of one anchor from which its windows are split by core, and into so many parts.
-CROWD, PARTS = 256, 8
+#: Contexts of one anchor from which its windows are counted one by one: in all batches, in one batch.
+CROWD, MANY = 256, 16
 
 _TABLE = C.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
@@ -76,7 +80,7 @@ class _Text:
         n, w = len(self.flat), length - GRAM + 1
         if n < length:
             self.pos = np.zeros(0, np.int64)
-            self.h = self.hash = self.context = np.zeros(0, np.uint64)
+            self.h = self.hash = self.context = self.least = np.zeros(0, np.uint64)
             self.lo = self.hi = self.owner = self.pos
             return
         h = _gram_hashes(self.flat)
@@ -86,6 +90,7 @@ class _Text:
         np.add.at(valid, self.starts[:-1][long], 1)
         np.add.at(valid, self.starts[1:][long] - length + 1, -1)
         least = np.where(np.cumsum(valid[:len(least)]) > 0, least, np.uint64(0))
+        self.least = least
         pad = np.zeros(w - 1, np.uint64)
         best = _sliding(np.maximum, np.concatenate([pad, least, pad]), w)   # over the windows holding a position
         self.pos = np.flatnonzero(best[:len(h)] == h)
@@ -94,7 +99,7 @@ class _Text:
         self.owner = np.searchsorted(self.starts, self.pos, "right") - 1
         self.lo = np.maximum(self.pos - (length - GRAM), self.starts[self.owner])
         self.hi = np.minimum(self.pos + length, self.starts[self.owner + 1])
-        self.context = self.span_hash(self.lo, self.hi, self.pos - self.lo)
+        self.context = self.span_hash(self.lo, self.hi, self.pos - self.lo) | np.uint64(1)   # 0 stands for many
 
     def span_hash(self, lo, hi, seed) -> np.ndarray:
         """Hash of the bytes of each span (at least ``GRAM`` long) and of ``seed``, from its gram hashes."""
@@ -112,77 +117,112 @@ class _Text:
         return order, first
 
 
-def _send_anchors(texts, n, src, length):
-    t = _Text(texts, length)
+#: What a batch says of an (anchor, context): it holds it once; several times; it holds many contexts of the anchor.
+ONCE, SEVERAL, CROWDED = 0, 1, 2
+
+
+def _entries(t: _Text):
+    """``(pick, several, listed, sent)``: an anchor of each distinct (anchor, context) and whether there are
+    several; whether the pair is listed; the pairs that are entries (of an anchor not listed the first)."""
     order, first = t.classes()
     several = np.diff(np.append(first, len(order))) > 1
     pick = order[first]
-    return C.ask(t.hash[pick], n, src, 1, t.context[pick], several.view(np.uint8))
+    anchor = C.run_starts(t.hash[pick])
+    kinds = np.diff(np.append(anchor, len(pick)))
+    listed = np.repeat(kinds < MANY, kinds)
+    entry = listed.copy()
+    entry[anchor] = True
+    return pick, several, listed, np.flatnonzero(entry)
+
+
+def _send_anchors(texts, n, src, length):
+    t = _Text(texts, length)
+    pick, several, listed, sent = _entries(t)
+    context = np.where(listed, t.context[pick], np.uint64(0))[sent]
+    state = np.where(listed, np.where(several, SEVERAL, ONCE), CROWDED)[sent].astype(np.uint8)
+    return C.ask(t.hash[pick[sent]], n, src, 1, context, state)
 
 
 #: What a bucket answers for a batch's (anchor, context): the context is repeated as a whole; this
-#: batch sends it to a shard; it belongs to a crowded anchor.
+#: batch sends it; it belongs to a crowded anchor, whose windows are counted one by one.
 WHOLE, SEND, SPLIT = 1, 2, 4
 
 
 def _judge(got, bucket, crowd):
-    h, c, several = (np.concatenate([g[i] for g in got]) for i in (1, 2, 3))
+    h, c, state = (np.concatenate([g[i] for g in got]) for i in (1, 2, 3))
     order = np.lexsort((c, h))                              # stable: senders in order within a pair
-    hs, cs = h[order], c[order]
+    hs, cs, state = h[order], c[order], state[order]
     pair = C.run_starts(hs, cs)
     size = np.diff(np.append(pair, len(hs)))
-    whole = (size > 1) | (np.add.reduceat(several[order].astype(np.int64), pair) > 0)
+    whole = (size > 1) | (np.maximum.reduceat(state, pair) == SEVERAL)
     anchor = C.run_starts(hs[pair])
-    kinds = np.repeat(np.diff(np.append(anchor, len(pair))), np.diff(np.append(anchor, len(pair))))
-    flag = np.repeat(np.where(whole, WHOLE, 0) + np.where(kinds >= crowd, SPLIT, 0), size)
+    per_anchor = np.diff(np.append(anchor, len(pair)))
+    many = np.maximum.reduceat(np.maximum.reduceat(state, pair), anchor) == CROWDED
+    kinds, split = np.repeat(per_anchor, per_anchor), np.repeat(many | (per_anchor >= crowd), per_anchor)
+    flag = np.repeat(np.where(whole, WHOLE, 0) + np.where(split, SPLIT, 0), size)
     flag[pair[kinds > 1]] += SEND
     out = np.empty(len(h), np.uint8)
     out[order] = flag
-    at = np.cumsum([0, *[len(g[1]) for g in got]])
-    return [(g[0], bucket, 1, C.pack(out[at[i]:at[i + 1]])) for i, g in enumerate(got)]
+    return _answers(got, bucket, 1, out)
 
 
-# ------------------------------------------------------------------ shards
+def _answers(got, bucket, kind, out):
+    """``out``, which goes with the joined columns of all senders, as one message to each."""
+    at = np.cumsum([0, *[len(g[1]) for g in got]])
+    return [(g[0], bucket, kind, C.pack(out[at[i]:at[i + 1]])) for i, g in enumerate(got)]
+
+
+def _flags(t: _Text, answers):
+    """``(pick, flags)`` of each distinct (anchor, context), from the answers to the entries."""
+    pick, several, listed, sent = _entries(t)
+    flags = np.where(several, WHOLE | SEND | SPLIT, SEND | SPLIT).astype(np.uint8)   # not listed: the batch knows
+    own = listed[sent]
+    flags[sent[own]] = answers[own]
+    return pick, flags
+
+
+# ------------------------------------------------------------------ single windows
+
+def _windows(t: _Text, pick, flags, length):
+    """Windows in the contexts sent for crowded anchors, each with the anchor of least hash in it:
+    ``(start, first, hash, second hash, several)``, starts in the order of the hashes, the others per distinct window."""
+    crowd = t.pos[pick[(flags & (SEND | SPLIT)) == (SEND | SPLIT)]]
+    back = np.arange(length - GRAM + 1)
+    taken = np.zeros(len(t.least), bool)
+    for i in range(0, len(crowd), 4096):                    # bounded working memory
+        p = crowd[i:i + 4096, None]
+        s = np.clip(p - back, 0, len(taken) - 1)
+        taken[s[t.least[s] == t.h[p]]] = True               # windows that leave their document have 0
+    start = np.flatnonzero(taken)
+    one = t.span_hash(start, start + length, np.zeros(len(start), np.int64))
+    two = np.zeros(len(start), np.uint64)
+    if len(start):
+        word = np.lib.stride_tricks.sliding_window_view(t.flat, 8)
+        for off in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+            two = C.mix(two * np.uint64(_BASE) + word[start + off].view(np.uint64).ravel() + np.uint64(1))
+    order = np.lexsort((two, one))
+    start, one, two = start[order], one[order], two[order]
+    first = C.run_starts(one, two)
+    return start, first, one[first], two[first], np.diff(np.append(first, len(start))) > 1
+
+
+def _count_windows(got, bucket):
+    """Answers per batch: whether each window occurs again, there or elsewhere."""
+    one, two, several = (np.concatenate([g[i] for g in got]) for i in (1, 2, 3))
+    order = np.lexsort((two, one))
+    first = C.run_starts(one[order], two[order])
+    size = np.diff(np.append(first, len(order)))
+    out = np.empty(len(one), np.uint8)
+    out[order] = np.repeat((size > 1) | (np.maximum.reduceat(several[order], first) > 0), size)
+    return _answers(got, bucket, 3, out)
 
-def _split(t: _Text, pick, flags, length):
-    """Parts of the contexts sent for crowded anchors: (key of the core, lo, hi, hash of the part)."""
-    crowd = pick[(flags & (SEND | SPLIT)) == (SEND | SPLIT)]
-    offsets = np.linspace(0, length - GRAM + 1, PARTS + 1).astype(np.int64)
-    p, owner = t.pos[crowd], t.owner[crowd]
-    begin, end = t.starts[owner], t.starts[owner + 1]
-    keys, lo, hi, pieces = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for o1, o2 in zip(offsets[:-1], offsets[1:] - 1):       # windows starting o1..o2 bytes before the anchor
-        a, b = np.maximum(p - o2, begin), np.minimum(p - o1 + length, end)
-        ok = np.flatnonzero((p - o1 >= begin) & (b - a >= length))
-        if len(ok):
-            keys.append(t.span_hash(p[ok] - o1, p[ok] - o2 + length, t.hash[crowd[ok]] + np.uint64(o1)))
-            pieces.append(t.span_hash(a[ok], b[ok], keys[-1] + (p[ok] - a[ok]).astype(np.uint64)))
-            lo.append(a[ok])
-            hi.append(b[ok])
-    return tuple(map(np.concatenate, (keys, lo, hi, pieces)))
-
-
-def _equal_parts(t: _Text, flags, length):
-    """Spans of parts that this batch holds several times: repeated as a whole."""
-    order, first = t.classes()
-    _, lo, hi, piece = _split(t, order[first], flags, length)
-    _, which, count = np.unique(piece, return_inverse=True, return_counts=True)
-    again = count[which] > 1
-    return lo[again], hi[again]
 
+# ------------------------------------------------------------------ shards
 
-def _pieces(t: _Text, flags, length, shards):
-    """Spans of this batch for each shard, overlapping ones of a document merged: (shard, lo, hi)."""
-    order, first = t.classes()
-    pick = order[first]
+def _pieces(t: _Text, pick, flags, shards):
+    """Spans of this batch for each shard: (shard, lo, hi)."""
     plain = pick[(flags & (SEND | SPLIT)) == SEND]
-    shard, lo, hi = [(C.mix(t.hash[plain]) % np.uint64(shards)).astype(np.int64)], [t.lo[plain]], [t.hi[plain]]
-    key, a, b, piece = _split(t, pick, flags, length)
-    _, one = np.unique(piece, return_index=True)            # of equal pieces one goes; see _equal_parts
-    shard.append((key % np.uint64(shards)).astype(np.int64)[one])
-    lo.append(a[one])
-    hi.append(b[one])
-    shard, lo, hi = map(np.concatenate, (shard, lo, hi))
+    shard, lo, hi = (C.mix(t.hash[plain]) % np.uint64(shards)).astype(np.int64), t.lo[plain], t.hi[plain]
     order = np.lexsort((hi, lo, shard))
     return shard[order], lo[order], hi[order]
 
@@ -202,12 +242,15 @@ def merged(owner, lo, hi):
     return owner[first], lo[first], top[last]
 
 
-def _send_pieces(t: _Text, flags, length, shards, src):
-    shard, lo, hi = _pieces(t, flags, length, shards)
+def _send_pieces(t: _Text, answers, length, shards, src):
+    """Bytes for the shards (kind 2) and windows for the buckets (kind 3)."""
+    pick, flags = _flags(t, answers)
+    _, _, one, two, several = _windows(t, pick, flags, length)
+    shard, lo, hi = _pieces(t, pick, flags, shards)
     owner = np.searchsorted(t.starts, lo, "right") - 1
     group, lo, hi = merged(shard * (len(t.sizes) + 1) + owner, lo, hi)
     shard = group // (len(t.sizes) + 1)
-    out = []
+    out = C.ask(one, shards, src, 3, two, several.view(np.uint8))
     cut = np.append(C.run_starts(shard), len(shard))
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
         body = b"".join(t.flat[x:y].tobytes() for x, y in zip(lo[a:b].tolist(), hi[a:b].tolist()))
@@ -331,6 +374,8 @@ def repeated_positions(text: bytes, ends: np.ndarray, length: int) -> np.ndarray
 
 def _solve_shard(got, shard, length):
     """Answers per batch: spans of repeated strings, in the batch's byte positions."""
+    if not got:
+        return []
     srcs, los, sizes, bodies = [], [], [], []
     for src, lo, size, body in got:
         srcs.append(np.full(len(lo), src, np.int64))
@@ -379,21 +424,24 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return C.messages(_send_pieces(_Text(texts, length), C.replies(answers, 1, np.uint8), length, n, key[0].as_py()))
 
     def solve(key, table):
-        got = [(src, *C.unpack(x, np.int64, np.int64, None)) for _, src, x in C.inbox(table)]
-        return C.messages(_solve_shard(got, key[0].as_py(), length))
+        got = [(src, *C.unpack(x, np.int64, np.int64, None)) for _, src, x in C.inbox(table, 2)]
+        windows = [(src, *C.unpack(x, np.uint64, np.uint64, np.uint8)) for _, src, x in C.inbox(table, 3)]
+        bucket = key[0].as_py()
+        return C.messages(_solve_shard(got, bucket, length) + (_count_windows(windows, bucket) if windows else []))
 
     def cut(key, docs_t, answers):
         table, _, texts = C.rows_in_order(docs_t)
         t = _Text(texts, length)
         order, first = t.classes()
-        flags = C.replies(answers, 1, np.uint8)
+        pick, flags = _flags(t, C.replies(answers, 1, np.uint8))
         whole = np.zeros(len(t.pos), bool)
         if len(order):
             whole[order] = np.repeat((flags & WHOLE) > 0, np.diff(np.append(first, len(order))))
         spans = [C.unpack(x, np.int64, np.int64) for _, _, x in C.inbox(answers, 2)]
-        again = _equal_parts(t, flags, length)
-        lo = np.concatenate([t.lo[whole], again[0], *[s[0] for s in spans]])
-        hi = np.concatenate([t.hi[whole], again[1], *[s[1] for s in spans]])
+        start, head = _windows(t, pick, flags, length)[:2]
+        again = start[np.repeat(C.replies(answers, 3, np.uint8) > 0, np.diff(np.append(head, len(start))))]
+        lo = np.concatenate([t.lo[whole], again, *[s[0] for s in spans]])
+        hi = np.concatenate([t.hi[whole], again + length, *[s[1] for s in spans]])
         delta = np.zeros(len(t.flat) + 1, np.int64)
         np.add.at(delta, lo, 1)
         np.add.at(delta, hi, -1)

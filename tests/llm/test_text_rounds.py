@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from fluxsieve.llm import bpe, lm_score, substring, suffix
+from fluxsieve.llm import common as C
 from fluxsieve.llm.queries import vocabulary
 
 from . import brute
@@ -40,6 +41,46 @@ def test_suffix(odd, odd_list, none, crowd, batch):
     assert suffix.remove_repeated(none).count() == 0
 
 
+def passage_with_edges(n, seed):
+    """Texts that share a passage of 230 bytes, with different bytes next to it."""
+    rnd = random.Random(seed)
+    say = lambda k: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    body = say(230)
+    return [say(150) + body + say(150) for _ in range(n)]
+
+
+def test_suffix_common_passage(frame):
+    """Some batches hold many contexts of the passage's anchors, others few; some edges occur twice."""
+    texts = passage_with_edges(560, 6)
+    texts += [t[:300] + "#" for t in texts[:40]] + ["#" + t[170:] for t in texts[40:80]] + texts[80:100]
+    got = suffix.remove_repeated(frame(list(enumerate(texts))), length=200)
+    want = brute.byte_windows(texts, 200)
+    assert bag((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == \
+        bag((i, *w) for i, w in enumerate(want))
+
+
+def test_suffix_common_passage_is_spread():
+    """Holders of a common passage do not meet: not in a bucket of anchors, not in a shard."""
+    n, length = 64, 200
+    texts = [t.encode() for t in passage_with_edges(24 * n, 7)]
+    batches = [texts[i::n] for i in range(n)]
+    inbox = {}
+    for src, own in enumerate(batches):
+        for dest, _, _, data in suffix._send_anchors(own, n, src, length):
+            inbox.setdefault(dest, []).append((src, *C.unpack(data, np.uint64, np.uint64, np.uint8)))
+    most = max(np.unique(np.concatenate([g[1] for g in got]), return_counts=True)[1].max() for got in inbox.values())
+    assert most < 16 * n
+    replies = {}
+    for bucket, got in sorted(inbox.items()):
+        for dest, _, _, data in suffix._judge(got, bucket, suffix.CROWD):
+            replies.setdefault(dest, []).append(C.unpack(data, np.uint8)[0])
+    load = np.zeros(n)
+    for src, own in enumerate(batches):
+        for dest, _, _, data in suffix._send_pieces(suffix._Text(own, length), np.concatenate(replies[src]), length, n, src):
+            load[dest] += len(data)
+    assert load.max() < load.mean() + suffix.CROWD * (2 * length)     # an anchor that is not crowded stays together
+
+
 def test_suffix_order():
     rnd = random.Random(1)
     for turn in range(120):
