@@ -8,8 +8,9 @@ and 0 to each query: the distance between the two then falls exactly as their in
 rises, for any one query, so the bounds of a kNN join apply.
 
 1. Pivots (a bounded sample of candidates, a parameter) divide candidates and queries into
-   Voronoi cells.  Summaries per cell: the k + 1 least pivot distances of its candidates, and the
-   largest pivot distance of its queries.
+   Voronoi cells.  Summaries per cell: the k + 1 ids of least pivot distance among its candidates
+   (a query's own id, on however many rows, is one of them at most), and the largest pivot
+   distance of its queries.
 2. From the summaries every query cell gets an upper bound on the distance of any of its
    queries' k-th neighbour; a candidate is needed there only if its own pivot distance does not
    rule it out by the triangle inequality, or by the plane between the two pivots.
@@ -119,10 +120,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
 
     placed = cut_lineage(base.mapInArrow(
         assign, "id bigint, v array<bigint>, asks boolean, cell bigint, d double, home bigint, far double"))
-    nearest = placed.select("cell", "d", F.row_number().over(Window.partitionBy("cell").orderBy("d")).alias("r")) \
-        .filter(F.col("r") <= k + 1).groupBy("cell").agg(F.collect_list("d").alias("d")).collect()   # pivots * (k + 1) numbers
+    nearest = placed.groupBy("cell", "id").agg(F.min("d").alias("d")) \
+        .withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("d", "id"))) \
+        .filter(F.col("r") <= k + 1).groupBy("cell").agg(F.collect_list(F.struct("d", "id")).alias("near")).collect()   # pivots * (k + 1) pairs
     asking = placed.filter("asks").groupBy("home").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()
-    needs, group_of, share = _bounds(centre, {r["cell"]: r["d"] for r in nearest}, {r["home"]: (r["far"], r["n"]) for r in asking}, k, groups)
+    needs, group_of, share = _bounds(centre, {r["cell"]: [x["d"] for x in r["near"]] for r in nearest},
+                                     {r["home"]: (r["far"], r["n"]) for r in asking}, k, groups,
+                                     {r["cell"]: [x["id"] for x in r["near"]] for r in nearest})
     n_groups = len(share)
     # blocks of bounded size: the hash of the id deals a group's queries, and all candidates
     q_blocks = [max(1, -(-n // block)) for n in share]
@@ -171,16 +175,21 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
         .select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
-def _bounds(centre, nearest, asking, k, groups):
+def _bounds(centre, nearest, asking, k, groups, ids=None):
     """For each group and candidate cell the least pivot distance of a candidate that is needed; the
-    group of each query cell; the queries of each group."""
+    group of each query cell; the queries of each group.  ``ids`` go with ``nearest`` (left out: all differ)."""
     n = len(centre)
+    ids = ids or {j: [(j, r) for r in range(len(ds))] for j, ds in nearest.items()}
     between = _distances(centre, centre)
     per_cell = {}
     for i, (radius, _) in asking.items():
         # every query of cell i: distance to a candidate of cell j at most radius + between + its pivot distance
-        upper = sorted(radius + between[i, j] + d for j, ds in nearest.items() for d in ds)
-        theta = upper[min(k, len(upper) - 1)] if len(upper) > k else np.inf      # k + 1: one may be the query itself
+        least_of = {}                                       # an id in several cells counts once
+        for j, ds in nearest.items():
+            for d, one in zip(ds, ids[j]):
+                least_of[one] = min(least_of.get(one, np.inf), radius + between[i, j] + d)
+        upper = sorted(least_of.values())
+        theta = upper[k] if len(upper) > k else np.inf      # k + 1: one may be the query's own id
         least = np.empty(n)
         for j in range(n):
             # triangle inequality: |q, v| >= between - radius - d, so v is ruled out while that exceeds theta

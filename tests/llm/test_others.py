@@ -53,6 +53,21 @@ def test_top_k_prunes(spark):
     assert np.isinf(needs).sum() > 8
 
 
+def test_top_k_repeated_query_id(spark):
+    """A query's own rows, in one cell or several, are no neighbours: far cells stay needed."""
+    rnd = random.Random(3)
+    spots = [[rnd.gauss(0, 100) for _ in range(8)] for _ in range(8)]
+    rows = [(i, [x + rnd.gauss(0, 0.01) for x in spots[1 + i % 7]], 0) for i in range(1, 400)]
+    far = [3 * x for x in spots[0]]                                # the longest, hence at distance 0 of its own copies
+    less = [far[0] - 1.0, *far[1:]]                                # a query asks with the least of its vectors
+    check_top_k(spark, rows + [(0, far, 0)] * 7, 1000, pivots=500)
+    check_top_k(spark, [(0, less, 0)] * 4 + rows + [(0, far, 0)] * 4 + [(1000, far, 0)], 1000, pivots=500)
+    near = {0: [0.0] * 6, 1: [1.0] * 6}
+    centre = np.array([[0.0, 0.0], [100.0, 0.0]])
+    own, _, _ = voronoi._bounds(centre, near, {0: (0.5, 1)}, 5, 1, {0: [7] * 6, 1: list(range(6))})
+    assert np.isfinite(own[0, 1])
+
+
 def test_top_k_few_or_no_rows(spark):
     check_top_k(spark, [(0, [1.0, 2.0], 0), (50, [0.5, 0.5], 0), (7, [3.0, 1.0], 0)], 50)
     check_top_k(spark, [(3, [1.0], 0)], 50)
