@@ -164,14 +164,18 @@ def fit_arrays(rows: np.ndarray, starts: np.ndarray, grades: np.ndarray, n_grade
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text",
         grade_col: str = "grade", fit_rows: int = 12_000, bits: int = 18) -> OrdinalModel | None:
-    """Fit on at most ``fit_rows`` rated documents (grades ``0 .. n_grades - 1``)."""
+    """Fit on at most ``fit_rows`` ratings (grades ``0 .. n_grades - 1``) of documents in ``docs``.
+
+    A rating given twice counts once; of several texts of a rated id the least counts.  ``None`` without ratings
+    or without documents; ratings of which none belongs to a document are an error.
+    """
     ship_package(docs.sparkSession)
     grade = F.col(grade_col).cast("int")
-    rated = ratings.select(F.col(id_col).cast("long").alias("id"), grade.alias("grade")) \
-        .filter(F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1)) \
-        .orderBy(F.xxhash64("id"), "id", "grade").limit(fit_rows)
+    graded = ratings.select(F.col(id_col).cast("long").alias("id"), grade.alias("grade")) \
+        .filter(F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1)).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sample = texts.join(F.broadcast(rated), "id")               # bounded by fit_rows
+    rated = graded.join(texts.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id", "grade").limit(fit_rows)
+    sample = texts.join(F.broadcast(rated), "id").groupBy("id", "grade").agg(F.min("text").alias("text"))   # bounded by fit_rows
 
     def extract(batches):
         for b in batches:
@@ -188,7 +192,11 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_i
 
     got = sample.select("id", "grade", "text").mapInArrow(extract, "one int, id bigint, grade int, feats binary") \
         .groupBy("one").applyInArrow(train, "model binary").collect()      # one row of 4 * 2^bits bytes
-    return OrdinalModel(*C.unpack(bytes(got[0][0]), np.float32, np.float64)) if got else None
+    if not got:
+        if graded.isEmpty() or texts.isEmpty():
+            return None
+        raise ValueError("none of the rated documents is among the documents to fit on")
+    return OrdinalModel(*C.unpack(bytes(got[0][0]), np.float32, np.float64))
 
 
 class _Weights(dict):

@@ -119,6 +119,21 @@ def test_ordinal_edges(odd, odd_list, none, spark):
     assert all(r.selected and r.expected_grade is None for r in ordinal.score(odd, None, tail_grade=2).collect())
 
 
+def test_ordinal_sample(frame, none, spark):
+    """Ratings of other documents take no place in the sample; a repeated id is one document."""
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("abcdef") + str(i % 3) for _ in range(12)), "en", "s") for i in range(60)]
+    rate = lambda ids: spark.createDataFrame([(i, i % 3) for i in ids], "doc_id long, grade int")
+    plain = ordinal.fit(frame(rows), rate(range(60)), n_grades=3, fit_rows=60, bits=10)
+    crowded = ordinal.fit(frame(rows), rate(range(2000)), n_grades=3, fit_rows=60, bits=10)
+    repeated = ordinal.fit(frame(rows + rows[:1] * 50), rate(range(60)), n_grades=3, fit_rows=60, bits=10)
+    for other in (crowded, repeated):
+        assert (plain.weights == other.weights).all() and (plain.thresholds == other.thresholds).all()
+    with pytest.raises(ValueError):
+        ordinal.fit(frame(rows), rate(range(100, 200)), n_grades=3, bits=10)
+    assert ordinal.fit(none, rate(range(9)), n_grades=3) is None
+
+
 # ------------------------------------------------------------------ 4
 
 def test_simhash(odd, odd_list, none):
