@@ -69,7 +69,8 @@ def op5_adaptive_rules(spark, sf_dir):
 
 @register("op6_bpe_chunk_reuse")
 def op6_bpe_chunk_reuse(spark, sf_dir):
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary())
+    out = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @register("op7_curriculum_mix", mixing.MIX_SQL)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from fluxsieve.llm import bpe, lm_score, substring, suffix
+from fluxsieve.llm import bpe, lm_score, queries, substring, suffix
 from fluxsieve.llm import common as C
 from fluxsieve.llm.queries import vocabulary
 
@@ -121,6 +121,15 @@ def test_bpe(odd, odd_list, none):
     assert bpe.encode_documents(none, path).count() == 0
 
 
+def test_bpe_query_hashes_the_operators_output(spark, monkeypatch):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    want = bag(map(tuple, bpe.encode_digests(docs, vocabulary()).collect()))
+    monkeypatch.delattr(bpe, "encode_digests")
+    got = queries.op6_bpe_chunk_reuse(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert bag(map(tuple, got.collect())) == want
+
+
 def test_bpe_joins_at_any_cut():
     c = bpe.codec(vocabulary())
     rnd = random.Random(2)
