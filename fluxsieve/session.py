@@ -61,18 +61,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _CUTS: dict[str, list[str]] = {}
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Materialise ``df`` as a Parquet table under the shared checkpoint folder and read it back.
 
     This cuts the lineage (iterative jobs keep a small plan, and a lost executor
     only costs re-reading files, not recomputing the history) and gives the
     optimizer real file sizes.  Never ``localCheckpoint``: executor-local blocks die
     with the executor.  :func:`drop_cut_tables` deletes the tables when a job has ended.
+    ``compression`` names a codec in place of the session's own.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**({"compression": compression} if compression else {})).parquet(path)
     _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
