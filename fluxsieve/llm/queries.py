@@ -6,12 +6,14 @@ digest columns from the operator's own output.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm_score, mixing, ordinal, quality_rules, simhash, substring, suffix, voronoi
+from ..session import cut_lineage, ensure_checkpoint_dir
+from . import align, bpe, chat, lm_score, mixing, ordinal, prefix_trie, quality_rules, simhash, substring, suffix, token_files, voronoi
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -33,6 +35,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def pieces() -> str:
+    """The public sentencepiece model installed on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def graded(labels: DataFrame) -> DataFrame:
     """Labels as grades: 0 toxic, 1 of low quality, 2 good."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1)
@@ -107,3 +115,34 @@ def op9_chat_format(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     out = suffix.remove_repeated(table(spark, sf_dir, "documents"), length=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def rebuilt(seqs: DataFrame) -> DataFrame:
+    """Conversations whose first turns are those of the first conversation of their hundred: as many as the CRC of the
+    id says (up to five, all if there are fewer), then their own further ones."""
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(6)).cast("int")
+    heads = seqs.filter(F.col("conv_id") % 100 == 0).select(F.col("conv_id").alias("first_id"), F.slice("turns", 1, 5).alias("heads"))
+    both = seqs.withColumn("first_id", F.col("conv_id") - F.col("conv_id") % 100).join(heads, "first_id", "left")
+    own = F.slice("turns", h + 1, F.greatest(F.size("turns"), F.lit(1)))
+    return both.select("conv_id", F.when(F.col("heads").isNull(), own).otherwise(F.concat(F.slice("heads", F.lit(1), h), own)).alias("turns"))
+
+
+@register("op11_prefix_trie", prefix_trie.TRIE_SQL)
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(rebuilt(cut_lineage(prefix_trie.sequences(table(spark, sf_dir, "conversations")))))
+
+
+@register("op12_token_files")
+def op12_token_files(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=0)
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op13_lockstep_alignment")
+def op13_lockstep_alignment(spark, sf_dir):
+    aligned = align.alignments(table(spark, sf_dir, "documents"), vocabulary(), pieces())
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    out = align.with_counts(aligned.withColumn("groups", digest))
+    return out.select(F.col("doc.doc_id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                      F.col("groups").alias("groups_sha256"))
