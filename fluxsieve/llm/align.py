@@ -25,8 +25,11 @@ in ``carry``, whatever their names.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,30 +156,28 @@ class _Block:
         self.number, self.bytes, self.rows, self.runs = number, 0, [], []
 
 
-def _encode(texts: list, side, lead: str):
-    """``(flat ids, number per text)``; a text's ids are dropped where they do not spell the lead and the text."""
-    out, counts = [], []
-    for t in texts:
-        ids = side.plain(lead + t.decode("utf-8", "replace")) if t else []
-        if b"".join(map(side.bytes_of.__getitem__, ids)) != b" " + t:
-            ids = []
-        out += ids
-        counts.append(len(ids))
-    return np.array(out, np.int64), np.array(counts, np.int64)
-
-
-def _run(texts, side_a, side_b, spelling):
-    """Alignment of the texts of one run: per text ``n_a, n_b, n_groups, n_links, groups``, and the
+def _encode(column: pa.Array, side_a, side_b):
+    """``(flat ids, number per text)`` of both sides; a text has none where either side does not spell a space and it."""
+    texts = [t or b"" for t in column.to_pylist()]
+    plain = [t.decode("utf-8", "replace") for t in texts]
+    flat, counts = (array("q"), array("q")), ([], [])
+    spelt = [u.encode() == t for u, t in zip(plain, texts)]              # the byte-level side spells any text
+    for t, u, good, a in zip(texts, plain, spelt, side_a.plain_all(plain, tokens.odd_texts(column), " ")):
+        b = side_b.plain(u) if good and t else []
+        if b"".join(map(side_b.bytes_of.__getitem__, b)) != b" " + t:
+            a, b = [], []
+        for k, ids in enumerate((a, b)):
+            flat[k].extend(ids)
+            counts[k].append(len(ids))
+    return [np.array(f, np.int64) for f in flat], [np.array(c, np.int64) for c in counts]
+
+
+def _run(column: pa.Array, side_a, side_b, spelling):
+    """Alignment of the texts (binary) of one run: per text ``n_a, n_b, n_groups, n_links, groups``, and the
     ``(document, pair, links)`` arrays."""
-    texts = [t or b"" for t in texts]
-    a, n_a = _encode(texts, side_a, " ")
-    b, n_b = _encode(texts, side_b, "")
-    good = (n_a > 0) & (n_b > 0)
-    if not good.all():
-        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
-        n_a, n_b = np.where(good, n_a, 0), np.where(good, n_b, 0)
-    docs = np.flatnonzero(good)
-    n_groups, n_links, groups = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [""] * len(texts)
+    (a, b), (n_a, n_b) = _encode(column, side_a, side_b)
+    docs = np.flatnonzero(n_a)
+    n_groups, n_links, groups = np.zeros(len(n_a), np.int64), np.zeros(len(n_a), np.int64), [""] * len(n_a)
     if not len(docs):
         return n_a, n_b, n_groups, n_links, groups, (np.zeros(0, np.int64),) * 3
     end_a, end_b = np.cumsum(side_a.length_of[a]), np.cumsum(side_b.length_of[b])
@@ -251,9 +252,8 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
 
         for part in tokens.slices(batches, "text", run_bytes):
             shape = part.column("doc").type
-            texts = part.column("text").to_pylist()
-            parts.append((part.select(["doc"]), *_run(texts, side_a, side_b, spelling)))
-            size += sum(len(t) for t in texts if t)
+            parts.append((part.select(["doc"]), *_run(part.column("text"), side_a, side_b, spelling)))
+            size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
             if size >= block_bytes:
                 yield from close()
                 number, size, parts = number + 1, 0, []

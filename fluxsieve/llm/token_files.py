@@ -27,6 +27,7 @@ are not written.
 from __future__ import annotations
 
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -141,11 +142,13 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "do
 
     def encode(batches):
         t = tokens.byte_tokens(vocabulary)
-        kind = np.uint16 if len(t.bytes_of) <= 1 << 16 else np.uint32
+        kind = "H" if len(t.bytes_of) <= 1 << 16 else "I"
         shard, at = TaskContext.get().partitionId(), 0
         for part in tokens.slices(batches, "text", SLICE):
-            ids = [np.array([*t.encode(x.decode("utf-8", "replace")), end_id] if x else [end_id], kind)
-                   for x in part.column("text").to_pylist()]
+            texts = [x.decode("utf-8", "replace") if x else "" for x in part.column("text").to_pylist()]
+            ids = [array(kind, x) for x in t.encode_all(texts, tokens.odd_texts(part.column("text")))]
+            for x in ids:
+                x.append(end_id)
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             ends = at + np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
@@ -158,10 +161,8 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0, id_col: str = "do
 
 def _flat(column: pa.Array, n: np.ndarray) -> np.ndarray:
     """Ids of a column of packed ids as one array."""
-    column = column.cast(pa.binary())
-    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    raw = column.buffers()[2][int(at[0]):int(at[-1])]
-    return np.frombuffer(raw, f"<u{raw.size // int(n.sum())}")
+    raw, _ = tokens._bytes(column)
+    return raw.view(f"<u{len(raw) // int(n.sum())}")
 
 
 def id_counts(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from . import bpe
 _SPACE = "\t-\r \x85\xa0  -     　"
 _RUN = re.compile(f"[{_SPACE}][{_SPACE}]")
 _CUT = re.compile(f"(?<=[{_SPACE}])(?=[{_SPACE}][^{_SPACE}])")
+#: Bytes without a break from which merges take another way.
+LONG = 512
 _AHEAD = r"\s+(?!\S)|"
 
 
@@ -50,6 +52,16 @@ class ByteTokens:
             return [i for part in _CUT.split(text) for i in self.ranked.encode_ordinary(part)]
         return self.ranked.encode_ordinary(text)
 
+    def plain_all(self, texts: list[str], odd: np.ndarray, lead: str = "") -> list[list[int]]:
+        """Ids of ``lead`` and each text; ``odd`` as :func:`odd_texts` says, the others need no closer look."""
+        easy = self.ranked.encode_ordinary
+        return [self.plain(lead + t) if o else easy(lead + t) for t, o in zip(texts, odd.tolist())]
+
+    def encode_all(self, texts: list[str], odd: np.ndarray) -> list[list[int]]:
+        """:meth:`encode` of each text."""
+        easy, special = self.ranked.encode_ordinary, self.special
+        return [self.encode(t) if o or any(s in t for s in special) else easy(t) for t, o in zip(texts, odd.tolist())]
+
     def encode(self, text: str) -> list[int]:
         """Ids as the library gives them without special tokens added: strings of special tokens in the
         text become their ids."""
@@ -90,6 +102,36 @@ def piece_tokens(path: str) -> PieceTokens:
     return PieceTokens(path)
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column, and where each value begins and the last one ends."""
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8)[at[0]:at[-1]] if raw else np.zeros(0, np.uint8)), at - at[0]
+
+
+def odd_texts(column: pa.Array) -> np.ndarray:
+    """Texts (a binary column) that may hold white space side by side, at their begin or beyond ASCII, or ``LONG``
+    bytes without a break: what the plain pattern or its merges do not suit.  May say so of others."""
+    raw, at = _bytes(column)
+    out = np.zeros(len(at) - 1, bool)
+    if not len(raw):
+        return out
+    text_of = lambda p: np.searchsorted(at, p, "right") - 1
+    begins = at[:-1][at[:-1] < at[1:]]
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    out[text_of(begins[space[begins]])] = True
+    out[text_of(np.flatnonzero(space[1:] & space[:-1]))] = True
+    wide = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] <= 0xE3))
+    first, then = raw[wide], raw[wide + 1]
+    out[text_of(wide[((first == 0xC2) & ((then == 0x85) | (then == 0xA0))) | ((first == 0xE1) & (then == 0x9A))
+                     | ((first == 0xE2) & (then <= 0x81)) | ((first == 0xE3) & (then == 0x80))])] = True
+    space[begins] = True
+    breaks = np.flatnonzero(space)
+    out[text_of(breaks[np.diff(np.append(breaks, len(raw))) >= LONG])] = True
+    return out
+
+
 def slices(batches, text: str, size: int):
     """Arrow batches cut into runs of rows with about ``size`` bytes of the binary column ``text``."""
     for batch in batches:
