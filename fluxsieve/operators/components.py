@@ -2,25 +2,51 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def _solve(table: pa.Table) -> pa.Table:
+    """Roots of the few nodes of a small link table."""
+    names, of = np.unique(np.concatenate([np.array(table.column(c).to_pylist(), object) for c in "ab"]), return_inverse=True)
+    a, b = of[:table.num_rows], of[table.num_rows:]
+    root = np.arange(len(names))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for at in (a, b, root[a], root[b]):
+            np.minimum.at(new, at, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            kind = table.schema.field("a").type
+            return pa.table([pa.array(names.tolist(), kind), pa.array(names[root].tolist(), kind)], names=["node", "root"])
+        root = new
+
+
+def connected_components(edges: DataFrame, small: int = 0) -> DataFrame:
     """``(node, root)`` for every node of ``edges(a, b)``: two nodes have one root if and only if a
     path links them.
 
     Contraction: in each round every node joins the neighbour (or itself) with the least random
     priority, and the links are redrawn between those; a fresh priority each round makes the
     number of nodes fall geometrically whatever the graph's shape.  Rounds end when no link is
-    left.  Each round is written to the shared checkpoint folder.
+    left.  Each round is written to the shared checkpoint folder.  Once at most ``small`` links are left, one
+    task solves them, which saves the last rounds and changes only which node of a component is its root.
     """
     links = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .filter("a <> b").distinct())
     steps, turn = [], 0
+    kind = edges.schema["a"].dataType.simpleString()
     while not links.isEmpty():
+        if small and links.count() <= small:
+            ship_package(links.sparkSession)
+            steps.append(links.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_solve, f"node {kind}, root {kind}"))
+            break
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("n"))
         both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(rank("b")).alias("best"))

@@ -135,14 +135,12 @@ def sum_pinches(df: DataFrame) -> DataFrame:
 def axis_index(df: DataFrame, dims) -> DataFrame:
     """B-03: row-major linear cell index ``dimx = sum(pos_i * stride_i)`` from the grid axes.
 
-    Each axis (distinct values of one dim) is a small table: its position is a dense
-    rank over that table only, joined back by broadcast after a size check.
+    Each axis is the table of one dim's distinct values with their places, broadcast where it is small, joined otherwise.
     """
-    from .slices import axis_positions
+    from .slices import join_positions
     sizes, out = [], df
     for d in dims:
-        pos, n = axis_positions(df, d)
-        out = out.join(F.broadcast(pos.withColumnRenamed("__pos", f"__p_{d}")), d, "left")
+        out, n = join_positions(out, d, f"__p_{d}")
         sizes.append(n)
     strides, acc = [], 1
     for n in reversed(sizes):
@@ -173,23 +171,14 @@ def pick_ion(df: DataFrame, ion: int = 0, col: str = "nions") -> DataFrame:
     return df.filter(F.col(col) == ion).drop(col)
 
 
-def constant_columns(df: DataFrame, columns=None) -> list[str]:
-    """B-06: columns whose value never varies (one aggregate pass)."""
-    cols = columns or df.columns
-    row = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c]]
-
-
-def metadatize(df: DataFrame, columns=None) -> tuple[DataFrame, DataFrame]:
-    """B-06: move constant columns to a ``(name, value)`` constants table."""
-    const = constant_columns(df, columns)
-    spark = df.sparkSession
-    if not const:
-        return df, spark.createDataFrame([], "name string, value string")
-    one = df.select(*const).limit(1)
-    consts = one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
-                                            for c in const])).alias("r")).select("r.*")
-    return df.drop(*const), consts
+def metadatize(df: DataFrame, columns=None, keep=()) -> tuple[DataFrame, DataFrame]:
+    """B-06: move constant columns to a ``(name, value)`` constants table.  A column is constant if it has one value in
+    every row, or none in any; one value beside missing ones is data.  Columns in ``keep`` (targets, flags) stay."""
+    cols = [c for c in columns or df.columns if c not in keep]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(cols) for x in (
+        F.count(c).alias(f"c{i}"), (F.min(c) == F.max(c)).alias(f"s{i}"), F.min(c).cast("string").alias(f"v{i}"))]).first()
+    const = [(c, row[f"v{i}"]) for i, c in enumerate(cols) if row["n"] and (row[f"c{i}"] == 0 or (row[f"s{i}"] and row[f"c{i}"] == row["n"]))]
+    return df.drop(*[c for c, _ in const]), df.sparkSession.createDataFrame(const, "name string, value string")
 
 
 def drop_si(df: DataFrame) -> DataFrame:

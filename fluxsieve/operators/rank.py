@@ -10,8 +10,6 @@ partition's first rank.  The same path serves every size.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,24 +34,3 @@ def global_rank(df: DataFrame, order_cols: list[str], key: str = "dimx", out: st
     return placed.withColumn("__p", part).join(F.broadcast(starts), "__p") \
         .withColumn(out, F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))) \
         .drop("__p", "__m", "__start")
-
-
-def hash_rank_segments(df: DataFrame, seed, cuts: list[int], key: str = "dimx", out: str = "segment") -> DataFrame:
-    """Segment index per row for ascending rank cut points ``cuts`` in md5 order: ``#(cuts <= rank)``."""
-    ranked = global_rank(df.withColumn("__h", hash_key(seed, key)), ["__h"], key, "__rank")
-    seg = F.lit(0)
-    for k in cuts:
-        seg = seg + F.when(F.col("__rank") >= F.lit(k), 1).otherwise(0)
-    return ranked.withColumn(out, seg).drop("__h", "__rank")
-
-
-def exact_quantiles(df: DataFrame, column: str, probs: list[float], key: str = "dimx") -> list[float | None]:
-    """Linearly interpolated quantiles of the present values of a column, from the values at their two ranks."""
-    ranked = global_rank(df.filter(F.col(column).isNotNull()).select(column, key), [column], key, "__rank")
-    n = ranked.count()
-    if not n:
-        return [None] * len(probs)
-    at = [p * (n - 1) for p in probs]
-    want = sorted({r for a in at for r in (math.floor(a), math.ceil(a))})
-    got = dict(ranked.filter(F.col("__rank").isin(want)).select("__rank", F.col(column).cast("double")).collect())
-    return [got[math.floor(a)] + (got[math.ceil(a)] - got[math.floor(a)]) * (a - math.floor(a)) for a in at]

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..session import cut_lineage
 
 TOPOLOGY = ["hidden_neurons", "hidden_activation", "output_activation"]
 NETPAR = ["goodness", "cost_l2_scale", "cost_l1_scale", "early_stop_measure", "early_stop_after"]
@@ -111,25 +112,50 @@ def divsum_from_div_id(reg: DataFrame, net_id: int, raise_on_missing: bool = Tru
     return combo.unionByName(multi)
 
 
-def leaves(reg: DataFrame, max_depth: int = 32) -> DataFrame:
-    """L-07 helper: ``(id, leaf)`` for every composed network, expanded to pure networks by
-    iterated joins (depth-bounded; each round is one join)."""
-    edges = reg.filter(F.col("networks").isNotNull()).select("id", F.explode("networks").alias("leaf"))
-    composed = reg.filter(F.col("networks").isNotNull()).select(F.col("id").alias("leaf"),
-                                                               F.col("networks").alias("__kids"))
-    cur = edges
-    for _ in range(max_depth):
-        nxt = cur.join(composed, "leaf", "left")
-        if nxt.filter(F.col("__kids").isNotNull()).limit(1).count() == 0:
-            return cur
-        cur = nxt.select("id", F.explode(F.coalesce("__kids", F.array("leaf"))).alias("leaf"))
-    raise ValueError("composition deeper than max_depth")
+def _doubled(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Paths of ``a`` followed by paths of ``b``."""
+    return a.join(b.select(F.col("id").alias("to"), F.col("to").alias("end")), "to").select("id", F.col("end").alias("to"))
+
+
+def _cycle(edges: DataFrame, looping: DataFrame) -> list:
+    """Ids of a cycle, for the error message: the least looping child of each id is followed until one repeats."""
+    inside = edges.join(looping.select(F.col("id").alias("to")).distinct(), "to").groupBy("id").agg(F.min("to").alias("to"))
+    inside = cut_lineage(inside.join(looping.select("id").distinct(), "id"))
+    at, seen = inside.agg(F.min("id")).first()[0], []
+    while at not in seen and len(seen) < 100:
+        seen.append(at)
+        at = inside.filter(F.col("id") == at).first()["to"]
+    return seen[seen.index(at):] if at in seen else seen
+
+
+def leaves(reg: DataFrame) -> DataFrame:
+    """L-07 helper: ``(id, leaf, n)`` for every composed network: its pure networks, and along how many ways it uses them.
+
+    Pointer jumping: paths of 1, 2, 4, ... steps, so rounds grow with the logarithm of the depth.  Paths longer than there
+    are composed networks mean a cycle, which is an error that names it.
+    """
+    edges = cut_lineage(reg.filter(F.col("networks").isNotNull()).select("id", F.explode("networks").alias("to")).groupBy("id", "to")
+                        .agg(F.count(F.lit(1)).alias("n")))
+    composed = cut_lineage(edges.select("id").distinct())
+    among = edges.join(composed.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to")
+    paths, rounds, total = cut_lineage(among), 0, composed.count()
+    while not paths.isEmpty():
+        if 1 << rounds > total:
+            raise ValueError(f"networks composed of each other: {_cycle(among, paths)}")
+        paths, rounds = cut_lineage(_doubled(paths, paths).distinct()), rounds + 1
+    # ways to each leaf, doubled as often; a pure network leads to itself
+    ways = edges.withColumnRenamed("to", "leaf")
+    for _ in range(rounds):
+        onward = ways.select(F.col("id").alias("leaf"), F.col("leaf").alias("end"), F.col("n").alias("m"))
+        ways = cut_lineage(ways.join(onward, "leaf", "left").groupBy("id", F.coalesce("end", "leaf").alias("leaf"))
+                           .agg(F.sum(F.col("n") * F.coalesce("m", F.lit(1))).alias("n")))
+    return ways
 
 
 def recursive_attribute(reg: DataFrame, param: str, distinct: bool = False) -> DataFrame:
     """L-07: for each composed network, the array of ``param`` over its leaves (sorted)."""
-    lv = leaves(reg).join(reg.select(F.col("id").alias("leaf"), F.col(param).alias("__v")), "leaf")
-    agg = F.collect_set("__v") if distinct else F.collect_list("__v")
+    lv = leaves(reg).join(reg.select(F.col("id").alias("leaf"), F.col(param).alias("__v")), "leaf").filter(F.col("__v").isNotNull())
+    agg = F.collect_set("__v") if distinct else F.flatten(F.collect_list(F.array_repeat("__v", F.col("n").cast("int"))))
     return lv.groupBy("id").agg(F.sort_array(agg).alias(param))
 
 

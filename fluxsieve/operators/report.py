@@ -41,13 +41,13 @@ def stability_breakdown(df: DataFrame, flags=("ITG", "TEM", "ETG")) -> DataFrame
                          F.round(F.col("n") * 100.0 / total, 6).alias("pct"))
 
 
-def mean_median(df: DataFrame, columns, decimals: int | None = None, key: str = "dimx") -> DataFrame:
-    """R-03: mean and median per column, nulls ignored (the median is the value at its rank).  ``decimals``: the data
+def mean_median(df: DataFrame, columns, decimals: int | None = None) -> DataFrame:
+    """R-03: mean and median per column, nulls ignored (the median is the value at its rank; all columns side by side).  ``decimals``: the data
     has at most that many decimals, so the mean is taken from an exact decimal sum."""
     from ..functions.numeric import exact_mean
-    from .rank import exact_quantiles
+    from .select import quantiles
     one = df.agg(*[(F.avg(c) if decimals is None else exact_mean(F.col(c), decimals)).alias(f"{c}__mean") for c in columns])
-    medians = {c: exact_quantiles(df, c, [0.5], key)[0] for c in columns}
+    medians = {c: q[0] for c, q in quantiles(df.select(*columns), {c: [0.5] for c in columns}).items()}
     return _stack(one, [(c, [F.round(F.col(f"{c}__mean"), 6), F.round(F.lit(medians[c]).cast("double"), 6)])
                         for c in columns], ["name", "mean", "median"])
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import all_of, isclose
-from .rank import exact_quantiles, global_rank, hash_key, hash_rank_segments
+from .rank import hash_key
+from .select import before, hash_order, keys_at, quantiles
 
 
 def constant_slice(df: DataFrame, values: dict[str, float], atol: float = 1e-5, rtol: float = 1e-3,
@@ -56,23 +57,25 @@ def nested_split(inp: DataFrame, levels: list[dict[str, float]], key: str = "dim
     return out
 
 
-def test_flag(df: DataFrame, frac: float = 0.1, seed=42, key: str = "dimx", n: int | None = None) -> DataFrame:
-    """G-05: exactly ``floor(frac * n)`` rows flagged ``is_test``, chosen by md5 order."""
-    n = df.count() if n is None else n
-    k = int(math.floor(frac * n))
-    return hash_rank_segments(df, seed, [k], key, "__seg").withColumn(
-        "is_test", F.col("__seg") == 0).drop("__seg")
+def test_flag(df: DataFrame, frac: float = 0.1, seed=42, key: str = "dimx") -> DataFrame:
+    """G-05: exactly ``floor(frac * n)`` rows flagged ``is_test``, the first ones in md5 order: one comparison with the
+    key at that rank."""
+    order = hash_order(seed, key)
+    cut, = keys_at(df.select(key), [(order, lambda n: math.floor(frac * n))])
+    return df.withColumn("is_test", F.lit(True) if cut is None else before(order, cut))
 
 
 def train_val_test(df: DataFrame, validation_fraction: float, test_fraction: float, seed=42,
                    key: str = "dimx") -> DataFrame:
     """G-07: ``set`` in test / validation / train with exact counts (test first in md5 order)."""
-    n = df.count()
-    k_test = int(math.floor(test_fraction * n))
-    k_val = int(math.floor(validation_fraction * n))
-    seg = hash_rank_segments(df, seed, [k_test, k_test + k_val], key, "__seg")
-    return seg.withColumn("set", F.element_at(F.array(F.lit("test"), F.lit("validation"), F.lit("train")),
-                                              F.col("__seg") + 1)).drop("__seg")
+    order = hash_order(seed, key)
+
+    def rank(*fractions):
+        return lambda n: sum(math.floor(f * n) for f in fractions)
+
+    cuts = keys_at(df.select(key), [(order, rank(test_fraction)), (order, rank(test_fraction, validation_fraction))])
+    first, second = (F.lit(True) if c is None else before(order, c) for c in cuts)
+    return df.withColumn("set", F.when(first, "test").when(second, "validation").otherwise("train"))
 
 
 def minibatch(df: DataFrame, minibatches: int, epoch: int, seed=42, key: str = "dimx") -> Column:
@@ -106,31 +109,29 @@ def cast_float(df: DataFrame, dtype: str = "float", skip=("dimx",)) -> DataFrame
 def outlier_trim_rank(df: DataFrame, targets: list[str], above: float = 0.999, below: float = 0.001,
                       key: str = "dimx") -> DataFrame:
     """C-20: sort by all targets lexicographically; keep ranks in ``[floor(n*below), floor(n*above))``."""
-    ranked = global_rank(df, list(targets), key, "__rank")
-    n = ranked.count()
-    hi = int(math.floor(n * above))
-    lo = int(math.floor(n * below))
-    return ranked.filter((F.col("__rank") >= lo) & (F.col("__rank") < hi)).drop("__rank")
+    order = [*targets, key]
+    low, high = keys_at(df.select(*order), [(order, lambda n: math.floor(n * below)), (order, lambda n: math.floor(n * above))])
+    if low is None:
+        return df.limit(0)
+    kept = ~before(order, low)
+    return df.filter(kept if high is None else kept & before(order, high))
 
 
 def outlier_trim_quantile(df: DataFrame, columns: list[str], above: float = 0.999, below: float = 0.001,
-                          exact: bool = True, key: str = "dimx") -> DataFrame:
-    """C-21: per column null values >= q(above), then values <= q(below) of what is left; then drop nulls.
+                          exact: bool = True) -> DataFrame:
+    """C-21: null values >= q(above) of each column, then values <= q(below) of what is left of it; then drop nulls.
 
-    Exact quantiles are the values at their ranks; otherwise they come from a mergeable sketch.
+    Exact quantiles are the values at their ranks, of all columns at once; otherwise they come from a mergeable sketch.
     """
-    def quantile(d, c, p):
-        return exact_quantiles(d, c, [p], key)[0] if exact else d.agg(F.percentile_approx(c, p)).first()[0]
-
-    masked = df
-    for c in columns:
-        q = quantile(df, c, above)
-        masked = masked.withColumn(c, F.when(F.col(c) < F.lit(q), F.col(c)))
-    trimmed = masked
-    for c in columns:
-        q = quantile(masked, c, below)
-        trimmed = trimmed.withColumn(c, F.when(F.col(c) > F.lit(q), F.col(c)))
-    return trimmed.dropna("any", subset=list(columns))
+    def cut(d, p):
+        if exact:
+            return {c: q[0] for c, q in quantiles(d.select(*columns), {c: [p] for c in columns}).items()}
+        return d.agg(*[F.percentile_approx(c, p).alias(c) for c in columns]).first().asDict()
+
+    top = cut(df, above)
+    masked = df.withColumns({c: F.when(F.col(c) < F.lit(top[c]), F.col(c)) for c in columns})
+    low = cut(masked, below)
+    return masked.withColumns({c: F.when(F.col(c) > F.lit(low[c]), F.col(c)) for c in columns}).dropna("any", subset=list(columns))
 
 
 def slice_fraction(df: DataFrame, slice_cols: list[str], fraction: float, seed=42) -> DataFrame:

@@ -3,16 +3,19 @@ the two-step thinning loop, as Spark jobs.
 
 DBSCAN in tiles
 ---------------
-Space is cut into cubic *tiles* several ``eps`` wide.  A point goes to its own tile and to the tiles
-within ``2 eps`` of it, so a tile sees every neighbour of every point within ``eps`` of its box: it
-settles exactly which of those are core, and which core points among them hang together.  A core
+Points are shuffled once, to their own tile and to the tiles within ``2 eps`` (``tiles``: tiles that
+shrink where points are dense).  A tile sees every neighbour of every point within ``eps`` of its box:
+it settles exactly which of those are core, and which core points among them hang together.  A core
 point near a border is seen by several tiles; where it is seen twice, the two tiles' local clusters
-are one.  These links, far fewer than the points, are solved in Spark (``components``).  The points
-are shuffled once, no pair leaves its task, and pairs are tested in blocks of bounded size.
-
-The tile width is the largest at which no tile holds more than ``TILE_POINTS`` points, down to
-``4 eps``; it changes the cost, never the result.  Border points take the smallest label among the
-clusters of their core neighbours (deterministic; a visit-order rule is not).
+are one.  These links, far fewer than the points, are solved in Spark (``components``).  Border points
+take the smallest label among the clusters of their core neighbours (deterministic; a visit-order
+rule is not).
+
+Thinning
+--------
+With up to two samples to a cluster the levels of the thinning loop are cuts of one spanning forest
+(``forest``); every point's way through the loop follows from the sizes of its clusters.  With more
+samples border points make a level depend on what earlier levels removed, and the loop is run.
 """
 
 from __future__ import annotations
@@ -28,7 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
+from . import tiles
 from .components import connected_components
+from .forest import SITE, SMALL, LevelForest, sites
+from .kmeans import representatives
 
 
 # ----------------------------------------------------------------- H-01, H-05, H-09
@@ -74,113 +80,21 @@ def density_against_limit(df: DataFrame, dims, reduction_threshold: float, min_e
                      F.max("density").alias("densest"))
 
 
-# ----------------------------------------------------------------- tiles
-
-#: Points a tile should hold at most, widths tried (in ``eps``), and rows of one block of distances.
-TILE_POINTS, WIDTHS, BLOCK = 20_000, (32, 16, 8, 4), 512
-
-
-def _dist2(a_cols, b_cols) -> Column:
-    return reduce(lambda x, y: x + y, [(a - b) * (a - b) for a, b in zip(a_cols, b_cols)])
-
-
-def tile_width(points: DataFrame, dims, eps: float) -> float:
-    """The largest width (a multiple of ``eps``) whose fullest tile holds at most ``TILE_POINTS`` points."""
-    least = WIDTHS[-1]
-    cells = points.groupBy(*[F.floor(F.col(x) / F.lit(least * eps)).alias(f"c{i}") for i, x in enumerate(dims)]).agg(F.count("*").alias("n"))
-    cells = cut_lineage(cells)
-    for w in WIDTHS[:-1]:
-        coarse = cells.groupBy(*[F.floor(F.col(f"c{i}") / F.lit(w // least)) for i in range(len(dims))]).agg(F.sum("n").alias("n"))
-        if (coarse.agg(F.max("n")).first()[0] or 0) <= TILE_POINTS:
-            return w * eps
-    return least * eps
-
-
-def tiled(points: DataFrame, dims, width: float, halo: float, keep) -> DataFrame:
-    """Each point once for its own tile and each tile within ``halo`` (below ``width``): columns ``keep``, the dims,
-    ``tile`` (coordinates)."""
-    def combine(tiles: Column, own: Column) -> Column:
-        return F.flatten(F.transform(tiles, lambda t: F.transform(own, lambda v: F.concat(t, F.array(v)))))
-
-    tiles = F.array(F.array().cast("array<bigint>"))
-    for x in dims:
-        c = F.floor(F.col(x) / F.lit(width)).cast("long")
-        low = F.when(F.col(x) - c * F.lit(width) <= halo, c - 1)
-        high = F.when((c + 1) * F.lit(width) - F.col(x) <= halo, c + 1)
-        tiles = combine(tiles, F.filter(F.array(c, low, high), lambda v: v.isNotNull()))
-    plain = points.select(*keep, *[F.col(x).cast("double").alias(x) for x in dims])
-    return plain.select("*", F.explode(tiles).alias("tile"))
-
-
-def _close_pairs(X: np.ndarray, radius: float):
-    """``(block rows, candidates, close)``: blocks of points in order of the dim they spread most in against all
-    within reach of them along it; ``close`` is the matrix of pairs within ``radius``."""
-    if not len(X):
-        return
-    axis = int(np.argmax(X.max(axis=0) - X.min(axis=0)))
-    order = np.argsort(X[:, axis], kind="stable")
-    first = X[order, axis]
-    for at in range(0, len(order), BLOCK):
-        rows = order[at:at + BLOCK]
-        lo = np.searchsorted(first, first[at] - radius * (1 + 1e-9), "left")
-        hi = np.searchsorted(first, X[rows[-1], axis] + radius * (1 + 1e-9), "right")
-        cand = order[lo:hi]
-        d2 = np.zeros((len(rows), len(cand)))
-        for k in range(X.shape[1]):
-            d2 += (X[rows, k][:, None] - X[cand, k][None, :]) ** 2
-        yield rows, cand, d2 <= radius * radius
-
-
-def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each vertex's component (pointer jumping)."""
-    lab = np.arange(n)
-    while True:
-        low = np.minimum(lab[a], lab[b])
-        new = lab.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, lab[a], low)
-        np.minimum.at(new, lab[b], low)
-        while True:
-            nxt = new[new]
-            if (nxt == new).all():
-                break
-            new = nxt
-        if (new == lab).all():
-            return lab
-        lab = new
-
-
-def _tile_clusters(X: np.ndarray, near: np.ndarray, eps: float, min_samples: int):
-    """Core flags (right for points near the tile), local cluster of each near core point (-1 otherwise), and
-    (non-core point, local cluster) pairs of near points beside a core point."""
-    n = len(X)
-    core = np.zeros(n, bool)
-    for rows, _, close in _close_pairs(X, eps):
-        core[rows] = close.sum(axis=1) >= min_samples
-    live = np.flatnonzero(core & near)
-    # all core points of a cell of side eps / sqrt(d) are within eps of each other: vertices are cells
-    cells = np.floor(X[live] / (eps / math.sqrt(X.shape[1]) * (1 - 1e-9))).astype(np.int64)
-    _, cell = np.unique(cells, axis=0, return_inverse=True) if len(live) else (None, np.zeros(0, np.int64))
-    cell = cell.ravel()
-    n_cells = int(cell.max()) + 1 if len(cell) else 0
-    links = [np.zeros((0, 2), np.int64)]
-    for rows, cand, close in _close_pairs(X[live], eps):
-        i, j = np.nonzero(close)
-        code = np.unique(cell[rows[i]] * n_cells + cell[cand[j]])
-        links.append(np.column_stack([code // max(n_cells, 1), code % max(n_cells, 1)]))
-    links = np.concatenate(links)
-    local = np.full(n, -1, np.int64)
-    local[live] = _components(n_cells, links[:, 0], links[:, 1])[cell]
-    rim = [np.zeros((0, 2), np.int64)]
-    for rows, cand, close in _close_pairs(X, eps):
-        mine = ~core[rows] & near[rows]
-        i, j = np.nonzero(close[mine] & (local[cand] >= 0)[None, :])
-        rim.append(np.unique(np.column_stack([rows[mine][i], local[cand[j]]]), axis=0))
-    return core, local, np.concatenate(rim)
+# ----------------------------------------------------------------- H-02
 
+def _tile_clusters(X: np.ndarray, close: np.ndarray, eps: float, min_samples: int):
+    """Core flags (right for points close to the tile), local cluster of each close core point (-1 otherwise), and
+    (non-core point, local cluster) pairs of close points beside a core point."""
+    core = tiles.core_points(X, np.ones(len(X), np.int64), eps, min_samples)
+    live = np.flatnonzero(core & close)
+    local = np.full(len(X), -1, np.int64)
+    local[live] = tiles.level_labels(X[live], [eps])[0]
+    loose, rim = np.flatnonzero(~core & close), [np.zeros((0, 2), np.int64)]
+    for rows, cand, d2 in tiles.near(X[loose], X[live], eps):
+        i, j = np.nonzero(d2 <= eps * eps)
+        rim.append(np.unique(np.column_stack([loose[rows[i]], local[live[cand[j]]]]), axis=0))
+    return core, local, np.concatenate(rim)
 
-# ----------------------------------------------------------------- H-02
 
 #: Label of points in no cluster; a cluster's label names the least of its tiles' local clusters.
 NOISE = "noise"
@@ -189,40 +103,38 @@ NOISE = "noise"
 OWN_CORE, OTHER_CORE, BORDER = 0, 1, 2
 
 
-def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "dimx", width: float | None = None) -> DataFrame:
+def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "dimx", tile_points: int = tiles.TILE_POINTS) -> DataFrame:
     """H-02: ``key, label`` for every point (``NOISE`` = in no cluster), Euclidean distance on ``dims``,
-    ``dist <= eps`` is a neighbour, a point counts itself.  ``width``: tile width, at least ``3 eps``."""
+    ``dist <= eps`` is a neighbour, a point counts itself.  ``tile_points`` changes the cost, never the result."""
     ship_package(df.sparkSession)
     points = df.select(F.col(key), *[F.col(x).cast("double").alias(x) for x in dims])
-    width = width or tile_width(points, dims, eps)
     key_type = points.schema[key].dataType.simpleString()
 
     def solve(group, table):
-        tile = np.array(group[0].as_py(), np.float64)
+        step, tile = group[0].as_py(), group[1].as_py()
         X = np.column_stack([table.column(x).to_numpy() for x in dims])
-        low, high = tile * width, (tile + 1) * width
-        own = (np.floor(X / width) == tile).all(axis=1)
-        margin = eps * (1 + 1e-9)
-        near = own | ((X >= low - margin) & (X <= high + margin)).all(axis=1)
-        core, local, rim = _tile_clusters(X, near, eps, min_samples)
+        own, at = tiles.own_rows(X, step, tile, eps), np.array(tile, np.float64)
+        width, margin = tiles.STEPS[step] * eps, eps * (1 + 1e-9)
+        close = own | ((X >= at * width - margin) & (X <= (at + 1) * width + margin)).all(axis=1)
+        core, local, rim = _tile_clusters(X, close, eps, min_samples)
         a = np.flatnonzero(local >= 0)
         rim = rim[own[rim[:, 0]]]
-        at = np.concatenate([a, rim[:, 0]])
-        name = ",".join(str(int(t)) for t in tile) + "|"
+        rows = np.concatenate([a, rim[:, 0]])
+        name = f"{step}:" + ",".join(map(str, tile)) + "|"
         comp = [name + str(c) for c in np.concatenate([local[a], rim[:, 1]]).tolist()]
         role = np.concatenate([np.where(own[a], OWN_CORE, OTHER_CORE), np.full(len(rim), BORDER)])
-        return pa.table([table.column(key).take(pa.array(at, pa.int64())), pa.array(comp, pa.string()), pa.array(role, pa.int32())],
+        return pa.table([table.column(key).take(pa.array(rows, pa.int64())), pa.array(comp, pa.string()), pa.array(role, pa.int32())],
                         names=[key, "comp", "role"])
 
-    seen = cut_lineage(tiled(points, dims, width, 2 * eps * (1 + 1e-6), [key]).groupBy("tile")
-                       .applyInArrow(solve, f"{key} {key_type}, comp string, role int"))
+    seen = tiles.tiled(points, dims, eps, 2 * eps * (1 + 1e-6), [key], tile_points)
+    seen = cut_lineage(seen.groupBy("step", "tile").applyInArrow(solve, f"{key} {key_type}, comp string, role int"))
     other = seen.filter(F.col("role") == OTHER_CORE).select(key, F.col("comp").alias("b"))
     named = seen.filter(F.col("role") != OTHER_CORE).select(key, "comp")
     if other.isEmpty():                                    # no core point near any border: local clusters are final
         found = named.groupBy(key).agg(F.min("comp").alias("label"))
     else:
         mine = seen.filter(F.col("role") == OWN_CORE).select(key, F.col("comp").alias("a"))
-        roots = connected_components(mine.join(other, key).select("a", "b").distinct())
+        roots = connected_components(mine.join(other, key).select("a", "b").distinct(), SMALL)
         comps = seen.select("comp").distinct().join(roots.withColumnRenamed("node", "comp"), "comp", "left") \
             .select("comp", F.coalesce("root", "comp").alias("root"))
         label_of = comps.join(comps.groupBy("root").agg(F.min("comp").alias("label")), "root").select("comp", "label")
@@ -245,109 +157,30 @@ def classify_clusters(labels: DataFrame, min_cluster_size: int, reduction_thresh
     return j.withColumn("cls", cls)
 
 
-# ----------------------------------------------------------------- H-04, H-06
+# ----------------------------------------------------------------- H-04
 
 def local_density(points: DataFrame, dims, radius: float, key: str = "dimx", cluster: str = "label",
-                  width: float | None = None) -> DataFrame:
+                  tile_points: int = tiles.TILE_POINTS) -> DataFrame:
     """H-04: per cluster, max over points of (neighbours of the cluster within ``radius``, excluding self)
     / radius^d, and its points; neighbours are counted inside tiles with a halo of ``radius``."""
     ship_package(points.sparkSession)
-    width = width or tile_width(points, dims, radius)
     label_type = points.schema[cluster].dataType.simpleString()
 
     def solve(group, table):
-        tile = np.array(group[0].as_py(), np.float64)
         X = np.column_stack([table.column(x).to_numpy() for x in dims])
         names = table.column(cluster).to_pylist()
         code = np.unique(np.array([str(c) for c in names]), return_inverse=True)[1]
-        own = (np.floor(X / width) == tile).all(axis=1)
-        count = np.zeros(len(X), np.int64)
-        for rows, cand, close in _close_pairs(X, radius):
-            count[rows] = (close & (code[rows][:, None] == code[cand][None, :])).sum(axis=1) - 1
-        at = np.flatnonzero(own)
-        return pa.table([table.column(cluster).take(pa.array(at, pa.int64())), pa.array(count[at], pa.int64())], names=[cluster, "nb"])
-
-    counted = tiled(points, dims, width, radius * (1 + 1e-6), [cluster]).groupBy("tile") \
+        own = np.flatnonzero(tiles.own_rows(X, group[0].as_py(), group[1].as_py(), radius))
+        count = np.zeros(len(own), np.int64)
+        for rows, cand, d2 in tiles.near(X[own], X, radius):
+            count[rows] = ((d2 <= radius * radius) & (code[own[rows]][:, None] == code[cand][None, :])).sum(axis=1) - 1
+        return pa.table([table.column(cluster).take(pa.array(own, pa.int64())), pa.array(count, pa.int64())], names=[cluster, "nb"])
+
+    counted = tiles.tiled(points, dims, radius, radius * (1 + 1e-6), [cluster], tile_points).groupBy("step", "tile") \
         .applyInArrow(solve, f"{cluster} {label_type}, nb bigint")
     return counted.groupBy(cluster).agg((F.max("nb") / F.lit(radius ** len(dims))).alias("density"), F.count(F.lit(1)).alias("npts"))
 
 
-def _lloyd_numpy(X: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Deterministic Lloyd iterations from a given initial assignment until no point moves;
-    returns (centroid numbers, centroids).  Empty centroids drop out; ties go to the lowest number."""
-    lab = init.copy()
-    while True:
-        ids = np.unique(lab)
-        cents = np.stack([X[lab == j].mean(0) for j in ids])
-        d = ((X[:, None, :] - cents[None, :, :]) ** 2).sum(-1)
-        new = ids[np.argmin(d, axis=1)]
-        if np.array_equal(new, lab):
-            break
-        lab = new
-    ids = np.unique(lab)
-    cents = np.stack([X[lab == j].mean(0) for j in ids])
-    return ids, cents
-
-
-def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str = "dimx",
-                    cluster: str = "label", max_group: int | None = None, larger: bool = True) -> DataFrame:
-    """H-06: per cluster, the point nearest the *first* centroid of a k-means fit.
-
-    k = 1: the centroid is the mean (one aggregate) and the nearest point a ``min_by``.
-    k > 1: deterministic Lloyd iterations started from a hash partition of the points
-    (initial centroid j = mean of the points with ``pmod(xxhash64(id), k) = j``); the
-    representative is the point nearest the lowest-index surviving centroid.
-    Clusters of at most ``max_group`` points (the reduce class is bounded by the
-    reduction threshold) run per cluster in ``applyInPandas``; larger ones run as
-    distributed aggregates, so a hot cluster never lands in one task (``larger=False``: there are none).
-    """
-    pk = points.join(k_per_cluster.select(cluster, "k", "npts"), cluster) if "npts" in k_per_cluster.columns \
-        else points.join(k_per_cluster.select(cluster, "k"), cluster).withColumn("npts", F.lit(None).cast("long"))
-    one = pk.filter(F.col("k") == 1)
-    cen = one.groupBy(cluster).agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
-    d1 = one.join(cen, cluster).withColumn("__d", _dist2([F.col(x) for x in dims], [F.col(f"__m_{x}") for x in dims]))
-    rep1 = d1.groupBy(cluster).agg(F.min_by(key, F.struct("__d", key)).alias(key))
-    many = pk.filter(F.col("k") > 1).withColumn("__j", F.pmod(F.xxhash64(F.col(key)), F.col("k")).cast("int"))
-    out = [rep1]
-    if max_group is not None:
-        small = many.filter(F.col("npts") <= max_group)
-        many = many.filter(~(F.col("npts") <= max_group))
-        key_type = dict(points.dtypes)[key]
-
-        def per_cluster(pdf):
-            import pandas as pd
-            X = pdf[list(dims)].to_numpy(np.float64)
-            ids, cents = _lloyd_numpy(X, pdf["__j"].to_numpy())
-            c0 = cents[np.argmin(ids)]
-            d = ((X - c0) ** 2).sum(1)
-            order = np.lexsort((pdf[key].to_numpy(), d))
-            return pd.DataFrame({cluster: [pdf[cluster].iloc[0]], key: [pdf[key].iloc[order[0]]]})
-
-        out.append(small.select(cluster, key, "k", "__j", *dims).groupBy(cluster).applyInPandas(
-            per_cluster, f"{cluster} {dict(points.dtypes)[cluster] if cluster in points.columns else 'long'}, "
-                         f"{key} {key_type}"))
-    if not larger:
-        return reduce(lambda a, b: a.unionByName(b), out)
-    many = cut_lineage(many)
-    if not many.isEmpty():
-        while True:                                        # until no point moves
-            cents = many.groupBy(cluster, F.col("__j").alias("__c")).agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
-            cand = many.select(key, cluster, "__j", *dims).join(cents, cluster) \
-                .withColumn("__d", _dist2([F.col(x) for x in dims], [F.col(f"__m_{x}") for x in dims]))
-            best = cand.groupBy(key).agg(F.min_by("__c", F.struct("__d", "__c")).alias("__nj"))
-            nxt = cut_lineage(many.drop("__chg").join(best, key).withColumn("__chg", F.col("__nj") != F.col("__j")))
-            many = nxt.drop("__j").withColumnRenamed("__nj", "__j")
-            if nxt.filter("__chg").isEmpty():
-                break
-        cents = many.groupBy(cluster, "__j").agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
-        first = cents.groupBy(cluster).agg(F.min_by(F.struct(*[f"__m_{x}" for x in dims]), "__j").alias("__f")) \
-            .select(cluster, *[F.col(f"__f.__m_{x}").alias(f"__m_{x}") for x in dims])
-        d2 = many.join(first, cluster).withColumn(
-            "__d", _dist2([F.col(x) for x in dims], [F.col(f"__m_{x}") for x in dims]))
-        out.append(d2.groupBy(cluster).agg(F.min_by(key, F.struct("__d", key)).alias(key)))
-    return reduce(lambda a, b: a.unionByName(b), out)
-
-
 # ----------------------------------------------------------------- H-07
 
 @dataclass
@@ -367,67 +200,116 @@ class ThinSettings:
     eps_step: float = 0.05
 
 
-def _reduce(classes: DataFrame, s: ThinSettings, radius: float, key: str, larger: bool = False) -> DataFrame:
-    """k-means representative per reduce-class cluster (``classes``: key, label, cls and the dims)."""
-    pts = classes.filter(F.col("cls") == "reduce").select(key, "label", *s.dims)
+def _reduce(pts: DataFrame, s: ThinSettings, radius: float, key: str) -> DataFrame:
+    """Ids of the k-means representatives of the clusters ``label`` in ``pts`` (key, label and the dims)."""
     if s.zeta == 0.0:
         ks = pts.groupBy("label").agg(F.count(F.lit(1)).alias("npts"))
         ks = ks.withColumn("k", k_expression(F.lit(0.0), F.col("npts"), s.min_reduction, s.tau, 0.0))
     else:
         dens = local_density(pts, s.dims, radius, key)
         ks = dens.withColumn("k", k_expression(F.col("density"), F.col("npts"), s.min_reduction, s.tau, s.zeta))
-    # reduce-class clusters hold at most reduction_threshold + 1 points, a proven group bound, but for the last pass
-    return representatives(pts, s.dims, ks, key, max_group=s.reduction_threshold + 1, larger=larger)
+    # clusters of at most reduction_threshold + 1 points, a proven bound, are one group each
+    return representatives(pts, s.dims, ks, key, max_group=s.reduction_threshold + 1).select(key)
+
+
+def pass_radii(s: ThinSettings) -> list[float]:
+    """Radii of the passes: the first at 1, then from ``initial_eps`` down, the last one being the first below ``min_eps``."""
+    out = [s.initial_eps]
+    while out[-1] >= s.min_eps:
+        out.append(out[-1] - s.eps_step)
+    return [1.0, *out]
 
 
-def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx") -> DataFrame:
+def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx", tile_points: int = tiles.TILE_POINTS) -> DataFrame:
     """H-07: the thinning loop; returns the original rows of the kept ids.
 
     First pass at eps 1 (noise thrown away, small clusters kept, mid-size clusters
     reduced to one point, large clusters passed on); then eps from ``initial_eps``
-    down by 0.05 with noise kept, until eps < min_eps, nothing is left or no
+    down by ``eps_step`` with noise kept, until eps < min_eps, nothing is left or no
     cluster is found; then a last pass that also reduces the large clusters.
-    Every pass is a set of Spark jobs over the shrinking set, checkpointed.
     """
     base = df.select(key, *s.dims).dropna()
     scaled = cut_lineage(rescale(base, s.dims, s.unit_variance))
-    # a width that suits all points suits every later, smaller set, as long as it is several eps
-    width = tile_width(scaled, s.dims, 1.0)
+    nested = s.min_samples <= 2 and s.initial_eps <= 1.0 and s.eps_step > 0
+    kept = (_kept_by_forest if nested else _kept_by_passes)(scaled, s, key, tile_points)
+    return df.join(kept.distinct(), key, "left_semi")
+
+
+def _kept_by_forest(scaled: DataFrame, s: ThinSettings, key: str, tile_points: int) -> DataFrame:
+    """Kept ids from one spanning forest: the pass at which a point leaves the loop is the first at which its cluster
+    is not passed on, and sizes of clusters say so for whole components at a time."""
+    passes = pass_radii(s)
+    levels = sorted(set(passes))
+    spots = cut_lineage(sites(scaled, s.dims, key))
+    tree = LevelForest(spots, s.dims, levels, tile_points)
+    at = [levels.index(e) for e in passes]
+    size = [F.col("chain")[k]["size"] for k in at]
+    noise = [(n == 1) if s.min_samples == 2 else F.lit(False) for n in size]
+    goes_on = [~lone & (n > max(s.reduction_threshold + 1, s.min_cluster_size)) for lone, n in zip(noise, size)]
+    present = [reduce(lambda a, b: a & b, goes_on[:t], F.lit(True)) for t in range(len(passes))]
+    totals = tree.parts.agg(*[F.sum(F.when(p, F.col("weight"))).alias(f"p{t}") for t, p in enumerate(present)],
+                            *[F.sum(F.when(p & ~lone, F.col("weight"))).alias(f"c{t}") for t, (p, lone) in enumerate(zip(present, noise))]).first()
+    # the first pass at which points are left but no cluster is
+    stop = next((t for t in range(len(passes)) if totals[f"p{t}"] and not totals[f"c{t}"]), len(passes))
+    none = scaled.select(key).limit(0)
+    if not totals["p0"] or stop == 0:
+        return none
+    way = F.lit(None).cast("struct<cls:string,at:int>")
+    for t in reversed(range(min(stop, len(passes)))):
+        lone = F.lit("toss" if t == 0 else "keep")
+        cls = F.when(noise[t], lone).when(size[t] > s.min_cluster_size, "reduce").otherwise("keep")
+        way = F.when(~goes_on[t], F.struct(cls.alias("cls"), F.lit(t).alias("at"))).otherwise(way)
+    last = at[min(stop, len(passes)) - 1]
+    # large to the end: reduced by the last pass, unless there was no cluster left
+    rest = F.struct(F.lit("last" if stop == len(passes) else "rest").alias("cls"), F.lit(len(passes) - 1).alias("at"))
+    parts = tree.parts.select("part", F.coalesce(way, rest).alias("way"), "chain") \
+        .select("part", "way.cls", "way.at", F.when(F.col("way.cls") == "reduce", F.get("chain", F.element_at(F.array(*map(F.lit, at)), F.col("way.at") + 1)))
+                .otherwise(F.get("chain", F.lit(last)))["cluster"].alias("label"))
+    classes = cut_lineage(scaled.join(spots.drop("weight"), list(s.dims)).join(tree.members, SITE).join(parts, "part")
+                          .select(key, *s.dims, "cls", "at", "label"))
+    kept = [classes.filter(F.col("cls").isin("keep", *(["rest"] if s.final_pass_keeps_rest else []))).select(key)]
+    radius = [s.initial_eps, *passes[1:]]
+    reduced = classes.filter(F.col("cls").isin("reduce", "last"))
+    if s.zeta == 0.0:
+        kept.append(_reduce(reduced, s, 0.0, key))
+    else:                                                      # the density of a cluster is counted within its pass's radius
+        for t in sorted(r[0] for r in reduced.select("at").distinct().collect()):
+            kept.append(_reduce(reduced.filter(F.col("at") == t), s, radius[t], key))
+    return reduce(lambda a, b: a.unionByName(b), kept)
+
+
+def _kept_by_passes(scaled: DataFrame, s: ThinSettings, key: str, tile_points: int) -> DataFrame:
+    """Kept ids by running the passes one after the other, each a set of Spark jobs over the shrinking set, checkpointed."""
     kept = []
 
     def run(cur, eps, reduce_next=False):
-        lab = dbscan(cur, s.dims, eps, s.min_samples, key, width=max(width, WIDTHS[-1] * eps))
+        lab = dbscan(cur, s.dims, eps, s.min_samples, key, tile_points)
         # written once with the coordinates: representatives and the next pass read this table
         cls = cut_lineage(classify_clusters(lab, s.min_cluster_size, s.reduction_threshold, reduce_next).join(cur, key))
         return None if cls.filter(F.col("label") != NOISE).isEmpty() else cls
 
-    def following(cls):
-        return cls.filter(F.col("cls") == "next").select(key, *s.dims)
+    def pick(cls, *names):
+        return cls.filter(F.col("cls").isin(*names)).select(key, "label", *s.dims)
 
     cls = run(scaled, 1.0)
     if cls is None:
-        return df.limit(0)
-    kept.append(cls.filter(F.col("cls") == "keep").select(key))
-    kept.append(_reduce(cls, s, s.initial_eps, key).select(key))
-    cur = following(cls)
-    eps = s.initial_eps
-    while True:                                            # eps falls each pass, so this ends at min_eps
+        return scaled.select(key).limit(0)
+    kept += [pick(cls, "keep").select(key), _reduce(pick(cls, "reduce"), s, s.initial_eps, key)]
+    cur = pick(cls, "next").drop("label")
+    for eps in pass_radii(s)[1:]:
         cls = run(cur, eps)
         if cls is None:
             break
-        kept.append(cls.filter(F.col("cls").isin("toss", "keep")).select(key))
-        kept.append(_reduce(cls, s, eps, key).select(key))
-        cur = following(cls)
-        if eps < s.min_eps or cur.isEmpty():
+        kept += [pick(cls, "toss", "keep").select(key), _reduce(pick(cls, "reduce"), s, eps, key)]
+        cur = pick(cls, "next").drop("label")
+        if cur.isEmpty():
             break
-        eps = eps - s.eps_step
     if not cur.isEmpty():
         cls = run(cur, eps, reduce_next=True)
         if cls is not None:
-            kept.append(_reduce(cls, s, eps, key, larger=True).select(key))
+            kept.append(_reduce(pick(cls, "reduce"), s, eps, key))
             if s.final_pass_keeps_rest:
-                kept.append(cls.filter(F.col("cls").isin("toss", "keep")).select(key))
+                kept.append(pick(cls, "toss", "keep").select(key))
         elif s.final_pass_keeps_rest:
             kept.append(cur.select(key))
-    ids = reduce(lambda a, b: a.unionByName(b), kept).distinct()
-    return df.join(ids, key, "left_semi")
+    return reduce(lambda a, b: a.unionByName(b), kept)

@@ -34,13 +34,57 @@ def k_per_slice(spark, sf):
                     thin.k_expression(F.col("npts") / 4.0, F.col("npts"), 5, 1.0, 0.5).alias("k"))
 
 
-@register("dbscan_labels")
+# columns: (Ate, Ati) taken three apart, so that clusters at every radius up to 1 are runs of close z within a column;
+# z is off the grid of hundredths, so that no distance is a tie
+COLUMNS = """p AS (SELECT dimx, Ate, Ati, efeITG_GB * 101e-2 + CAST(dimx % 9973 AS DOUBLE) / 1e7 AS z FROM bridge)"""
+RUNS = """SELECT *, sum(gap) OVER (PARTITION BY {by}Ate, Ati ORDER BY z, dimx) AS run FROM (SELECT *, CASE WHEN z - lag(z) OVER (PARTITION BY {by}Ate, Ati ORDER BY z, dimx) <= {eps} THEN 0 ELSE 1 END AS gap FROM {rows})"""
+
+
+def columns_apart(spark, sf):
+    z = F.col("efeITG_GB") * 1.01 + (F.col("dimx") % 9973).cast("double") / 1e7
+    return bridge(spark, sf).select("dimx", (F.col("Ate") * 3.0).alias("Ate"), (F.col("Ati") * 3.0).alias("Ati"), z.alias("z"))
+
+
+@register("dbscan_labels", with_bridge(
+    "SELECT dimx, size, min(dimx) OVER (PARTITION BY Ate, Ati, run) AS least, CASE WHEN size = 1 THEN 'toss' WHEN size > 9 THEN 'next' WHEN size > 3 THEN 'reduce' ELSE 'keep' END AS cls "
+    "FROM (SELECT *, count(*) OVER (PARTITION BY Ate, Ati, run) AS size FROM (" + RUNS.format(by="", eps="55e-2", rows="p") + "))", COLUMNS))
 def dbscan_labels(spark, sf):
-    """H-02 + H-03 on the mean-centred bridge (rows-only check; tests pin values against a
-    brute-force DBSCAN)."""
-    r = thin.rescale(bridge(spark, sf).select("dimx", *THIN_DIMS), THIN_DIMS)
-    lab = thin.dbscan(r, THIN_DIMS, 1.0, SETTINGS["min_samples"])
-    return thin.classify_clusters(lab, SETTINGS["min_cluster_size"], SETTINGS["reduction_threshold"])
+    """H-02 + H-03: every point's cluster (named by its least id), its size and its class."""
+    lab = thin.dbscan(columns_apart(spark, sf), ["Ate", "Ati", "z"], 0.55, 2)
+    cls = thin.classify_clusters(lab.withColumn("own", F.when(F.col("label") == thin.NOISE, F.col("dimx"))), 3, 8)
+    least = cls.groupBy("label", "own").agg(F.min("dimx").alias("least"))
+    same = cls.join(least.withColumnRenamed("own", "single"), "label").filter(F.col("own").eqNullSafe(F.col("single")))
+    return same.select("dimx", F.when(F.col("own").isNotNull(), 1).otherwise(F.col("size")).cast("bigint").alias("size"), "least", "cls")
+
+
+@register("local_density", with_bridge(
+    "SELECT least, max(nb) / (405e-3 * 405e-3 * 405e-3) AS density, CAST(count(*) AS BIGINT) AS npts FROM (SELECT *, min(dimx) OVER (PARTITION BY Ate, Ati, run) AS least, "
+    "count(*) OVER (PARTITION BY Ate, Ati, run ORDER BY z RANGE BETWEEN 405e-3 PRECEDING AND 405e-3 FOLLOWING) - 1 AS nb FROM ("
+    + RUNS.format(by="", eps="55e-2", rows="p") + ")) GROUP BY least", COLUMNS))
+def local_density(spark, sf):
+    """H-04: the densest neighbourhood of every run of close values, counted within the run."""
+    pts = columns_apart(spark, sf)
+    lab = thin.dbscan(pts, ["Ate", "Ati", "z"], 0.55, 1)
+    named = lab.join(lab.groupBy("label").agg(F.min("dimx").alias("least")), "label").drop("label").join(pts, "dimx")
+    out = thin.local_density(named, ["Ate", "Ati", "z"], 0.405, cluster="least")
+    return out.select("least", "density", F.col("npts").cast("bigint").alias("npts"))
+
+
+# the levels of thinning_columns: the first pass at 1, then from 0.995 down by 0.05, the first below 0.3 being the last
+_PASSES = [1.0, *thin.pass_radii(thin.ThinSettings(dims=[], initial_eps=0.995))[1:]]
+
+
+@register("thinning_columns", with_bridge(
+    "SELECT dimx FROM way WHERE cls = 'keep' UNION ALL SELECT arg_min(dimx, {'d': (z - m) * (z - m), 'i': dimx}) FROM (SELECT *, avg(z) OVER (PARTITION BY t, Ate, Ati, run) AS m "
+    "FROM way WHERE cls = 'reduce') GROUP BY t, Ate, Ati, run",
+    COLUMNS + ",\nlevel AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, {e!r}::DOUBLE)" for t, e in enumerate(_PASSES)) + ") v(t, eps)),\n"
+    "sized AS (SELECT *, count(*) OVER (PARTITION BY t, Ate, Ati, run) AS size FROM (" + RUNS.format(by="t, ", eps="eps", rows="p, level") + ")),\n"
+    "leaves AS (SELECT dimx, coalesce(min(t) FILTER (size <= 51), " + str(len(_PASSES) - 1) + ") AS t FROM sized GROUP BY dimx),\n"
+    "way AS (SELECT s.*, CASE WHEN size = 1 AND t = 0 THEN 'toss' WHEN size > 6 THEN 'reduce' ELSE 'keep' END AS cls FROM sized s JOIN leaves USING (dimx, t))"))
+def thinning_columns(spark, sf):
+    """H-07: kept ids of the whole thinning loop (one representative a cluster) where SQL can follow it."""
+    s = thin.ThinSettings(dims=["Ate", "Ati", "z"], **{**SETTINGS, "initial_eps": 0.995, "min_reduction": 10 ** 9})
+    return thin.two_step_thinning(columns_apart(spark, sf), s).select("dimx")
 
 
 @register("dbscan_noise", with_bridge(
@@ -69,7 +113,8 @@ def dbscan_cluster_sizes(spark, sf):
 
 @register("two_step_thinning")
 def two_step_thinning(spark, sf):
-    """H-07 / H-08: the thinning job with the reference's shipped settings (rows-only)."""
+    """H-07: the thinning job with the settings shipped with the test data (k of several, so rows-only; ``thinning_columns``
+    has an oracle)."""
     b = bridge(spark, sf).select("dimx", *THIN_DIMS, "efiITG_GB")
     return thin.two_step_thinning(b, thin.ThinSettings(dims=THIN_DIMS, **SETTINGS))
 

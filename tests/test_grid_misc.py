@@ -1,6 +1,7 @@
 """Column-expression operators of the gridded data, growth-rate masks and job helpers."""
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,93 @@ def test_input_range_and_alignment(spark, sf_small):
 def grid_free(inp, data):
     from fluxsieve.operators import filters
     return filters.input_range_filter(inp, data, {"Ati": (10.0, 20.0)})
+
+
+def test_registry_depth_and_cycle(spark):
+    """A chain of 100 compositions (each uses the one before and a pure network twice), and one that closes."""
+    from fluxsieve.operators import registry
+    rows = [(0, None, 0.5)] + [(i, [i - 1, 1000, 1000], None) for i in range(1, 101)] + [(1000, None, 2.0), (2000, [0, 555], None)]
+    reg = spark.createDataFrame(rows, "id long, networks array<long>, l2 double")
+    got = {(r.id, r.leaf): r.n for r in registry.leaves(reg).collect()}
+    assert got == {**{(i, 0): 1 for i in range(1, 101)}, **{(i, 1000): 2 * i for i in range(1, 101)}, (2000, 0): 1, (2000, 555): 1}
+    values = {r.id: r.l2 for r in registry.recursive_attribute(reg, "l2").collect()}
+    assert values[100] == [0.5] + [2.0] * 200 and values[2000] == [0.5]
+    assert {r.id: r.l2 for r in registry.recursive_attribute(reg, "l2", distinct=True).collect()}[100] == [0.5, 2.0]
+    loop = reg.unionByName(spark.createDataFrame([(7000, [7001], None), (7001, [0, 7002], None), (7002, [7001, 7000], None)], reg.schema))
+    with pytest.raises(ValueError, match=r"\[7000, 7001, 7002\]|\[7001, 7002\]"):
+        registry.leaves(loop)
+
+
+@pytest.mark.parametrize("rows", [50_000, 40])
+def test_range_join_with_a_hot_value(spark, rows):
+    """A third of the left rows are one value; ranges and parts of it do not change the result."""
+    from fluxsieve.operators import join
+    rng = np.random.RandomState(6)
+    v = np.where(rng.rand(900) < 0.33, 2.5, np.round(rng.uniform(-5, 5, 900), 2))
+    left = [(i, None if i % 50 == 0 else float("nan") if i % 51 == 0 else float(x)) for i, x in enumerate(v)]
+    right = [(i, float(x)) for i, x in enumerate(np.round(rng.uniform(-5, 5, 120), 2))] + [(500, 2.5), (501, 2.5), (502, None), (503, float("inf")), (504, 0.0)]
+    a, b = spark.createDataFrame(left, "i long, x double"), spark.createDataFrame(right, "j long, y double")
+    got = sorted((r.i, r.j) for r in join.band_join(a, "x", b, "y", 0.02, 0.01, rows=rows).collect())
+    want = sorted((i, j) for i, x in left for j, y in right if x is not None and y is not None and abs(y) < np.inf and abs(x - y) <= 0.02 + 0.01 * abs(y))
+    assert got == want and len(got) > 900
+
+
+def test_segments_do_not_change_a_slice(spark):
+    """A slice longer than a segment breaks down across its border; missing points and copies in between."""
+    from fluxsieve.operators import slices
+    rng = np.random.RandomState(7)
+    rows, i = [], 0
+    for s in range(3):
+        for p in range(120):
+            for _ in range(1 + (p % 17 == 0)):
+                value = 50.0 - 0.1 * p if s == 0 and 40 <= p < 60 else float(rng.randint(0, 9))
+                rows.append((i, s, float(p), None if rng.rand() < 0.05 else value))
+                i += 1
+    df = spark.createDataFrame(rows, "dimx long, s long, At double, efiITG_GB double")
+    plain = {r.dimx: r.d for r in slices.breakdown_drop_flags(df, ["s"], modes=("ITG",)).withColumnRenamed("__drop_ITG", "d").collect()}
+    for segment in (1, 7, 45):
+        got = {r.dimx: r.d for r in slices.breakdown_drop_flags(df, ["s"], modes=("ITG",), segment=segment).withColumnRenamed("__drop_ITG", "d").collect()}
+        assert got == plain
+    assert len(plain) == len(rows) and sum(plain.values()) > 30
+    plan = slices.breakdown_drop_flags(df, ["s"], modes=("ITG",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
+
+
+def test_reference_is_carried_over_ranges(spark):
+    """One group holds nearly all rows, so its references pass from range to range."""
+    from fluxsieve.operators import slices
+    rng = np.random.RandomState(9)
+    rows = [(i, "a" if i % 20 else "b", float(rng.randint(0, 50)), float(rng.randint(1, 9)) if rng.rand() < 0.9 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "dimx long, g string, level double, v double")
+    got = {r.dimx: r.relative for r in slices.relative_to_reference(df, ["g"], ["level", "dimx"], "level", "v", 25.0).collect()}
+    want = {}
+    for g in "ab":
+        ref = None
+        for i, _, level, v in sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]), reverse=True):
+            ref = v if level == 25.0 and v is not None else ref
+            want[i] = None if v is None or ref is None else v / ref
+    assert got == want
+
+
+def test_long_axes(spark):
+    """An axis of 150,000 values: places, cell index, and slices as maps (too many columns for a wide table)."""
+    from fluxsieve.operators import grid, slices
+    n = 150_000
+    df = spark.range(n).select(F.col("id").alias("point"), (F.col("id") * 7 % n).cast("double").alias("u"), (F.col("id") % 3).cast("double").alias("w"))
+    got = grid.axis_index(df, ["u", "w"]).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("dimx") - (F.col("u") * 3 + F.col("w")))).alias("off")).first()
+    assert (got.n, got.off) == (n, 0.0)
+    with pytest.raises(ValueError, match="slice_maps"):
+        slices.wide_slices(df, ["w"], "u", "point", key="point")
+    maps = slices.slice_maps(df, ["w"], "u", "point", key="point")
+    assert {r.w: r.n for r in maps.select("w", F.size("values").alias("n")).collect()} == {0.0: 50_000, 1.0: 50_000, 2.0: 50_000}
+
+
+def test_constants_beside_missing_values(spark):
+    """One value and missing ones is data; one value everywhere, or none anywhere, is a constant; kept columns stay."""
+    from fluxsieve.operators import grid
+    df = spark.createDataFrame([(1, 1.0, True, 2.0, None, 5.0), (2, None, None, 2.0, None, 5.0), (3, 1.0, True, 2.0, None, 5.0)],
+                               "dimx long, v double, flag boolean, c double, none double, target double")
+    rest, consts = grid.metadatize(df, keep=["target"])
+    assert rest.columns == ["dimx", "v", "flag", "target"]
+    assert {r.name: r.value for r in consts.collect()} == {"c": "2.0", "none": None}
+    assert grid.metadatize(df.limit(0))[0].columns == df.columns

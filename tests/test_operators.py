@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fluxsieve.operators import derive, filters, masks, rank, score, slices, split
+from fluxsieve.operators import derive, filters, masks, rank, score, select, slices, split
 
 
 def test_null_rules_in_filters(spark):
@@ -90,9 +90,11 @@ def test_breakdown_mask_against_loop(spark):
     assert removed > 0
 
 
-@pytest.mark.parametrize("hot", [-5.0, 0.0, 5.0])
-def test_global_rank_matches_sort(spark, hot):
+@pytest.mark.parametrize("hot,small", [(-5.0, 20_000), (0.0, 40), (5.0, 40)])
+def test_ranks_and_cuts_match_sort(spark, hot, small, monkeypatch):
     """One value holds most rows, at the minimum, in the middle or at the maximum; some are missing."""
+    monkeypatch.setattr(select, "SMALL", small)
+    monkeypatch.setattr(select, "ACCURACY", 50)
     rng = np.random.RandomState(1)
     n = 4000
     a = np.where(rng.rand(n) < 0.7, hot, rng.randint(-4, 5, n).astype(float))
@@ -101,12 +103,29 @@ def test_global_rank_matches_sort(spark, hot):
     exp = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0.0, r[2], r[0]))
     ranked = rank.global_rank(df, ["a", "b"])
     assert {r.dimx: r["rank"] for r in ranked.collect()} == {r[0]: i for i, r in enumerate(exp)}
-    for lo, hi in ((0, 1), (1, n - 1), (0, n), (n // 2, n // 2)):
+    for lo, hi in ((0, n), (n // 2, n // 2), (100, 3950)):
         got = split.outlier_trim_rank(df, ["a", "b"], above=hi / n, below=lo / n)
         assert sorted(r.dimx for r in got.collect()) == sorted(r[0] for r in exp[lo:hi])
     present = sorted(r[1] for r in rows if r[1] is not None)
-    for p in (0.0, 0.1, 0.5, 0.999, 1.0):
-        assert rank.exact_quantiles(df, "a", [p])[0] == pytest.approx(float(np.quantile(present, p)))
+    probs = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = select.quantiles(df, {"a": probs, "b": [0.5]})
+    assert got["a"] == pytest.approx([float(np.quantile(present, p)) for p in probs]) and got["b"] == [float(np.median([r[2] for r in rows]))]
+
+
+def test_cuts_of_nothing(spark):
+    none = spark.createDataFrame([], "dimx long, a double")
+    missing = spark.createDataFrame([(1, None), (2, None)], "dimx long, a double")
+    assert select.quantiles(none, {"a": [0.5]}) == {"a": [None]} == select.quantiles(missing, {"a": [0.5]})
+    assert split.outlier_trim_rank(none, ["a"]).count() == 0 and split.train_val_test(none, 0.1, 0.1).count() == 0
+    assert select.keys_at(missing, [(["a", "dimx"], 1), (["a", "dimx"], 2), (["a", "dimx"], -1)]) == [(None, 2), None, None]
+
+
+def test_cuts_move_no_wide_row(spark):
+    """The wide table is read once and filtered: no exchange, and no column but the keys takes part in the search."""
+    df = spark.range(30_000).select(F.col("id").alias("dimx"), (F.col("id") % 97).cast("double").alias("a"), F.lit("wide").alias("payload"))
+    for out in (split.outlier_trim_rank(df, ["a"]), split.test_flag(df), split.train_val_test(df, 0.1, 0.1), split.outlier_trim_quantile(df, ["a"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "payload" in out.columns
 
 
 def test_hot_maximum_small_case(spark):

@@ -41,14 +41,14 @@ def as_partition(ids, labels):
     return noise, sorted(sorted(g) for g in groups.values())
 
 
-@pytest.mark.parametrize("seed,eps,ms,tiles", [(0, 0.5, 2, None), (0, 0.5, 2, 3.0), (1, 0.8, 3, 3.0), (2, 0.3, 1, 4.0)])
-def test_dbscan_matches_brute_force(spark, seed, eps, ms, tiles):
+@pytest.mark.parametrize("seed,eps,ms,most", [(0, 0.5, 2, 20_000), (0, 0.5, 2, 20), (1, 0.8, 3, 10), (2, 0.3, 1, 30), (4, 0.5, 6, 5)])
+def test_dbscan_matches_brute_force(spark, seed, eps, ms, most):
     rng = np.random.RandomState(seed)
     centers = rng.uniform(0, 10, (4, 3))
     X = np.vstack([c + rng.normal(0, 0.4, (60, 3)) for c in centers] + [rng.uniform(0, 10, (40, 3))])
     ids = np.arange(len(X)) * 7 + 3
     pdf = pd.DataFrame({"dimx": ids, "a": X[:, 0], "b": X[:, 1], "c": X[:, 2]})
-    lab = thin.dbscan(spark.createDataFrame(pdf), ["a", "b", "c"], eps, ms, width=tiles and tiles * eps).toPandas()
+    lab = thin.dbscan(spark.createDataFrame(pdf), ["a", "b", "c"], eps, ms, tile_points=most).toPandas()
     got = dict(zip(lab.dimx, lab.label))
     ref, core = brute_dbscan(X, eps, ms)
     noise_s, groups_s = as_partition(ids, [got[i] for i in ids])
@@ -92,7 +92,7 @@ def test_local_density_matches_brute_force(spark):
     X = rng.uniform(0, 4, (400, 2))
     label = np.where(rng.rand(400) < 0.5, "a", "b")
     pdf = pd.DataFrame({"dimx": np.arange(400), "u": X[:, 0], "v": X[:, 1], "label": label})
-    got = {r.label: (r.density, r.npts) for r in thin.local_density(spark.createDataFrame(pdf), ["u", "v"], 0.4, width=1.2).collect()}
+    got = {r.label: (r.density, r.npts) for r in thin.local_density(spark.createDataFrame(pdf), ["u", "v"], 0.4, tile_points=50).collect()}
     for g in "ab":
         P = X[label == g]
         nb = (((P[:, None] - P[None]) ** 2).sum(-1) <= 0.16).sum(1) - 1
@@ -149,3 +149,134 @@ def test_two_step_thinning_keeps_the_same_ids(spark):
     pdf = pd.DataFrame({"dimx": ids, "u": X[:, 0], "v": X[:, 1]})
     got = {r.dimx for r in thin.two_step_thinning(spark.createDataFrame(pdf), s).collect()}
     assert got == brute_two_step(ids, X, s)
+
+
+def brute_lloyd(X, ids, k):
+    """Plain Lloyd iterations from the hash partition; the id nearest the first centroid left."""
+    import struct
+    import xxhash
+    signed = [int.from_bytes(struct.pack("<Q", xxhash.xxh64_intdigest(struct.pack("<q", int(i)), 42)), "little", signed=True) for i in ids]
+    lab = np.array([h % k for h in signed])
+    while True:
+        js = sorted(set(lab))
+        cents = np.array([X[lab == j].mean(0) for j in js])
+        new = np.array([js[int(np.argmin(((cents - x) ** 2).sum(1)))] for x in X])
+        if (new == lab).all():
+            break
+        lab = new
+    d = ((X - cents[0]) ** 2).sum(1)
+    return int(ids[np.lexsort((ids, d))[0]])
+
+
+def test_kmeans_in_blocks_equals_plain_lloyd(spark, monkeypatch):
+    from fluxsieve.operators import kmeans
+    monkeypatch.setattr(kmeans, "BLOCK_POINTS", 16)
+    monkeypatch.setattr(kmeans, "BLOCK_MOST", 24)
+    monkeypatch.setattr(kmeans, "GROUP", 2)
+    rng = np.random.RandomState(11)
+    sizes, ks = {"a": 260, "b": 90, "c": 40, "d": 30, "e": 1}, {"a": 9, "b": 3, "c": 1, "d": 5, "e": 2}
+    rows, at = [], 0
+    for name, n in sizes.items():
+        X = np.round(rng.uniform(0, 12, (n, 3)) * 8) / 8                       # eighths: sums are exact in any order
+        X = np.repeat(X[:1], n, axis=0) if name == "d" else X                  # copies of one point
+        rows += [(at + i, name, *map(float, x)) for i, x in enumerate(X)]
+        at += n
+    df = spark.createDataFrame(rows, "dimx long, label string, u double, v double, w double")
+    k = spark.createDataFrame([(n, ks[n], sizes[n]) for n in sizes], "label string, k int, npts long")
+    want = {}
+    for name in sizes:
+        own = [r for r in rows if r[1] == name]
+        want[name] = brute_lloyd(np.array([r[2:] for r in own]), np.array([r[0] for r in own]), ks[name])
+    for bound in (None, 50):                                                   # all in blocks; the smaller ones in one group each
+        got = kmeans.representatives(df, ["u", "v", "w"], k, max_group=bound)
+        assert {r.label: r.dimx for r in got.collect()} == want
+
+
+def test_kmeans_sends_a_block_few_centroids(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from fluxsieve.operators import kmeans
+    monkeypatch.setattr(kmeans, "BLOCK_POINTS", 20)
+    monkeypatch.setattr(kmeans, "GROUP", 1)
+    rng = np.random.RandomState(2)
+    pdf = pd.DataFrame(rng.uniform(0, 100, (4000, 2)), columns=["u", "v"])
+    pdf["dimx"], pdf["label"] = np.arange(4000), "a"
+    many = spark.createDataFrame(pdf).withColumn("__c", F.lit(0))
+    blocks = kmeans._Blocks(many, ["u", "v"], "dimx", "label")
+    cents = spark.createDataFrame(pdf[::10]).select("label", F.col("dimx").cast("int").alias("__c"), "u", "v")
+    per_block = blocks.needed(cents).groupBy("__block").count().agg(F.max("count"), F.count("*")).first()
+    assert per_block[1] >= 30 and per_block[0] <= 80                           # of 400 centroids
+    assert blocks.points.groupBy("__block").count().agg(F.max("count")).first()[0] < 400
+
+
+def brute_levels(X, eps):
+    d2 = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    lab = np.arange(len(X))
+    while True:
+        new = np.array([lab[row].min() for row in d2 <= eps * eps])
+        if (new == lab).all():
+            return lab
+        lab = new
+
+
+@pytest.mark.parametrize("most", [20_000, 15])
+def test_level_forest_cuts_like_single_linkage(spark, most):
+    from fluxsieve.operators import forest
+    rng = np.random.RandomState(4)
+    X = np.vstack([rng.normal(0, 0.3, (150, 3)), rng.normal(3, 0.6, (80, 3)), rng.uniform(-6, 8, (120, 3)), np.zeros((20, 3))])
+    pdf = pd.DataFrame(X, columns=["a", "b", "c"])
+    pdf["dimx"] = np.arange(len(X))
+    levels = [0.25, 0.5, 0.75, 1.0]
+    spots = forest.sites(spark.createDataFrame(pdf), ["a", "b", "c"], "dimx")
+    tree = forest.LevelForest(spots, ["a", "b", "c"], levels, tile_points=most)
+    chain = {r.site: r.chain for r in tree.members.join(tree.parts, "part").collect()}
+    site = {i: min(np.flatnonzero((X == X[i]).all(axis=1))) for i in range(len(X))}
+    for k, eps in enumerate(levels):
+        want = brute_levels(X, eps)
+        got = [chain[site[i]][k].cluster for i in range(len(X))]
+        pairs = set(zip(want.tolist(), got))
+        assert len(pairs) == len(set(want.tolist())) == len(set(got))
+        assert [chain[site[i]][k].size for i in range(len(X))] == [int((want == w).sum()) for w in want]
+
+
+@pytest.mark.parametrize("kw", [dict(zeta=0.0, min_reduction=8), dict(zeta=0.5, tau=0.05, min_reduction=6), dict(min_samples=1, final_pass_keeps_rest=True),
+                                dict(min_eps=0.05, eps_step=0.3, reduction_threshold=4, final_pass_keeps_rest=True)])
+def test_forest_and_passes_keep_the_same_ids(spark, kw):
+    rng = np.random.RandomState(8)
+    X = np.vstack([rng.normal(0, 0.25, (120, 2)), rng.normal(4, 0.6, (60, 2)), rng.uniform(-6, 9, (40, 2)), rng.normal(-4, 0.05, (12, 2)), np.full((30, 2), 7.0)])
+    pdf = pd.DataFrame(np.round(X * 64) / 64, columns=["u", "v"])
+    pdf["dimx"] = rng.permutation(len(X)) * 3 + 1
+    s = thin.ThinSettings(**{**dict(dims=["u", "v"], initial_eps=0.6, reduction_threshold=25, min_eps=0.5, min_samples=2, min_cluster_size=4), **kw})
+    scaled = spark.createDataFrame(pdf)
+    got, want = ({r.dimx for r in f(scaled, s, "dimx", 40).collect()} for f in (thin._kept_by_forest, thin._kept_by_passes))
+    assert got == want and len(got) > 10
+
+
+def test_dense_spot_tests_no_pairs(monkeypatch):
+    """10^5 points within 4 radii: cells settle cores and components, so a task's time does not grow with its pairs."""
+    from fluxsieve.operators import tiles
+    tested = []
+    plain = tiles.near
+
+    def counted(Q, X, radius):
+        for rows, cand, d2 in plain(Q, X, radius):
+            tested.append(d2.size)
+            yield rows, cand, d2
+
+    monkeypatch.setattr(tiles, "near", counted)
+    X = np.random.RandomState(0).uniform(0, 4, (100_000, 3))
+    assert (tiles.level_labels(X, [0.5, 1.0]) == 0).all()
+    assert tiles.core_points(X, np.ones(len(X), np.int64), 1.0, 5).all()
+    assert sum(tested) == 0
+
+
+def test_dense_spot_is_dealt_to_many_tiles(spark):
+    from pyspark.sql import functions as F
+    from fluxsieve.operators import tiles
+    pdf = pd.DataFrame(np.random.RandomState(0).uniform(0, 4, (100_000, 2)), columns=["u", "v"])
+    pdf.loc[len(pdf)] = [500.0, 500.0]
+    seen = tiles.tiled(spark.createDataFrame(pdf), ["u", "v"], 1.0, 1.0, [], tile_points=8_000)
+    width = F.element_at(F.array(*map(F.lit, tiles.STEPS)), F.col("step") + 1)
+    own = (F.floor(F.col("u") / width) == F.col("tile")[0]) & (F.floor(F.col("v") / width) == F.col("tile")[1])
+    sizes = seen.groupBy("step", "tile").agg(F.count_if(own).alias("own"), F.count("*").alias("all")).collect()
+    assert sum(r.own for r in sizes) == len(pdf) and max(r.own for r in sizes) <= 8_000
+    assert max(r["all"] for r in sizes) <= 60_000 and {r.step for r in sizes} >= {0, 5}
