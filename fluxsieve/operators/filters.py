@@ -379,10 +379,30 @@ def sanity_chain_gen2(ck_bound: float, septot_factor: float, ambi_bound: float,
     ])
 
 
-# C-19: name -> predicate factory (user-extensible)
+#: C-19: name -> predicate factory, and the bounds that a filter without one takes.
 FILTER_FUNCTIONS: dict[str, Callable[..., Pred]] = {
     "negative": lambda *a: nonnegative_ok(*a),
     "ck": ck_ok, "cke": cke_ok, "cki": cki_ok, "cek": cek_ok, "ceke": ceke_ok, "ceki": ceki_ok,
     "septot": septot_ok, "ambipolar": ambipolar_ok, "femtoflux": femtoflux_ok, "regime": regime_ok,
 }
 FILTER_DEFAULTS = {"ck": 50.0, "septot": 1.5, "ambipolar": 1.5, "femtoflux": 1e-4}
+
+
+def register_filter(name: str, factory: Callable[..., Pred], default=None) -> None:
+    """C-19: add a filter of one's own under a new name."""
+    if name in FILTER_FUNCTIONS:
+        raise ValueError(f"there is a filter {name!r}")
+    FILTER_FUNCTIONS[name] = factory
+    if default is not None:
+        FILTER_DEFAULTS[name] = default
+
+
+def apply_named(df: DataFrame, names) -> DataFrame:
+    """C-19: filters by name, in order: a list of names, or a mapping to arguments (None: the default; a tuple: several)."""
+    for name, arg in (names.items() if isinstance(names, dict) else ((n, None) for n in names)):
+        if name not in FILTER_FUNCTIONS:
+            raise KeyError(f"no filter {name!r}; there are {sorted(FILTER_FUNCTIONS)}")
+        arg = FILTER_DEFAULTS.get(name) if arg is None else arg
+        args = () if arg is None else arg if isinstance(arg, tuple) else (arg,)
+        df = apply(df, FILTER_FUNCTIONS[name](*args))
+    return df

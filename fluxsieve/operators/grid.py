@@ -83,17 +83,31 @@ def ion_densities(Z0: Column, Z1: Column, Zeff: Column) -> tuple[Column, Column]
     return n0, n1
 
 
-def ambipolarity(ions: DataFrame, points: DataFrame, scan_dims, absolute: bool = False) -> DataFrame:
+def with_densities(ions: DataFrame, points: DataFrame, scan_dims) -> DataFrame:
+    """B-14 where ``normni`` is missing: the densities of the two ions of each point from their charges and its ``Zeff``;
+    a third ion is an error."""
+    charge = lambda k: F.max(F.when(F.col("nions") == k, F.col("Zi")))
+    both = ions.groupBy(*scan_dims).agg(charge(0).alias("__z0"), charge(1).alias("__z1")).join(points.select(*scan_dims, "Zeff"), list(scan_dims))
+    n0, n1 = ion_densities(F.col("__z0"), F.col("__z1"), F.col("Zeff"))
+    third = F.raise_error(F.lit("densities follow from Zeff for two ions only")).cast("double")
+    return ions.join(both.select(*scan_dims, n0.alias("__n0"), n1.alias("__n1")), list(scan_dims), "left") \
+        .withColumn("normni", F.when(F.col("nions") == 0, F.col("__n0")).when(F.col("nions") == 1, F.col("__n1")).otherwise(third)).drop("__n0", "__n1")
+
+
+def ambipolarity(ions: DataFrame, points: DataFrame, scan_dims, absolute: bool = False, strict: bool = False) -> DataFrame:
     """B-15 / B-16: ``absambi = sum_ions(pfi * normni * Zi) / pfe``; 1 where ``pfe == 0``.
 
     ``ions`` has one row per (point, ion); ``points`` carries ``pfe_GB``.  The ion sum is a
-    partial aggregate before the join, so only one row per point is shuffled to it.
+    partial aggregate before the join, so only one row per point is shuffled to it.  ``strict`` (gen2): a missing
+    result where ``pfe`` is not 0 is an error.
     """
     s = ions.groupBy(*scan_dims).agg(F.sum(F.col("pfi_GB") * F.col("normni") * F.col("Zi")).alias("__s"))
     j = points.join(s, list(scan_dims), "left")
     val = safe_div(F.col("__s"), F.col("pfe_GB"))
     if absolute:
         val = F.abs(val)
+    if strict:
+        val = F.coalesce(val, F.raise_error(F.lit("no ambipolarity where the electron flux is not 0")).cast("double"))
     return j.withColumn("absambi", F.when(F.col("pfe_GB") == 0, F.lit(1.0)).otherwise(val)).drop("__s")
 
 

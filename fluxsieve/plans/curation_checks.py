@@ -389,12 +389,15 @@ def dataset_difference(spark, sf):
     return report.dataset_difference(b.select("dimx", "efi_GB", "efe_GB"), s.select("dimx", "efi_GB", "efe_GB"))
 
 
-@register("name_family_stats", with_bridge(
-    " UNION ALL ".join(
-        f"SELECT '{c}' AS name, '{N.determine_mode_scale(c)}' AS mode_scale, {str(N.is_leading(c)).upper()} AS is_leading, "
-        f"{str(N.is_pure_heat(c)).upper()} AS is_pure_heat, CAST(count({c}) AS BIGINT) AS n, round(sum({c}), 6) AS total "
-        f"FROM bridge" for c in ["efiITG_GB", "efeITG_GB", "efeTEM_GB", "efiTEM_GB", "efeETG_GB", "pfeITG_GB",
-                                  "pfeTEM_GB", "efe_GB", "efi_GB"])))
+# fixed values: scale and leading role of each transport column, as the rules have them
+_FAMILIES = {"efiITG_GB": ("ITG", True, True), "efeITG_GB": ("ITG", True, True), "efeTEM_GB": ("TEM", True, True), "efiTEM_GB": ("TEM", True, True),
+             "efeETG_GB": ("ETG", True, True), "pfeITG_GB": ("ITG", True, False), "pfeTEM_GB": ("TEM", True, False), "efe_GB": ("unknown", True, True),
+             "efi_GB": ("unknown", True, True)}
+
+
+@register("name_family_stats", with_bridge(" UNION ALL ".join(
+    f"SELECT '{c}' AS name, '{mode}' AS mode_scale, {leading} AS is_leading, {heat} AS is_pure_heat, CAST(count({c}) AS BIGINT) AS n, round(sum({c}), 6) AS total FROM bridge"
+    for c, (mode, leading, heat) in _FAMILIES.items())))
 def name_family_stats(spark, sf):
     """F catalogue as a job: unpivot transport columns to (dimx, name, value), classify the
     distinct names with the Spark-expression catalogue, join back and aggregate per name."""

@@ -82,15 +82,22 @@ def write_sets(res: CurationResult, path: str) -> None:
         .partitionBy("set").parquet(path)
 
 
-def grid_to_store(modes: DataFrame, ions: DataFrame, points: DataFrame, scan_dims, *, path: str | None = None):
-    """M-07 / B-28: growth rates and flags, ambipolarity, merged per scan point."""
+def grid_to_store(modes: DataFrame, ions: DataFrame, points: DataFrame, scan_dims, path: str, *, gen2: bool = False, ion: int = 0,
+                  axis: tuple[str, list] | None = None, style: str = "both") -> DataFrame:
+    """M-07 / B-21: the prepared grid (:func:`prepare_grid`) as a store: scan dims as inputs under the row-major cell
+    index (B-03), everything else as outputs, constants as attributes.  ``axis``: ``modes`` holds arrays along an inner
+    coordinate with these values, which are unfolded first (B-02).  Returns the stored points."""
     from ..operators import grid
-    flags = grid.stability_flags(modes, scan_dims)
-    amb = grid.ambipolarity(ions, points, scan_dims)
-    merged = grid.merge_groups(flags, amb, scan_dims, dedupe=False)
-    if path:
-        merged.write.mode("overwrite").parquet(path)
-    return merged
+    from ..sources import store
+    scan_dims = list(scan_dims)
+    if axis is not None:
+        name, values = axis
+        arrays = [c for c, t in modes.dtypes if t.startswith("array")]
+        modes = grid.unfold_arrays(modes, [c for c in modes.columns if c not in arrays], name, values, arrays)
+    rest, _growth, consts = prepare_grid(modes, ions, points, scan_dims, gen2=gen2, ion=ion)
+    indexed = cut_lineage(grid.axis_index(rest, scan_dims))
+    store.save_dataset(store.Dataset(indexed.select("dimx", *scan_dims), indexed.drop(*scan_dims), consts), path, style=style)
+    return indexed
 
 
 def _sane(points: DataFrame, preset: JobPreset) -> DataFrame:
@@ -160,13 +167,37 @@ def split_dims(inp: DataFrame, data: DataFrame, levels: list[dict[str, float]],
 
 
 def prepare_grid(modes: DataFrame, ions: DataFrame, points: DataFrame, scan_dims, *, gen2: bool = False, ion: int = 0):
-    """B-28 / B-29: flags (B-10, B-11; gen2 B-12), ambipolarity (B-15; gen2 B-16), merged (B-01), particle fluxes and
-    pinches where their parts are there (B-18, B-19), rotation fluxes and unit copies dropped, growth rates apart (B-22),
-    one ion (B-05), constant columns apart (B-06).  Returns (points, growth rates, constants)."""
+    """B-28 / B-29: growth rates and flags (B-10, B-11; gen2 B-12), ion densities where they are missing (B-14),
+    ambipolarity (B-15; gen2 B-16), merged (B-01), particle fluxes and pinches where their parts are there (B-18, B-19),
+    rotation fluxes and unit copies dropped, growth rates apart (B-22), one ion (B-05), constant columns apart (B-06; targets
+    and flags stay).  Returns (points, growth rates, constants)."""
+    from ..functions import names as N
     from ..operators import grid
+    scan_dims = list(scan_dims)
+    if "normni" not in ions.columns:
+        ions = grid.with_densities(ions, points, scan_dims)
     flags = (grid.stability_flags_gen2 if gen2 else grid.stability_flags)(modes, scan_dims)
-    merged = grid.merge_groups(flags, grid.ambipolarity(ions, points, scan_dims, absolute=gen2), scan_dims, dedupe=False)
+    merged = grid.merge_groups(flags, grid.ambipolarity(ions, points, scan_dims, absolute=gen2, strict=gen2), scan_dims, dedupe=False)
     merged = grid.merge_groups(merged, grid.pick_ion(ions, ion), scan_dims, dedupe=False)
-    full = _simulator_points(grid.sum_pinches(grid.fill_particle_fluxes(merged, always=gen2)))
-    rest, consts = grid.metadatize(full, [c for c in full.columns if c not in set(scan_dims)])
+    full = cut_lineage(_simulator_points(grid.sum_pinches(grid.fill_particle_fluxes(merged, always=gen2))))
+    kept = [c for c in full.columns if N.is_transport(c) or N.is_growth(c) or c in ("ITG", "TEM", "ETG", "absambi")]
+    rest, consts = grid.metadatize(full, [c for c in full.columns if c not in scan_dims], keep=kept)
     return rest, modes.select(*scan_dims, *[c for c in ("kthetarhos", "numsols", "gam_GB", "ome_GB") if c in modes.columns]), consts
+
+
+def thinning_job(df: DataFrame, settings: str, path: str, *, key: str = "dimx") -> DataFrame:
+    """H-08: the settings document at ``settings`` (A-19) names the dims and the loop's bounds; its columns are chosen (A-24),
+    rows with missing or infinite ones dropped (C-17), the set thinned (H-07) and the kept rows stored, features as one table and
+    each target as its own (A-23).  Returns the kept rows."""
+    from ..operators import thin
+    from ..sources import store
+    got = store.read_settings(df.sparkSession, settings).first().asDict()
+    known = {f for f in thin.ThinSettings.__dataclass_fields__ if f in got and got[f] is not None}
+    s = thin.ThinSettings(**{f: got[f] for f in known})
+    targets = [c for c in got.get("targets") or [] if c not in s.dims]
+    chosen = store.select_dims(df, [key, *s.dims, *targets], got.get("format"))
+    s.num_dim = s.num_dim or len(s.dims)
+    chosen = cut_lineage(filters.finite_rows(chosen, s.dims))
+    kept = cut_lineage(thin.two_step_thinning(chosen, s, key))
+    store.save_dataset(store.Dataset(kept.select(key, *s.dims), kept.select(key, *targets) if targets else None, None), path, style="sep", key=key)
+    return kept

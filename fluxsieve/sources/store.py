@@ -7,6 +7,10 @@ Layout of a store at ``path`` (group names as in the original HDF5 stores)::
     path/output/       long form (dimx, value) partitioned by name=<target>  (separate columns)
     path/constants/    (name, value) strings
     path/filter/<f>/   ids removed by a stored filter
+    path/manifest/     (kind, name, folder, rows, type): one row per stored column, constants table, ...
+
+The manifest says what is stored, so a store is opened without listing its files; a store of
+other origin has none, and then one level of folder names is listed.
 
 The wide table is preferred on load whenever it exists (Parquet column pruning makes
 reading a few columns of it as cheap as reading separate files); the separate
@@ -18,9 +22,7 @@ from __future__ import annotations
 import json
 import os
 import re
-import re
 from functools import reduce
-from urllib.parse import unquote
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,32 +55,71 @@ def separate_long(data: DataFrame, columns=None, key: str = "dimx", dropna: bool
     return long.filter(F.col("value").isNotNull()) if dropna else long
 
 
+MANIFEST = "kind string, name string, folder string, rows bigint, type string"
+
+
+def _folder_of(name: str) -> str:
+    """Folder of a separately stored column, as a partitioned write names it."""
+    return f"output/name={name}"
+
+
+def write_manifest(spark: SparkSession, path: str, rows, prefix: str = "") -> None:
+    """Replace the manifest rows of the kinds in ``rows``; one small file."""
+    old = [] if not _exists(spark, _group(path, prefix, "manifest")) else read_manifest(spark, path, prefix).collect()
+    kinds = {r[0] for r in rows}
+    kept = [tuple(r) for r in old if r["kind"] not in kinds]               # one row per stored column: as wide as a schema
+    spark.createDataFrame([*kept, *rows], MANIFEST).coalesce(1).write.mode("overwrite").parquet(_group(path, prefix, "manifest"))
+
+
+def read_manifest(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """``kind, name, folder, rows, type`` of everything a store holds."""
+    return spark.read.schema(MANIFEST).parquet(_group(path, prefix, "manifest"))
+
+
 def save_dataset(ds: Dataset, path: str, style: str = "both", prefix: str = "", key: str = "dimx",
                  save_flux: bool = True, save_growth: bool = True, save_all: bool = True) -> None:
-    """A-13 / A-14 / A-16: write input, outputs (wide and / or separate) and constants (zstd Parquet)."""
+    """A-13 / A-14 / A-16: write input, outputs (wide and / or separate) and constants (zstd Parquet), and the manifest."""
     w = lambda df: df.write.mode("overwrite").option("compression", "zstd")
+    spark = next(d for d in ds if d is not None).sparkSession
+    rows: list[tuple] = []
+
+    def stored(kind, df, folder=None):
+        cols = [c for c in df.columns if c != key]
+        n = df.agg(*[F.count(c).alias(c) for c in cols]).first() if cols else {}
+        rows.extend((kind, c, folder or _folder_of(c), n[c], t) for c, t in df.dtypes if c != key)
+
     if ds.input is not None:
         w(ds.input).parquet(_group(path, prefix, "input"))
+        stored("input", spark.read.parquet(_group(path, prefix, "input")), "input")
     if ds.data is not None:
         if style in ("both", "flat"):
             w(ds.data).parquet(_group(path, prefix, "flattened"))
+            stored("flattened", spark.read.parquet(_group(path, prefix, "flattened")), "flattened")
         if style in ("both", "sep"):
             cols = [c for c in ds.data.columns if c != key and (
                 save_all or (save_flux and N.is_transport(c)) or (save_growth and N.is_growth(c)))]
             w(separate_long(ds.data, cols, key)).partitionBy("name").parquet(_group(path, prefix, "output"))
+            counts = dict(spark.read.parquet(_group(path, prefix, "output")).groupBy("name").count().collect())
+            rows += [("output", c, _folder_of(c), counts[c], "double") for c in cols if c in counts]
     if ds.const is not None:
         w(ds.const.select(F.col("name").cast("string"), F.col("value").cast("string"))).parquet(
             _group(path, prefix, "constants"))
+        rows.append(("constants", "constants", "constants", None, "string"))
+    write_manifest(spark, path, rows, prefix)
 
 
 def column_map(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
-    """A-04: names stored as separate columns (partition values of the long table)."""
+    """A-04: names stored as separate columns, from the manifest (without one: from the folder names, no file being listed)."""
+    if _exists(spark, _group(path, prefix, "manifest")):
+        return sorted(r[0] for r in read_manifest(spark, path, prefix).filter("kind = 'output'").select("name").collect())
     out = _group(path, prefix, "output")
     if not _exists(spark, out):
         return []
-    # partition folders from the file index; no row is read
-    found = {m[1] for f in spark.read.parquet(out).inputFiles() if (m := re.search(r"/name=([^/]+)/", f))}
-    return sorted(unquote(c) for c in found)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(out)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    names = (f.getPath().getName() for f in found)
+    return sorted(n.removeprefix("name=") for n in names if n.startswith("name="))
 
 
 def filter_column_map(stored: list[str], columns) -> list[str]:
@@ -126,7 +167,9 @@ def load_dataset(spark: SparkSession, path: str, columns=None, mode: str = "bare
     missing = [c for c in cols if c not in stored]
     if missing:
         raise KeyError(f"columns not in store: {missing}")
-    long = spark.read.parquet(_group(path, prefix, "output")).filter(F.col("name").isin(cols))
+    out = _group(path, prefix, "output")
+    # the folders of the wanted columns only
+    long = spark.read.option("basePath", out).parquet(*[_group(path, prefix, _folder_of(c)) for c in cols])
     per_col = {c: long.filter(F.col("name") == c).select(key, F.col("value").alias(c)) for c in cols}
     return Dataset(inp, assemble(per_col, cols, mode, how, inp, key), const)
 
@@ -199,6 +242,14 @@ def dataset_name(gen: int, dim: int, dataset: str, filter_id: int, set_name: str
     return f"{'unstable_' if unstable else ''}{set_name + '_' if set_name else ''}gen{gen}_{dim}D_{dataset}_filter{filter_id}"
 
 
+def dataset_names(gen, dim, dataset, filter_id, set_name=None, unstable=None):
+    """A-18 as a column, from columns."""
+    first = F.lit("") if unstable is None else F.when(unstable, "unstable_").otherwise("")
+    kind = F.lit("") if set_name is None else F.when(set_name != "", F.concat(set_name, F.lit("_"))).otherwise("")
+    return F.concat(first, kind, F.lit("gen"), gen.cast("string"), F.lit("_"), dim.cast("string"), F.lit("D_"), dataset, F.lit("_filter"),
+                    filter_id.cast("string"))
+
+
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
     """A-19: one row per settings JSON document."""
     return spark.read.option("multiLine", True).json(path)
@@ -244,11 +295,30 @@ def combine_input_threshold(inp: DataFrame, thresh: DataFrame, turb: str, key: s
     return inp.join(thresh.select(key, F.col("thresh").alias(f"{lead}{turb}_thresh")), key, "inner")
 
 
-def glue_runs(spark: SparkSession, paths: list[str], drop_columns=(), with_source: bool = False) -> DataFrame:
-    """A-01: concatenate run files along the point dimension, dropping internal columns."""
+def save_runs(runs: dict[str, DataFrame], base: str) -> None:
+    """Run files ``base/<name>`` and their manifest (``type`` is the run's schema), so that gluing reads no file twice."""
+    spark = next(iter(runs.values())).sparkSession
+    for name, df in runs.items():
+        df.write.mode("overwrite").parquet(os.path.join(base, name))
+    write_manifest(spark, base, [("run", n, n, None, df.schema.json()) for n, df in runs.items()])
+
+
+def glue_runs(spark: SparkSession, paths: list[str] | str, drop_columns=(), with_source: bool = False) -> DataFrame:
+    """A-01: concatenate run files along the point dimension, dropping internal columns.
+
+    ``paths``: run folders, or one folder with a manifest (:func:`save_runs`).  With a manifest runs of one schema are one scan,
+    so the plan grows with the number of schemas, not of runs.
+    """
+    from pyspark.sql.types import StructType
+    if isinstance(paths, str):
+        by_schema: dict[str, list[str]] = {}
+        for r in read_manifest(spark, paths).filter("kind = 'run'").orderBy("name").collect():
+            by_schema.setdefault(r["type"], []).append(os.path.join(paths, r["folder"]))
+        scans = [spark.read.schema(StructType.fromJson(json.loads(t))).parquet(*folders) for t, folders in by_schema.items()]
+    else:
+        scans = [spark.read.parquet(p) for p in paths]
     frames = []
-    for p in paths:
-        df = spark.read.parquet(p)
+    for df in scans:
         if with_source:
             df = df.withColumn("source_file", F.input_file_name())
         frames.append(df.drop(*[c for c in drop_columns if c in df.columns]))
