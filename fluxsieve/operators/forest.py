@@ -25,6 +25,23 @@ SITE = "site"
 SMALL = 200_000
 
 
+def _solve(table: pa.Table) -> pa.Table:
+    """Roots of the nodes of a small link table."""
+    names, of = np.unique(np.concatenate([np.array(table.column(c).to_pylist(), object) for c in "ab"]), return_inverse=True)
+    root = tiles.components(len(names), of[:table.num_rows], of[table.num_rows:])
+    return pa.table([pa.array(names.tolist(), pa.string()), pa.array(names[root].tolist(), pa.string())], names=["node", "root"])
+
+
+def tied(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` of the links ``edges(a, b)`` between names: at most ``SMALL`` links are one task's work, more are
+    contracted in Spark; which member of a component is its root may differ, the components do not."""
+    ship_package(edges.sparkSession)
+    edges = cut_lineage(edges.select("a", "b").filter("a <> b").distinct())
+    if edges.count() > SMALL:
+        return cut_lineage(connected_components(edges))
+    return cut_lineage(edges.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_solve, "node string, root string"))
+
+
 def sites(df: DataFrame, dims, key: str) -> DataFrame:
     """Distinct coordinates: ``site`` (least id there), the dims and ``weight`` (points there)."""
     return df.groupBy(*[F.col(x).cast("double").alias(x) for x in dims]).agg(F.min(key).alias(SITE), F.count(F.lit(1)).alias("weight"))
@@ -74,7 +91,7 @@ class LevelForest:
             .join(chain.select(F.col("part").alias("b"), F.col("chain").alias("cb")), "b")
         edges = both.select(F.posexplode(F.arrays_zip("ca", "cb"))).select(
             F.concat_ws("@", F.col("col.ca"), F.col("pos")).alias("a"), F.concat_ws("@", F.col("col.cb"), F.col("pos")).alias("b"))
-        roots = cut_lineage(connected_components(edges, SMALL))
+        roots = tied(edges)
         placed = local.select("part", "weight", F.posexplode("chain").alias("pos", "c")) \
             .select("part", "weight", "pos", F.concat_ws("@", "c", "pos").alias("node")).join(roots, "node", "left") \
             .select("part", "weight", "pos", F.coalesce("root", "node").alias("cluster"))

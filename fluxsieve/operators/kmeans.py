@@ -1,7 +1,7 @@
 """k-means representatives of clusters (H-06), whatever the size of a cluster.
 
-Lloyd's iterations, always started from the hash partition of the points.  Clusters of a proven size
-bound run in one task each.  A larger one is cut into *blocks* of neighbouring points, its centroids into
+Lloyd's iterations, always started from the hash partition of the points.  Clusters of at most
+``GROUP_POINTS`` points run in one task each.  A larger one is cut into *blocks* of neighbouring points, its centroids into
 groups of neighbouring ones; in an iteration only boxes are compared: a group whose box is farther from a
 block's box than some other group's farthest corner cannot hold the nearest centroid of any point there.
 A block is then sent the centroids of the groups that are left, so no row pairs a point with a centroid.
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 
-#: Points of a block (about), points that share a block's box at most, centroids of a group (about), distances at a time.
-BLOCK_POINTS, BLOCK_MOST, GROUP, CHUNK = 1024, 4096, 64, 1 << 21
+#: Points of a cluster that one task takes, of a block (about), points that share a block's box at most, centroids of a group (about), distances at a time.
+GROUP_POINTS, BLOCK_POINTS, BLOCK_MOST, GROUP, CHUNK = 20_000, 1024, 4096, 64, 1 << 21
 
 
 def _dist2(a_cols, b_cols) -> Column:
@@ -57,25 +57,21 @@ def lloyd(X: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def representatives(points: DataFrame, dims, k_per_cluster: DataFrame, key: str = "dimx", cluster: str = "label",
-                    max_group: int | None = None) -> DataFrame:
+                    max_group: int = GROUP_POINTS) -> DataFrame:
     """H-06: per cluster, the point nearest the *first* (lowest surviving) centroid of a k-means fit, ties to the least id.
 
-    ``k_per_cluster`` has ``k`` and, for ``max_group``, ``npts`` of each cluster.  k = 1: the centroid is the mean and the
-    nearest point a ``min_by``.  Clusters of at most ``max_group`` points are one group each; all others run in blocks.
+    ``k_per_cluster`` has ``k`` and ``npts`` of each cluster.  k = 1: the centroid is the mean and the nearest point a
+    ``min_by``.  Clusters of at most ``max_group`` points are one group each; all others run in blocks, with the same result.
     """
     ship_package(points.sparkSession)
-    sized = k_per_cluster.select(cluster, "k", *(["npts"] if "npts" in k_per_cluster.columns else []))
-    pk = points.select(cluster, key, *dims).join(sized, cluster)
-    if "npts" not in pk.columns:
-        pk = pk.withColumn("npts", F.lit(None).cast("long"))
+    pk = points.select(cluster, key, *dims).join(k_per_cluster.select(cluster, "k", "npts"), cluster)
     one = pk.filter(F.col("k") == 1)
     mean = one.groupBy(cluster).agg(*[F.avg(x).alias(f"__m_{x}") for x in dims])
     out = _closest(one, mean, dims, key, cluster)
     many = pk.filter(F.col("k") > 1).withColumn("__c", first_assignment(key))
-    if max_group is not None:
-        small = F.coalesce(F.col("npts") <= max_group, F.lit(False))
-        out = out.unionByName(_grouped(many.filter(small), dims, key, cluster))
-        many = many.filter(~small)
+    small = F.col("npts") <= max_group
+    out = out.unionByName(_grouped(many.filter(small), dims, key, cluster))
+    many = many.filter(~small)
     blocks = _Blocks(many, dims, key, cluster)
     return out if blocks.points is None else out.unionByName(blocks.representatives())
 

@@ -1,11 +1,11 @@
 """Rows at given ranks of a sort order, without sorting or moving rows.
 
-A rank is bracketed by quantile sketches (``percentile_approx``: mergeable, so one aggregate over the
-narrow sort columns serves all ranks of all columns at once).  Counts then say how many rows lie below and
-inside each bracket, exactly; brackets that still hold many rows are sketched again, and a bracket of one
-hot value goes on with the next sort column.  What is left, at most ``SMALL`` keys a rank, is sorted.  A
-wide table is cut by comparing its rows with the key found (:func:`before`): it is read once, and neither
-exchanged nor written.
+The sort columns alone are written once as a narrow table, which all passes read.  A rank is bracketed
+by quantile sketches (``percentile_approx``: mergeable, so one aggregate serves all ranks of all columns
+at once).  Counts then say how many rows lie below and inside each bracket, exactly; brackets that still
+hold many rows are sketched again, and a bracket of one hot value goes on with the next sort column.
+What is left, at most ``SMALL`` keys a rank, is sorted.  A wide table is cut by comparing its rows with the
+key found (:func:`before`): it is read once, and neither exchanged nor written.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: Relative rank accuracy of a sketch is 1 / ACCURACY; keys of one bracket that are sorted.
 ACCURACY, SMALL = 2_000, 20_000
 
@@ -78,8 +80,13 @@ def keys_at(df: DataFrame, requests) -> list[tuple | None]:
     """For each ``(order, rank)`` the values of the ``order`` columns in the row at that 0-based rank, ascending with
     missing values last; None where there is no such row.  Columns are numeric; where rows may tie, the last one is the
     unique id.  A rank may be a function of the number of rows."""
+    named: dict = {}                                       # sort column (a name or an expression) -> its name in the key table
+    for order, _ in requests:
+        for c in order:
+            named.setdefault(c if isinstance(c, str) else id(c), (f"k{len(named)}", F.col(c) if isinstance(c, str) else c))
+    df = cut_lineage(df.select(*[c.alias(k) for k, c in named.values()]))
     n = df.count()
-    every = [_Search([F.col(c) if isinstance(c, str) else c for c in order], rank(n) if callable(rank) else rank, n) for order, rank in requests]
+    every = [_Search([F.col(named[c if isinstance(c, str) else id(c)][0]) for c in order], rank(n) if callable(rank) else rank, n) for order, rank in requests]
     todo = [s for s in every if 0 <= s.rank < n]
     while todo:
         wide = [s for s in todo if s.rows > SMALL]

@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 from . import tiles
-from .components import connected_components
-from .forest import SITE, SMALL, LevelForest, sites
+from .forest import SITE, LevelForest, sites, tied
 from .kmeans import representatives
 
 
@@ -134,7 +133,7 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
         found = named.groupBy(key).agg(F.min("comp").alias("label"))
     else:
         mine = seen.filter(F.col("role") == OWN_CORE).select(key, F.col("comp").alias("a"))
-        roots = connected_components(mine.join(other, key).select("a", "b").distinct(), SMALL)
+        roots = tied(mine.join(other, key))
         comps = seen.select("comp").distinct().join(roots.withColumnRenamed("node", "comp"), "comp", "left") \
             .select("comp", F.coalesce("root", "comp").alias("root"))
         label_of = comps.join(comps.groupBy("root").agg(F.min("comp").alias("label")), "root").select("comp", "label")
@@ -208,8 +207,7 @@ def _reduce(pts: DataFrame, s: ThinSettings, radius: float, key: str) -> DataFra
     else:
         dens = local_density(pts, s.dims, radius, key)
         ks = dens.withColumn("k", k_expression(F.col("density"), F.col("npts"), s.min_reduction, s.tau, s.zeta))
-    # clusters of at most reduction_threshold + 1 points, a proven bound, are one group each
-    return representatives(pts, s.dims, ks, key, max_group=s.reduction_threshold + 1).select(key)
+    return representatives(pts, s.dims, ks, key).select(key)
 
 
 def pass_radii(s: ThinSettings) -> list[float]:

@@ -187,7 +187,7 @@ def test_kmeans_in_blocks_equals_plain_lloyd(spark, monkeypatch):
     for name in sizes:
         own = [r for r in rows if r[1] == name]
         want[name] = brute_lloyd(np.array([r[2:] for r in own]), np.array([r[0] for r in own]), ks[name])
-    for bound in (None, 50):                                                   # all in blocks; the smaller ones in one group each
+    for bound in (0, 50):                                                      # all in blocks; the smaller ones in one group each
         got = kmeans.representatives(df, ["u", "v", "w"], k, max_group=bound)
         assert {r.label: r.dimx for r in got.collect()} == want
 
@@ -218,9 +218,10 @@ def brute_levels(X, eps):
         lab = new
 
 
-@pytest.mark.parametrize("most", [20_000, 15])
-def test_level_forest_cuts_like_single_linkage(spark, most):
+@pytest.mark.parametrize("most,small", [(20_000, 200_000), (15, 200_000), (15, 0)])
+def test_level_forest_cuts_like_single_linkage(spark, most, small, monkeypatch):
     from fluxsieve.operators import forest
+    monkeypatch.setattr(forest, "SMALL", small)
     rng = np.random.RandomState(4)
     X = np.vstack([rng.normal(0, 0.3, (150, 3)), rng.normal(3, 0.6, (80, 3)), rng.uniform(-6, 8, (120, 3)), np.zeros((20, 3))])
     pdf = pd.DataFrame(X, columns=["a", "b", "c"])
@@ -238,14 +239,14 @@ def test_level_forest_cuts_like_single_linkage(spark, most):
         assert [chain[site[i]][k].size for i in range(len(X))] == [int((want == w).sum()) for w in want]
 
 
-@pytest.mark.parametrize("kw", [dict(zeta=0.0, min_reduction=8), dict(zeta=0.5, tau=0.05, min_reduction=6), dict(min_samples=1, final_pass_keeps_rest=True),
-                                dict(min_eps=0.05, eps_step=0.3, reduction_threshold=4, final_pass_keeps_rest=True)])
+@pytest.mark.parametrize("kw", [dict(zeta=0.5, tau=0.05, min_reduction=6),
+                                dict(min_eps=0.05, eps_step=0.3, reduction_threshold=4, min_reduction=8, final_pass_keeps_rest=True)])
 def test_forest_and_passes_keep_the_same_ids(spark, kw):
     rng = np.random.RandomState(8)
     X = np.vstack([rng.normal(0, 0.25, (120, 2)), rng.normal(4, 0.6, (60, 2)), rng.uniform(-6, 9, (40, 2)), rng.normal(-4, 0.05, (12, 2)), np.full((30, 2), 7.0)])
     pdf = pd.DataFrame(np.round(X * 64) / 64, columns=["u", "v"])
     pdf["dimx"] = rng.permutation(len(X)) * 3 + 1
-    s = thin.ThinSettings(**{**dict(dims=["u", "v"], initial_eps=0.6, reduction_threshold=25, min_eps=0.5, min_samples=2, min_cluster_size=4), **kw})
+    s = thin.ThinSettings(**{**dict(dims=["u", "v"], initial_eps=0.6, eps_step=0.1, reduction_threshold=25, min_eps=0.5, min_samples=2, min_cluster_size=4), **kw})
     scaled = spark.createDataFrame(pdf)
     got, want = ({r.dimx for r in f(scaled, s, "dimx", 40).collect()} for f in (thin._kept_by_forest, thin._kept_by_passes))
     assert got == want and len(got) > 10
