@@ -211,9 +211,10 @@ def _reduce(pts: DataFrame, s: ThinSettings, radius: float, key: str) -> DataFra
 
 
 def pass_radii(s: ThinSettings) -> list[float]:
-    """Radii of the passes: the first at 1, then from ``initial_eps`` down, the last one being the first below ``min_eps``."""
+    """Radii of the passes: the first at 1, then from ``initial_eps`` down, the last one being the first below ``min_eps``
+    (or the last above 0)."""
     out = [s.initial_eps]
-    while out[-1] >= s.min_eps:
+    while out[-1] >= s.min_eps and out[-1] - s.eps_step > 0:
         out.append(out[-1] - s.eps_step)
     return [1.0, *out]
 

@@ -240,7 +240,7 @@ def test_level_forest_cuts_like_single_linkage(spark, most, small, monkeypatch):
 
 
 @pytest.mark.parametrize("kw", [dict(zeta=0.5, tau=0.05, min_reduction=6),
-                                dict(min_eps=0.05, eps_step=0.3, reduction_threshold=4, min_reduction=8, final_pass_keeps_rest=True)])
+                                dict(min_eps=0.05, eps_step=0.25, reduction_threshold=4, min_reduction=8, final_pass_keeps_rest=True)])
 def test_forest_and_passes_keep_the_same_ids(spark, kw):
     rng = np.random.RandomState(8)
     X = np.vstack([rng.normal(0, 0.25, (120, 2)), rng.normal(4, 0.6, (60, 2)), rng.uniform(-6, 9, (40, 2)), rng.normal(-4, 0.05, (12, 2)), np.full((30, 2), 7.0)])
