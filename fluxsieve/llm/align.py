@@ -10,7 +10,7 @@ pairs of tokens of one group are links.
    cut), and emits the links of the tokens that entered and the cuts.  Finished documents are taken
    out of the vector.  A long document enters as several lanes that start at cuts of its own, so
    that steps stay few and the vector long.
-2. Links become counts of distinct id pairs per document; a *block* (some 32 MB of text) lists its
+2. Links become counts of distinct id pairs per document; a *block* (some 12 MB of text) lists its
    distinct pairs once with the number of its documents that hold them.  Documents keep their pairs
    as places in that list, most frequent first.
 3. The lists are summed over the corpus by pair; the greatest count of each A id is an aggregate of
@@ -40,7 +40,7 @@ from . import common as C
 from . import tokens
 
 #: Bytes of text of a run and of a block, A tokens of a lane, links expanded at a time.
-RUN, TEXT_BLOCK, LANE, EXPAND = 2 << 20, 32 << 20, 512, 1 << 22
+RUN, TEXT_BLOCK, LANE, EXPAND = 2 << 20, 12 << 20, 512, 1 << 22
 
 
 # ------------------------------------------------------------------ lockstep
@@ -95,7 +95,10 @@ def lockstep(end_a: np.ndarray, end_b: np.ndarray, first_a: np.ndarray):
 
 def pair_counts(a: np.ndarray, b: np.ndarray, doc_of_a: np.ndarray, of_a, of_b):
     """``(document, pair, links)`` of the strips, sorted: a pair is ``A id << 32 | B id``."""
-    docs, pairs, links = [], [], []
+    if not len(a):
+        return (np.zeros(0, np.int64),) * 3
+    n_a, n_b = int(a.max()) + 1, int(b.max()) + 1
+    keys, links = [], []                               # a key is document, A id and B id in one number, which sorts fast
     for strip, flip in ((of_a, False), (of_b, True)):
         size = strip[2] - strip[1] + 1
         total = np.cumsum(size)
@@ -106,22 +109,17 @@ def pair_counts(a: np.ndarray, b: np.ndarray, doc_of_a: np.ndarray, of_a, of_b):
             one = np.repeat(strip[0][at:end], n)
             other = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(strip[1][at:end], n)
             x, y = (other, one) if flip else (one, other)
-            docs.append(doc_of_a[x])
-            pairs.append(a[x].astype(np.int64) << 32 | b[y])
-            links.append(np.ones(len(x), np.int64))
-            if len(x) > EXPAND >> 1:
-                docs[-1], pairs[-1], links[-1] = _summed(docs[-1], pairs[-1], links[-1])
+            key = np.sort((doc_of_a[x] * n_a + a[x]) * n_b + b[y])
+            first = C.run_starts(key)
+            keys.append(key[first])
+            links.append(np.diff(np.append(first, len(key))))
             at = end
-    if not docs:
-        return (np.zeros(0, np.int64),) * 3
-    return _summed(np.concatenate(docs), np.concatenate(pairs), np.concatenate(links))
-
-
-def _summed(doc, pair, n):
-    order = np.lexsort((pair, doc))
-    doc, pair, n = doc[order], pair[order], n[order]
-    first = C.run_starts(doc, pair)
-    return doc[first], pair[first], np.add.reduceat(n, first) if len(first) else n
+    key, n = np.concatenate(keys), np.concatenate(links)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = C.run_starts(key)
+    key, n = key[first], np.add.reduceat(n, first)
+    return key // (n_a * n_b), key // n_b % n_a << 32 | key % n_b, n
 
 
 class Spelling:
@@ -201,9 +199,9 @@ def _closed(n_docs: int, doc: np.ndarray, pair: np.ndarray, links: np.ndarray):
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     place = rank[place]
-    order = np.lexsort((place, doc))
+    order = np.argsort(doc * max(len(distinct), 1) + place)             # documents are in order already
     place, links = place[order], links[order]
-    bounds = np.searchsorted(doc[order], np.arange(n_docs + 1)).tolist()
+    bounds = np.searchsorted(doc, np.arange(n_docs + 1)).tolist()
     cells = [C.pack(C.small(np.diff(place[i:j], prepend=0)), C.small(links[i:j] - 1)) if j > i else b""
              for i, j in zip(bounds, bounds[1:])]
     return distinct[by], held[by], cells
