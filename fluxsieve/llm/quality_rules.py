@@ -4,13 +4,20 @@ Fixed cutoffs fail across languages and sources, so the thresholds come from the
 language and source a mergeable quantile sketch of each measure is kept, its quartiles give an
 upper and a lower fence, and documents outside a fence of their own language and source are
 rejected.  Sketches have a row per logarithmic bin (relative error 1 %, at most some 1,100 bins
-whatever the input), so merging is adding counts: groups with fewer than ``least_rows`` documents
-use the merged sketch of their language, or of everything.
+whatever the input), so merging is adding counts: groups with fewer than ``least_rows`` sketched
+documents use the merged sketch of their language, or of everything.
+
+Sketches hold the documents that pass the base rules, and a fence is set from the median and the
+quartile on its *other* side, so that junk moves it little while it makes up less than half of a
+group: at 40 % junk above, the median is still the 83rd and the lower quartile the 42nd percentile
+of what is clean.
 
 Measures of a document and the fences they face:
 
-* symbols per word and repeated lines per ten words: above ``q75 + 3 * (q75 - q25) + slack``;
-* mean word length: above ``q75 + 6 * (q75 - q25) + slack`` or below ``q25 - 6 * (q75 - q25) - slack``.
+* symbols per word and repeated lines per ten words: above ``q50 + 7 * (q50 - q25) + slack``;
+* mean word length: above ``q50 + 13 * (q50 - q25) + slack`` or below ``q50 - 13 * (q75 - q50) - slack``.
+
+For a symmetric measure these are 3 and 6 quartile distances beyond the quartiles.
 
 The slack is the least difference that counts at all, so that a group where nearly all documents
 agree does not reject the first that differs.
@@ -37,8 +44,8 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
 SYMBOLS = "#*$%&|<>"
 #: Ratio of neighbouring bin limits, and the value below which a measure is in the zero bin.
 GAMMA, TINY = 1.02, 1e-6
-#: measure: (multiples of the quartile distance, slack, has a lower fence).
-FENCES = {"symbols_per_word": (3.0, 0.25, False), "repeated_lines": (3.0, 0.3, False), "mean_word_chars": (6.0, 1.0, True)}
+#: measure: (multiples of the distance from median to quartile, slack, has a lower fence).
+FENCES = {"symbols_per_word": (7.0, 0.25, False), "repeated_lines": (7.0, 0.3, False), "mean_word_chars": (13.0, 1.0, True)}
 
 
 def words(text: Column) -> Column:
@@ -88,7 +95,7 @@ def _value(b: Column) -> Column:
 def thresholds(found: DataFrame, least_rows: int) -> DataFrame:
     """Fences ``<measure>_low`` and ``<measure>_high`` for each ``no_lang, lang, no_source, source``.
 
-    ``found`` has those four columns and the measures.
+    ``found`` has those four columns and the measures of the documents to sketch; a group without any has no fences.
     """
     group = ["no_lang", "lang", "no_source", "source"]
     bins = F.array(*[F.struct(F.lit(m).alias("measure"), _bin(F.col(m)).alias("bin")) for m in FENCES])
@@ -105,14 +112,14 @@ def thresholds(found: DataFrame, least_rows: int) -> DataFrame:
     ranked = merged.withColumn("upto", F.sum("n").over(up)) \
         .withColumn("total", F.sum("n").over(Window.partitionBy("sketch", "measure")))
     quantile = lambda q: _value(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))))
-    quartiles = ranked.groupBy("sketch", "measure").agg(quantile(0.25).alias("q25"), quantile(0.75).alias("q75"))
+    quartiles = ranked.groupBy("sketch", "measure").agg(
+        quantile(0.25).alias("q25"), quantile(0.5).alias("q50"), quantile(0.75).alias("q75"))
     fences = []
     for m, (times, slack, low) in FENCES.items():
-        spread = times * (F.col("q75") - F.col("q25")) + slack
-        mine = F.col("measure") == m
-        fences.append(F.max(F.when(mine, F.col("q75") + spread)).alias(f"{m}_high"))
+        mine, middle = F.col("measure") == m, F.col("q50")
+        fences.append(F.max(F.when(mine, middle + times * (middle - F.col("q25")) + slack)).alias(f"{m}_high"))
         if low:
-            fences.append(F.max(F.when(mine, F.col("q25") - spread)).alias(f"{m}_low"))
+            fences.append(F.max(F.when(mine, middle - times * (F.col("q75") - middle) - slack)).alias(f"{m}_low"))
     return users.join(quartiles.groupBy("sketch").agg(*fences), "sketch").drop("sketch")
 
 
@@ -129,7 +136,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .withColumn("base_failed", (F.col("n_words") < LEAST_WORDS)
                     | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     group = ["no_lang", "lang", "no_source", "source"]
-    joined = found.join(thresholds(found, least_rows), group, "left")
+    joined = found.join(thresholds(found.filter(~F.col("base_failed")), least_rows), group, "left")
     reason = F.when(F.col("base_failed"), "base")
     for m, (_, _, low) in FENCES.items():
         reason = reason.when(F.col(m) > F.col(f"{m}_high"), m)
@@ -145,9 +152,9 @@ def _sql() -> str:
     value = f"CASE WHEN {{0}} = 0 THEN 0.0 ELSE {TINY} * pow({GAMMA}, {{0}} - 1.5) END"
     high, low = [], []
     for m, (times, slack, has_low) in FENCES.items():
-        high.append(f"max(CASE WHEN measure = '{m}' THEN q75 + {times} * (q75 - q25) + {slack} END) AS {m}_high")
+        high.append(f"max(CASE WHEN measure = '{m}' THEN q50 + {times} * (q50 - q25) + {slack} END) AS {m}_high")
         if has_low:
-            low.append(f"max(CASE WHEN measure = '{m}' THEN q25 - {times} * (q75 - q25) - {slack} END) AS {m}_low")
+            low.append(f"max(CASE WHEN measure = '{m}' THEN q50 - {times} * (q75 - q50) - {slack} END) AS {m}_low")
     reason = "".join(f" WHEN d.{m} > t.{m}_high THEN '{m}'" + (f" WHEN d.{m} < t.{m}_low THEN '{m}'" if f[2] else "")
                      for m, f in FENCES.items())
     return rf"""
@@ -169,20 +176,22 @@ counts AS (SELECT s.doc_id, lang, source, len(w)::bigint AS n_words,
 d AS (SELECT *, n_symbols / greatest(n_words, 1) AS symbols_per_word, n_dup_lines / greatest(n_words, 1) * 10.0 AS repeated_lines,
              word_chars / greatest(n_words, 1) AS mean_word_chars,
              n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM counts),
-long AS (SELECT lang, source, measure, x FROM d UNPIVOT (x FOR measure IN ({', '.join(FENCES)}))),
+sound AS (SELECT * FROM d WHERE NOT base_failed),
+long AS (SELECT lang, source, measure, x FROM sound UNPIVOT (x FOR measure IN ({', '.join(FENCES)}))),
 sketch AS (SELECT lang, source, measure, {bins} AS bin, count(*) AS n FROM long GROUP BY ALL),
-groups AS (SELECT *, sum(rows) OVER (PARTITION BY lang) AS lang_rows FROM (SELECT lang, source, count(*) AS rows FROM d GROUP BY ALL)),
+groups AS (SELECT *, sum(rows) OVER (PARTITION BY lang) AS lang_rows FROM (SELECT lang, source, count(*) AS rows FROM sound GROUP BY ALL)),
 users AS (SELECT lang, source, CASE WHEN rows >= 200 THEN 'own' || lang || chr(1) || source
                                     WHEN lang_rows >= 200 THEN 'lang' || lang ELSE 'all' END AS sketch FROM groups),
 every AS (SELECT unnest(['own' || lang || chr(1) || source, 'lang' || lang, 'all']) AS sketch, measure, bin, n FROM sketch),
 merged AS (SELECT sketch, measure, bin, sum(n) AS n FROM every GROUP BY ALL),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY sketch, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY sketch, measure) AS total FROM merged),
-q AS (SELECT sketch, measure, min(CASE WHEN upto >= 0.25 * total THEN bin END) AS b25, min(CASE WHEN upto >= 0.75 * total THEN bin END) AS b75
+q AS (SELECT sketch, measure, min(CASE WHEN upto >= 0.25 * total THEN bin END) AS b25,
+             min(CASE WHEN upto >= 0.5 * total THEN bin END) AS b50, min(CASE WHEN upto >= 0.75 * total THEN bin END) AS b75
       FROM ranked GROUP BY ALL),
-quartiles AS (SELECT sketch, measure, {value.format('b25')} AS q25, {value.format('b75')} AS q75 FROM q),
+quartiles AS (SELECT sketch, measure, {value.format('b25')} AS q25, {value.format('b50')} AS q50, {value.format('b75')} AS q75 FROM q),
 fences AS (SELECT sketch, {', '.join(high + low)} FROM quartiles GROUP BY sketch),
 t AS (SELECT users.lang, users.source, fences.* FROM users JOIN fences USING (sketch)),
-judged AS (SELECT d.*, CASE WHEN base_failed THEN 'base'{reason} END AS reason FROM d JOIN t ON d.lang = t.lang AND d.source = t.source)
+judged AS (SELECT d.*, CASE WHEN base_failed THEN 'base'{reason} END AS reason FROM d LEFT JOIN t ON d.lang = t.lang AND d.source = t.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, reason IS NULL AS kept, reason FROM judged
 """
 

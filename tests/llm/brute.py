@@ -57,6 +57,41 @@ def lm_scores(rows, targets, least):
     return out
 
 
+def ordinal_features(text, bits):
+    """Feature numbers of a text: words, four-byte stems of longer words, sixteen copies of each shape word."""
+    raw = (text or "").encode()
+    bare = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in raw.lower())
+    told = bare.split()
+    n, size = max(len(told), 1), max(len(raw), 1)
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    shape = {"sym": min(8, 8 * sum(b in b"#*$%&|<>!" for b in raw) / n), "cap": 10 * sum(65 <= b <= 90 for b in raw) / size,
+             "dis": 10 * len(set(told)) / n, "dup": 10 * (1 - len(set(lines)) / max(len(lines), 1)), "len": min(24, 2 * len(raw) / n)}
+    marks = [f"\0{name}{int(x)}" for name, x in shape.items()] + ["\0bias"]
+    names = set(told) | {b"^" + w[:4] for w in told if len(w) > 4} | {f"{m}#{k}".encode() for m in marks for k in range(16)}
+    return names_to_numbers(names, bits)
+
+
+def names_to_numbers(names, bits):
+    return [xxhash.xxh64_intdigest(x, 11) % 2 ** bits for x in names]
+
+
+def ordinal(text, weights, thresholds):
+    """(expected grade, [P(grade > k) for each threshold k]) by P(grade <= k) = 1 / (1 + exp(margin - threshold_k))."""
+    margin = sum(float(weights[f]) for f in ordinal_features(text, int(math.log2(len(weights)))))
+    above = [1 - 1 / (1 + math.exp(margin - t)) for t in thresholds]
+    return sum(above), above
+
+
+def ordinal_loss(graded, weights, thresholds, l2):
+    """Mean negative log-likelihood of (text, grade) rows, a feature counted once a text, with the quadratic penalty."""
+    bits, total = int(math.log2(len(weights))), 0.0
+    for text, grade in graded:
+        margin = sum(float(weights[f]) for f in set(ordinal_features(text, bits)))
+        upto = [0.0, *(1 / (1 + math.exp(margin - t)) for t in thresholds), 1.0]
+        total -= math.log(upto[grade + 1] - upto[grade])
+    return total / len(graded) + l2 / 2 * sum(float(w) ** 2 for w in weights if w)
+
+
 def simhash(text, k=3):
     w = (text or "").encode().lower().split()
     if not w:

@@ -1,5 +1,6 @@
 """Operators 1, 3, 4, 5, 7 and 9."""
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -134,6 +135,43 @@ def test_ordinal_sample(frame, none, spark):
     assert ordinal.fit(none, rate(range(9)), n_grades=3) is None
 
 
+def test_ordinal_against_the_plain_formula(odd, odd_list, spark):
+    """Every document's expected grade and tail probability by the cumulative-link formula, word by word."""
+    ratings = spark.createDataFrame([(r[0], i % 4) for i, r in enumerate(odd_list) if r[0] is not None], "doc_id long, grade int")
+    model = ordinal.fit(odd, ratings, n_grades=4, bits=12)
+    want = [brute.ordinal(r[1], model.weights, model.thresholds) for r in odd_list]
+    assert len({round(e, 6) for e, _ in want}) > 50                   # the model tells documents apart
+    for tail in (1, 3):
+        got = ordinal.score(odd, model, tail_grade=tail, least_tail=0.4).collect()
+        key = lambda i, e, p: (-1 if i is None else i, round(e, 7), round(p, 7))
+        assert sorted(key(r.doc_id, r.expected_grade, r.tail_probability) for r in got) == \
+            sorted(key(i[0], e, above[tail - 1]) for i, (e, above) in zip(odd_list, want))
+        assert all(r.selected == (r.tail_probability >= 0.4) for r in got)
+
+
+def test_ordinal_fit_is_the_least(frame, spark):
+    """No small step from the fitted weights and thresholds lowers the plain penalised loss."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice("abcdef") + str(rnd.randint(0, 1 + i % 3)) for _ in range(8)), "en", "s") for i in range(90)]
+    model = ordinal.fit(frame(rows), spark.createDataFrame([(i, i % 3) for i in range(90)], "doc_id long, grade int"), n_grades=3, bits=10)
+    seen = Counter(f for _, t, *_ in rows for f in brute.ordinal_features(t, 10))
+    free = sorted(f for f, n in seen.items() if n >= 10)
+    assert not model.weights[[f for f, n in seen.items() if n < 10]].any()
+    graded_texts = [(t, i % 3) for i, t, *_ in rows]
+    loss = lambda w, th: brute.ordinal_loss(graded_texts, w, th, 3e-4)
+    weights, best = model.weights.astype(float), loss(model.weights.astype(float), model.thresholds)
+    for f in free[::3]:
+        for step in (-0.05, 0.05):
+            w = weights.copy()
+            w[f] += step
+            assert loss(w, model.thresholds) > best - 1e-6
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            th = model.thresholds.copy()
+            th[k] += step
+            assert loss(weights, th) > best - 1e-6
+
+
 # ------------------------------------------------------------------ 4
 
 def test_simhash(odd, odd_list, none):
@@ -231,6 +269,30 @@ def test_rules_follow_their_group(frame):
     assert not kept[5000] and all(kept[i] for i in range(300)) and sum(kept[1000 + i] for i in range(300)) > 290
 
 
+@pytest.mark.parametrize("share, kind", [(0.1, 0), (0.3, 1), (0.4, 0), (0.4, 1)])
+def test_rules_in_a_dirty_source(frame, share, kind):
+    """Junk that passes the base rules is rejected though it is a large part of its source; clean documents stay."""
+    rnd = random.Random(int(100 * share))
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    clean = lambda: " ".join(word() + "&" * (rnd.random() < 0.02) for _ in range(rnd.randint(30, 90)))
+    kinds = [lambda: " ".join(word() + rnd.choice(["#$%", "<>|", "**"]) for _ in range(60)),         # full of symbols
+             lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(40)) for _ in range(60))]   # endless words
+    junk = {i: kinds[kind]() for i in range(int(600 * share))}
+    rows = [(i, junk.get(i) or clean(), "en", "dirty") for i in range(600)] + [(1000 + i, clean(), "en", "clean") for i in range(600)]
+    rows += [(2000 + i, "same five words again here " * 20, "en", "dirty") for i in range(600)]       # fail the base rules, move no fence
+    got = {r.doc_id: r for r in quality_rules.judge(frame(rows)).collect()}
+    assert all(got[i].base_failed for i in got if i >= 2000)
+    assert not any(got[i].kept or got[i].base_failed for i in junk)
+    lost = [i for i in got if i not in junk and i < 2000 and not got[i].kept]
+    assert len(lost) <= 0.005 * 1200, [got[i] for i in lost]
+
+
+def test_rules_without_a_sound_document(frame):
+    """No document passes the base rules: no fences, every verdict is the base rule's."""
+    assert [(r.kept, r.reason) for r in quality_rules.judge(frame([(1, "a b", "en", "s"), (2, None, None, None)])).collect()] \
+        == [(False, "base")] * 2
+
+
 def test_mix(odd, odd_list, none):
     plan = mixing.plan_mix(odd, carry=["doc_id", "size"]).collect()
     size = {}
