@@ -165,13 +165,21 @@ def axis_index(df: DataFrame, dims) -> DataFrame:
     return out.withColumn("dimx", idx).drop(*[f"__p_{d}" for d in dims])
 
 
-def unfold_arrays(df: DataFrame, point_cols, coord: str, coord_values: list, array_cols) -> DataFrame:
-    """B-02: one row per (point, inner coordinate) from per-point ``ARRAY`` columns."""
+def unfold_arrays(df: DataFrame, point_cols, coord: str, coord_values, array_cols) -> DataFrame:
+    """B-02: one row per (point, inner coordinate) from per-point ``ARRAY`` columns.
+
+    ``coord_values`` is a short list of the coordinate's values in order, or an axis of any length as
+    ``(table, length)`` from :func:`slices.axis_positions`.
+    """
+    from .slices import values_at
     zipped = F.arrays_zip(*[F.col(c) for c in array_cols])
     e = df.select(*point_cols, F.posexplode(zipped).alias("__i", "__v"))
-    coords = F.array(*[F.lit(v) for v in coord_values])
-    return e.select(*point_cols, F.element_at(coords, F.col("__i") + 1).alias(coord),
-                    *[F.col(f"__v.{c}").alias(c) for c in array_cols])
+    if isinstance(coord_values, tuple):
+        e = values_at(e.withColumn("__i", F.col("__i").cast("long")), "__i", *coord_values, coord)
+        value = F.col(coord)
+    else:
+        value = F.element_at(F.array(*[F.lit(v) for v in coord_values]), F.col("__i") + 1).alias(coord)
+    return e.select(*point_cols, value, *[F.col(f"__v.{c}").alias(c) for c in array_cols])
 
 
 def keep_hypercube(df: DataFrame, scan_dims, allowed_extra=()) -> DataFrame:

@@ -42,6 +42,32 @@ def join_positions(df: DataFrame, dim: str, out: str = "__pos") -> tuple[DataFra
     return df.join(F.broadcast(pos) if n <= AXIS_BROADCAST else pos, dim, "left"), n
 
 
+def values_at(df: DataFrame, at: str, axis: DataFrame, n: int, dim: str) -> DataFrame:
+    """``df`` with ``dim``, the axis value at the 0-based place in the column ``at`` (``axis`` and ``n`` from
+    :func:`axis_positions`): the inverse of :func:`join_positions`.  Places off the axis have a missing value."""
+    axis = axis.select(F.col(dim).alias(dim), F.col("__pos").alias(at))
+    return df.join(F.broadcast(axis) if n <= AXIS_BROADCAST else axis, at, "left")
+
+
+def product_grid(df: DataFrame, dims) -> DataFrame:
+    """I-17: every combination of the values that ``dims`` take in ``df``, in no order.
+
+    The cells are numbered by ``range``; a cell's place on each axis follows by division, its values by one join an
+    axis (no cross join, and no axis on the driver).  A dim without any value leaves no cell.
+    """
+    axes = [(d, *axis_positions(df, d)) for d in dims]
+    cells, after = 1, []
+    for _, _, n in reversed(axes):
+        after.append(cells)
+        cells *= n
+    out = df.sparkSession.range(cells).withColumnRenamed("id", "__cell")
+    out = out.select(*[F.expr(f"pmod(__cell div {max(k, 1)}, {max(n, 1)})").alias(f"__at_{d}")
+                       for (d, _, n), k in zip(axes, reversed(after))])
+    for d, axis, n in axes:
+        out = values_at(out, f"__at_{d}", axis, n, d)
+    return out.select(*dims)
+
+
 def breakdown_cuts(df: DataFrame, slice_cols, dim: str = "At", modes=("ITG", "TEM", "ETG"), patience: int = 6,
                    key: str = "dimx", segment: int | None = None) -> tuple[DataFrame, DataFrame]:
     """D-05 core: the place points of the slices (``slice_cols``, ``__pos`` and the lowest id ``key``) and, per slice, the

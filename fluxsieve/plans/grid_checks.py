@@ -124,13 +124,13 @@ def grid_axis_index(spark, sf):
 def grid_unfold(spark, sf):
     """B-02: per-point arrays over the wavenumber axis (built by Spark) unfolded to rows."""
     m = modes(spark, sf).groupBy("point", "kthetarhos").agg(F.max("gam_GB").alias("g"), F.max("ome_GB").alias("o"))
-    arr = m.groupBy("point").agg(F.map_from_entries(F.collect_list(F.struct("kthetarhos", F.struct("g", "o"))))
-                                 .alias("mp"))
-    levels = [r[0] for r in axis_positions(m, "kthetarhos")[0].orderBy("__pos").collect()]     # a grid axis
-    axis = F.array(*[F.lit(v) for v in levels])
-    wide = arr.select("point", F.transform(axis, lambda k: F.element_at(F.col("mp"), k)["g"]).alias("gam_GB"),
-                      F.transform(axis, lambda k: F.element_at(F.col("mp"), k)["o"]).alias("ome_GB"))
-    return grid.unfold_arrays(wide, ["point"], "kthetarhos", levels, ["gam_GB", "ome_GB"])
+    axis, n = axis_positions(m, "kthetarhos")
+    arr = m.join(axis, "kthetarhos").groupBy("point").agg(
+        F.map_from_entries(F.collect_list(F.struct("__pos", F.struct("g", "o")))).alias("mp"))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    wide = arr.select("point", F.transform(places, lambda k: F.element_at(F.col("mp"), k)["g"]).alias("gam_GB"),
+                      F.transform(places, lambda k: F.element_at(F.col("mp"), k)["o"]).alias("ome_GB"))
+    return grid.unfold_arrays(wide, ["point"], "kthetarhos", (axis, n), ["gam_GB", "ome_GB"])
 
 
 @register("grid_nearest", with_bridge(

@@ -83,10 +83,10 @@ def write_sets(res: CurationResult, path: str) -> None:
 
 
 def grid_to_store(modes: DataFrame, ions: DataFrame, points: DataFrame, scan_dims, path: str, *, gen2: bool = False, ion: int = 0,
-                  axis: tuple[str, list] | None = None, style: str = "both") -> DataFrame:
+                  axis: tuple | None = None, style: str = "both") -> DataFrame:
     """M-07 / B-21: the prepared grid (:func:`prepare_grid`) as a store: scan dims as inputs under the row-major cell
     index (B-03), everything else as outputs, constants as attributes.  ``axis``: ``modes`` holds arrays along an inner
-    coordinate with these values, which are unfolded first (B-02).  Returns the stored points."""
+    coordinate ``(name, values)``, values as for :func:`grid.unfold_arrays`, which are unfolded first (B-02).  Returns the stored points."""
     from ..operators import grid
     from ..sources import store
     scan_dims = list(scan_dims)

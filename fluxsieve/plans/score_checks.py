@@ -197,15 +197,10 @@ def best_network(spark, sf):
     "CROSS JOIN (SELECT DISTINCT An FROM bridge) n LEFT JOIN bridge b ON b.Ate = a.Ate AND b.An = n.An "
     "GROUP BY a.Ate, n.An"))
 def scan_grid(spark, sf):
-    """I-17: product grid of the data's (Ate, An) axes, generated by ``range`` + div / mod
-    (no cross join), then points counted per grid cell (empty cells included)."""
-    from ..operators.slices import axis_positions
+    """I-17: product grid of the data's (Ate, An) axes, then points counted per grid cell (empty cells included)."""
+    from ..operators.slices import product_grid
     b = bridge(spark, sf)
-    ate = [r["Ate"] for r in axis_positions(b, "Ate")[0].orderBy("__pos").collect()]
-    an = [r["An"] for r in axis_positions(b, "An")[0].orderBy("__pos").collect()]
-    g = spark.range(len(ate) * len(an)).select(
-        F.element_at(F.array(*[F.lit(v) for v in ate]), (F.col("id") / len(an)).cast("int") + 1).alias("Ate"),
-        F.element_at(F.array(*[F.lit(v) for v in an]), (F.col("id") % len(an)).cast("int") + 1).alias("An"))
+    g = product_grid(b, ["Ate", "An"])
     counts = b.groupBy("Ate", "An").agg(F.count(F.lit(1)).alias("n"))
     return g.join(counts, ["Ate", "An"], "left").select("Ate", "An", F.coalesce("n", F.lit(0)).cast("bigint")
                                                           .alias("n_points"))

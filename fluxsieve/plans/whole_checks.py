@@ -283,15 +283,16 @@ def grid_prepare_gen2(spark, sf):
 def job_grid_store(spark, sf):
     """M-07 / B-21: growth rates given as arrays along the wavenumbers unfolded, prepared, stored, and loaded again."""
     m, path = modes(spark, sf), _folder(spark, "grid")
-    values = [r[0] for r in m.select("kthetarhos").distinct().orderBy("kthetarhos").limit(slices.WIDE_COLUMNS).collect()]
-    per_k = m.groupBy("point", "numsols", "kthetarhos").agg(F.max("gam_GB").alias("g"), F.max("ome_GB").alias("o"), F.min("ome_GB").alias("u"))
-    cells = per_k.groupBy("point", "numsols").agg(F.map_from_entries(F.collect_list(F.struct("kthetarhos", F.struct("g", "o", "u")))).alias("m"))
+    axis, n = slices.axis_positions(m, "kthetarhos")
+    m = m.join(axis, "kthetarhos")
+    per_k = m.groupBy("point", "numsols", "__pos").agg(F.max("gam_GB").alias("g"), F.max("ome_GB").alias("o"), F.min("ome_GB").alias("u"))
+    cells = per_k.groupBy("point", "numsols").agg(F.map_from_entries(F.collect_list(F.struct("__pos", F.struct("g", "o", "u")))).alias("m"))
     # two rows of arrays: the largest and the least frequency beside the largest growth rate
-    axis = F.array(*map(F.lit, values))
+    places = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     both = cells.select("point", F.explode(F.array(F.lit("o"), F.lit("u"))).alias("which"), "m").select(
-        "point", F.transform(axis, lambda k: F.element_at("m", k)["g"]).alias("gam_GB"),
-        F.transform(axis, lambda k: F.when(F.col("which") == "o", F.element_at("m", k)["o"]).otherwise(F.element_at("m", k)["u"])).alias("ome_GB"))
-    jobs.grid_to_store(both, _bare_ions(spark, sf), points(spark, sf), ["point"], path, axis=("kthetarhos", values))
+        "point", F.transform(places, lambda k: F.element_at("m", k)["g"]).alias("gam_GB"),
+        F.transform(places, lambda k: F.when(F.col("which") == "o", F.element_at("m", k)["o"]).otherwise(F.element_at("m", k)["u"])).alias("ome_GB"))
+    jobs.grid_to_store(both, _bare_ions(spark, sf), points(spark, sf), ["point"], path, axis=("kthetarhos", (axis, n)))
     ds = ST.load_dataset(spark, path, ["ITG", "pfe_GB", "absambi"])
     return ds.input.join(ds.data, "dimx").select("dimx", "point", "ITG", "pfe_GB", F.round("absambi", 6).alias("absambi"))
 

@@ -164,3 +164,27 @@ def test_constants_beside_missing_values(spark):
     assert rest.columns == ["dimx", "v", "flag", "target"]
     assert {r.name: r.value for r in consts.collect()} == {"c": "2.0", "none": None}
     assert grid.metadatize(df.limit(0))[0].columns == df.columns
+
+
+def test_grids_and_arrays_on_axes_of_any_size(spark, monkeypatch):
+    """Product grids and unfolded arrays take their axes as tables, small (broadcast) or large (joined)."""
+    from fluxsieve.operators import slices
+    df = spark.createDataFrame([(1.5, 10, "a"), (0.5, 30, "b"), (1.5, 20, "a"), (None, 20, "c")], "x double, y long, z string")
+    want = sorted((x, y, z) for x in (0.5, 1.5) for y in (10, 20, 30) for z in "abc")
+    points = spark.range(3).select("id", F.expr("array(id * 1.0D, null, id + 2.0D)").alias("g"), F.expr("array(1, 2, 3)").alias("k"))
+    for limit in (slices.AXIS_BROADCAST, 1):
+        monkeypatch.setattr(slices, "AXIS_BROADCAST", limit)
+        assert sorted(map(tuple, slices.product_grid(df, ["x", "y", "z"]).collect())) == want
+        axis = slices.axis_positions(df, "y")
+        by_table = grid.unfold_arrays(points, ["id"], "y", axis, ["g", "k"])
+        by_list = grid.unfold_arrays(points, ["id"], "y", [10, 20, 30], ["g", "k"])
+        assert by_table.columns == by_list.columns
+        assert sorted(map(repr, by_table.collect())) == sorted(map(repr, by_list.withColumn("y", F.col("y").cast("long")).collect()))
+    assert slices.product_grid(df.filter("z = 'none'"), ["x", "y"]).count() == 0
+
+
+def test_a_long_axis_stays_off_the_driver(spark):
+    from fluxsieve.operators import slices
+    df = spark.range(150_000).select(F.col("id").alias("x"), F.lit(7).alias("y"))
+    g = slices.product_grid(df, ["x", "y"])
+    assert g.agg(F.count("*"), F.sum("x"), F.max("y")).first() == (150_000, 150_000 * 149_999 // 2, 7)
