@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 from . import tiles
-from .forest import SITE, LevelForest, sites, tied
+from .forest import LevelForest, finite, tied
 from .kmeans import representatives
 
 
@@ -107,6 +107,8 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
     ``dist <= eps`` is a neighbour, a point counts itself.  ``tile_points`` changes the cost, never the result."""
     ship_package(df.sparkSession)
     points = df.select(F.col(key), *[F.col(x).cast("double").alias(x) for x in dims])
+    if min_samples <= 2:
+        return _linked(points, dims, eps, min_samples, key, tile_points)
     key_type = points.schema[key].dataType.simpleString()
 
     def solve(group, table):
@@ -141,6 +143,22 @@ def dbscan(df: DataFrame, dims, eps: float, min_samples: int = 1, key: str = "di
     return points.select(key).join(found, key, "left").select(key, F.coalesce("label", F.lit(NOISE)).alias("label"))
 
 
+def _linked(points: DataFrame, dims, eps: float, min_samples: int, key: str, tile_points: int) -> DataFrame:
+    """:func:`dbscan` with up to two samples: every point beside another one is core, so clusters are a forest's
+    components; its boxes of close points stand for the points, which are shuffled once, by their key."""
+    tree = LevelForest(points, dims, [eps], tile_points)
+    named = tree.parts.select("part", F.col("chain")[0]["cluster"].alias("label"), F.col("chain")[0]["size"].alias("size"))
+    if min_samples == 2:
+        named = named.filter("size > 1")
+    label = F.when(F.col(key).isNotNull(), F.col("label"))
+    found = tree.placed(points).join(named.drop("size"), "part", "left").select(key, label.alias("label"))
+    found = found.unionByName(points.filter(~finite(dims)).select(key, F.lit(None).cast("string").alias("label")))
+    # rows of one key share a label
+    keyed = found.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
+    keyed = keyed.select(key, "label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("col")
+    return keyed.unionByName(found.filter(F.col(key).isNull())).select(key, F.coalesce("label", F.lit(NOISE)).alias("label"))
+
+
 # ----------------------------------------------------------------- H-03
 
 def classify_clusters(labels: DataFrame, min_cluster_size: int, reduction_threshold: int,
@@ -239,8 +257,7 @@ def _kept_by_forest(scaled: DataFrame, s: ThinSettings, key: str, tile_points: i
     is not passed on, and sizes of clusters say so for whole components at a time."""
     passes = pass_radii(s)
     levels = sorted(set(passes))
-    spots = cut_lineage(sites(scaled, s.dims, key))
-    tree = LevelForest(spots, s.dims, levels, tile_points)
+    tree = LevelForest(scaled, s.dims, levels, tile_points)
     at = [levels.index(e) for e in passes]
     size = [F.col("chain")[k]["size"] for k in at]
     noise = [(n == 1) if s.min_samples == 2 else F.lit(False) for n in size]
@@ -264,8 +281,7 @@ def _kept_by_forest(scaled: DataFrame, s: ThinSettings, key: str, tile_points: i
     parts = tree.parts.select("part", F.coalesce(way, rest).alias("way"), "chain") \
         .select("part", "way.cls", "way.at", F.when(F.col("way.cls") == "reduce", F.get("chain", F.element_at(F.array(*map(F.lit, at)), F.col("way.at") + 1)))
                 .otherwise(F.get("chain", F.lit(last)))["cluster"].alias("label"))
-    classes = cut_lineage(scaled.join(spots.drop("weight"), list(s.dims)).join(tree.members, SITE).join(parts, "part")
-                          .select(key, *s.dims, "cls", "at", "label"))
+    classes = cut_lineage(tree.placed(scaled).join(parts, "part").select(key, *s.dims, "cls", "at", "label"))
     kept = [classes.filter(F.col("cls").isin("keep", *(["rest"] if s.final_pass_keeps_rest else []))).select(key)]
     radius = [s.initial_eps, *passes[1:]]
     reduced = classes.filter(F.col("cls").isin("reduce", "last"))

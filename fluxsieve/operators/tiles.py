@@ -100,6 +100,28 @@ def near(Q: np.ndarray, X: np.ndarray, radius: float):
         yield rows, cand, d2
 
 
+def near_boxes(Q: np.ndarray, Q_hi: np.ndarray, X: np.ndarray, X_hi: np.ndarray, radius: float):
+    """As :func:`near` for boxes given by their corners: ``(rows of Q, rows of X, least, greatest squared distances)``.
+    Both bound the squared distance of any two points of the boxes as :func:`near` computes it, to the last bit."""
+    if not len(Q) or not len(X):
+        return
+    axis = int(np.argmax(X_hi.max(axis=0) - X.min(axis=0)))
+    order, queries = np.argsort(X[:, axis], kind="stable"), np.argsort(Q[:, axis], kind="stable")
+    first, reach = X[order, axis], radius * (1 + 1e-9)
+    widest = float((X_hi[:, axis] - X[:, axis]).max()) * (1 + 1e-9)
+    for at in range(0, len(queries), BLOCK):
+        rows = queries[at:at + BLOCK]
+        lo = np.searchsorted(first, Q[rows[0], axis] - reach - widest, "left")
+        hi = np.searchsorted(first, Q_hi[rows, axis].max() + reach, "right")
+        cand = order[lo:hi]
+        least, most = np.zeros((len(rows), len(cand))), np.zeros((len(rows), len(cand)))
+        for k in range(X.shape[1]):
+            right, left = X_hi[cand, k][None, :] - Q[rows, k][:, None], Q_hi[rows, k][:, None] - X[cand, k][None, :]
+            most += np.maximum(right, left) ** 2
+            least += np.maximum(0.0, -np.minimum(right, left)) ** 2
+        yield rows, cand, least, most
+
+
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least member of each vertex's component (pointer jumping)."""
     lab = np.arange(n)
@@ -156,10 +178,15 @@ class Cells:
         return out
 
 
+def close_side(d: int, radius: float) -> float:
+    """Side of cells of ``d`` dims of which neighbouring ones lie wholly within ``radius`` of each other (of many dims: single cells)."""
+    d = max(d, 1)
+    return radius / ((2 if d <= CELL_DIMS else 1) * math.sqrt(d)) * (1 - 1e-9)
+
+
 def close_cells(X: np.ndarray, radius: float) -> Cells:
-    """Cells of which neighbouring ones lie wholly within ``radius`` of each other (of many dims: single cells)."""
-    d = max(X.shape[1], 1)
-    return Cells(X, radius / ((2 if d <= CELL_DIMS else 1) * math.sqrt(d)) * (1 - 1e-9))
+    """Cells of :func:`close_side`."""
+    return Cells(X, close_side(X.shape[1], radius))
 
 
 def core_points(X: np.ndarray, weight: np.ndarray, radius: float, min_samples: int) -> np.ndarray:
@@ -173,8 +200,36 @@ def core_points(X: np.ndarray, weight: np.ndarray, radius: float, min_samples: i
     return core
 
 
-def level_labels(X: np.ndarray, levels) -> np.ndarray:
+def _mixed(X: np.ndarray, group: np.ndarray, reach: float) -> np.ndarray:
+    """Rows that may have a row of another group within ``reach`` along every dim."""
+    if not len(X) or X.shape[1] > CELL_DIMS:
+        return np.arange(len(X))
+    wide = Cells(X, reach * (1 + 1e-9))
+    low, high = np.full(wide.n, np.iinfo(np.int64).max), np.full(wide.n, -1)
+    np.minimum.at(low, wide.of, group)
+    np.maximum.at(high, wide.of, group)
+    return np.flatnonzero((wide.around(low, np.minimum) != wide.around(high, np.maximum))[wide.of])
+
+
+def unsure(X: np.ndarray, X_hi: np.ndarray, levels, chains: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Boxes whose points have to be looked at: two boxes, one of them in ``own``, may hold points within a radius at which
+    ``chains`` (from :func:`level_labels`) keeps the boxes apart."""
+    squares, ask = np.array([e * e for e in levels]), np.zeros(len(X), bool)
+    if not (X_hi > X).any():
+        return ask
+    active = _mixed(X, chains[0], levels[-1] + float((X_hi - X).max()))
+    at = active[own[active]]
+    for rows, cand, least, _ in near_boxes(X[at], X_hi[at], X[active], X_hi[active], levels[-1]):
+        i, j = np.nonzero(least <= squares[-1])
+        a, b, k = at[rows[i]], active[cand[j]], np.searchsorted(squares, least[i, j])
+        apart = chains[k, a] != chains[k, b]
+        ask[a[apart]] = ask[b[apart]] = True
+    return ask
+
+
+def level_labels(X: np.ndarray, levels, X_hi: np.ndarray | None = None) -> np.ndarray:
     """Components of the points at each of the ascending radii ``levels``: a row per level, the least member's number.
+    With ``X_hi`` the rows are boxes, each within a cell of :func:`close_side`, that are as far apart as their farthest corners.
 
     A spanning forest by level: cells join their neighbours at the least radius for nothing; where clusters meet, pairs
     between them give the level at which they join, and the forest keeps, after every block, one edge per join.
@@ -183,16 +238,11 @@ def level_labels(X: np.ndarray, levels) -> np.ndarray:
     cells = close_cells(X, levels[0])
     group = components(cells.n, cells.pairs[:, 0], cells.pairs[:, 1])[cells.of] if n else np.zeros(0, np.int64)
     # points that have no other group within reach need no test
-    active = np.arange(n)
-    if n and X.shape[1] <= CELL_DIMS:
-        wide = Cells(X, levels[-1] * (1 + 1e-9))
-        low, high = np.full(wide.n, n), np.full(wide.n, -1)
-        np.minimum.at(low, wide.of, group)
-        np.maximum.at(high, wide.of, group)
-        active = np.flatnonzero((wide.around(low, np.minimum) != wide.around(high, np.maximum))[wide.of])
+    active = _mixed(X, group, levels[-1])
     forest = np.zeros((0, 3), np.int64)                    # group, group, level
     Y, mine = X[active], group[active]
-    for rows, cand, d2 in near(Y, Y, levels[-1]):
+    tested = near(Y, Y, levels[-1]) if X_hi is None else ((rows, cand, most) for rows, cand, _, most in near_boxes(Y, X_hi[active], Y, X_hi[active], levels[-1]))
+    for rows, cand, d2 in tested:
         i, j = np.nonzero((d2 <= squares[-1]) & (mine[rows][:, None] < mine[cand][None, :]))
         if len(i):
             edges = np.column_stack([mine[rows[i]], mine[cand[j]], np.searchsorted(squares, d2[i, j])])
