@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, ship_package
 
-#: Points of a cluster that one task takes, of a block (about), points that share a block's box at most, centroids of a group (about), distances at a time.
-GROUP_POINTS, BLOCK_POINTS, BLOCK_MOST, GROUP, CHUNK = 20_000, 1024, 4096, 64, 1 << 21
+#: Points of a cluster that one task takes, of a block (about), points that share a block's box at most, centroids of a group (about),
+#: distances at a time, centroids on each side that a point looks at before it looks at all.
+GROUP_POINTS, BLOCK_POINTS, BLOCK_MOST, GROUP, CHUNK, LOOKS = 200_000, 1024, 4096, 64, 1 << 21, 6
 
 
 def _dist2(a_cols, b_cols) -> Column:
@@ -32,9 +33,44 @@ def first_assignment(key: str, k: str = "k") -> Column:
 
 
 def nearest(X: np.ndarray, numbers: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Number of the nearest centroid of each point; ties go to the lowest number."""
+    """Number of the nearest centroid of each point; ties go to the lowest number.
+
+    Along the dim that the centroids spread most in, a point looks at the centroids on both sides of it until the next
+    ones are farther away in this dim alone than the nearest found; points with more than ``LOOKS`` a side look at all.
+    """
+    n, k = len(X), len(numbers)
     order = np.argsort(numbers, kind="stable")
-    numbers, centroids = numbers[order], centroids[order]
+    if not n or k <= LOOKS:
+        return _nearest_of_all(X, numbers[order], centroids[order])
+    axis = int(np.argmax(centroids.max(axis=0) - centroids.min(axis=0)))
+    line = np.argsort(centroids[:, axis], kind="stable")
+    C, told = centroids[line], numbers[line]
+    at = np.searchsorted(C[:, axis], X[:, axis])
+    best, out = np.full(n, np.inf), np.full(n, np.iinfo(numbers.dtype).max, numbers.dtype)
+    open_rows = {-1: np.arange(n), 1: np.arange(n)}
+    for step in range(LOOKS):
+        for side in (-1, 1):
+            rows = open_rows[side]
+            place = at[rows] + (step if side > 0 else -1 - step)
+            inside = (place >= 0) & (place < k)
+            rows, place = rows[inside], place[inside]
+            near_by = (X[rows, axis] - C[place, axis]) ** 2 <= best[rows]
+            rows, place = rows[near_by], place[near_by]
+            d2 = np.zeros(len(rows))
+            for j in range(X.shape[1]):
+                d2 += (X[rows, j] - C[place, j]) ** 2
+            better = (d2 < best[rows]) | ((d2 == best[rows]) & (told[place] < out[rows]))
+            best[rows[better]], out[rows[better]] = d2[better], told[place[better]]
+            open_rows[side] = rows
+        if not len(open_rows[-1]) and not len(open_rows[1]):
+            return out
+    rest = np.union1d(open_rows[-1], open_rows[1])
+    out[rest] = _nearest_of_all(X[rest], numbers[order], centroids[order])
+    return out
+
+
+def _nearest_of_all(X: np.ndarray, numbers: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """:func:`nearest` by comparing with every centroid (``numbers`` ascend)."""
     out, rows = np.empty(len(X), numbers.dtype), max(1, CHUNK // max(len(numbers), 1))
     for at in range(0, len(X), rows):
         d2 = np.zeros((len(X[at:at + rows]), len(numbers)))
@@ -45,12 +81,16 @@ def nearest(X: np.ndarray, numbers: np.ndarray, centroids: np.ndarray) -> np.nda
 
 
 def lloyd(X: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lloyd's iterations from an assignment until no point moves: ``(numbers, centroids)`` left (empty ones drop out)."""
+    """Lloyd's iterations from an assignment until no point moves: ``(numbers, centroids)`` left (empty ones drop out).
+
+    A place that several points share is assigned once; a centroid's sum runs over its points in their order.
+    """
     lab = start.copy()
+    places, of = np.unique(X, axis=0, return_inverse=True)
     while True:
-        ids = np.unique(lab)
-        cents = np.stack([X[lab == j].mean(0) for j in ids])
-        new = nearest(X, ids, cents)
+        ids, code = np.unique(lab, return_inverse=True)
+        cents = np.column_stack([np.bincount(code, X[:, k]) for k in range(X.shape[1])]) / np.bincount(code)[:, None]
+        new = nearest(places, ids, cents)[of.ravel()]
         if np.array_equal(new, lab):
             return ids, cents
         lab = new
