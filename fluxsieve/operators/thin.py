@@ -179,23 +179,69 @@ def classify_clusters(labels: DataFrame, min_cluster_size: int, reduction_thresh
 def local_density(points: DataFrame, dims, radius: float, key: str = "dimx", cluster: str = "label",
                   tile_points: int = tiles.TILE_POINTS) -> DataFrame:
     """H-04: per cluster, max over points of (neighbours of the cluster within ``radius``, excluding self)
-    / radius^d, and its points; neighbours are counted inside tiles with a halo of ``radius``."""
+    / radius^d, and its points.
+
+    Points are counted into the cells of a grid first.  Cells wholly within ``radius`` of each other, and those partly
+    within, bound the count of every point of a cell from below and above; neighbours are counted, in tiles with a halo of
+    ``radius``, only for the cells whose bound is above the greatest count that is sure in their cluster.
+    """
     ship_package(points.sparkSession)
-    label_type = points.schema[cluster].dataType.simpleString()
+    label_type, square = points.schema[cluster].dataType.simpleString(), radius * radius
+    side, cell, his = tiles.close_side(len(dims), radius) / 2, [f"__c{i}" for i in range(len(dims))], [f"__hi_{x}" for x in dims]
+    known = points.filter(finite(dims)).select(F.col(cluster), *[F.col(x).cast("double").alias(x) for x in dims])
+    known = known.withColumns({c: F.floor(F.col(x) / F.lit(side)) for c, x in zip(cell, dims)})
+    boxes = known.groupBy(cluster, *cell).agg(F.count(F.lit(1)).alias("__n"), *[F.min(x).alias(x) for x in dims], *[F.max(x).alias(h) for x, h in zip(dims, his)])
+    boxes = cut_lineage(boxes.withColumn("__id", F.monotonically_increasing_id()))
 
-    def solve(group, table):
-        X = np.column_stack([table.column(x).to_numpy() for x in dims])
-        names = table.column(cluster).to_pylist()
-        code = np.unique(np.array([str(c) for c in names]), return_inverse=True)[1]
+    def columns(table, names):
+        return np.column_stack([table.column(x).to_numpy() for x in names])
+
+    def clusters(table):
+        return np.unique(np.array([str(c) for c in table.column(cluster).to_pylist()]), return_inverse=True)[1].ravel()
+
+    def bounds(group, table):
+        X, X_hi, n, code = columns(table, dims), columns(table, his), table.column("__n").to_numpy().astype(np.float64), clusters(table)
         own = np.flatnonzero(tiles.own_rows(X, group[0].as_py(), group[1].as_py(), radius))
-        count = np.zeros(len(own), np.int64)
+        sure, may = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        for rows, cand, least, most in tiles.near_boxes(X[own], X_hi[own], X, X_hi, radius):
+            same = code[own[rows]][:, None] == code[cand][None, :]
+            sure[rows], may[rows] = ((most <= square) & same) @ n[cand], ((least <= square) & same) @ n[cand]
+        return pa.table([table.column("__id").take(pa.array(own, pa.int64())), pa.array(sure), pa.array(may)], names=["__id", "sure", "may"])
+
+    def beside(group, table):
+        X, X_hi, open_, code = columns(table, dims), columns(table, his), table.column("open").to_numpy(zero_copy_only=False), clusters(table)
+        own = np.flatnonzero(open_ & tiles.own_rows(X, group[0].as_py(), group[1].as_py(), radius))
+        seen = np.zeros(len(X), bool)
+        for rows, cand, least, _ in tiles.near_boxes(X[own], X_hi[own], X, X_hi, radius):
+            seen[cand[((least <= square) & (code[own[rows]][:, None] == code[cand][None, :])).any(axis=0)]] = True
+        return table.select(["__id"]).filter(pa.array(seen))
+
+    def count(group, table):
+        X, n, open_, code = columns(table, dims), table.column("__n").to_numpy().astype(np.float64), table.column("open").to_numpy(zero_copy_only=False), clusters(table)
+        own = np.flatnonzero(open_ & tiles.own_rows(X, group[0].as_py(), group[1].as_py(), radius))
+        nb = np.zeros(len(own), np.int64)
         for rows, cand, d2 in tiles.near(X[own], X, radius):
-            count[rows] = ((d2 <= radius * radius) & (code[own[rows]][:, None] == code[cand][None, :])).sum(axis=1) - 1
-        return pa.table([table.column(cluster).take(pa.array(own, pa.int64())), pa.array(count, pa.int64())], names=[cluster, "nb"])
-
-    counted = tiles.tiled(points, dims, radius, radius * (1 + 1e-6), [cluster], tile_points).groupBy("step", "tile") \
-        .applyInArrow(solve, f"{cluster} {label_type}, nb bigint")
-    return counted.groupBy(cluster).agg((F.max("nb") / F.lit(radius ** len(dims))).alias("density"), F.count(F.lit(1)).alias("npts"))
+            nb[rows] = ((d2 <= square) & (code[own[rows]][:, None] == code[cand][None, :])) @ n[cand]
+        return pa.table([table.column(cluster).take(pa.array(own, pa.int64())), pa.array(nb, pa.int64())], names=[cluster, "nb"])
+
+    def spread(rows, keep, solve, schema, halo):
+        return tiles.tiled(rows, dims, radius, halo * (1 + 1e-6), keep, tile_points).groupBy("step", "tile").applyInArrow(solve, schema)
+
+    bounded = spread(boxes, ["__id", cluster, "__n", *his], bounds, "__id bigint, sure bigint, may bigint", radius + side)
+    bounded = cut_lineage(boxes.join(bounded, "__id"))
+    best = cut_lineage(bounded.groupBy(cluster).agg(F.max("sure").alias("sure"), F.sum("__n").alias("npts")))
+    above = F.col("may") > F.col("best")
+    flagged = cut_lineage(bounded.withColumnRenamed(cluster, "__of").join(best.select(F.col(cluster).alias("__as"), F.col("sure").alias("best")), F.col("__of").eqNullSafe(F.col("__as")))
+                          .withColumnRenamed("__of", cluster).select("__id", cluster, *cell, *dims, *his, above.alias("open")))
+    out = best.select(cluster, F.col("sure").alias("nb"), "npts")
+    if not flagged.filter("open").isEmpty():
+        wanted = spread(flagged, ["__id", cluster, "open", *his], beside, "__id bigint", radius + side).distinct()
+        wanted = cut_lineage(flagged.join(wanted, "__id").select(cluster, *cell, "open"))
+        at = [F.col(c).eqNullSafe(F.col(f"__at_{c}")) for c in [cluster, *cell]]
+        places = known.join(wanted.select(*[F.col(c).alias(f"__at_{c}") for c in [cluster, *cell]], "open"), at).groupBy(cluster, "open", *dims).agg(F.count(F.lit(1)).alias("__n"))
+        counted = spread(cut_lineage(places), [cluster, "__n", "open"], count, f"{cluster} {label_type}, nb bigint", radius)
+        out = out.unionByName(counted.select(cluster, "nb", F.lit(0).cast("long").alias("npts")))
+    return out.groupBy(cluster).agg(((F.max("nb") - 1) / F.lit(radius ** len(dims))).alias("density"), F.sum("npts").alias("npts"))
 
 
 # ----------------------------------------------------------------- H-07

@@ -53,7 +53,8 @@ def dbscan_labels(spark, sf):
     lab = thin.dbscan(columns_apart(spark, sf), ["Ate", "Ati", "z"], 0.55, 2)
     cls = thin.classify_clusters(lab.withColumn("own", F.when(F.col("label") == thin.NOISE, F.col("dimx"))), 3, 8)
     least = cls.groupBy("label", "own").agg(F.min("dimx").alias("least"))
-    same = cls.join(least.withColumnRenamed("own", "single"), "label").filter(F.col("own").eqNullSafe(F.col("single")))
+    named = least.select(F.col("label").alias("name"), F.col("own").alias("single"), "least")      # each lone point meets its own row only
+    same = cls.join(named, (F.col("label") == F.col("name")) & F.col("own").eqNullSafe(F.col("single")))
     return same.select("dimx", F.when(F.col("own").isNotNull(), 1).otherwise(F.col("size")).cast("bigint").alias("size"), "least", "cls")
 
 

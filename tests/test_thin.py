@@ -281,3 +281,44 @@ def test_dense_spot_is_dealt_to_many_tiles(spark):
     sizes = seen.groupBy("step", "tile").agg(F.count_if(own).alias("own"), F.count("*").alias("all")).collect()
     assert sum(r.own for r in sizes) == len(pdf) and max(r.own for r in sizes) <= 8_000
     assert max(r["all"] for r in sizes) <= 60_000 and {r.step for r in sizes} >= {0, 5}
+
+
+def test_forest_of_dense_cells_equals_single_linkage(spark, monkeypatch):
+    """Cells of many points stand as one box each; boxes whose corners do not settle a level are taken apart."""
+    from pyspark.sql import functions as F
+    from fluxsieve.operators import forest, tiles
+    sent = []
+    plain = tiles.tiled
+
+    def counted(points, *rest):
+        sent.append(points.count())
+        return plain(points, *rest)
+
+    monkeypatch.setattr(tiles, "tiled", counted)
+    rng = np.random.RandomState(6)
+    X = np.vstack([rng.uniform(0, 1, (700, 2)), rng.uniform(0, 1, (700, 2)) + [1.45, 0], rng.uniform(0, 1, (300, 2)) + [0, 9]])
+    pdf = pd.DataFrame(X, columns=["a", "b"])
+    pdf["site"] = np.arange(len(X))
+    levels = [0.4, 0.46, 0.5]
+    tree = forest.LevelForest(spark.createDataFrame(pdf), ["a", "b"], levels)
+    chain = {r.site: r.chain for r in tree.members.join(tree.parts, "part").collect()}
+    for k, eps in enumerate(levels):
+        want = brute_levels(X, eps)
+        pairs = {(int(w), chain[i][k].cluster) for i, w in enumerate(want)}
+        assert len(pairs) == len(set(want)) == len({c for _, c in pairs})
+        assert [chain[i][k].size for i in range(len(X))] == [int((want == w).sum()) for w in want]
+    assert len(sent) == 2 and sent[0] < 250 and sent[1] < len(X) - 500            # boxes, then boxes and the points beside the gap
+
+
+def test_lloyd_looks_at_near_centroids_only(monkeypatch):
+    from fluxsieve.operators import kmeans
+    rng = np.random.RandomState(3)
+    for X in (np.column_stack([np.full(3000, 2.5), np.round(rng.uniform(0, 30, 3000), 2)]), np.round(rng.normal(0, 1, (900, 3)), 1)):
+        C, numbers = X[rng.permutation(len(X))[:90]], rng.permutation(90).astype(np.int32)
+        d2 = sum((X[:, j][:, None] - C[:, j][None, :]) ** 2 for j in range(X.shape[1]))
+        least = np.where(d2 == d2.min(axis=1)[:, None], numbers[None, :], 99).min(axis=1)
+        assert (kmeans.nearest(X, numbers, C) == least).all()
+    asked = []
+    monkeypatch.setattr(kmeans, "_nearest_of_all", lambda X, *rest: asked.append(len(X)))
+    kmeans.nearest(np.arange(5000.0)[:, None], np.arange(400), np.linspace(0, 5000, 400)[:, None])
+    assert not asked
