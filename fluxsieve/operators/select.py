@@ -80,6 +80,9 @@ def keys_at(df: DataFrame, requests) -> list[tuple | None]:
     """For each ``(order, rank)`` the values of the ``order`` columns in the row at that 0-based rank, ascending with
     missing values last; None where there is no such row.  Columns are numeric; where rows may tie, the last one is the
     unique id.  A rank may be a function of the number of rows."""
+    requests = list(requests)
+    if not requests:
+        return []
     named: dict = {}                                       # sort column (a name or an expression) -> its name in the key table
     for order, _ in requests:
         for c in order:
