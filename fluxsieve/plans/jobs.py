@@ -170,14 +170,16 @@ def prepare_grid(modes: DataFrame, ions: DataFrame, points: DataFrame, scan_dims
     """B-28 / B-29: growth rates and flags (B-10, B-11; gen2 B-12), ion densities where they are missing (B-14),
     ambipolarity (B-15; gen2 B-16), merged (B-01), particle fluxes and pinches where their parts are there (B-18, B-19),
     rotation fluxes and unit copies dropped, growth rates apart (B-22), one ion (B-05), constant columns apart (B-06; targets
-    and flags stay).  Returns (points, growth rates, constants)."""
+    and flags stay).  Each join is written before the next one: all are by point, so that one task would hold the sorted
+    sides of every join at once.  Returns (points, growth rates, constants)."""
     from ..functions import names as N
     from ..operators import grid
     scan_dims = list(scan_dims)
     if "normni" not in ions.columns:
-        ions = grid.with_densities(ions, points, scan_dims)
+        ions = cut_lineage(grid.with_densities(ions, points, scan_dims))
     flags = (grid.stability_flags_gen2 if gen2 else grid.stability_flags)(modes, scan_dims)
-    merged = grid.merge_groups(flags, grid.ambipolarity(ions, points, scan_dims, absolute=gen2, strict=gen2), scan_dims, dedupe=False)
+    balance = cut_lineage(grid.ambipolarity(ions, points, scan_dims, absolute=gen2, strict=gen2))
+    merged = cut_lineage(grid.merge_groups(flags, balance, scan_dims, dedupe=False))
     merged = grid.merge_groups(merged, grid.pick_ion(ions, ion), scan_dims, dedupe=False)
     full = cut_lineage(_simulator_points(grid.sum_pinches(grid.fill_particle_fluxes(merged, always=gen2))))
     kept = [c for c in full.columns if N.is_transport(c) or N.is_growth(c) or c in ("ITG", "TEM", "ETG", "absambi")]

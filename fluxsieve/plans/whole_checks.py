@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.name_columns import name_catalog
 from ..operators import filters, grid, report, score as S, slices, thin, train as T
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import store as ST
 from . import jobs
 from .checks import bridge, register, sql_ieee_div, with_bridge
@@ -251,7 +251,7 @@ _PREPARED = ("am AS (SELECT p.point, p.pfe_GB, p.Zeff, CASE WHEN p.pfe_GB = 0 TH
 
 def _bare_ions(spark, sf):
     own = ions(spark, sf).groupBy("point", "nions").agg(F.max("pfi_GB").alias("pfi_GB"), F.max("Zi").alias("Zi"))
-    return own.join(points(spark, sf).select("point"), "point", "left_semi")
+    return cut_lineage(own.join(points(spark, sf).select("point"), "point", "left_semi"))         # read several times
 
 
 @register("grid_prepare_whole", "WITH " + ",\n".join([MODES_SQL, IONS_SQL, POINTS_SQL, _TWO, _FLAGS, _PREPARED.format(f="", p="points")])
@@ -272,8 +272,8 @@ _BOTH = "both_ions AS (SELECT * FROM points WHERE point IN (SELECT point FROM zs
 def grid_prepare_gen2(spark, sf):
     """B-29: the gen2 preparation of the points with both ions (a missing result would be an error)."""
     own = _bare_ions(spark, sf)
-    both = own.groupBy("point").agg(F.count_distinct("nions").alias("k")).filter("k = 2").select("point")
-    own, pts = own.join(both, "point", "left_semi"), points(spark, sf).join(both, "point", "left_semi")
+    both = cut_lineage(own.groupBy("point").agg(F.count("nions").alias("k")).filter("k = 2").select("point"))     # an ion has one row
+    own, pts = (cut_lineage(d.join(both, "point", "left_semi")) for d in (own, points(spark, sf)))
     rest, _growth, _consts = jobs.prepare_grid(modes(spark, sf), own, pts, ["point"], gen2=True)
     return rest.select("point", "gam_leq_GB", "TEM", "ITG", "pfe_GB", F.round("absambi", 6).alias("absambi"))
 

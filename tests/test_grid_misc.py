@@ -188,3 +188,19 @@ def test_a_long_axis_stays_off_the_driver(spark):
     df = spark.range(150_000).select(F.col("id").alias("x"), F.lit(7).alias("y"))
     g = slices.product_grid(df, ["x", "y"])
     assert g.agg(F.count("*"), F.sum("x"), F.max("y")).first() == (150_000, 150_000 * 149_999 // 2, 7)
+
+
+def test_preparation_joins_one_step_at_a_time(spark, monkeypatch):
+    """No plan of the preparation sorts the sides of several joins in one task."""
+    written = []
+    monkeypatch.setattr(jobs, "cut_lineage", lambda df, cut=jobs.cut_lineage: written.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    modes = spark.createDataFrame([(1, 0.5, 0, 2.0, 1.0), (1, 3.0, 0, 4.0, -1.0), (3, 0.5, 0, 0.0, 1.0)], "point long, kthetarhos double, numsols int, gam_GB double, ome_GB double")
+    ions = spark.createDataFrame([(1, 0, 2.0, 1.0), (1, 1, 3.0, 6.0), (2, 0, 2.0, 1.0), (2, 1, 5.0, 6.0)], "point long, nions int, pfi_GB double, Zi double")
+    points = spark.createDataFrame([(1, 4.2, 1.5), (2, 0.0, 2.0)], "point long, pfe_GB double, Zeff double")
+    for gen2 in (True, False):
+        rest, _, _ = jobs.prepare_grid(modes, ions, points, ["point"], gen2=gen2)
+        got = {r.point: (r.gam_leq_GB, r.TEM, r.ITG, r.pfe_GB, r.absambi and round(r.absambi, 9)) for r in rest.collect()}
+        assert got == {1: (2.0, True, False, 4.2, 0.5), 2: (None, None, None, 0.0, 1.0), 3: (0.0, False, False, None, None)}
+    # densities: charges and points to an ion; then one join a step
+    joins = [sum("Join " in line or "JoinExec" in line for line in plan.splitlines()) for plan in written]
+    assert joins == [2, 1, 1, 1] * 2
