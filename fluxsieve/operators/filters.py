@@ -27,7 +27,7 @@ Pred = Callable[[DataFrame], Column]
 # ---------------------------------------------------------------- predicates
 
 # Every predicate is ``pred(df, r=F.col)``: ``r`` resolves a column name to an expression, so a
-# chain can evaluate a predicate on substituted values (see ``SanityChain.flags``).  Its value is
+# predicate can be evaluated on substituted values.  Its value is
 # True or False, never missing, so it can be negated.  A range predicate also carries ``plain``,
 # the same test as bare comparisons that a scan can take over (a missing value drops the row
 # either way), and the columns it reads.
@@ -149,9 +149,9 @@ def femto_columns(columns, policy: str = "current") -> list[str]:
 def femtoflux_ok(bound: float, policy: str = "current") -> Pred:
     """C-10: no transport flux with ``0 < |v| < bound`` (missing counts as fine)."""
     def pred(df, r=F.col):
-        bad = any_of(true_or_false((F.abs(r(c)) < bound) & (r(c) != 0))
-                     for c in femto_columns(df.columns, policy))
-        return ~bad
+        sizes = [F.when(r(c) != 0, F.abs(r(c))) for c in femto_columns(df.columns, policy)]
+        least = F.least(*sizes) if len(sizes) > 1 else sizes[0] if sizes else F.lit(None).cast("double")
+        return F.coalesce(least >= bound, F.lit(True))
     return pred
 
 
@@ -217,9 +217,10 @@ def negative_to_zero(df: DataFrame, per_column: bool = False) -> DataFrame:
     if per_column:
         repl = {c: F.when(F.col(c) < 0, F.lit(0.0)).otherwise(F.col(c)) for c in cols}
     else:
-        # the row flag is computed once (a separate projection that Catalyst keeps apart
-        # because the flag is used by every column) instead of once per column
-        bad = ~all_of(true_or_false(F.col(c) >= 0) for c in cols)
+        # the row flag is computed once (a separate projection that Catalyst keeps apart because the flag is
+        # used by every column) instead of once per column; as a loop over the columns, since one expression
+        # a column grew the compiled method of the whole chain beyond what the JVM compiles
+        bad = ~F.forall(F.array(*[F.col(c).cast("double") for c in cols]), lambda v: true_or_false(v >= 0))
         df = df.withColumn("__neg", bad)
         repl = {c: F.when(F.col("__neg"), F.lit(0.0)).otherwise(F.col(c)) for c in cols}
         return df.withColumns(repl).drop("__neg")
@@ -254,7 +255,7 @@ class Step:
     pred: Pred | None = None                      # row filter
     transform: Callable[[DataFrame], DataFrame] | None = None   # row-local rewrite
     stored: DataFrame | None = None               # ids to drop instead of the predicate
-    zero_row: bool = False                        # D-04 whole-row zeroing (handled symbolically)
+    zero_row: bool = False                        # D-04 whole-row zeroing
 
 
 @dataclass
@@ -299,20 +300,15 @@ class SanityChain:
     def flags(self, df: DataFrame, key: str = "dimx") -> tuple[DataFrame, list[str]]:
         """The input with one cumulative ``__alive_<step>`` flag per filter step.
 
-        Whole-row zeroing (D-04) is kept symbolic: one ``__neg`` flag is computed, and each
-        later predicate is evaluated as ``if __neg then P(heat fluxes = 0) else P(values)``
-        (the first branch constant-folds).  Referencing the zeroed columns inside every
-        predicate instead would inline the flag once per column reference.  The zeroed
-        values themselves are produced once, in the final projection.
+        Whole-row zeroing (D-04) is a projection of its own: the zeroed columns are read several times, so the optimizer
+        keeps it apart from the predicates, which then see each value once.  Testing both the zeroed and the given
+        values in one expression made the compiled method too large for the JVM, which interpreted it row by row.
         """
         alive = F.lit(True)
         names = []
-        zero_cols: list[str] = []
         for s in self.steps:
             if s.zero_row:
-                zero_cols = negative_zero_columns(df.columns)
-                if zero_cols:
-                    df = df.withColumn("__neg", ~all_of(true_or_false(F.col(c) >= 0) for c in zero_cols))
+                df = negative_to_zero(df)
                 continue
             if s.transform is not None:
                 df = s.transform(df)
@@ -321,10 +317,6 @@ class SanityChain:
                 hit = s.stored.select(F.col(key), F.lit(True).alias(f"__drop_{s.name}"))
                 df = df.join(hit, key, "left")
                 ok = F.col(f"__drop_{s.name}").isNull()
-            elif zero_cols:
-                zc = set(zero_cols)
-                r0 = lambda c, zc=zc: F.lit(0.0) if c in zc else F.col(c)
-                ok = F.when(F.col("__neg"), s.pred(df, r0)).otherwise(s.pred(df))
             else:
                 ok = s.pred(df)
             alive = alive & ok
@@ -332,9 +324,6 @@ class SanityChain:
             df = df.withColumn(col, alive)
             alive = F.col(col)
             names.append(s.name)
-        if zero_cols:
-            df = df.withColumns({c: F.when(F.col("__neg"), F.lit(0.0)).otherwise(F.col(c)) for c in zero_cols}) \
-                .drop("__neg")
         return df, names
 
 

@@ -83,9 +83,9 @@ def breakdown_cuts(df: DataFrame, slice_cols, dim: str = "At", modes=("ITG", "TE
     segment = segment or SEGMENT
     modes = [m for m in modes if BREAKDOWN_TARGET[m] in df.columns]
     placed, n_axis = join_positions(df.select(key, *slice_cols, dim, *{BREAKDOWN_TARGET[m] for m in modes}), dim)
-    first = F.struct(key, *[F.when(F.col(BREAKDOWN_TARGET[m]) != 0, F.col(BREAKDOWN_TARGET[m])).alias(f"__w_{m}") for m in modes])
-    points = placed.filter(F.col("__pos").isNotNull()).groupBy(*slice_cols, "__pos").agg(F.min_by(first, key).alias("__f")) \
-        .select(*slice_cols, "__pos", "__f.*")
+    # a number an aggregate, so that they are hashed: a struct of them would be sorted
+    first = [F.min_by(F.when(F.col(BREAKDOWN_TARGET[m]) != 0, F.col(BREAKDOWN_TARGET[m])), key).alias(f"__w_{m}") for m in modes]
+    points = cut_lineage(placed.filter(F.col("__pos").isNotNull()).groupBy(*slice_cols, "__pos").agg(F.min(key).alias(key), *first))
     gmax, own = n_axis - 1, F.floor(F.col("__pos") / segment)
     seen_by = F.sequence(F.greatest(F.floor((F.col("__pos") - patience) / segment), F.lit(0)), own)
     spread = points.select("*", F.explode(seen_by).alias("__seg"))
@@ -109,6 +109,7 @@ def breakdown_drop_flags(df: DataFrame, slice_cols, dim: str = "At", modes=("ITG
     behind = points.join(broken.select(*[F.col(c).alias(f"__of_{c}") for c in slice_cols], *[f"__cut_{m}" for m in found]), same) \
         .select(key, *[F.coalesce(F.col("__pos") > F.col(f"__cut_{m}"), F.lit(False)).alias(f"__drop_{m}") for m in found]) \
         .filter(reduce(lambda a, b: a | b, [F.col(f"__drop_{m}") for m in found], F.lit(False)))
+    behind = cut_lineage(behind)                # found once, and broadcast where they are few: then no row of df is moved
     flags = {f"__drop_{m}": F.coalesce(F.col(f"__drop_{m}"), F.lit(False)) for m in found}
     return df.join(behind, key, "left").select(*df.columns, *[c.alias(n) for n, c in flags.items()])
 

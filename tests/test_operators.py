@@ -171,3 +171,46 @@ def test_divsum_inverse(spark):
     df = spark.createDataFrame([(2.0, 4.0), (3.0, 0.0)], "efeITG_GB double, efiITG_GB double")
     d = derive.divsum(df, ["efeITG_GB_div_efiITG_GB"]).filter("efiITG_GB != 0")
     assert all(abs(r.efeITG_GB_div_efiITG_GB * r.efiITG_GB - r.efeITG_GB) < 1e-12 for r in d.collect())
+
+
+def test_chain_keeps_and_zeroes_rows(spark):
+    rows = [(1, 2.0, 1.5, 3.0, 0.5, True), (2, -2.0, 1.5, 3.0, 0.5, True), (3, 2.0, 1.5, None, 0.5, True), (4, 2.0, 1.5, 3.0, 1e-5, False),
+            (5, 2.0, 1.5, 3.0, None, True), (6, 2.0, 1.5, 3.0, float("nan"), True), (7, 2.0, 5.0, 3.0, 0.5, False), (8, -2.0, 1.5, 3.0, -1e-6, False),
+            (9, 2.0, 1.5, 3.0, 0.0, True), (10, 2.0, 1e-5, 3.0, 0.5, False), (11, -2.0, 1e-5, 3.0, 0.5, True)]
+    df = spark.createDataFrame([(*r[:5], 1.0, 1.0) for r in rows], "dimx long, efi_GB double, efiITG_GB double, efe_GB double, pfe_GB double, cke double, absambi double")
+    got = {r.dimx: (r.efi_GB, r.efiITG_GB, r.efe_GB) for r in filters.sanity_chain(1.5, 1.5, 1e-4, cke_bound=50.0).apply(df).collect()}
+    assert got == {r[0]: (0.0, 0.0, 0.0) if r[1] < 0 or r[3] is None else r[1:4] for r in rows if r[5]}
+
+
+def test_chain_is_compiled(spark, tmp_path):
+    """No method of the chains is too large for the JVM to compile."""
+    from fluxsieve.operators import derive
+    from fluxsieve.plans import jobs
+    from fluxsieve.sources.bridge import bridge_view
+    spark.range(200).selectExpr(
+        "id AS l_orderkey", "id % 20 AS l_partkey", "id % 7 AS l_suppkey", "cast(id % 4 + 1 AS int) AS l_linenumber", "cast(id % 50 + 1 AS double) AS l_quantity",
+        "id * 37e-2 AS l_extendedprice", "1e-2 * (id % 9) AS l_discount", "1e-2 * (id % 8) AS l_tax", "'A' AS l_returnflag").write.parquet(f"{tmp_path}/lineitem.parquet")
+    b = bridge_view(spark, str(tmp_path))
+    code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for preset in (jobs.PRESET_9D, jobs.EDGE6, jobs.EDGE7, jobs.EDGE8):
+            q = preset.sanity
+            chain = filters.sanity_chain(q.septot_factor, q.ambi_bound, q.femto_bound, cke_bound=q.cke_bound, cki_bound=q.cki_bound, ambipolar_version=q.ambipolar_version)
+            if preset.regime is not None:
+                chain.steps.append(filters.Step("regime", filters.regime_ok(*preset.regime)))
+            out = chain.apply(derive.divsum(b, list(preset.divnames), skip_missing=True))
+            parts = code.codegenStringSeq(out._jdf.queryExecution().executedPlan())
+            assert max(parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_breakdown_is_found_once_and_hashed(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(slices, "cut_lineage", lambda df, cut=slices.cut_lineage: written.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    df = spark.createDataFrame([(i, 0, float(i % 9), 9.0 - i % 9) for i in range(12)], "dimx long, scan long, At double, efiITG_GB double")
+    out = slices.breakdown_drop_flags(df, ["scan"], modes=("ITG",), patience=3)
+    assert not any("SortAggregate" in plan for plan in written)
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.dimx for r in out.collect() if r["__drop_ITG"]} == set(range(1, 9))
