@@ -295,7 +295,8 @@ def two_step_thinning(df: DataFrame, s: ThinSettings, key: str = "dimx", tile_po
     scaled = cut_lineage(rescale(base, s.dims, s.unit_variance))
     nested = s.min_samples <= 2 and s.initial_eps <= 1.0 and s.eps_step > 0
     kept = (_kept_by_forest if nested else _kept_by_passes)(scaled, s, key, tile_points)
-    return df.join(kept.distinct(), key, "left_semi")
+    # written first: as a table of known size the few kept ids go to the rows, which need no shuffle
+    return df.join(cut_lineage(kept.distinct()), key, "left_semi")
 
 
 def _kept_by_forest(scaled: DataFrame, s: ThinSettings, key: str, tile_points: int) -> DataFrame:

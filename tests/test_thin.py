@@ -322,3 +322,44 @@ def test_lloyd_looks_at_near_centroids_only(monkeypatch):
     monkeypatch.setattr(kmeans, "_nearest_of_all", lambda X, *rest: asked.append(len(X)))
     kmeans.nearest(np.arange(5000.0)[:, None], np.arange(400), np.linspace(0, 5000, 400)[:, None])
     assert not asked
+
+
+@pytest.mark.parametrize("most", [150, 45])
+def test_kmeans_of_repeated_places_settles_in_tasks(spark, monkeypatch, most):
+    """A cluster of many points at few places is one task's work, at once or, with more centroids than a task takes, after one
+    iteration; nothing is iterated in Spark."""
+    from fluxsieve.operators import kmeans
+    steps, plain = [], kmeans._Blocks.step
+
+    def counted(self):
+        steps.append(self.points.count())
+        assert len(steps) == 1
+        return plain(self)
+
+    monkeypatch.setattr(kmeans._Blocks, "step", counted)
+    rng = np.random.RandomState(17)
+    X = rng.randint(-40, 41, (40, 2))[rng.randint(0, 40, 900)] / 8
+    ids = rng.permutation(900) * 5 + 2
+    df = spark.createDataFrame([(int(i), "a", float(x), float(y)) for i, (x, y) in zip(ids, X)], "dimx long, label string, u double, v double")
+    k = spark.createDataFrame([("a", 60, 900)], "label string, k int, npts long")
+    got = kmeans.representatives(df, ["u", "v"], k, max_group=most).collect()
+    assert {r.label: r.dimx for r in got} == {"a": brute_lloyd(X, ids, 60)}
+    assert len(steps) == (most < 60)
+
+
+def test_lloyd_sums_only_what_changed():
+    """Centroids that keep their places are left as they are; the outcome is that of plain iterations, to the last bit."""
+    from fluxsieve.operators import kmeans
+    rng = np.random.RandomState(5)
+    for X in (np.column_stack([np.full(4000, 0.3), rng.randint(0, 900, 4000) / 100 - 0.7]), np.round(rng.normal(0, 1, (1500, 3)), 2)):
+        start = rng.randint(0, 120, len(X)).astype(np.int32)
+        lab = start
+        while True:
+            ids, code = np.unique(lab, return_inverse=True)
+            cents = np.column_stack([np.bincount(code, X[:, k]) for k in range(X.shape[1])]) / np.bincount(code)[:, None]
+            new = kmeans._nearest_of_all(X, ids, cents)
+            if np.array_equal(new, lab):
+                break
+            lab = new
+        got_ids, got = kmeans.lloyd(X, start)
+        assert np.array_equal(got_ids, ids) and np.array_equal(got, cents)
